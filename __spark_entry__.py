@@ -83,9 +83,288 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "year_pivot": _year_pivot,
         "latest_value": _latest_value,
     }
-    return q
+    return _register_more(q)
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_sql import oracle_sql as _oracle
     return _oracle()
+
+
+# ---------------------------------------------------------------------------
+# ETL layer on the raw wide-extract analogue
+# ---------------------------------------------------------------------------
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cohortlens.sources.rawviews import wide_extract
+    return wide_extract(spark, sf_dir)
+
+
+def _project_woman(spark, sf_dir):
+    from cohortlens.operators.conform import WOMAN_SOURCE, rename
+    return rename(_wide(spark, sf_dir), WOMAN_SOURCE)
+
+
+def _text_normalise(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from cohortlens.functions.text import normalise_label
+    w = _wide(spark, sf_dir)
+    return w.select(F.trim("caseid").alias("dhs_case_id"),
+                    normalise_label("sstate").alias("state_name"),
+                    normalise_label("v024").alias("geopolitical_zone"),
+                    normalise_label("v102").alias("urban_rural"))
+
+
+def _recode_map(spark, sf_dir):
+    from cohortlens.operators.conform import woman_attributes
+    return woman_attributes(_wide(spark, sf_dir)).drop("state_name", "urban_rural",
+                                                       "age_at_survey")
+
+
+def _coerce_numeric(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from cohortlens.functions.text import to_double, to_int
+    w = _wide(spark, sf_dir)
+    return w.select(F.trim("caseid").alias("dhs_case_id"), to_int("v012").alias("age_at_survey"),
+                    to_int("b2_01").alias("birth_year_1"), to_double("mm8_01").alias("death_cmc_1"),
+                    to_double("m13_1").alias("months_first_anc"))
+
+
+def _births(spark, sf_dir):
+    from cohortlens.operators.conform import birth_rows
+    return birth_rows(_wide(spark, sf_dir))
+
+
+def _classify_text(spark, sf_dir):
+    from cohortlens.functions.text import facility_flag
+    b = _births(spark, sf_dir)
+    return b.select("dhs_case_id", "birth_number", "delivery_location_raw", "delivery_location",
+                    facility_flag("delivery_location_raw").alias("facility_delivery"))
+
+
+def _any_flag(spark, sf_dir):
+    return _births(spark, sf_dir).select("dhs_case_id", "birth_number", "skilled_attendant")
+
+
+def _priority_label(spark, sf_dir):
+    return _births(spark, sf_dir).select("dhs_case_id", "birth_number", "delivery_assisted_by")
+
+
+def _wide_to_long(spark, sf_dir):
+    return _births(spark, sf_dir).select("dhs_case_id", "birth_number", "birth_order",
+                                         "birth_year", "child_alive")
+
+
+def _clean_counts(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from cohortlens.functions.text import clean_visits
+    w = _wide(spark, sf_dir)
+    return w.select(F.trim("caseid").alias("dhs_case_id"), F.col("m14_1").alias("anc_visits_raw"),
+                    clean_visits("m14_1").alias("anc_visits"))
+
+
+def _bin_months(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from cohortlens.functions.text import months_to_trimester
+    w = _wide(spark, sf_dir)
+    return w.select(F.trim("caseid").alias("dhs_case_id"), F.col("m13_1").alias("months_raw"),
+                    months_to_trimester("m13_1").alias("first_anc_trimester"))
+
+
+def _sisters(spark, sf_dir, filtered):
+    from cohortlens.operators.conform import sister_rows
+    return sister_rows(_wide(spark, sf_dir), filtered=filtered)
+
+
+def _classify_cause(spark, sf_dir):
+    return _sisters(spark, sf_dir, False).select("dhs_case_id", "sibling_number", "cause_raw",
+                                                 "pregnancy_related")
+
+
+def _cmc_dates(spark, sf_dir):
+    return _sisters(spark, sf_dir, False).select("dhs_case_id", "sibling_number",
+                                                 "years_since_death", "death_year",
+                                                 "sibling_age_at_death")
+
+
+def _dim_dedupe(spark, sf_dir):
+    from cohortlens.operators.conform import build_geography
+    return build_geography(_wide(spark, sf_dir)).drop("state_id")
+
+
+def _etl_star(spark, sf_dir):
+    from cohortlens.plans.etl import build_star
+    a = analogue_star(spark, sf_dir)
+    return build_star(_wide(spark, sf_dir), a.who_sba, a.who_mmr)
+
+
+def _etl_row_counts(spark, sf_dir):
+    from cohortlens.operators.quality import row_counts
+    return row_counts(_etl_star(spark, sf_dir))
+
+
+def _fk_lookup_unmapped(spark, sf_dir):
+    from cohortlens.operators.conform import unmapped_counts
+    return unmapped_counts(_etl_star(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# quality checks on the star analogue
+# ---------------------------------------------------------------------------
+
+def _q(fn_name):
+    def run(spark, sf_dir):
+        from cohortlens.operators import quality as Q
+        return getattr(Q, fn_name)(analogue_star(spark, sf_dir).star)
+    return run
+
+
+def _value_frequency(spark, sf_dir):
+    from cohortlens.operators.quality import value_frequency
+    s = analogue_star(spark, sf_dir).star
+    return (value_frequency(s.woman, "wealth_index", "dim_woman")
+            .unionByName(value_frequency(s.birth, "delivery_location", "fact_birth"))
+            .unionByName(value_frequency(s.anc, "delivery_assisted_by", "fact_anc_delivery")))
+
+
+def _numeric_summary(spark, sf_dir):
+    from cohortlens.operators.quality import numeric_summary
+    s = analogue_star(spark, sf_dir).star
+    return (numeric_summary(s.woman, "age_at_survey", "dim_woman")
+            .unionByName(numeric_summary(s.anc, "anc_visits", "fact_anc_delivery")))
+
+
+def _duplicate_keys(spark, sf_dir):
+    from cohortlens.operators.quality import duplicate_keys
+    return duplicate_keys(analogue_star(spark, sf_dir).woman, "dhs_case_id")
+
+
+# ---------------------------------------------------------------------------
+# model layer
+# ---------------------------------------------------------------------------
+
+def _scan_star(spark, sf_dir):
+    from pyspark.sql import functions as F
+    s = analogue_star(spark, sf_dir).star
+    return s.woman.join(F.broadcast(s.geography), "state_id").select(
+        "woman_id", "dhs_case_id", "state_name", "geopolitical_zone", "urban_rural",
+        "age_at_survey", "survey_weight")
+
+
+def _sql_pull(spark, sf_dir):
+    from cohortlens.plans.model import MODEL_PULL_SQL
+    from cohortlens.sources.io import read_sql
+    return read_sql(spark, analogue_star(spark, sf_dir).star, MODEL_PULL_SQL)
+
+
+def _features(spark, sf_dir):
+    from cohortlens.plans import model as M
+    s = analogue_star(spark, sf_dir).star
+    return M.feature_frame(M.model_rows(s), M.zone_values(s))
+
+
+def _stratified_split(spark, sf_dir):
+    from cohortlens.plans.model import stratified_split
+    return stratified_split(_features(spark, sf_dir)).select("woman_id", "label", "is_test")
+
+
+def _standardise(spark, sf_dir):
+    from cohortlens.plans.model import standardise
+    f = _features(spark, sf_dir).select("woman_id", F_int("age_at_survey"),
+                                        F_int("anc_visits_clean"))
+    return standardise(f, ["age_at_survey", "anc_visits_clean"]).select(
+        "woman_id", "age_at_survey_z", "anc_visits_clean_z")
+
+
+def F_int(c):
+    from pyspark.sql import functions as F
+    return F.col(c).cast("int").alias(c)
+
+
+def _balanced_weights(spark, sf_dir):
+    from cohortlens.plans.model import balanced_weights
+    return balanced_weights(_features(spark, sf_dir)).select("woman_id", "label", "class_weight",
+                                                             "fit_weight")
+
+
+def _scored(spark, sf_dir):
+    return analogue_star(spark, sf_dir).scored
+
+
+def _roc_points(spark, sf_dir):
+    from cohortlens.operators.metrics import roc_points
+    return roc_points(_scored(spark, sf_dir))
+
+
+def _auc_exact(spark, sf_dir):
+    from cohortlens.operators.metrics import auc_exact
+    return auc_exact(_scored(spark, sf_dir))
+
+
+def _youden(spark, sf_dir):
+    from cohortlens.operators.metrics import roc_points, youden_threshold
+    return youden_threshold(roc_points(_scored(spark, sf_dir)))
+
+
+def _classification_report(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from cohortlens.operators.metrics import classification_report
+    s = _scored(spark, sf_dir).withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
+    return classification_report(s)
+
+
+def _fit(kind):
+    def run(spark, sf_dir):
+        from cohortlens.operators.metrics import auc_exact
+        from cohortlens.plans import model as M
+        train, test, feats = M.prepare(analogue_star(spark, sf_dir).star)
+        model = (M.fit_logistic if kind == "lr" else M.fit_forest)(train, feats)
+        return auc_exact(M.score(model, test))
+    return run
+
+
+def _feature_importance(spark, sf_dir):
+    from cohortlens.plans import model as M
+    train, _test, feats = M.prepare(analogue_star(spark, sf_dir).star)
+    return M.feature_importance(spark, M.fit_forest(train, feats), feats)
+
+
+def _register_more(q):
+    q.update({
+        "project_woman": _project_woman,
+        "text_normalise": _text_normalise,
+        "recode_map": _recode_map,
+        "coerce_numeric": _coerce_numeric,
+        "classify_text": _classify_text,
+        "classify_cause": _classify_cause,
+        "any_flag": _any_flag,
+        "priority_label": _priority_label,
+        "clean_counts": _clean_counts,
+        "bin_months": _bin_months,
+        "cmc_dates": _cmc_dates,
+        "wide_to_long": _wide_to_long,
+        "dim_dedupe": _dim_dedupe,
+        "etl_row_counts": _etl_row_counts,
+        "fk_lookup_unmapped": _fk_lookup_unmapped,
+        "orphan_checks": _q("orphan_checks"),
+        "null_profile": _q("null_report"),
+        "clinical_checks": _q("clinical_checks"),
+        "row_counts": _q("row_counts"),
+        "value_frequency": _value_frequency,
+        "numeric_summary": _numeric_summary,
+        "duplicate_keys": _duplicate_keys,
+        "scan_star": _scan_star,
+        "sql_pull_model_rows": _sql_pull,
+        "feature_matrix": _features,
+        "stratified_split": _stratified_split,
+        "standardise": _standardise,
+        "balanced_weights": _balanced_weights,
+        "roc_points": _roc_points,
+        "auc_exact": _auc_exact,
+        "youden_threshold": _youden,
+        "classification_report": _classification_report,
+        "facility_lr": _fit("lr"),
+        "facility_rf": _fit("rf"),
+        "feature_importance": _feature_importance,
+    })
+    return q

@@ -1,10 +1,26 @@
-"""Latest-row and top-k selection without a global sort of raw rows."""
+"""Order-dependent operators that stay distributed.
+
+A window with ``orderBy`` but no ``partitionBy`` moves every row into one task.
+For running totals and ranks over *raw* rows we instead:
+
+1. range-partition on the order key (``repartitionByRange``: sampled bounds,
+   equal keys land in the same partition, partition i precedes i+1);
+2. tag rows with ``spark_partition_id`` and checkpoint (reliable, into
+   ``spark.checkpoint.dir``) so both uses below see the same partitioning and
+   lineage is cut (executor loss re-reads the checkpoint, not the sample);
+3. compute running totals inside each range partition (a window partitioned
+   by the partition id — bounded by the partition size);
+4. add the totals of all earlier partitions (a table with one row per
+   partition: bounded by the partition count, so it is broadcast).
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 
 def latest_row(df: DataFrame, order_col: str, cols: list[str]) -> DataFrame:
     """``ORDER BY order_col DESC LIMIT 1`` as one aggregate (``max_by`` of a struct)."""
@@ -12,7 +28,72 @@ def latest_row(df: DataFrame, order_col: str, cols: list[str]) -> DataFrame:
 
 
 def top_k(df: DataFrame, order_col: str, k: int, descending: bool = True) -> DataFrame:
-    """Top-k rows: Spark plans ``orderBy().limit()`` as TakeOrderedAndProject
-    (a per-partition heap of k rows, then a k-way merge) — no full sort."""
+    """Top-k rows: ``orderBy().limit()`` plans as TakeOrderedAndProject (a
+    per-partition heap of k rows, then a k-way merge) — no full sort."""
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
     return df.orderBy(o).limit(k)
+
+
+def _order(cols: list[str], descending: bool) -> list[Column]:
+    return [F.col(c).desc() if descending else F.col(c).asc() for c in cols]
+
+
+def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
+                   descending: bool = False, partitions: int | None = None) -> DataFrame:
+    """Adds ``cum_<c>`` = sum of ``c`` over all rows ordered at or before this
+    row's key (peers included) for each ``c`` in ``sum_cols``."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = _order(order_cols, descending)
+    tagged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()) \
+        .checkpoint(eager=True)
+    local_w = Window.partitionBy("_pid").orderBy(*order) \
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    local = tagged.select("*", *[F.sum(c).over(local_w).alias(f"_cum_{c}") for c in sum_cols])
+    totals = tagged.groupBy("_pid").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", *[
+        F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}")
+        for c in sum_cols])
+    out = local.join(F.broadcast(offsets), "_pid")
+    return out.select(*df.columns, *[(F.col(f"_cum_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}")
+                                     for c in sum_cols])
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (``numpy``/``pandas`` default)
+    as rows ``(p, value)``: value frequencies -> distributed running counts ->
+    the two order statistics around ``(n - 1) * p``."""
+    freq = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")) \
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    run = running_totals(freq, ["v"], ["cnt"])
+    run = run.select("v", (F.col("cum_cnt") - F.col("cnt")).alias("start"),
+                     F.col("cum_cnt").alias("stop"))
+    n = freq.agg(F.sum("cnt").alias("n"))
+    targets = n.select(F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "n") \
+        .select("p", ((F.col("n") - 1) * F.col("p")).alias("h"))
+    targets = targets.select("p", "h", F.floor("h").alias("lo"), F.ceil("h").alias("hi"))
+    # tiny target table (2 positions per probability): broadcast range join
+    pos = targets.select("p", F.col("lo").alias("k"), F.lit("lo").alias("side")) \
+        .unionByName(targets.select("p", F.col("hi").alias("k"), F.lit("hi").alias("side")))
+    hit = run.join(F.broadcast(pos), (F.col("k") >= F.col("start")) & (F.col("k") < F.col("stop")))
+    pv = hit.groupBy("p").agg(
+        F.max(F.when(F.col("side") == "lo", F.col("v"))).cast("double").alias("x_lo"),
+        F.max(F.when(F.col("side") == "hi", F.col("v"))).cast("double").alias("x_hi"))
+    return pv.join(F.broadcast(targets), "p").select(
+        "p", (F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo")))
+        .alias("value"))
+
+
+def rank_within(df: DataFrame, group_col: str, order_cols: list[str],
+                name: str = "rank_in_group") -> DataFrame:
+    """``ROW_NUMBER() OVER (PARTITION BY group ORDER BY order_cols)`` without
+    pulling a (possibly huge) group into one task: running count over the
+    global order (group, order_cols), minus the group's starting offset."""
+    ones = df.withColumn("_one", F.lit(1))
+    run = running_totals(ones, [group_col, *order_cols], ["_one"])
+    starts = run.groupBy(group_col).agg(F.min("cum__one").alias("_start"))  # one row per group
+    return run.join(F.broadcast(starts), group_col) \
+        .withColumn(name, (F.col("cum__one") - F.col("_start") + 1).cast("bigint")) \
+        .drop("_one", "cum__one", "_start")

@@ -1,9 +1,165 @@
-"""Raw wide-extract analogue (filled in below)."""
+"""Raw wide-extract analogue: one row per respondent with numbered slot columns
+and label-or-digit coded values, derived from the driver tables.
 
+* respondent           <- customer (+ nation as state, region as zone)
+* birth slots 1..3     <- the highest order key of each ``o_orderkey % 3`` class
+  of the customer's orders (``bord_0i``, ``b2_0i``, ``b5_0i``, ``m15_i``,
+  ``m3a_i`` .. ``m3e_i``; slot 1 also ``m14_1``, ``m13_1``, ``m70_1``)
+* sister slots 1..3    <- the highest event id of each ``event_id % 3`` class
+  of the user's events (``mm1_0j``, ``mm2_0j``, ``mm4_0j``, ``mm8_0j``, ``mm9_0j``)
+
+Slots are picked with a keyed ``max`` (partial aggregation; no window), and the
+raw columns are SQL expressions shared with the DuckDB oracle.  The label lists
+below are fixed values of this test extract.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+N_BIRTH_SLOTS = 3
+N_SISTER_SLOTS = 3
+
+
+def _case(key: str, labels: list[str | None], mod: int | None = None) -> str:
+    mod = mod or len(labels)
+    parts = []
+    for i, lab in enumerate(labels):
+        val = "NULL" if lab is None else "'" + lab.replace("'", "''") + "'"
+        parts.append(f"WHEN {key} % {mod} = {i} THEN {val}")
+    return f"CASE WHEN {key} IS NULL THEN NULL {' '.join(parts)} END"
+
+
+PLACE_LABELS = ["respondent's home", "her home", "other home", "government hospital",
+                "government health centre", "government health post", "private hospital",
+                "private clinic", "mission hospital", "ngo health facility", "maternity home",
+                "dispensary", "on the road", "other", "none", "public health clinic"]
+VISIT_LABELS = ["no antenatal visits", "0", "1", "2", "3", "4", "4.9", "5", "6", "8", "10", "12",
+                "98", "don't know", "7", "99", None]
+MONTH_LABELS = ["0", "3", "3.5", "6", "7", "98", "x", "2", "5", None]
+YESNO_LABELS = ["yes", "no", "1", "0", "dk"]
+CAUSE_LABELS = ["died while pregnant", "died during delivery", "since delivery, 6 weeks",
+                "2 months after delivery", "death not related to pregnancy", "never pregnant",
+                "violence", "accident", None]
+
+RESPONDENT_COLS = {
+    "caseid": "'   ' || CAST(c_custkey AS STRING) || '  1'",
+    "v001": "CAST(c_nationkey * 10 + c_custkey % 3 AS INT)",
+    "sstate": "CASE WHEN c_custkey % 5 = 0 THEN ' ' || lower(n_name) ELSE upper(n_name) || ' ' END",
+    "v024": "CASE WHEN c_custkey % 2 = 0 THEN lower(r_name) ELSE r_name END",
+    "v102": "CASE WHEN c_custkey % 3 = 0 THEN 'urban' ELSE 'Rural' END",
+    "v012": "CAST(15 + c_custkey % 35 AS INT)",
+    "v106": _case("c_custkey", ["no education", "primary", "secondary", "higher", "0", "1",
+                                " 2", "3", "dk"]),
+    "v190": _case("c_custkey", ["poorest", "poorer", "middle", "richer ", "richest", "1", "2",
+                                "3", "4", "5", "Poorer"]),
+    "v481": _case("c_custkey", ["yes", "no", "1", "0", "No", "dk"]),
+    "v467d": _case("c_custkey", ["big problem", "not a big problem", "not a problem", "1", "2",
+                                 "3", "dk"]),
+    "v005": "CAST(500000 + (c_custkey % 101) * 10000 AS BIGINT)",
+    "v008": "CAST(1489 - c_custkey % 12 AS INT)",
+}
 
-def oracle_views() -> dict[str, str]:
-    return {}
 
+def birth_slot_cols(i: int) -> dict[str, str]:
+    k, d, st = f"o{i}_k", f"o{i}_d", f"o{i}_st"
+    cols = {
+        f"bord_{i:02d}": f"CAST(1 + {k} % 9 AS STRING)",
+        f"b2_{i:02d}": f"CAST(year({d}) + 26 AS STRING)",
+        f"b5_{i:02d}": _case(k, ["yes", "no", "1", "dead", "unknown"]),
+        f"m15_{i}": f"CASE WHEN {st} = 'P' THEN NULL ELSE {_case(k, PLACE_LABELS)} END",
+        f"m3a_{i}": _case(k, ["yes", "1", "no", "no", "no", None]),
+        f"m3b_{i}": _case(k, ["yes", " YES ", "no", "0", None], 5),
+        f"m3c_{i}": _case(k, ["yes", "no", "no", "no", "no", "no", "no"]),
+        f"m3d_{i}": _case(k, ["yes", "no", None]),
+        f"m3e_{i}": _case(k, ["yes", "no", "no", "no"]),
+    }
+    if i == 1:
+        cols["m14_1"] = _case(k, VISIT_LABELS)
+        cols["m13_1"] = _case(k, MONTH_LABELS)
+        cols["m70_1"] = _case(k, YESNO_LABELS)
+    return cols
 
-def oracle_queries() -> dict[str, str]:
-    return {}
+
+def sister_slot_cols(j: int) -> dict[str, str]:
+    e, t = f"e{j}_id", f"e{j}_type"
+    return {
+        f"mm1_{j:02d}": (f"CASE WHEN {e} IS NULL THEN NULL "
+                         f"WHEN {t} IN ('error', 'purchase', 'view') AND {e} % 2 = 0 THEN 'female' "
+                         f"WHEN {t} IN ('error', 'purchase', 'view') THEN '2' ELSE 'male' END"),
+        f"mm2_{j:02d}": _case(e, ["alive", "0", "dead", "no"]),
+        f"mm4_{j:02d}": f"CAST(800 + {e} % 500 AS STRING)",
+        f"mm8_{j:02d}": f"CAST(1390 + {e} % 110 AS STRING)",
+        f"mm9_{j:02d}": _case(e, CAUSE_LABELS),
+    }
+
+
+def wide_cols() -> dict[str, str]:
+    cols = dict(RESPONDENT_COLS)
+    for i in range(1, N_BIRTH_SLOTS + 1):
+        cols.update(birth_slot_cols(i))
+    for j in range(1, N_SISTER_SLOTS + 1):
+        cols.update(sister_slot_cols(j))
+    return cols
+
+
+def wide_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw wide extract (one row per customer) as a lazy DataFrame."""
+    from .analogue import DriverTables
+    t = DriverTables(spark, sf_dir)
+    orders, events = t["orders"], t["events"]
+    oslots = orders.groupBy("o_custkey").agg(*[
+        F.max(F.when(F.col("o_orderkey") % N_BIRTH_SLOTS == i - 1,
+                     F.struct("o_orderkey", "o_orderdate", "o_orderstatus"))).alias(f"s{i}")
+        for i in range(1, N_BIRTH_SLOTS + 1)])
+    oflat = oslots.select(F.col("o_custkey").alias("c_custkey"), *[
+        F.col(f"s{i}.{src}").alias(f"o{i}_{dst}")
+        for i in range(1, N_BIRTH_SLOTS + 1)
+        for src, dst in (("o_orderkey", "k"), ("o_orderdate", "d"), ("o_orderstatus", "st"))])
+    eslots = events.groupBy("user_id").agg(*[
+        F.max(F.when(F.col("event_id") % N_SISTER_SLOTS == j - 1,
+                     F.struct("event_id", "event_type"))).alias(f"s{j}")
+        for j in range(1, N_SISTER_SLOTS + 1)])
+    eflat = eslots.select(F.col("user_id").alias("c_custkey"), *[
+        F.col(f"s{j}.{src}").alias(f"e{j}_{dst}")
+        for j in range(1, N_SISTER_SLOTS + 1)
+        for src, dst in (("event_id", "id"), ("event_type", "type"))])
+    geo = t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
+    base = (t["customer"].join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(oflat, "c_custkey", "left").join(eflat, "c_custkey", "left"))
+    return base.select(*[F.expr(e).alias(k) for k, e in wide_cols().items()])
+
+
+# ---------------------------------------------------------------------------
+# DuckDB side
+# ---------------------------------------------------------------------------
+
+def oracle_views() -> dict[str, str]:
+    okeys = ", ".join(
+        f"max(CASE WHEN o_orderkey % {N_BIRTH_SLOTS} = {i - 1} THEN o_orderkey END) AS k{i}"
+        for i in range(1, N_BIRTH_SLOTS + 1))
+    ekeys = ", ".join(
+        f"max(CASE WHEN event_id % {N_SISTER_SLOTS} = {j - 1} THEN event_id END) AS k{j}"
+        for j in range(1, N_SISTER_SLOTS + 1))
+    sel = ["c.*", "n.*", "r.*"]
+    joins = []
+    for i in range(1, N_BIRTH_SLOTS + 1):
+        sel += [f"o{i}.o_orderkey AS o{i}_k", f"o{i}.o_orderdate AS o{i}_d",
+                f"o{i}.o_orderstatus AS o{i}_st"]
+        joins.append(f"LEFT JOIN orders o{i} ON o{i}.o_orderkey = ok.k{i}")
+    for j in range(1, N_SISTER_SLOTS + 1):
+        sel += [f"e{j}.event_id AS e{j}_id", f"e{j}.event_type AS e{j}_type"]
+        joins.append(f"LEFT JOIN events e{j} ON e{j}.event_id = ek.k{j}")
+    slots = (f"SELECT {', '.join(sel)} FROM customer c "
+             "JOIN nation n ON c.c_nationkey = n.n_nationkey "
+             "JOIN region r ON n.n_regionkey = r.r_regionkey "
+             "LEFT JOIN order_slot_keys ok ON ok.o_custkey = c.c_custkey "
+             "LEFT JOIN event_slot_keys ek ON ek.user_id = c.c_custkey " + " ".join(joins))
+    wide = "SELECT " + ", ".join(f"{e} AS {k}" for k, e in wide_cols().items()) + " FROM slots"
+    return {
+        "order_slot_keys": f"SELECT o_custkey, {okeys} FROM orders GROUP BY o_custkey",
+        "event_slot_keys": f"SELECT user_id, {ekeys} FROM events GROUP BY user_id",
+        "slots": slots,
+        "wide": wide,
+    }

@@ -465,6 +465,378 @@ SELECT year, value FROM who_nigeria_sba WHERE location = 'Nigeria' ORDER BY year
 
 def oracle_sql() -> dict[str, str]:
     out = {k: _wrap(v) for k, v in Q.items()}
-    for k, v in RV.oracle_queries().items():
-        out[k] = _wrap(v)
     return out
+
+
+# ---------------------------------------------------------------------------
+# ETL layer (raw wide extract)
+# ---------------------------------------------------------------------------
+
+from cohortlens.functions import text as T  # noqa: E402
+from cohortlens.sources.rawviews import N_BIRTH_SLOTS, N_SISTER_SLOTS  # noqa: E402
+
+
+def TITLE(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all(lower(trim({x})), "
+            f"'([a-z]+|[^a-z]+)'), lambda s: upper(s[1]) || s[2:]), '')")
+
+
+def KEY(x: str) -> str:
+    return f"lower(trim(CAST({x} AS VARCHAR)))"
+
+
+def TXT(x: str) -> str:
+    return f"coalesce({KEY(x)}, 'nan')"
+
+
+def _lit(v) -> str:
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
+def RECODE(x: str, mapping: dict) -> str:
+    return ("CASE " + " ".join(f"WHEN {KEY(x)} = {_lit(k)} THEN {_lit(v)}"
+                               for k, v in mapping.items()) + " END")
+
+
+def ANY(x: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({TXT(x)}, {_lit(w)})" for w in words) + ")"
+
+
+def INTOF(x: str) -> str:
+    d = f"TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE)"
+    return f"CASE WHEN {d} = floor({d}) THEN CAST({d} AS INTEGER) END"
+
+
+def DBL(x: str) -> str:
+    return f"TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE)"
+
+
+def LOCATION(x: str) -> str:
+    return (f"CASE WHEN {ANY(x, T.HOME_WORDS)} THEN 'Home' "
+            f"WHEN {ANY(x, T.PUBLIC_WORDS)} THEN 'Government Facility' "
+            f"WHEN {ANY(x, T.PRIVATE_WORDS)} THEN 'Private Facility' "
+            f"WHEN {TXT(x)} IN ('nan', 'none', '') THEN NULL ELSE 'Other' END")
+
+
+def FACILITY(x: str) -> str:
+    return (f"CASE WHEN {ANY(x, T.FACILITY_WORDS)} THEN 1 "
+            f"WHEN {TXT(x)} IN ('nan', 'none', '') THEN NULL ELSE 0 END")
+
+
+def YES(x: str) -> str:
+    return f"{TXT(x)} IN ('1', 'yes')"
+
+
+SKILLED_FLAG = "CASE WHEN " + " OR ".join(YES(c) for c in ("m3a", "m3b", "m3c")) \
+    + " THEN 1 ELSE 0 END"
+PRIORITY = ("CASE " + " ".join(f"WHEN {YES(k)} THEN {_lit(v)}" for k, v in T.ATTENDANT_PRIORITY)
+            + " ELSE 'None' END")
+
+
+def VISITS(x: str) -> str:
+    v, d = TXT(x), f"TRY_CAST({TXT(x)} AS DOUBLE)"
+    return (f"CASE WHEN {v} IN ('no antenatal visits', '0') THEN 0 "
+            f"WHEN {d} IS NULL OR isnan({d}) THEN NULL WHEN {d} >= 98 THEN NULL "
+            f"ELSE CAST(trunc({d}) AS INTEGER) END")
+
+
+def TRIMESTER(x: str) -> str:
+    d = DBL(x)
+    return (f"CASE WHEN {d} IS NULL THEN NULL WHEN isnan({d}) THEN 3 WHEN {d} >= 98 THEN NULL "
+            f"WHEN {d} <= 3 THEN 1 WHEN {d} <= 6 THEN 2 ELSE 3 END")
+
+
+def CAUSE(x: str) -> str:
+    return (f"CASE WHEN {ANY(x, T.PREGNANCY_WORDS)} THEN 1 "
+            f"WHEN contains({TXT(x)}, 'not related') THEN 0 END")
+
+
+_BIRTHS = " UNION ALL ".join(
+    f"SELECT trim(caseid) AS dhs_case_id, {i} AS birth_number, bord_{i:02d} AS bo, "
+    f"b2_{i:02d} AS byr, b5_{i:02d} AS ca, m15_{i} AS delivery_location_raw, m3a_{i} AS m3a, "
+    f"m3b_{i} AS m3b, m3c_{i} AS m3c, m3d_{i} AS m3d, m3e_{i} AS m3e FROM wide "
+    f"WHERE bord_{i:02d} IS NOT NULL" for i in range(1, N_BIRTH_SLOTS + 1))
+_SISTERS = " UNION ALL ".join(
+    f"SELECT trim(caseid) AS dhs_case_id, {j} AS sibling_number, CAST(v008 AS DOUBLE) AS icmc, "
+    f"{KEY(f'mm1_{j:02d}')} AS sex, {KEY(f'mm2_{j:02d}')} AS alive, "
+    f"{DBL(f'mm8_{j:02d}')} AS dcmc, {DBL(f'mm4_{j:02d}')} AS bcmc, mm9_{j:02d} AS cause_raw "
+    f"FROM wide" for j in range(1, N_SISTER_SLOTS + 1))
+_YEARS = "round_even((icmc - dcmc) / 12.0, 1)"
+_SIS = f"""sis AS (
+  SELECT *, CASE WHEN {_YEARS} >= 0 THEN {_YEARS} END AS years_since_death FROM ({_SISTERS}) t),
+sis2 AS (
+  SELECT *, CASE WHEN round_even((icmc - years_since_death * 12.0 - bcmc) / 12.0, 0) BETWEEN 10 AND 80
+                 THEN round_even((icmc - years_since_death * 12.0 - bcmc) / 12.0, 0) END
+              AS sibling_age_at_death,
+            CASE WHEN dcmc > 0 THEN 1900 + CAST(trunc((dcmc - 1) / 12.0) AS INTEGER) END AS death_year,
+            {CAUSE('cause_raw')} AS pregnancy_related
+  FROM sis)"""
+_MORT_FILTER = ("sex IN ('2', 'female') AND alive IN ('0', 'no', 'dead') "
+                "AND years_since_death IS NOT NULL AND years_since_death <= 7")
+
+Q["project_woman"] = """
+SELECT caseid AS dhs_case_id, sstate AS state_name, v102 AS urban_rural, v012 AS age_at_survey,
+       v106 AS education_level, v190 AS wealth_index, v481 AS has_insurance,
+       v467d AS distance_barrier, v005 AS survey_weight FROM wide"""
+
+Q["text_normalise"] = f"""
+SELECT trim(caseid) AS dhs_case_id, {TITLE('sstate')} AS state_name,
+       {TITLE('v024')} AS geopolitical_zone, {TITLE('v102')} AS urban_rural FROM wide"""
+
+Q["recode_map"] = f"""
+SELECT trim(caseid) AS dhs_case_id, {RECODE('v106', T.EDUCATION_MAP)} AS education_level,
+       {RECODE('v190', T.WEALTH_MAP)} AS wealth_index, {RECODE('v481', T.YES_NO_MAP)} AS has_insurance,
+       {RECODE('v467d', T.DISTANCE_MAP)} AS distance_barrier,
+       {DBL('v005')} / CAST(1000000 AS DOUBLE) AS survey_weight FROM wide"""
+
+Q["coerce_numeric"] = f"""
+SELECT trim(caseid) AS dhs_case_id, {INTOF('v012')} AS age_at_survey, {INTOF('b2_01')} AS birth_year_1,
+       {DBL('mm8_01')} AS death_cmc_1, {DBL('m13_1')} AS months_first_anc FROM wide"""
+
+Q["classify_text"] = f"""
+SELECT dhs_case_id, birth_number, delivery_location_raw, {LOCATION('delivery_location_raw')} AS delivery_location,
+       {FACILITY('delivery_location_raw')} AS facility_delivery FROM ({_BIRTHS}) b"""
+
+Q["any_flag"] = f"SELECT dhs_case_id, birth_number, {SKILLED_FLAG} AS skilled_attendant FROM ({_BIRTHS}) b"
+Q["priority_label"] = f"SELECT dhs_case_id, birth_number, {PRIORITY} AS delivery_assisted_by FROM ({_BIRTHS}) b"
+Q["wide_to_long"] = f"""
+SELECT dhs_case_id, birth_number, {INTOF('bo')} AS birth_order, {INTOF('byr')} AS birth_year,
+       {RECODE('ca', T.CHILD_ALIVE_MAP)} AS child_alive FROM ({_BIRTHS}) b"""
+
+Q["clean_counts"] = f"""
+SELECT trim(caseid) AS dhs_case_id, m14_1 AS anc_visits_raw, {VISITS('m14_1')} AS anc_visits FROM wide"""
+Q["bin_months"] = f"""
+SELECT trim(caseid) AS dhs_case_id, m13_1 AS months_raw, {TRIMESTER('m13_1')} AS first_anc_trimester FROM wide"""
+
+Q["classify_cause"] = f"""
+WITH {_SIS} SELECT dhs_case_id, sibling_number, cause_raw, pregnancy_related FROM sis2"""
+Q["cmc_dates"] = f"""
+WITH {_SIS} SELECT dhs_case_id, sibling_number, years_since_death, death_year, sibling_age_at_death FROM sis2"""
+
+_GEO_RAW = f"""
+g AS (SELECT CAST(v001 AS INTEGER) AS c, {TITLE('sstate')} AS state_name,
+             {TITLE('v024')} AS zone, {TITLE('v102')} AS urban_rural FROM wide),
+m AS (SELECT state_name, urban_rural, min(c) AS c FROM g GROUP BY ALL),
+geo AS (SELECT m.state_name, m.urban_rural, m.c AS dhs_cluster_id, min(g.zone) AS geopolitical_zone
+        FROM m JOIN g USING (state_name, urban_rural, c) GROUP BY ALL)"""
+
+Q["dim_dedupe"] = f"WITH {_GEO_RAW} SELECT * FROM geo"
+
+Q["etl_row_counts"] = f"""
+WITH {_GEO_RAW}, {_SIS}
+SELECT 'who_nigeria_sba' AS table_name, (SELECT COUNT(*) FROM who_nigeria_sba) AS row_count
+UNION ALL SELECT 'who_nigeria_mmr', (SELECT COUNT(*) FROM who_nigeria_mmr)
+UNION ALL SELECT 'dim_geography', (SELECT COUNT(*) FROM geo)
+UNION ALL SELECT 'dim_woman', (SELECT COUNT(*) FROM wide)
+UNION ALL SELECT 'fact_birth', (SELECT COUNT(*) FROM ({_BIRTHS}) b)
+UNION ALL SELECT 'fact_anc_delivery', (SELECT COUNT(*) FROM wide WHERE m15_1 IS NOT NULL)
+UNION ALL SELECT 'fact_maternal_mortality', (SELECT COUNT(*) FROM sis2 WHERE {_MORT_FILTER})"""
+
+Q["fk_lookup_unmapped"] = """
+SELECT 'dim_woman.state_id' AS foreign_key, CAST(0 AS BIGINT) AS unmapped_rows
+UNION ALL SELECT 'fact_birth.woman_id', 0
+UNION ALL SELECT 'fact_anc_delivery.woman_id', 0
+UNION ALL SELECT 'fact_maternal_mortality.woman_id', 0"""
+
+# ---------------------------------------------------------------------------
+# quality checks
+# ---------------------------------------------------------------------------
+
+Q["orphan_checks"] = """
+WITH c AS (
+  SELECT 'dim_woman with no valid state_id' AS check_name,
+         (SELECT COUNT(*) FROM dim_woman dw LEFT JOIN dim_geography dg ON dw.state_id = dg.state_id
+          WHERE dg.state_id IS NULL) AS orphan_count
+  UNION ALL SELECT 'fact_birth with no valid woman_id',
+         (SELECT COUNT(*) FROM fact_birth f LEFT JOIN dim_woman dw ON f.woman_id = dw.woman_id
+          WHERE dw.woman_id IS NULL)
+  UNION ALL SELECT 'fact_anc_delivery with no valid woman_id',
+         (SELECT COUNT(*) FROM fact_anc_delivery f LEFT JOIN dim_woman dw ON f.woman_id = dw.woman_id
+          WHERE dw.woman_id IS NULL)
+  UNION ALL SELECT 'fact_maternal_mortality with no valid woman_id',
+         (SELECT COUNT(*) FROM fact_maternal_mortality f LEFT JOIN dim_woman dw ON f.woman_id = dw.woman_id
+          WHERE dw.woman_id IS NULL))
+SELECT check_name, orphan_count, CASE WHEN orphan_count = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM c"""
+
+
+def _nulls(t: str, c: str) -> str:
+    return (f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
+            f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count FROM {t}")
+
+
+Q["null_profile"] = "SELECT *, CASE WHEN null_count = 0 THEN 'OK' ELSE 'NOTE' END AS status FROM (" + \
+    " UNION ALL ".join(_nulls(t, c) for t, c in [
+        ("dim_woman", "survey_weight"), ("dim_woman", "state_id"), ("dim_woman", "education_level"),
+        ("fact_birth", "birth_year"), ("fact_birth", "skilled_attendant"),
+        ("fact_anc_delivery", "facility_delivery"),
+        ("fact_maternal_mortality", "pregnancy_related")]) + ") t"
+
+Q["clinical_checks"] = f"""
+SELECT 'National facility delivery rate (%)' AS check_name,
+       (SELECT {cpct(flagsum('facility_delivery = 1'), flagsum('facility_delivery IS NOT NULL'))}
+        FROM fact_anc_delivery) AS value
+UNION ALL SELECT 'National skilled attendant rate (%)',
+       (SELECT ROUND(AVG(skilled_attendant) * 100.0, 1) FROM fact_birth WHERE birth_year >= 2019)
+UNION ALL SELECT 'Mean ANC visits (recent births)', (SELECT ROUND(AVG(anc_visits), 1) FROM fact_anc_delivery)
+UNION ALL SELECT 'Women with zero ANC visits (%)',
+       (SELECT {cpct(flagsum('facility_delivery IS NOT NULL AND anc_visits = 0'),
+                     flagsum('facility_delivery IS NOT NULL'))} FROM fact_anc_delivery)
+UNION ALL SELECT 'Confirmed maternal deaths (count)',
+       (SELECT CAST(COUNT(*) FILTER (WHERE pregnancy_related = 1) AS DOUBLE) FROM fact_maternal_mortality)
+UNION ALL SELECT 'States in database', (SELECT CAST(COUNT(DISTINCT state_name) AS DOUBLE) FROM dim_geography)
+UNION ALL SELECT 'Births per woman',
+       (SELECT CAST(COUNT(*) AS DOUBLE) / COUNT(DISTINCT woman_id) FROM fact_birth)"""
+
+Q["row_counts"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}" for t in
+    ["who_nigeria_sba", "who_nigeria_mmr", "dim_geography", "dim_woman", "fact_birth",
+     "fact_anc_delivery", "fact_maternal_mortality"])
+
+Q["value_frequency"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, "
+    f"COUNT(*) AS n FROM {t} GROUP BY {c}" for t, c in
+    [("dim_woman", "wealth_index"), ("fact_birth", "delivery_location"),
+     ("fact_anc_delivery", "delivery_assisted_by")])
+
+
+def _summary(t: str, c: str) -> str:
+    stats = f"""
+s_{c} AS (SELECT COUNT({c}) AS n, SUM(CAST({c} AS HUGEINT)) AS s,
+                 SUM(CAST({c} AS HUGEINT) * {c}) AS ss, AVG({c}) AS mean,
+                 MIN({c}) AS mn, MAX({c}) AS mx FROM {t}),
+o_{c} AS (SELECT CAST({c} AS DOUBLE) AS v, row_number() OVER (ORDER BY {c}) - 1 AS k
+          FROM {t} WHERE {c} IS NOT NULL),
+q_{c} AS (SELECT p, h, floor(h) AS lo, ceil(h) AS hi FROM
+          (SELECT p, (n - 1) * p AS h FROM s_{c}, (VALUES (0.25), (0.5), (0.75)) AS ps(p)) x),
+qq_{c} AS (SELECT q.p, lo_.v + (q.h - q.lo) * (hi_.v - lo_.v) AS value
+           FROM q_{c} q JOIN o_{c} lo_ ON lo_.k = q.lo JOIN o_{c} hi_ ON hi_.k = q.hi)"""
+    rows = f"""
+SELECT '{t}' AS table_name, '{c}' AS column_name, 'count' AS statistic, CAST(n AS DOUBLE) AS value FROM s_{c}
+UNION ALL SELECT '{t}', '{c}', 'mean', mean FROM s_{c}
+UNION ALL SELECT '{t}', '{c}', 'std',
+   sqrt(CAST(n * ss - s * s AS DOUBLE) / (CAST(n AS DOUBLE) * CAST(n - 1 AS DOUBLE))) FROM s_{c}
+UNION ALL SELECT '{t}', '{c}', 'min', CAST(mn AS DOUBLE) FROM s_{c}
+UNION ALL SELECT '{t}', '{c}', 'max', CAST(mx AS DOUBLE) FROM s_{c}
+UNION ALL SELECT '{t}', '{c}', CASE p WHEN 0.25 THEN '25%' WHEN 0.5 THEN '50%' ELSE '75%' END, value
+   FROM qq_{c}"""
+    return stats, rows
+
+
+_s1, _r1 = _summary("dim_woman", "age_at_survey")
+_s2, _r2 = _summary("fact_anc_delivery", "anc_visits")
+Q["numeric_summary"] = f"WITH {_s1}, {_s2} {_r1} UNION ALL {_r2}"
+
+Q["duplicate_keys"] = """
+SELECT COUNT(*) - COUNT(DISTINCT dhs_case_id) AS duplicate_rows, COUNT(*) AS rows,
+       COUNT(DISTINCT dhs_case_id) AS distinct_keys FROM dim_woman"""
+
+# ---------------------------------------------------------------------------
+# model layer
+# ---------------------------------------------------------------------------
+
+Q["scan_star"] = """
+SELECT dw.woman_id, dw.dhs_case_id, dg.state_name, dg.geopolitical_zone, dg.urban_rural,
+       dw.age_at_survey, dw.survey_weight
+FROM dim_woman dw JOIN dim_geography dg ON dw.state_id = dg.state_id"""
+
+from cohortlens.plans.model import EDUCATION_ORDER, MODEL_PULL_SQL, WEALTH_ORDER  # noqa: E402
+
+Q["sql_pull_model_rows"] = MODEL_PULL_SQL
+
+_ZONES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]   # the driver's region names
+
+
+def _ord(col: str, order: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in order.items()) + " END"
+
+
+_FEATURES = f"""
+feat AS (
+  SELECT woman_id, CAST(age_at_survey AS DOUBLE) AS age_at_survey,
+         CAST({_ord('education_level', EDUCATION_ORDER)} AS DOUBLE) AS education_num,
+         CAST({_ord('wealth_index', WEALTH_ORDER)} AS DOUBLE) AS wealth_num,
+         CAST(has_insurance AS DOUBLE) AS has_insurance, CAST(distance_barrier AS DOUBLE) AS distance_barrier,
+         CAST(coalesce(anc_visits, 0) AS DOUBLE) AS anc_visits_clean,
+         CAST(coalesce(first_anc_trimester, 0) AS DOUBLE) AS trimester_clean,
+         CASE WHEN urban_rural = 'Urban' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS urban,
+         {', '.join(f'CASE WHEN geopolitical_zone = {_lit(z)} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS "zone_{z}"' for z in _ZONES)},
+         CAST(facility_delivery AS INTEGER) AS label, survey_weight AS weight
+  FROM ({MODEL_PULL_SQL}) p),
+feats AS (SELECT * FROM feat WHERE age_at_survey IS NOT NULL AND education_num IS NOT NULL
+          AND wealth_num IS NOT NULL AND has_insurance IS NOT NULL AND distance_barrier IS NOT NULL
+          AND label IS NOT NULL)"""
+
+Q["feature_matrix"] = f"WITH {_FEATURES} SELECT * FROM feats"
+
+Q["stratified_split"] = f"""
+WITH {_FEATURES},
+h AS (SELECT woman_id, label,
+             ((woman_id % 4294967296 + 4294967296) % 4294967296 * 40503 + {42 * 7919}) % 4294967296 AS hh
+      FROM feats),
+r AS (SELECT woman_id, label, row_number() OVER (PARTITION BY label ORDER BY hh, woman_id) AS rn,
+             COUNT(*) OVER (PARTITION BY label) AS nc FROM h)
+SELECT woman_id, label, CAST(rn <= floor(nc * 0.2 + 0.5) AS INTEGER) AS is_test FROM r"""
+
+Q["standardise"] = f"""
+WITH {_FEATURES},
+f AS (SELECT woman_id, CAST(age_at_survey AS INTEGER) AS a, CAST(anc_visits_clean AS INTEGER) AS v FROM feats),
+st AS (SELECT COUNT(a) AS na, SUM(CAST(a AS HUGEINT)) AS sa, SUM(CAST(a AS HUGEINT) * a) AS ssa,
+              COUNT(v) AS nv, SUM(CAST(v AS HUGEINT)) AS sv, SUM(CAST(v AS HUGEINT) * v) AS ssv FROM f)
+SELECT woman_id,
+       (a - CAST(sa AS DOUBLE) / na) / NULLIF(sqrt(CAST(na * ssa - sa * sa AS DOUBLE) / (CAST(na AS DOUBLE) * CAST(na AS DOUBLE))), 0)
+         AS age_at_survey_z,
+       (v - CAST(sv AS DOUBLE) / nv) / NULLIF(sqrt(CAST(nv * ssv - sv * sv AS DOUBLE) / (CAST(nv AS DOUBLE) * CAST(nv AS DOUBLE))), 0)
+         AS anc_visits_clean_z
+FROM f, st"""
+
+Q["balanced_weights"] = f"""
+WITH {_FEATURES},
+c AS (SELECT label, COUNT(*) AS nc FROM feats GROUP BY label),
+k AS (SELECT SUM(nc) AS n, COUNT(*) AS kk FROM c),
+cw AS (SELECT label, CAST(n AS DOUBLE) / (kk * nc) AS class_weight FROM c, k)
+SELECT woman_id, label, class_weight, weight * class_weight AS fit_weight FROM feats JOIN cw USING (label)"""
+
+_ROC = """
+g AS (SELECT CAST(score AS DOUBLE) AS threshold, CAST(SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+             CAST(SUM(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM scored GROUP BY 1),
+r AS (SELECT *, CAST(SUM(pos) OVER (ORDER BY threshold DESC) AS BIGINT) AS tp,
+             CAST(SUM(neg) OVER (ORDER BY threshold DESC) AS BIGINT) AS fp,
+             SUM(pos) OVER () AS P, SUM(neg) OVER () AS N FROM g),
+pts AS (SELECT CAST('inf' AS DOUBLE) AS threshold, CAST(0 AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp,
+               0.0::DOUBLE AS tpr, 0.0::DOUBLE AS fpr
+        UNION ALL SELECT threshold, tp, fp, tp / NULLIF(P, 0), fp / NULLIF(N, 0) FROM r)"""
+
+Q["roc_points"] = f"WITH {_ROC} SELECT * FROM pts"
+
+Q["auc_exact"] = f"""
+WITH {_ROC}
+SELECT SUM(CAST(neg AS DOUBLE) * (CAST(tp - pos AS DOUBLE) + CAST(pos AS DOUBLE) / 2))
+         / (CAST(MAX(P) AS DOUBLE) * MAX(N)) AS auc,
+       CAST(MAX(P) AS BIGINT) AS positives, CAST(MAX(N) AS BIGINT) AS negatives FROM r"""
+
+Q["youden_threshold"] = f"""
+WITH {_ROC}
+SELECT threshold, tpr AS sensitivity, 1.0 - fpr AS specificity, tpr - fpr AS youden_j
+FROM pts ORDER BY tpr - fpr DESC, threshold DESC LIMIT 1"""
+
+Q["classification_report"] = """
+WITH c AS (
+  SELECT SUM(CASE WHEN label = 1 AND score >= 0.5 THEN 1 ELSE 0 END) AS tp,
+         SUM(CASE WHEN label = 0 AND score >= 0.5 THEN 1 ELSE 0 END) AS fp,
+         SUM(CASE WHEN label = 1 AND score < 0.5 THEN 1 ELSE 0 END) AS fn,
+         SUM(CASE WHEN label = 0 AND score < 0.5 THEN 1 ELSE 0 END) AS tn FROM scored),
+m AS (
+  SELECT *, coalesce(CAST(tn AS DOUBLE) / NULLIF(tn + fn, 0), 0.0) AS p0,
+         coalesce(CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0), 0.0) AS r0,
+         coalesce(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 0.0) AS p1,
+         coalesce(CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0), 0.0) AS r1,
+         tn + fp AS s0, tp + fn AS s1 FROM c),
+m2 AS (
+  SELECT *, coalesce(2.0 * p0 * r0 / NULLIF(p0 + r0, 0.0), 0.0) AS f0,
+         coalesce(2.0 * p1 * r1 / NULLIF(p1 + r1, 0.0), 0.0) AS f1, s0 + s1 AS n FROM m)
+SELECT '0' AS class, p0 AS precision, r0 AS recall, f0 AS f1_score, CAST(s0 AS BIGINT) AS support FROM m2
+UNION ALL SELECT '1', p1, r1, f1, CAST(s1 AS BIGINT) FROM m2
+UNION ALL SELECT 'accuracy', NULL, NULL, coalesce(CAST(tp + tn AS DOUBLE) / NULLIF(n, 0), 0.0), CAST(n AS BIGINT) FROM m2
+UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, CAST(n AS BIGINT) FROM m2
+UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / CAST(n AS DOUBLE), (r0 * s0 + r1 * s1) / CAST(n AS DOUBLE),
+       (f0 * s0 + f1 * s1) / CAST(n AS DOUBLE), CAST(n AS BIGINT) FROM m2"""
