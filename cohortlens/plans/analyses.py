@@ -24,7 +24,7 @@ from ..operators.fanout import multiplicity, woman_grain
 from ..operators.windows import lag_change, rank_desc, share_within
 from ..schemas import POOR_QUINTILES, SKILLED_ATTENDANTS, Star
 
-W = F.col("survey_weight")
+WEIGHT = "survey_weight"
 LOCATION = "Nigeria"
 MMR_CODE = "MDG_0000000026"
 RECENT_YEARS = (2021, 2024)
@@ -33,7 +33,7 @@ SDG_MMR_TARGET = 70.0
 
 def _wsum(mult: Column, cond: Column | None = None) -> Column:
     """Weighted sum over the (virtual) joined rows: ``SUM(CASE WHEN c THEN w)``."""
-    x = W * mult
+    x = F.col(WEIGHT) * mult
     return F.sum(x if cond is None else F.when(cond, x).otherwise(F.lit(0.0)))
 
 

@@ -5,28 +5,42 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (DoubleType, IntegerType, LongType, StringType, StructField,
+                               StructType)
 
-DIM_GEOGRAPHY = StructType.fromDDL(
+_TYPES = {"long": LongType(), "int": IntegerType(), "double": DoubleType(),
+          "string": StringType()}
+
+
+def _schema(spec: str) -> StructType:
+    """``"name type, ..."`` -> StructType (import-time safe, no session needed)."""
+    fields = []
+    for part in spec.split(","):
+        name, typ = part.split()
+        fields.append(StructField(name, _TYPES[typ], True))
+    return StructType(fields)
+
+
+DIM_GEOGRAPHY = _schema(
     "state_id long, dhs_cluster_id int, state_name string, "
     "geopolitical_zone string, urban_rural string")
-DIM_WOMAN = StructType.fromDDL(
+DIM_WOMAN = _schema(
     "woman_id long, dhs_case_id string, state_id long, age_at_survey int, "
     "education_level string, wealth_index string, has_insurance int, "
     "distance_barrier int, survey_weight double")
-FACT_BIRTH = StructType.fromDDL(
+FACT_BIRTH = _schema(
     "birth_id long, woman_id long, birth_order int, birth_year int, child_alive int, "
     "delivery_location string, skilled_attendant int")
-FACT_ANC = StructType.fromDDL(
+FACT_ANC = _schema(
     "anc_id long, woman_id long, anc_visits int, first_anc_trimester int, "
     "facility_delivery int, delivery_assisted_by string, postnatal_check int")
-FACT_MORTALITY = StructType.fromDDL(
+FACT_MORTALITY = _schema(
     "mortality_id long, woman_id long, sibling_sex string, sibling_alive int, "
     "sibling_age_at_death double, years_since_death double, pregnancy_related int, "
     "death_year int")
-WHO_SBA = StructType.fromDDL(
+WHO_SBA = _schema(
     "year int, value double, value_display int, location string, indicator_code string")
-WHO_MMR = StructType.fromDDL(
+WHO_MMR = _schema(
     "year int, mmr_value double, mmr_value_low double, mmr_value_high double, "
     "location string, indicator_code string")
 

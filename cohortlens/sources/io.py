@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..schemas import LOAD_ORDER, TABLE_SCHEMAS, Star, conform
 
@@ -47,12 +46,6 @@ def apply_labels(df: DataFrame, labels: DataFrame, columns: list[str]) -> DataFr
     return out
 
 
-INDICATOR_CSV = StructType.fromDDL(
-    "IndicatorCode string, Indicator string, Location string, Period int, IsLatestYear string, "
-    "FactValueNumeric double, FactValueNumericLow double, FactValueNumericHigh double, "
-    "Value string, DateModified string")
-
-
 def read_indicator(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """Indicator CSV -> ``who_nigeria_mmr`` (kind='mmr') or ``who_nigeria_sba``
     (kind='sba').  Columns are matched by header name, so either file layout
