@@ -170,10 +170,15 @@ def months_to_trimester(raw: Column | str) -> Column:
             .otherwise(F.lit(3)))
 
 
-def pregnancy_related(raw: Column | str) -> Column:
-    """1 if any pregnancy word (even negated, as in the reference), 0 if
-    'not related', else NULL."""
+def pregnancy_related(raw: Column | str, negation_guard: bool = False) -> Column:
+    """1 if any pregnancy word, 0 if 'not related', else NULL.
+
+    By default a negated label ('never pregnant') still counts as 1, exactly as
+    in the reference; ``negation_guard=True`` maps labels starting with
+    'never'/'not' or containing 'not related' to 0 first."""
     v = as_text(raw)
-    return (F.when(_any_contains(v, PREGNANCY_WORDS), F.lit(1))
-            .when(v.contains(NOT_RELATED), F.lit(0))
-            .otherwise(F.lit(None).cast("int")))
+    out = F.when(v.contains(NOT_RELATED) | v.startswith("never") | v.startswith("not "),
+                 F.lit(0)) if negation_guard else None
+    hit = _any_contains(v, PREGNANCY_WORDS)
+    out = F.when(hit, F.lit(1)) if out is None else out.when(hit, F.lit(1))
+    return out.when(v.contains(NOT_RELATED), F.lit(0)).otherwise(F.lit(None).cast("int"))

@@ -123,3 +123,9 @@ def test_composite_score_published_samples(spark, dr, fac, zero, dbl, score):
     df = spark.createDataFrame([(dr, fac, zero, dbl)], "d double, f double, z double, b double")
     got = df.select(S.composite_score(F.col("d"), F.col("z"), F.col("f"), F.col("b"))).first()[0]
     assert got == score
+
+
+def test_pregnancy_related_negation_guard(spark):
+    raw = ["never pregnant", "died while pregnant", "death not related to pregnancy"]
+    got = one_col(spark, raw, lambda c: T.pregnancy_related(c, negation_guard=True))
+    assert got == [0, 1, 0]

@@ -56,3 +56,12 @@ def test_read_sql_and_extract(spark, tmp_out):
     write_extract(df, out)
     files = glob.glob(os.path.join(out, "*.csv"))
     assert len(files) == 1 and open(files[0]).read().splitlines() == ["n", "2"]
+
+
+def test_publish_extracts(spark, tmp_out):
+    from cohortlens.plans.extracts import EXTRACTS, publish_extracts
+    from cohortlens.sources.analogue import analogue_star
+    paths = publish_extracts(analogue_star(spark, "/root/testdata/sf0.001").star, tmp_out)
+    assert len(paths) == len(EXTRACTS) == 9
+    for p in paths:
+        assert len(glob.glob(os.path.join(p, "*.csv"))) == 1
