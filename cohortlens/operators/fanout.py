@@ -100,6 +100,7 @@ def woman_grain(star: Star, facts: tuple[str, ...] = ("anc", "mort"), *,
     if with_geography:
         w = w.join(F.broadcast(star.geography.select(
             "state_id", "state_name", "geopolitical_zone", "urban_rural")), "state_id")
+    filled, mults = [], []
     for fact in facts:
         if fact == "birth":
             prof, cols = birth_profile(star.birth, birth_where), ["birth_n", "birth_skilled"]
@@ -107,11 +108,15 @@ def woman_grain(star: Star, facts: tuple[str, ...] = ("anc", "mort"), *,
             fn, cols = _PROFILES[fact]
             prof = fn(star.anc if fact == "anc" else star.mortality)
         w = w.join(prof, "woman_id", "left")
-        w = w.fillna(0, subset=cols)
-        n = F.col(f"{fact}_n")
+        filled += [F.coalesce(F.col(c), F.lit(0).cast(prof.schema[c].dataType)).alias(c)
+                   for c in cols]
+        n = F.coalesce(F.col(f"{fact}_n"), F.lit(0))
         mult = F.greatest(F.lit(1), n) if mode == "as_published" else F.lit(1)
-        w = w.withColumn(f"m_{fact}", mult.cast("bigint"))
-    return w
+        mults.append(mult.cast("bigint").alias(f"m_{fact}"))
+    profile_cols = {c for fact in facts for c in
+                    (["birth_n", "birth_skilled"] if fact == "birth" else _PROFILES[fact][1])}
+    base = [F.col(c) for c in w.columns if c not in profile_cols]
+    return w.select(*base, *filled, *mults)
 
 
 def multiplicity(*facts: str) -> Column:

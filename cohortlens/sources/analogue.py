@@ -25,6 +25,8 @@ are integer-valued doubles so weighted sums are exact in any summation order.
 
 from __future__ import annotations
 
+import os
+import weakref
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,8 +146,32 @@ SCORED_COLS = {
 }
 
 
-def _select(df: DataFrame, cols: dict[str, str]) -> DataFrame:
-    return df.select(*[F.expr(expr).alias(name) for name, expr in cols.items()])
+def _select(df: DataFrame, cols: dict[str, str], schema=None) -> DataFrame:
+    """One projection of SQL expressions, cast to ``schema`` when given."""
+    if schema is None:
+        return df.select(*[F.expr(expr).alias(name) for name, expr in cols.items()])
+    types = {f.name: f.dataType.simpleString() for f in schema.fields}
+    return df.select(*[F.expr(f"CAST(({cols[n]}) AS {types[n]})").alias(n)
+                       for n in types])
+
+
+_SCHEMAS: dict[tuple[str, float], object] = {}
+
+
+def read_parquet_cached(spark: SparkSession, path: str) -> DataFrame:
+    """``spark.read.parquet`` that infers a file's schema once per process
+    (keyed by path and modification time) and passes it explicitly afterwards,
+    so repeated plans skip the footer read on the driver."""
+    try:
+        key = (path, os.path.getmtime(path))
+    except OSError:              # not a local path (object store): no cache
+        return spark.read.parquet(path)
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 class DriverTables:
@@ -158,7 +184,7 @@ class DriverTables:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._cache[name] = read_parquet_cached(self.spark, f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
 
 
@@ -168,21 +194,22 @@ class AnalogueStar:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.t = DriverTables(spark, sf_dir)
+        self.extras: dict[str, DataFrame] = {}
 
     @cached_property
     def geography(self) -> DataFrame:
         # nation x region is bounded by the number of nations: broadcast is safe.
         geo = self.t["nation"].join(
             F.broadcast(self.t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
-        return conform(_select(geo, GEOGRAPHY_COLS), DIM_GEOGRAPHY)
+        return _select(geo, GEOGRAPHY_COLS, DIM_GEOGRAPHY)
 
     @cached_property
     def woman(self) -> DataFrame:
-        return conform(_select(self.t["customer"], WOMAN_COLS), DIM_WOMAN)
+        return _select(self.t["customer"], WOMAN_COLS, DIM_WOMAN)
 
     @cached_property
     def birth(self) -> DataFrame:
-        return conform(_select(self.t["orders"], BIRTH_COLS), FACT_BIRTH)
+        return _select(self.t["orders"], BIRTH_COLS, FACT_BIRTH)
 
     @cached_property
     def anc(self) -> DataFrame:
@@ -197,12 +224,12 @@ class AnalogueStar:
                                 "o_orderpriority")).alias("r"))
             .select("o_custkey", "r.o_orderkey", "r.o_orderstatus", "r.o_orderpriority")
         )
-        return conform(_select(latest, ANC_COLS), FACT_ANC)
+        return _select(latest, ANC_COLS, FACT_ANC)
 
     @cached_property
     def mortality(self) -> DataFrame:
         ev = self.t["events"].where(F.col("event_type") == MORTALITY_EVENT_TYPE)
-        return conform(_select(ev, MORTALITY_COLS), FACT_MORTALITY)
+        return _select(ev, MORTALITY_COLS, FACT_MORTALITY)
 
     @cached_property
     def who_mmr(self) -> DataFrame:
@@ -229,12 +256,31 @@ class AnalogueStar:
         joined = self.t["labels"].join(self.t["documents"].select("doc_id", "n_chars"), "doc_id")
         return _select(joined, SCORED_COLS)
 
-    @cached_property
-    def star(self) -> Star:
+    @property
+    def star(self) -> "AnalogueStar":
+        """The star schema itself: this object exposes the same attributes as
+        :class:`~cohortlens.schemas.Star`, but builds each view only when an
+        analysis touches it."""
+        return self
+
+    def tables(self) -> dict[str, DataFrame]:
+        return Star.tables(self)   # same mapping, evaluated lazily per attribute
+
+    def materialise(self) -> Star:
         return Star(geography=self.geography, woman=self.woman, birth=self.birth,
                     anc=self.anc, mortality=self.mortality, who_sba=self.who_sba,
                     who_mmr=self.who_mmr)
 
 
+_STARS: "weakref.WeakKeyDictionary[SparkSession, dict[str, AnalogueStar]]" = \
+    weakref.WeakKeyDictionary()
+
+
 def analogue_star(spark: SparkSession, sf_dir: str) -> AnalogueStar:
-    return AnalogueStar(spark, sf_dir)
+    """The analogue views of one folder, built once per session (like
+    registering views once) and shared by every query of that session."""
+    per_session = _STARS.setdefault(spark, {})
+    key = sf_dir.rstrip("/")
+    if key not in per_session:
+        per_session[key] = AnalogueStar(spark, key)
+    return per_session[key]

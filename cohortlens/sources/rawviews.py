@@ -105,9 +105,16 @@ def wide_cols() -> dict[str, str]:
 
 
 def wide_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw wide extract (one row per customer) as a lazy DataFrame."""
-    from .analogue import DriverTables
-    t = DriverTables(spark, sf_dir)
+    """The raw wide extract (one row per customer) as a lazy DataFrame, built
+    once per session and folder."""
+    from .analogue import analogue_star
+    a = analogue_star(spark, sf_dir)
+    if "wide" not in a.extras:
+        a.extras["wide"] = _build_wide(a.t)
+    return a.extras["wide"]
+
+
+def _build_wide(t) -> DataFrame:
     orders, events = t["orders"], t["events"]
     oslots = orders.groupBy("o_custkey").agg(*[
         F.max(F.when(F.col("o_orderkey") % N_BIRTH_SLOTS == i - 1,
