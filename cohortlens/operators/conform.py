@@ -185,23 +185,22 @@ def build_mortality(wide: DataFrame) -> DataFrame:
 
 def unmapped_counts(star: Star) -> DataFrame:
     """Rows whose foreign key does not resolve: women without a state, and
-    fact rows whose woman is not in the dimension (anti joins)."""
-    geo_keys = star.geography.select("state_id")
-    woman_keys = star.woman.select("woman_id")
-    parts = [
-        ("dim_woman.state_id", star.woman.where(F.col("state_id").isNull())
-         .union(star.woman.join(geo_keys, "state_id", "left_anti")
-                .where(F.col("state_id").isNotNull()).select(star.woman.columns))),
-        ("fact_birth.woman_id", star.birth.join(woman_keys, "woman_id", "left_anti")),
-        ("fact_anc_delivery.woman_id", star.anc.join(woman_keys, "woman_id", "left_anti")),
-        ("fact_maternal_mortality.woman_id",
-         star.mortality.join(woman_keys, "woman_id", "left_anti")),
-    ]
-    out = None
-    for name, df in parts:
-        one = df.agg(F.count(F.lit(1)).alias("unmapped_rows")).select(
-            F.lit(name).alias("foreign_key"), "unmapped_rows")
-        out = one if out is None else out.unionByName(one)
+    fact rows whose woman is not in the dimension (keyed anti joins on
+    per-key counts, so a hot key cannot skew them)."""
+    from .quality import orphan_rows
+    no_state = star.woman.where(F.col("state_id").isNull()) \
+        .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    bad_state = orphan_rows(star.woman.where(F.col("state_id").isNotNull()),
+                            star.geography, "state_id")
+    woman_fk = no_state.crossJoin(bad_state).select(
+        F.lit("dim_woman.state_id").alias("foreign_key"),
+        (F.col("n") + F.col("orphan_count")).alias("unmapped_rows"))
+    out = woman_fk
+    for name, df in [("fact_birth.woman_id", star.birth),
+                     ("fact_anc_delivery.woman_id", star.anc),
+                     ("fact_maternal_mortality.woman_id", star.mortality)]:
+        out = out.unionByName(orphan_rows(df, star.woman, "woman_id").select(
+            F.lit(name).alias("foreign_key"), F.col("orphan_count").alias("unmapped_rows")))
     return out
 
 

@@ -76,8 +76,11 @@ def dedupe_keep_min(df: DataFrame, keys: list[str], order_col: str,
                     keep: list[str]) -> DataFrame:
     """One row per key: the row with the smallest ``order_col`` (deterministic
     replacement for keep-first-in-file-order)."""
+    # hash-aggregate to distinct (key, kept values) first; the struct minimum
+    # then runs on that small set only
+    small = df.groupBy(*keys, *keep).agg(F.min(order_col).alias(order_col))
     best = F.min(F.struct(F.col(order_col), *[F.col(c) for c in keep])).alias("_best")
-    return df.groupBy(*keys).agg(best).select(
+    return small.groupBy(*keys).agg(best).select(
         *keys, F.col(f"_best.{order_col}").alias(order_col),
         *[F.col(f"_best.{c}").alias(c) for c in keep])
 

@@ -110,23 +110,20 @@ def state_burden_rank(star: Star) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def care_pathway_by_state(star: Star) -> DataFrame:
-    geo = F.broadcast(star.geography.select("state_id", "state_name", "geopolitical_zone"))
-    rows = (star.anc.join(star.woman.select("woman_id", "state_id"), "woman_id")
-            .join(geo, "state_id"))
-    fac, vis = F.col("facility_delivery"), F.col("anc_visits")
-    tri, post = F.col("first_anc_trimester"), F.col("postnatal_check")
-    n = F.count("anc_id")      # anc_id is the key: COUNT(DISTINCT) == COUNT
-    agg = rows.groupBy("state_name", "geopolitical_zone").agg(
+    """ANC rows are first summed to woman grain (partial aggregation, so a
+    woman with many rows cannot skew the join), then joined to the woman and
+    (broadcast) geography dimensions; the inner join keeps women with anc rows."""
+    g = woman_grain(star, ("anc",), with_geography=True, mode="per_entity") \
+        .where(F.col("anc_n") > 0)
+    n = F.sum("anc_n")         # COUNT(DISTINCT anc_id): anc_id is the key
+    agg = g.groupBy("state_name", "geopolitical_zone").agg(
         n.alias("women_with_recent_birth"),
-        F.round(F.avg(vis), 1).alias("mean_anc_visits"),
-        count_pct(F.sum(flag(vis == 0)), n).alias("pct_zero_anc"),
-        count_pct(F.sum(flag(tri == 1)), F.sum(flag(tri.isNotNull())))
-        .alias("pct_first_trimester_anc"),
-        count_pct(F.sum(flag(fac == 1)), n).alias("pct_facility_delivery"),
-        count_pct(F.sum(flag(F.col("delivery_assisted_by").isin(*SKILLED_ATTENDANTS))), n)
-        .alias("pct_skilled_attendant"),
-        count_pct(F.sum(flag(post == 1)), F.sum(flag(post.isNotNull())))
-        .alias("pct_postnatal_check"),
+        mean(F.sum("anc_visits_sum"), F.sum("anc_visits_known")).alias("mean_anc_visits"),
+        count_pct(F.sum("anc_zero"), n).alias("pct_zero_anc"),
+        count_pct(F.sum("anc_tri1"), F.sum("anc_tri_known")).alias("pct_first_trimester_anc"),
+        count_pct(F.sum("anc_fac1"), n).alias("pct_facility_delivery"),
+        count_pct(F.sum("anc_skilled"), n).alias("pct_skilled_attendant"),
+        count_pct(F.sum("anc_post1"), F.sum("anc_post_known")).alias("pct_postnatal_check"),
     )
     return agg.withColumn(
         "care_gap_category",
@@ -245,15 +242,20 @@ def education_extract(star: Star, mode: str = "as_published") -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def yearly_coverage_by_zone(star: Star, years: tuple[int, int] = RECENT_YEARS) -> DataFrame:
+    """Births are summed to (woman, year) before the join: the join input is
+    bounded by women x years and a woman with many births is reduced map-side."""
     geo = F.broadcast(star.geography.select("state_id", "geopolitical_zone"))
-    births = star.birth.where(F.col("birth_year").between(*years)
-                              & F.col("delivery_location").isNotNull())
-    rows = (births.join(star.woman.select("woman_id", "state_id"), "woman_id")
+    per_woman_year = (star.birth.where(F.col("birth_year").between(*years)
+                                       & F.col("delivery_location").isNotNull())
+                      .groupBy("woman_id", "birth_year")
+                      .agg(F.count("birth_id").alias("n"),
+                           F.sum("skilled_attendant").alias("skilled")))
+    rows = (per_woman_year.join(star.woman.select("woman_id", "state_id"), "woman_id")
             .join(geo, "state_id"))
     return rows.groupBy("birth_year", "geopolitical_zone").agg(
-        F.count("birth_id").alias("total_births"),
-        F.sum("skilled_attendant").alias("skilled_births"),
-        count_pct(F.sum("skilled_attendant"), F.count("birth_id")).alias("pct_skilled"))
+        F.sum("n").alias("total_births"),
+        F.sum("skilled").alias("skilled_births"),
+        count_pct(F.sum("skilled"), F.sum("n")).alias("pct_skilled"))
 
 
 def yearly_coverage(star: Star, years: tuple[int, int] = RECENT_YEARS) -> DataFrame:
@@ -489,11 +491,13 @@ def benchmark_report(star: Star, years: tuple[int, int] = RECENT_YEARS,
 
 def share_within_zone(star: Star) -> DataFrame:
     geo = F.broadcast(star.geography.select("state_id", "geopolitical_zone"))
-    rows = (star.anc.where(F.col("delivery_assisted_by").isNotNull())
-            .join(star.woman.select("woman_id", "state_id"), "woman_id")
+    per_woman = (star.anc.where(F.col("delivery_assisted_by").isNotNull())
+                 .groupBy("woman_id", "delivery_assisted_by")
+                 .agg(F.count(F.lit(1)).alias("n")))
+    rows = (per_woman.join(star.woman.select("woman_id", "state_id"), "woman_id")
             .join(geo, "state_id"))
     counts = rows.groupBy("geopolitical_zone", "delivery_assisted_by") \
-        .agg(F.count(F.lit(1)).alias("deliveries"))
+        .agg(F.sum("n").alias("deliveries"))
     return share_within(counts, "deliveries", ["geopolitical_zone"], "pct_within_zone") \
         .orderBy("geopolitical_zone", F.col("deliveries").desc())
 
