@@ -193,9 +193,12 @@ def _dim_dedupe(spark, sf_dir):
 
 
 def _etl_star(spark, sf_dir):
+    """Star schema conformed from the wide extract (plans built once per session)."""
     from cohortlens.plans.etl import build_star
     a = analogue_star(spark, sf_dir)
-    return build_star(_wide(spark, sf_dir), a.who_sba, a.who_mmr)
+    if "etl_star" not in a.extras:
+        a.extras["etl_star"] = build_star(_wide(spark, sf_dir), a.who_sba, a.who_mmr)
+    return a.extras["etl_star"]
 
 
 def _etl_row_counts(spark, sf_dir):

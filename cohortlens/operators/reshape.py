@@ -21,9 +21,9 @@ def slot_numbers(columns: list[str], prefix: str) -> list[int]:
     return sorted({int(m.group(1)) for c in columns if (m := pat.match(c))})
 
 
-def _slot(df: DataFrame, name: str) -> Column:
+def _slot(present: set[str], name: str) -> Column:
     """Column if present else typed NULL (``df_raw.get``)."""
-    return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
+    return F.col(name).cast("string") if name in present else F.lit(None).cast("string")
 
 
 def births_long(wide: DataFrame, id_col: str = "caseid",
@@ -34,18 +34,19 @@ def births_long(wide: DataFrame, id_col: str = "caseid",
     digit (``m15_1``) and exist only for the most recent births — later slots
     get NULL delivery fields.  Rows without a birth order are dropped.
     """
-    n_births = max(slot_numbers(wide.columns, "bord") or [0])
-    n_preg = max(slot_numbers(wide.columns, "m15") or [0])
+    present = set(wide.columns)          # one schema fetch for all slot lookups
+    n_births = max(slot_numbers(list(present), "bord") or [0])
+    n_preg = max(slot_numbers(list(present), "m15") or [0])
     slots = []
     for i in range(1, n_births + 1):
         b, m = f"_{i:02d}", f"_{i}"
         fields = [F.lit(i).alias("birth_number"),
-                  _slot(wide, f"bord{b}").alias("birth_order_raw"),
-                  _slot(wide, f"b2{b}").alias("birth_year_raw"),
-                  _slot(wide, f"b5{b}").alias("child_alive_raw")]
+                  _slot(present, f"bord{b}").alias("birth_order_raw"),
+                  _slot(present, f"b2{b}").alias("birth_year_raw"),
+                  _slot(present, f"b5{b}").alias("child_alive_raw")]
         for src in ("m15", "m3a", "m3b", "m3c", "m3d", "m3e"):
             name = "delivery_location_raw" if src == "m15" else src
-            col = _slot(wide, f"{src}{m}") if i <= n_preg else F.lit(None).cast("string")
+            col = _slot(present, f"{src}{m}") if i <= n_preg else F.lit(None).cast("string")
             fields.append(col.alias(name))
         slots.append(F.struct(*fields))
     out = wide.select(F.col(id_col).alias("caseid"), *carry, F.inline(F.array(*slots)))
@@ -62,10 +63,11 @@ def sisters_long(wide: DataFrame, id_col: str = "caseid",
     measures NULL; ``carry`` rides along (interview CMC) so no self-join is
     needed later."""
     slots = []
-    for j in slot_numbers(wide.columns, "mm1"):
+    present = set(wide.columns)
+    for j in slot_numbers(list(present), "mm1"):
         s = f"_{j:02d}"
         slots.append(F.struct(F.lit(j).alias("sibling_number"),
-                              *[_slot(wide, f"{k}{s}").alias(v)
+                              *[_slot(present, f"{k}{s}").alias(v)
                                 for k, v in SISTER_FIELDS.items()]))
     if not slots:
         raise ValueError("no sibling slots (mm1_NN) in the extract")

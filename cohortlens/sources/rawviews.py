@@ -2,11 +2,15 @@
 and label-or-digit coded values, derived from the driver tables.
 
 * respondent           <- customer (+ nation as state, region as zone)
-* birth slots 1..3     <- the highest order key of each ``o_orderkey % 3`` class
-  of the customer's orders (``bord_0i``, ``b2_0i``, ``b5_0i``, ``m15_i``,
-  ``m3a_i`` .. ``m3e_i``; slot 1 also ``m14_1``, ``m13_1``, ``m70_1``)
-* sister slots 1..3    <- the highest event id of each ``event_id % 3`` class
-  of the user's events (``mm1_0j``, ``mm2_0j``, ``mm4_0j``, ``mm8_0j``, ``mm9_0j``)
+* birth slots 1..20    <- the highest order key of each ``o_orderkey % 20`` class
+  of the customer's orders (``bord_NN``, ``b2_NN``, ``b5_NN``); the six most
+  recent slots also carry delivery data (``m15_i``, ``m3a_i`` .. ``m3e_i``) and
+  slot 1 the antenatal answers (``m14_1``, ``m13_1``, ``m70_1``)
+* sister slots 1..9    <- the highest event id of each ``event_id % 9`` class
+  of the user's events (``mm1_NN``, ``mm2_NN``, ``mm4_NN``, ``mm8_NN``, ``mm9_NN``)
+
+Like the survey instrument, the extract has a fixed number of slots, so a
+respondent with more orders than slots keeps one order per slot class.
 
 Slots are picked with a keyed ``max`` (partial aggregation; no window), and the
 raw columns are SQL expressions shared with the DuckDB oracle.  The label lists
@@ -18,8 +22,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-N_BIRTH_SLOTS = 3
-N_SISTER_SLOTS = 3
+N_BIRTH_SLOTS = 20
+N_DELIVERY_SLOTS = 6
+N_SISTER_SLOTS = 9
 
 
 def _case(key: str, labels: list[str | None], mod: int | None = None) -> str:
@@ -68,13 +73,16 @@ def birth_slot_cols(i: int) -> dict[str, str]:
         f"bord_{i:02d}": f"CAST(1 + {k} % 9 AS STRING)",
         f"b2_{i:02d}": f"CAST(year({d}) + 26 AS STRING)",
         f"b5_{i:02d}": _case(k, ["yes", "no", "1", "dead", "unknown"]),
-        f"m15_{i}": f"CASE WHEN {st} = 'P' THEN NULL ELSE {_case(k, PLACE_LABELS)} END",
-        f"m3a_{i}": _case(k, ["yes", "1", "no", "no", "no", None]),
-        f"m3b_{i}": _case(k, ["yes", " YES ", "no", "0", None], 5),
-        f"m3c_{i}": _case(k, ["yes", "no", "no", "no", "no", "no", "no"]),
-        f"m3d_{i}": _case(k, ["yes", "no", None]),
-        f"m3e_{i}": _case(k, ["yes", "no", "no", "no"]),
     }
+    if i <= N_DELIVERY_SLOTS:
+        cols.update({
+            f"m15_{i}": f"CASE WHEN {st} = 'P' THEN NULL ELSE {_case(k, PLACE_LABELS)} END",
+            f"m3a_{i}": _case(k, ["yes", "1", "no", "no", "no", None]),
+            f"m3b_{i}": _case(k, ["yes", " YES ", "no", "0", None], 5),
+            f"m3c_{i}": _case(k, ["yes", "no", "no", "no", "no", "no", "no"]),
+            f"m3d_{i}": _case(k, ["yes", "no", None]),
+            f"m3e_{i}": _case(k, ["yes", "no", "no", "no"]),
+        })
     if i == 1:
         cols["m14_1"] = _case(k, VISIT_LABELS)
         cols["m13_1"] = _case(k, MONTH_LABELS)
@@ -104,14 +112,24 @@ def wide_cols() -> dict[str, str]:
     return cols
 
 
-def wide_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw wide extract (one row per customer) as a lazy DataFrame, built
-    once per session and folder."""
+def wide_extract(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
+    """The raw wide extract (one row per customer).
+
+    In the survey pipeline the extract is a file the ETL reads; here it is
+    derived from the driver tables once per session and folder and written
+    with a reliable ``checkpoint()`` into ``spark.checkpoint.dir`` — the ETL
+    then reads it like that file, and its lineage is cut."""
+    from ..session import checkpoint_dir
     from .analogue import analogue_star
     a = analogue_star(spark, sf_dir)
-    if "wide" not in a.extras:
-        a.extras["wide"] = _build_wide(a.t)
-    return a.extras["wide"]
+    key = "wide" if materialise else "wide_lazy"
+    if key not in a.extras:
+        df = _build_wide(a.t)
+        if materialise:
+            checkpoint_dir(spark)
+            df = df.checkpoint(eager=True)
+        a.extras[key] = df
+    return a.extras[key]
 
 
 def _build_wide(t) -> DataFrame:

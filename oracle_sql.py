@@ -473,7 +473,8 @@ def oracle_sql() -> dict[str, str]:
 # ---------------------------------------------------------------------------
 
 from cohortlens.functions import text as T  # noqa: E402
-from cohortlens.sources.rawviews import N_BIRTH_SLOTS, N_SISTER_SLOTS  # noqa: E402
+from cohortlens.sources.rawviews import (N_BIRTH_SLOTS, N_DELIVERY_SLOTS,  # noqa: E402
+                                         N_SISTER_SLOTS)
 
 
 def TITLE(x: str) -> str:
@@ -551,11 +552,18 @@ def CAUSE(x: str) -> str:
             f"WHEN contains({TXT(x)}, 'not related') THEN 0 END")
 
 
-_BIRTHS = " UNION ALL ".join(
-    f"SELECT trim(caseid) AS dhs_case_id, {i} AS birth_number, bord_{i:02d} AS bo, "
-    f"b2_{i:02d} AS byr, b5_{i:02d} AS ca, m15_{i} AS delivery_location_raw, m3a_{i} AS m3a, "
-    f"m3b_{i} AS m3b, m3c_{i} AS m3c, m3d_{i} AS m3d, m3e_{i} AS m3e FROM wide "
-    f"WHERE bord_{i:02d} IS NOT NULL" for i in range(1, N_BIRTH_SLOTS + 1))
+def _birth_slot(i: int) -> str:
+    if i <= N_DELIVERY_SLOTS:
+        dl = (f"m15_{i} AS delivery_location_raw, m3a_{i} AS m3a, m3b_{i} AS m3b, "
+              f"m3c_{i} AS m3c, m3d_{i} AS m3d, m3e_{i} AS m3e")
+    else:
+        dl = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}"
+                       for c in ("delivery_location_raw", "m3a", "m3b", "m3c", "m3d", "m3e"))
+    return (f"SELECT trim(caseid) AS dhs_case_id, {i} AS birth_number, bord_{i:02d} AS bo, "
+            f"b2_{i:02d} AS byr, b5_{i:02d} AS ca, {dl} FROM wide WHERE bord_{i:02d} IS NOT NULL")
+
+
+_BIRTHS = " UNION ALL ".join(_birth_slot(i) for i in range(1, N_BIRTH_SLOTS + 1))
 _SISTERS = " UNION ALL ".join(
     f"SELECT trim(caseid) AS dhs_case_id, {j} AS sibling_number, CAST(v008 AS DOUBLE) AS icmc, "
     f"{KEY(f'mm1_{j:02d}')} AS sex, {KEY(f'mm2_{j:02d}')} AS alive, "
