@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import flag
+from .joins import bounded_broadcast
 from ..schemas import SKILLED_ATTENDANTS, Star
 
 MODES = ("as_published", "per_entity")
@@ -92,14 +93,15 @@ def woman_grain(star: Star, facts: tuple[str, ...] = ("anc", "mort"), *,
 
     Adds ``m_anc``, ``m_mort``, ``m_birth`` (max(1, rows) in ``as_published``
     mode, 1 in ``per_entity`` mode) for every fact in ``facts``.
-    ``with_geography`` inner-joins the (bounded, broadcast) geography dimension.
+    ``with_geography`` inner-joins the geography dimension (broadcast after a
+    row-count check).
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     w = star.woman
     if with_geography:
-        w = w.join(F.broadcast(star.geography.select(
-            "state_id", "state_name", "geopolitical_zone", "urban_rural")), "state_id")
+        geo = star.geography.select("state_id", "state_name", "geopolitical_zone", "urban_rural")
+        w = w.join(bounded_broadcast(geo, sized_by=star.geography), "state_id")
     filled, mults = [], []
     for fact in facts:
         if fact == "birth":

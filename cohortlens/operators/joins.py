@@ -1,0 +1,39 @@
+"""Size-checked broadcast.
+
+``F.broadcast`` forces a broadcast whatever the size.  Dimensions derived from
+data (geography from an extract, one row per class or group) are usually tiny,
+but nothing guarantees it.  ``bounded_broadcast`` counts at most ``max_rows + 1``
+rows (the job stops early) and broadcasts only below the bound; above it the
+join is left to the planner (sort-merge / shuffle-hash, or AQE's runtime
+broadcast when the measured size allows).  The decision is cached on the
+DataFrame object, so a shared view is checked once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 100_000
+_ATTR = "_cohortlens_rows_checked"
+
+
+def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
+    cached = getattr(df, _ATTR, None)
+    if cached is not None and cached[0] == max_rows:
+        return cached[1]
+    small = df.limit(max_rows + 1).count() <= max_rows
+    try:
+        setattr(df, _ATTR, (max_rows, small))
+    except AttributeError:       # pragma: no cover - immutable object
+        pass
+    return small
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+                      sized_by: DataFrame | None = None) -> DataFrame:
+    """``F.broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
+    ``sized_by``: a DataFrame with at least as many rows (for example the
+    table ``df`` projects) whose cached check can be reused."""
+    return F.broadcast(df) if is_small(sized_by if sized_by is not None else df,
+                                       max_rows) else df

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .joins import bounded_broadcast
 
 
 def latest_row(df: DataFrame, order_col: str, cols: list[str]) -> DataFrame:
@@ -56,7 +57,7 @@ def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
     offsets = totals.select("_pid", *[
         F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}")
         for c in sum_cols])
-    out = local.join(F.broadcast(offsets), "_pid")
+    out = local.join(F.broadcast(offsets), "_pid")   # one row per range partition
     return out.select(*df.columns, *[(F.col(f"_cum_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}")
                                      for c in sum_cols])
 
@@ -94,6 +95,6 @@ def rank_within(df: DataFrame, group_col: str, order_cols: list[str],
     ones = df.withColumn("_one", F.lit(1))
     run = running_totals(ones, [group_col, *order_cols], ["_one"])
     starts = run.groupBy(group_col).agg(F.min("cum__one").alias("_start"))  # one row per group
-    return run.join(F.broadcast(starts), group_col) \
+    return run.join(bounded_broadcast(starts), group_col) \
         .withColumn(name, (F.col("cum__one") - F.col("_start") + 1).cast("bigint")) \
         .drop("_one", "cum__one", "_start")

@@ -4,7 +4,7 @@ Every function takes conformed tables (a :class:`~cohortlens.schemas.Star` or a
 single table) and returns a lazy DataFrame.  Fact tables are pre-aggregated to
 woman grain (:mod:`cohortlens.operators.fanout`) so the only large shuffles are
 one co-partitioned join on ``woman_id`` and the final (tiny) group-by; the
-geography dimension is broadcast (bounded by the number of states); windows
+geography dimension is broadcast after a row-count check; windows
 (rank, lag, share) run only on aggregated rows.
 
 ``mode='as_published'`` reproduces the reference's figures including the
@@ -21,6 +21,7 @@ from ..functions.scoring import (benchmark_verdict, care_gap_category, composite
                                  min_visits_verdict, sdg_verdict, trend_direction,
                                  trend_label)
 from ..operators.fanout import multiplicity, woman_grain
+from ..operators.joins import bounded_broadcast
 from ..operators.windows import lag_change, rank_desc, share_within
 from ..schemas import POOR_QUINTILES, SKILLED_ATTENDANTS, Star
 
@@ -244,7 +245,8 @@ def education_extract(star: Star, mode: str = "as_published") -> DataFrame:
 def yearly_coverage_by_zone(star: Star, years: tuple[int, int] = RECENT_YEARS) -> DataFrame:
     """Births are summed to (woman, year) before the join: the join input is
     bounded by women x years and a woman with many births is reduced map-side."""
-    geo = F.broadcast(star.geography.select("state_id", "geopolitical_zone"))
+    geo = bounded_broadcast(star.geography.select("state_id", "geopolitical_zone"),
+                            sized_by=star.geography)
     per_woman_year = (star.birth.where(F.col("birth_year").between(*years)
                                        & F.col("delivery_location").isNotNull())
                       .groupBy("woman_id", "birth_year")
@@ -490,7 +492,8 @@ def benchmark_report(star: Star, years: tuple[int, int] = RECENT_YEARS,
 # ---------------------------------------------------------------------------
 
 def share_within_zone(star: Star) -> DataFrame:
-    geo = F.broadcast(star.geography.select("state_id", "geopolitical_zone"))
+    geo = bounded_broadcast(star.geography.select("state_id", "geopolitical_zone"),
+                            sized_by=star.geography)
     per_woman = (star.anc.where(F.col("delivery_assisted_by").isNotNull())
                  .groupBy("woman_id", "delivery_assisted_by")
                  .agg(F.count(F.lit(1)).alias("n")))

@@ -22,6 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import bounded_broadcast
 from ..operators.ranking import rank_within
 from ..schemas import Star
 
@@ -49,7 +50,8 @@ WHERE fa.facility_delivery IS NOT NULL
 
 def model_rows(star: Star) -> DataFrame:
     """Individual rows for modelling (the LEFT JOIN + IS NOT NULL is an inner join)."""
-    geo = F.broadcast(star.geography.select("state_id", "geopolitical_zone", "urban_rural"))
+    geo = bounded_broadcast(star.geography.select("state_id", "geopolitical_zone", "urban_rural"),
+                            sized_by=star.geography)
     anc = star.anc.where(F.col("facility_delivery").isNotNull()).select(
         "woman_id", "anc_visits", "first_anc_trimester", "facility_delivery")
     return star.woman.join(geo, "state_id").join(anc, "woman_id").select(
@@ -110,7 +112,7 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "woman_i
     ranked = rank_within(h, label, ["_h", id_col], "_r")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))   # one row per class
     k = F.floor(F.col("_n") * F.lit(test_share) + F.lit(0.5))
-    return ranked.join(F.broadcast(sizes), label) \
+    return ranked.join(bounded_broadcast(sizes), label) \
         .withColumn("is_test", (F.col("_r") <= k).cast("int")).drop("_h", "_r", "_n")
 
 
@@ -122,7 +124,7 @@ def balanced_weights(df: DataFrame, label: str = "label", weight: str = "weight"
     tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     factors = counts.crossJoin(tot).select(
         label, (F.col("_n").cast("double") / (F.col("_k") * F.col("_nc"))).alias("class_weight"))
-    return df.join(F.broadcast(factors), label) \
+    return df.join(bounded_broadcast(factors), label) \
         .withColumn(out, F.col(weight) * F.col("class_weight"))
 
 

@@ -198,7 +198,7 @@ class AnalogueStar:
 
     @cached_property
     def geography(self) -> DataFrame:
-        # nation x region is bounded by the number of nations: broadcast is safe.
+        # nation (25 rows) and region (5 rows) have a fixed size at every scale factor.
         geo = self.t["nation"].join(
             F.broadcast(self.t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
         return _select(geo, GEOGRAPHY_COLS, DIM_GEOGRAPHY)

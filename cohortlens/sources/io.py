@@ -31,12 +31,13 @@ def read_wide(spark: SparkSession, path: str, needed: list[str] | None = None,
 
 
 def apply_labels(df: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    """Decode digit codes with a label map ``(variable, code, label)``; the map
-    is per-variable value labels (bounded by the codebook), so it is broadcast.
-    Codes without a label keep their raw value."""
+    """Decode digit codes with a label map ``(variable, code, label)`` (the
+    codebook: broadcast after a row-count check).  Codes without a label keep
+    their raw value."""
+    from ..operators.joins import bounded_broadcast
     out = df
-    lab = F.broadcast(labels.select("variable", F.col("code").cast("string").alias("code"),
-                                    "label"))
+    lab = bounded_broadcast(labels.select("variable", F.col("code").cast("string").alias("code"),
+                                          "label"))
     for c in columns:
         m = lab.where(F.col("variable") == c).select(F.col("code").alias(f"_{c}_code"),
                                                       F.col("label").alias(f"_{c}_label"))

@@ -150,6 +150,7 @@ def _build_wide(t) -> DataFrame:
         F.col(f"s{j}.{src}").alias(f"e{j}_{dst}")
         for j in range(1, N_SISTER_SLOTS + 1)
         for src, dst in (("event_id", "id"), ("event_type", "type"))])
+    # nation (25 rows) and region (5 rows) have a fixed size at every scale factor
     geo = t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
     base = (t["customer"].join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(oflat, "c_custkey", "left").join(eflat, "c_custkey", "left"))

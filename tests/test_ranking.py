@@ -54,3 +54,20 @@ def test_auc_and_youden_with_ties(spark):
     j = roc.tpr - roc.fpr
     best = roc.loc[j == j.max()].threshold.max()
     assert youden_threshold(roc_points(df)).first().threshold == best
+
+
+def test_bounded_broadcast_falls_back_above_the_bound(spark):
+    from cohortlens.operators.joins import bounded_broadcast, is_small
+    small = spark.range(10)
+    big = spark.range(1000)
+    assert is_small(small, 100) and not is_small(big, 100)
+    plan = big.join(bounded_broadcast(spark.range(50), 100), "id")._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "Broadcast" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan2 = big.join(bounded_broadcast(spark.range(500), 100), "id")._jdf.queryExecution() \
+            .executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
