@@ -40,61 +40,80 @@ def _order(cols: list[str], descending: bool) -> list[Column]:
 
 
 def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
-                   descending: bool = False, partitions: int | None = None) -> DataFrame:
-    """Adds ``cum_<c>`` = sum of ``c`` over all rows ordered at or before this
-    row's key (peers included) for each ``c`` in ``sum_cols``."""
+                   descending: bool = False, partitions: int | None = None,
+                   group_cols: tuple[str, ...] | list[str] = (),
+                   with_totals: bool = False) -> DataFrame:
+    """Adds ``cum_<c>``: the sum of ``c`` over the rows of the same group
+    (``group_cols``; the whole frame when empty) ordered at or before this row's
+    key, peers included.  ``with_totals`` also adds ``tot_<c>``, the group total.
+
+    Range partitioning on (group, order) keeps groups contiguous, so a group
+    that holds most rows simply spans many partitions; its offsets come from a
+    window over the small (partition x group) totals table, partitioned by
+    group (at most one row per range partition and group)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = list(group_cols)
     order = _order(order_cols, descending)
-    tagged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()) \
-        .checkpoint(eager=True)
-    local_w = Window.partitionBy("_pid").orderBy(*order) \
+    tagged = df.repartitionByRange(n, *[F.col(g) for g in groups], *order) \
+        .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+    local_w = Window.partitionBy("_pid", *groups).orderBy(*order) \
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     local = tagged.select("*", *[F.sum(c).over(local_w).alias(f"_cum_{c}") for c in sum_cols])
-    totals = tagged.groupBy("_pid").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *[
-        F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}")
-        for c in sum_cols])
-    out = local.join(F.broadcast(offsets), "_pid")   # one row per range partition
+    totals = tagged.groupBy("_pid", *groups).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    seg = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    before = seg.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = seg.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cols = []
+    for c in sum_cols:
+        cols.append(F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}"))
+        if with_totals:
+            cols.append(F.sum(f"_tot_{c}").over(whole).alias(f"tot_{c}"))
+    offsets = totals.select("_pid", *groups, *cols)
+    # without groups: one row per range partition (bounded by n) -> broadcast;
+    # with groups: one row per (partition, group) -> broadcast after a check
+    small = F.broadcast(offsets) if not groups else bounded_broadcast(offsets)
+    out = local.join(small, ["_pid", *groups])
+    extra = [f"tot_{c}" for c in sum_cols] if with_totals else []
     return out.select(*df.columns, *[(F.col(f"_cum_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}")
-                                     for c in sum_cols])
+                                     for c in sum_cols], *extra)
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (``numpy``/``pandas`` default)
     as rows ``(p, value)``: value frequencies -> distributed running counts ->
-    the two order statistics around ``(n - 1) * p``."""
+    each distinct value checks whether it covers the order statistics
+    ``floor((n - 1) p)`` and ``ceil((n - 1) p)``."""
     freq = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")) \
         .agg(F.count(F.lit(1)).alias("cnt"))
-    run = running_totals(freq, ["v"], ["cnt"])
-    run = run.select("v", (F.col("cum_cnt") - F.col("cnt")).alias("start"),
-                     F.col("cum_cnt").alias("stop"))
-    n = freq.agg(F.sum("cnt").alias("n"))
-    targets = n.select(F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"), "n") \
-        .select("p", ((F.col("n") - 1) * F.col("p")).alias("h"))
-    targets = targets.select("p", "h", F.floor("h").alias("lo"), F.ceil("h").alias("hi"))
-    # tiny target table (2 positions per probability): broadcast range join
-    pos = targets.select("p", F.col("lo").alias("k"), F.lit("lo").alias("side")) \
-        .unionByName(targets.select("p", F.col("hi").alias("k"), F.lit("hi").alias("side")))
-    hit = run.join(F.broadcast(pos), (F.col("k") >= F.col("start")) & (F.col("k") < F.col("stop")))
+    run = running_totals(freq, ["v"], ["cnt"], with_totals=True)
+    start, stop = F.col("cum_cnt") - F.col("cnt"), F.col("cum_cnt")
+    h = (F.col("tot_cnt") - 1) * F.col("p")
+    per_p = run.select("v", start.alias("start"), stop.alias("stop"),
+                       F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"),
+                       "tot_cnt") \
+        .select("v", "start", "stop", "p", h.alias("h"), F.floor(h).alias("lo"),
+                F.ceil(h).alias("hi"))
+    covers = lambda k: (F.col(k) >= F.col("start")) & (F.col(k) < F.col("stop"))
+    hit = per_p.where(covers("lo") | covers("hi"))
     pv = hit.groupBy("p").agg(
-        F.max(F.when(F.col("side") == "lo", F.col("v"))).cast("double").alias("x_lo"),
-        F.max(F.when(F.col("side") == "hi", F.col("v"))).cast("double").alias("x_hi"))
-    return pv.join(F.broadcast(targets), "p").select(
-        "p", (F.col("x_lo") + (F.col("h") - F.col("lo")) * (F.col("x_hi") - F.col("x_lo")))
-        .alias("value"))
+        F.max(F.when(covers("lo"), F.col("v"))).cast("double").alias("x_lo"),
+        F.max(F.when(covers("hi"), F.col("v"))).cast("double").alias("x_hi"),
+        F.first("h").alias("h"), F.first("lo").alias("lo"))
+    return pv.select("p", (F.col("x_lo") + (F.col("h") - F.col("lo"))
+                           * (F.col("x_hi") - F.col("x_lo"))).alias("value"))
 
 
 def rank_within(df: DataFrame, group_col: str, order_cols: list[str],
-                name: str = "rank_in_group") -> DataFrame:
+                name: str = "rank_in_group", size_name: str | None = None) -> DataFrame:
     """``ROW_NUMBER() OVER (PARTITION BY group ORDER BY order_cols)`` without
-    pulling a (possibly huge) group into one task: running count over the
-    global order (group, order_cols), minus the group's starting offset."""
+    pulling a (possibly huge) group into one task: a segmented running count
+    over the range-partitioned order.  ``size_name`` adds the group size."""
     ones = df.withColumn("_one", F.lit(1))
-    run = running_totals(ones, [group_col, *order_cols], ["_one"])
-    starts = run.groupBy(group_col).agg(F.min("cum__one").alias("_start"))  # one row per group
-    return run.join(bounded_broadcast(starts), group_col) \
-        .withColumn(name, (F.col("cum__one") - F.col("_start") + 1).cast("bigint")) \
-        .drop("_one", "cum__one", "_start")
+    run = running_totals(ones, order_cols, ["_one"], group_cols=[group_col],
+                         with_totals=size_name is not None)
+    out = run.withColumn(name, F.col("cum__one").cast("bigint")).drop("_one", "cum__one")
+    if size_name is not None:
+        out = out.withColumnRenamed("tot__one", size_name)
+    return out

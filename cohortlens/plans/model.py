@@ -109,11 +109,9 @@ def stratified_split(df: DataFrame, label: str = "label", id_col: str = "woman_i
     computed with the distributed running count, so a class holding most rows
     is never pulled into one task."""
     h = df.withColumn("_h", split_hash(id_col, seed))
-    ranked = rank_within(h, label, ["_h", id_col], "_r")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))   # one row per class
+    ranked = rank_within(h, label, ["_h", id_col], "_r", size_name="_n")
     k = F.floor(F.col("_n") * F.lit(test_share) + F.lit(0.5))
-    return ranked.join(bounded_broadcast(sizes), label) \
-        .withColumn("is_test", (F.col("_r") <= k).cast("int")).drop("_h", "_r", "_n")
+    return ranked.withColumn("is_test", (F.col("_r") <= k).cast("int")).drop("_h", "_r", "_n")
 
 
 def balanced_weights(df: DataFrame, label: str = "label", weight: str = "weight",
