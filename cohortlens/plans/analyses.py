@@ -22,7 +22,7 @@ from ..functions.scoring import (benchmark_verdict, care_gap_category, composite
                                  trend_label)
 from ..operators.fanout import multiplicity, woman_grain
 from ..operators.joins import bounded_broadcast
-from ..operators.windows import lag_change, rank_desc, share_within
+from ..operators.windows import lag_change, lead_drop, rank_desc, share_within
 from ..schemas import POOR_QUINTILES, SKILLED_ATTENDANTS, Star
 
 WEIGHT = "survey_weight"
@@ -540,18 +540,15 @@ def care_funnel(star: Star) -> DataFrame:
 
 
 def care_funnel_drop(star: Star) -> DataFrame:
-    """Funnel with percentage of the first stage and the drop to the next stage."""
+    """Funnel with percentage of the first stage and the drop to the next stage
+    (half-even rounding, as the chart code rounds)."""
     f = care_funnel(star)
-    first = F.first(F.when(F.col("stage_order") == 1, F.col("women_count")), ignorenulls=True)
-    w_all = Window.partitionBy(F.lit(0))  # six rows
+    first = f.where(F.col("stage_order") == 1).select(F.col("women_count").alias("first_count"))
     pct = F.bround(F.col("women_count") / F.nullif(F.col("first_count"), F.lit(0))
                    * F.lit(100.0), 1)
-    out = f.withColumn("first_count", first.over(w_all.rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing))) \
-        .withColumn("pct_of_first", pct)
-    nxt = F.lead("pct_of_first").over(Window.partitionBy(F.lit(0)).orderBy("stage_order"))
-    return out.select("stage", "stage_order", "women_count", "pct_of_first",
-                      F.bround(F.col("pct_of_first") - nxt, 1).alias("drop_to_next")) \
+    out = f.crossJoin(first).withColumn("pct_of_first", pct)     # 6 x 1 rows
+    out = lead_drop(out, "pct_of_first", "stage_order", "drop_to_next")
+    return out.select("stage", "stage_order", "women_count", "pct_of_first", "drop_to_next") \
         .orderBy("stage_order")
 
 
