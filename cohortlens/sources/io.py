@@ -30,14 +30,28 @@ def read_wide(spark: SparkSession, path: str, needed: list[str] | None = None,
     return df
 
 
-def apply_labels(df: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    """Decode digit codes with a label map ``(variable, code, label)`` (the
-    codebook: broadcast after a row-count check).  Codes without a label keep
-    their raw value."""
-    from ..operators.joins import bounded_broadcast
+def apply_labels(df: DataFrame, labels: DataFrame, columns: list[str],
+                 max_codebook_rows: int = 100_000) -> DataFrame:
+    """Decode digit codes with a value-label codebook ``(variable, code, label)``.
+    Codes without a label keep their raw value.
+
+    A codebook is metadata: when it passes the row-count check it becomes one
+    literal map per variable, applied in a single projection (no join, however
+    many columns are labelled).  A larger codebook is joined per column,
+    broadcast only after the same check."""
+    from ..operators.joins import bounded_broadcast, is_small
+    book = labels.where(F.col("variable").isin(*columns)).select(
+        "variable", F.col("code").cast("string").alias("code"), "label")
+    if is_small(book, max_codebook_rows):
+        maps: dict[str, list] = {}
+        for r in book.collect():                       # bounded by the check above
+            maps.setdefault(r.variable, []).extend([F.lit(r.code), F.lit(r.label)])
+        return df.select(*[
+            F.coalesce(F.try_element_at(F.create_map(*maps[c]), F.col(c).cast("string")),
+                       F.col(c).cast("string")).alias(c) if c in maps else F.col(c)
+            for c in df.columns])
     out = df
-    lab = bounded_broadcast(labels.select("variable", F.col("code").cast("string").alias("code"),
-                                          "label"))
+    lab = bounded_broadcast(book, max_codebook_rows)
     for c in columns:
         m = lab.where(F.col("variable") == c).select(F.col("code").alias(f"_{c}_code"),
                                                       F.col("label").alias(f"_{c}_label"))

@@ -75,3 +75,14 @@ def test_backup_tables_csv(spark, tmp_out):
     assert back.count() == 2
     # 'None' is a category, not a null, and survives the CSV round trip
     assert {r.delivery_assisted_by for r in back.collect()} == {"Doctor", "None"}
+
+
+def test_apply_labels_join_path_equals_map_path(spark):
+    w = wide_frame(spark).select("caseid", "v106", "v190")
+    labels = spark.createDataFrame(
+        [("v106", "2", "secondary"), ("v106", "1", "primary"), ("v190", "5", "richest")],
+        "variable string, code string, label string")
+    fast = apply_labels(w, labels, ["v106", "v190"]).orderBy("caseid").collect()
+    slow = apply_labels(w, labels, ["v106", "v190"], max_codebook_rows=1).orderBy("caseid").collect()
+    assert [tuple(r) for r in fast] == [tuple(r) for r in slow]
+    assert {r.v190 for r in fast} >= {"richest"}
