@@ -218,7 +218,7 @@ class AnalogueStar:
         # reduces to one row per map task before the shuffle).
         latest = (
             self.t["orders"]
-            .where(F.col("o_orderdate") >= F.lit(ANC_SINCE).cast("timestamp"))
+            .where(F.col("o_orderdate") >= F.lit(ANC_SINCE).cast("timestamp_ntz"))
             .groupBy("o_custkey")
             .agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_orderstatus",
                                 "o_orderpriority")).alias("r"))
