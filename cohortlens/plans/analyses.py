@@ -324,8 +324,20 @@ def _score() -> Column:
 
 
 def composite_risk(star: Star, mode: str = "as_published") -> DataFrame:
-    mortality, care = _state_tables(star, mode, by_zone=False)
-    scored = mortality.join(care, "state_name").withColumn("composite_risk_score", _score())
+    """Both source aggregates group by state over the same woman grain, and the
+    woman-grain profiles carry no fan-out between the two facts, so their join
+    on ``state_name`` is one aggregate here (one pass over the women)."""
+    g = woman_grain(star, ("anc", "mort"), with_geography=True, mode=mode)
+    a = multiplicity("anc")
+    women = F.count(F.lit(1))
+    scored = g.groupBy("state_name").agg(
+        women.alias("total_women"),
+        F.sum("mort_mat").alias("maternal_deaths"),
+        per_thousand(F.sum("mort_mat"), women).alias("death_rate"),
+        count_pct(F.sum("anc_fac1"), F.sum("anc_n")).alias("pct_facility_delivery"),
+        count_pct(F.sum("anc_zero"), F.sum("anc_n")).alias("pct_zero_anc"),
+        weight_pct(_wsum(a, _double_barrier()), _wsum(a)).alias("pct_double_barrier"),
+    ).withColumn("composite_risk_score", _score())
     return scored.select(
         rank_desc("composite_risk_score").alias("priority_rank"),
         "state_name", "total_women", "maternal_deaths", "death_rate", "pct_facility_delivery",

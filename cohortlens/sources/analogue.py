@@ -232,24 +232,39 @@ class AnalogueStar:
         return _select(ev, MORTALITY_COLS, FACT_MORTALITY)
 
     @cached_property
-    def who_mmr(self) -> DataFrame:
+    def _lineitem_years(self) -> DataFrame:
+        """One lineitem aggregate by (ship year, line status) feeding both
+        indicator series (exact integer sums; avg = sum / count)."""
         li = self.t["lineitem"]
-        agg = li.groupBy(*[F.expr(e).alias(k) for k, e in MMR_KEYS.items()]).agg(
-            *[F.expr(e).alias(k) for k, e in MMR_AGGS.items()])
-        agg = agg.withColumn("location", F.lit(INDICATOR_LOCATION))
-        return conform(agg, WHO_MMR)
+        return li.groupBy(F.year("l_shipdate").alias("ship_year"), "l_linestatus").agg(
+            F.sum(F.col("l_quantity").cast("double")).alias("q_sum"),
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.when(F.col("l_discount") >= 0.05, 1).otherwise(0)).alias("disc_n"))
+
+    @cached_property
+    def who_mmr(self) -> DataFrame:
+        y = self._lineitem_years
+        code = F.when(F.col("l_linestatus") == "O", "MDG_0000000026") \
+            .otherwise("MORT_MATERNALNUM")
+        avg_q = F.col("q_sum") / F.col("n")
+        out = y.select(
+            (F.col("ship_year") + 22).cast("int").alias("year"),
+            (F.lit(40.0) * avg_q).alias("mmr_value"),
+            (F.lit(30.0) * avg_q).alias("mmr_value_low"),
+            (F.lit(50.0) * avg_q).alias("mmr_value_high"),
+            F.lit(INDICATOR_LOCATION).alias("location"), code.alias("indicator_code"))
+        return conform(out, WHO_MMR)
 
     @cached_property
     def who_sba(self) -> DataFrame:
-        li = self.t["lineitem"]
-        agg = li.groupBy(*[F.expr(e).alias(k) for k, e in SBA_KEYS.items()]).agg(
-            *[F.expr(e).alias(k) for k, e in SBA_AGGS.items()])
-        agg = agg.select(
-            "year", "value",
-            F.round("value", 0).cast("int").alias("value_display"),
-            F.lit(INDICATOR_LOCATION).alias("location"),
-            F.lit(SBA_CODE).alias("indicator_code"))
-        return conform(agg, WHO_SBA)
+        y = self._lineitem_years.groupBy("ship_year").agg(
+            F.sum("disc_n").alias("disc_n"), F.sum("n").alias("n"))
+        value = F.col("disc_n").cast("double") * F.lit(100.0) / F.col("n")
+        out = y.select((F.col("ship_year") + 23).cast("int").alias("year"), value.alias("value"))
+        out = out.select(
+            "year", "value", F.round("value", 0).cast("int").alias("value_display"),
+            F.lit(INDICATOR_LOCATION).alias("location"), F.lit(SBA_CODE).alias("indicator_code"))
+        return conform(out, WHO_SBA)
 
     @cached_property
     def scored(self) -> DataFrame:
