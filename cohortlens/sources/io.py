@@ -129,3 +129,27 @@ def write_extract(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
     if n > max_rows:
         raise ValueError(f"extract has more than {max_rows} rows; write it partitioned instead")
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_star_tables(star: Star, database: str, root: str, buckets: int,
+                      mode: str = "overwrite") -> None:
+    """Write the seven tables as catalog tables, the woman dimension and the
+    facts bucketed (and sorted) by ``woman_id`` into the same number of buckets.
+
+    Readers then aggregate facts to woman grain and join them to the woman
+    dimension without any shuffle: the bucketed scans already provide the
+    hash partitioning on ``woman_id`` that the aggregate and the sort-merge
+    join require.  Needs a persistent catalog (metastore) to be reused across
+    sessions; files live under ``root``."""
+    spark = next(iter(star.tables().values())).sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root.rstrip('/')}/_catalog'")
+    for name in LOAD_ORDER:
+        df = star.tables()[name]
+        w = df.write.mode(mode).format("parquet").option("path", f"{root.rstrip('/')}/{name}")
+        if "woman_id" in df.columns:
+            w = w.bucketBy(buckets, "woman_id").sortBy("woman_id")
+        w.saveAsTable(f"{database}.{name}")
+
+
+def read_star_tables(spark: SparkSession, database: str) -> Star:
+    return Star(**{field: spark.table(f"{database}.{name}") for name, field in _FIELDS.items()})

@@ -100,3 +100,24 @@ def test_column_presence(spark):
     rep = {r.column_name: r.status for r in
            column_presence(spark, w, ["caseid", "v005", "m14_1", "m14_2"]).collect()}
     assert rep == {"caseid": "FOUND", "v005": "FOUND", "m14_1": "FOUND", "m14_2": "MISSING"}
+
+
+def test_bucketed_star_joins_without_shuffle(spark, tmp_out):
+    from cohortlens.plans.analyses import zone_summary
+    from cohortlens.sources.analogue import analogue_star
+    from cohortlens.sources.io import read_star_tables, write_star_tables
+    src = analogue_star(spark, "/root/testdata/sf0.001").materialise()
+    write_star_tables(src, "cl_bucketed", tmp_out, buckets=4)
+    star = read_star_tables(spark, "cl_bucketed")
+    got = sorted(tuple(r) for r in zone_summary(star).collect())
+    exp = sorted(tuple(r) for r in zone_summary(src).collect())
+    assert got == exp
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = zone_summary(star)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SortMergeJoin" in plan
+    assert "hashpartitioning(woman_id" not in plan
