@@ -272,16 +272,11 @@ def _stratified_split(spark, sf_dir):
 
 
 def _standardise(spark, sf_dir):
-    from cohortlens.plans.model import standardise
-    f = _features(spark, sf_dir).select("woman_id", F_int("age_at_survey"),
-                                        F_int("anc_visits_clean"))
-    return standardise(f, ["age_at_survey", "anc_visits_clean"]).select(
-        "woman_id", "age_at_survey_z", "anc_visits_clean_z")
-
-
-def F_int(c):
     from pyspark.sql import functions as F
-    return F.col(c).cast("int").alias(c)
+    from cohortlens.plans.model import standardise
+    cols = ["age_at_survey", "anc_visits_clean"]
+    f = _features(spark, sf_dir).select("woman_id", *[F.col(c).cast("int").alias(c) for c in cols])
+    return standardise(f, cols).select("woman_id", *[f"{c}_z" for c in cols])
 
 
 def _balanced_weights(spark, sf_dir):
