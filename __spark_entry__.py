@@ -74,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "composite_risk": _star(N.composite_risk),
         "state_risk_extract": _star(N.state_risk_extract),
         "death_profile": _star(N.death_profile),
+        "death_profile_all": _star(N.death_profile_all),
         "death_profile_extract": _star(N.death_profile_extract),
         "benchmark_report": _star(N.benchmark_report),
         "share_within_zone": _star(N.share_within_zone),

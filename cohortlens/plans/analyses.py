@@ -376,21 +376,30 @@ def _category_rows(category: str) -> tuple[Column, Column, Column]:
     raise ValueError(f"unknown death category {category!r}")
 
 
-def death_profile(star: Star, category: str = "Maternal Death",
-                  mode: str = "as_published") -> DataFrame:
-    """Profile of women by sister-death outcome (the reference reports 'Maternal Death')."""
+def death_profile_all(star: Star, mode: str = "as_published") -> DataFrame:
+    """Profile of women by zone and sister-death outcome, all four categories
+    in one pass: each woman emits at most one row per category present in her
+    record (``inline`` of <= 4 structs), then one group-by."""
     g = woman_grain(star, ("anc", "mort"), with_geography=True, mode=mode)
-    rows, age_sum, age_n = _category_rows(category)
-    g = g.where(rows > 0)
     a = multiplicity("anc")
-    if mode == "as_published":
-        r, k = rows * a, rows        # joined rows; anc measures repeat per death row
-    else:
-        r, k = F.lit(1), F.lit(1)
-        a = F.lit(1)
-    agg = g.groupBy("geopolitical_zone").agg(
+    cats = []
+    for cat in DEATH_CATEGORIES:
+        rows, age_sum, age_n = _category_rows(cat)
+        if mode == "as_published":      # joined rows: deaths x anc rows
+            r, k, s_, n_ = rows * a, rows, age_sum * a, age_n * a
+        else:                           # each woman once
+            r, k, s_, n_ = F.lit(1).cast("bigint"), F.lit(1).cast("bigint"), age_sum, age_n
+        cats.append(F.when(rows > 0, F.struct(
+            F.lit(cat).alias("death_category"), r.cast("bigint").alias("_r"),
+            k.cast("bigint").alias("_k"), s_.cast("double").alias("_age_sum"),
+            n_.cast("bigint").alias("_age_n"))))
+    long = g.select("geopolitical_zone", "survey_weight", "education_level", "wealth_index",
+                    "has_insurance", "distance_barrier", "anc_fac1", "anc_fac_known", "anc_zero",
+                    "anc_visits_known", F.inline(F.filter(F.array(*cats), lambda x: x.isNotNull())))
+    r, k = F.col("_r"), F.col("_k")
+    return long.groupBy("geopolitical_zone", "death_category").agg(
         F.count(F.lit(1)).alias("women_count"),
-        mean(F.sum(age_sum * a), F.sum(age_n * a)).alias("mean_age_at_death"),
+        mean(F.sum("_age_sum"), F.sum("_age_n")).alias("mean_age_at_death"),
         weight_pct(_wsum(r, _no_edu()), _wsum(r)).alias("pct_no_education"),
         weight_pct(_wsum(r, _poor()), _wsum(r)).alias("pct_poorest_poor"),
         weight_pct(_wsum(r, F.col("has_insurance") == 1), _wsum(r)).alias("pct_insured"),
@@ -401,8 +410,14 @@ def death_profile(star: Star, category: str = "Maternal Death",
         weight_pct(_wsum(k * F.col("anc_zero")), _wsum(k * F.col("anc_visits_known")))
         .alias("pct_zero_anc"),
     )
-    return agg.select("geopolitical_zone", F.lit(category).alias("death_category"),
-                      *[c for c in agg.columns if c != "geopolitical_zone"]) \
+
+
+def death_profile(star: Star, category: str = "Maternal Death",
+                  mode: str = "as_published") -> DataFrame:
+    """The reference's report: one outcome category (filter on the group key)."""
+    if category not in DEATH_CATEGORIES:
+        raise ValueError(f"unknown death category {category!r}")
+    return death_profile_all(star, mode).where(F.col("death_category") == category) \
         .orderBy("geopolitical_zone", F.col("women_count").desc())
 
 
