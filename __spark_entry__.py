@@ -70,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wealth_extract": _star(N.wealth_extract),
         "education_extract": _star(N.education_extract),
         "yearly_coverage": _star(N.yearly_coverage),
+        "yearly_coverage_by_zone": _star(N.yearly_coverage_by_zone),
         "barriers_by_zone": _star(N.barriers_by_zone),
         "composite_risk": _star(N.composite_risk),
         "state_risk_extract": _star(N.state_risk_extract),
@@ -77,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "death_profile_all": _star(N.death_profile_all),
         "death_profile_extract": _star(N.death_profile_extract),
         "benchmark_report": _star(N.benchmark_report),
+        "national_figures": _star(N.national_figures),
         "share_within_zone": _star(N.share_within_zone),
         "care_funnel": _star(N.care_funnel),
         "care_funnel_drop": _star(N.care_funnel_drop),
