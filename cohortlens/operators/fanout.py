@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import flag
-from .joins import bounded_broadcast
 from ..schemas import SKILLED_ATTENDANTS, Star
+from .joins import bounded_broadcast
 
 MODES = ("as_published", "per_entity")
 
@@ -110,8 +110,8 @@ def woman_grain(star: Star, facts: tuple[str, ...] = ("anc", "mort"), *,
             fn, cols = _PROFILES[fact]
             prof = fn(star.anc if fact == "anc" else star.mortality)
         w = w.join(prof, "woman_id", "left")
-        filled += [F.coalesce(F.col(c), F.lit(0).cast(prof.schema[c].dataType)).alias(c)
-                   for c in cols]
+        types = {f.name: f.dataType for f in prof.schema.fields}     # one schema fetch
+        filled += [F.coalesce(F.col(c), F.lit(0).cast(types[c])).alias(c) for c in cols]
         n = F.coalesce(F.col(f"{fact}_n"), F.lit(0))
         mult = F.greatest(F.lit(1), n) if mode == "as_published" else F.lit(1)
         mults.append(mult.cast("bigint").alias(f"m_{fact}"))

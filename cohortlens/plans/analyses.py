@@ -26,6 +26,8 @@ from ..operators.windows import lag_change, lead_drop, rank_desc, share_within
 from ..schemas import POOR_QUINTILES, SKILLED_ATTENDANTS, Star
 
 WEIGHT = "survey_weight"
+# Fixed values (the reference's filters, windows and target): indicator
+# location and code, the recent-birth window, the SDG maternal mortality target.
 LOCATION = "Nigeria"
 MMR_CODE = "MDG_0000000026"
 RECENT_YEARS = (2021, 2024)
