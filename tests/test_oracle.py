@@ -21,6 +21,9 @@ def test_every_query_is_registered():
 def test_matches_duckdb(spark, key):
     res = compare(spark, SF_SMALL, [key], verbose=False)[key]
     assert res.startswith("OK"), res
+    plan = E.queries()[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF"):
+        assert node not in plan, f"{key}: {node} in plan"
 
 
 def test_entry_runs(spark):
