@@ -53,7 +53,10 @@ def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
     group (at most one row per range partition and group)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # at least as many ranges as the input has partitions (a proxy for its
+    # volume): AQE coalesces small partitions but cannot split range partitions
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                          df.rdd.getNumPartitions())
     groups = list(group_cols)
     order = _order(order_cols, descending)
     tagged = df.repartitionByRange(n, *[F.col(g) for g in groups], *order) \

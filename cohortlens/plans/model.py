@@ -65,11 +65,15 @@ def _ordinal(col: str, order: dict[str, int]) -> Column:
     return F.try_element_at(m, F.col(col))
 
 
-def zone_values(star: Star) -> list[str]:
-    """Zone categories (sorted) — read from the geography dimension, which is
-    bounded by the number of states."""
-    return sorted(r[0] for r in star.geography.select("geopolitical_zone").distinct().collect()
-                  if r[0] is not None)
+def zone_values(star: Star, max_categories: int = 1000) -> list[str]:
+    """Zone categories (sorted) from the geography dimension; one indicator
+    column is made per value, so more than ``max_categories`` values is an
+    error (a dirty extract), not something to truncate."""
+    zones = star.geography.select("geopolitical_zone").distinct() \
+        .where(F.col("geopolitical_zone").isNotNull()).limit(max_categories + 1).collect()
+    if len(zones) > max_categories:
+        raise ValueError(f"more than {max_categories} zone labels; clean the extract first")
+    return sorted(r[0] for r in zones)
 
 
 def feature_frame(rows: DataFrame, zones: list[str]) -> DataFrame:
