@@ -96,11 +96,18 @@ def recode(c: Column | str, mapping: dict) -> Column:
     return F.try_element_at(m, clean_key(c))
 
 
-def to_double(c: Column | str) -> Column:
-    """``pd.to_numeric(errors='coerce')``: junk becomes NULL (ANSI-safe)."""
+def _raw_double(c: Column | str) -> Column:
+    """``float(str(x).strip())``: junk NULL, the text 'nan' stays NaN."""
     return F.trim(_c(c).cast("string")).try_cast("double")
 
 
+def to_double(c: Column | str) -> Column:
+    """``pd.to_numeric(errors='coerce')``: junk and NaN become NULL (ANSI-safe;
+    a missing value is never carried as NaN)."""
+    d = _raw_double(c)
+    return F.when(~F.isnan(d), d)
+
+
 def to_int(c: Column | str) -> Column:
     """Nullable integer: integral numbers are kept, anything else is NULL."""
     d = to_double(c)
@@ -160,8 +167,9 @@ def clean_visits(raw: Column | str) -> Column:
 
 
 def months_to_trimester(raw: Column | str) -> Column:
-    """Months pregnant at first visit -> trimester 1-3 (>= 98 unknown)."""
-    d = to_double(raw)
+    """Months pregnant at first visit -> trimester 1-3 (>= 98 unknown); the
+    text 'nan' compares false everywhere in the original, so it lands in 3."""
+    d = _raw_double(raw)
     return (F.when(d.isNull(), F.lit(None).cast("int"))
             .when(F.isnan(d), F.lit(3))
             .when(d >= UNKNOWN_CODE_MIN, F.lit(None).cast("int"))

@@ -530,14 +530,19 @@ def ANY(x: str, words: list[str]) -> str:
 
 
 def INTOF(x: str) -> str:
-    d = f"TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE)"
+    d = f"CASE WHEN NOT isnan(TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE)) " \
+        f"THEN TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE) END"
     return f"CASE WHEN {d} = floor({d}) THEN CAST({d} AS INTEGER) END"
 
 
-def DBL(x: str) -> str:
+def RAWDBL(x: str) -> str:
     return f"TRY_CAST(trim(CAST({x} AS VARCHAR)) AS DOUBLE)"
 
 
+def DBL(x: str) -> str:
+    return f"CASE WHEN NOT isnan({RAWDBL(x)}) THEN {RAWDBL(x)} END"
+
+
 def LOCATION(x: str) -> str:
     return (f"CASE WHEN {ANY(x, T.HOME_WORDS)} THEN 'Home' "
             f"WHEN {ANY(x, T.PUBLIC_WORDS)} THEN 'Government Facility' "
@@ -568,7 +573,7 @@ def VISITS(x: str) -> str:
 
 
 def TRIMESTER(x: str) -> str:
-    d = DBL(x)
+    d = RAWDBL(x)
     return (f"CASE WHEN {d} IS NULL THEN NULL WHEN isnan({d}) THEN 3 WHEN {d} >= 98 THEN NULL "
             f"WHEN {d} <= 3 THEN 1 WHEN {d} <= 6 THEN 2 ELSE 3 END")
 

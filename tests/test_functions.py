@@ -129,3 +129,11 @@ def test_pregnancy_related_negation_guard(spark):
     raw = ["never pregnant", "died while pregnant", "death not related to pregnancy"]
     got = one_col(spark, raw, lambda c: T.pregnancy_related(c, negation_guard=True))
     assert got == [0, 1, 0]
+
+
+def test_coercion_never_keeps_nan(spark):
+    assert one_col(spark, ["nan", " 4 ", "x", None, "2.5"], T.to_double) == \
+        [None, 4.0, None, None, 2.5]
+    assert one_col(spark, ["nan", "4", "4.0", "4.5"], T.to_int) == [None, 4, 4, None]
+    # the trimester rule keeps the original's float('nan') fall-through
+    assert one_col(spark, ["nan"], T.months_to_trimester) == [3]
