@@ -1,17 +1,21 @@
 """Order-dependent operators that stay distributed.
 
-A window with ``orderBy`` but no ``partitionBy`` moves every row into one task.
-For running totals and ranks over *raw* rows we instead:
+A window with ``orderBy`` but no ``partitionBy`` moves every row into one task,
+and a window partitioned by a group moves a whole (possibly huge) group into
+one task.  For running totals and ranks over *raw* rows we instead:
 
-1. range-partition on the order key (``repartitionByRange``: sampled bounds,
-   equal keys land in the same partition, partition i precedes i+1);
+1. range-partition on (group, order key) with ``repartitionByRange`` (sampled
+   bounds; equal keys land in the same partition; partition i precedes i+1;
+   a big group spans many partitions);
 2. tag rows with ``spark_partition_id`` and checkpoint (reliable, into
-   ``spark.checkpoint.dir``) so both uses below see the same partitioning and
+   ``spark.checkpoint.dir``), so both uses below see the same partitioning and
    lineage is cut (executor loss re-reads the checkpoint, not the sample);
-3. compute running totals inside each range partition (a window partitioned
-   by the partition id — bounded by the partition size);
-4. add the totals of all earlier partitions (a table with one row per
-   partition: bounded by the partition count, so it is broadcast).
+3. compute running totals inside each (partition, group) — a window bounded
+   by the partition size;
+4. add the totals of the group's earlier partitions, from a window over the
+   small (partition x group) totals table partitioned by group.  Without
+   groups that table has one row per partition and is broadcast; with groups
+   it is broadcast after a row-count check.
 """
 
 from __future__ import annotations
