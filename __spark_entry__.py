@@ -76,9 +76,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "state_risk_extract": _star(N.state_risk_extract),
         "death_profile": _star(N.death_profile),
         "death_profile_all": _star(N.death_profile_all),
+        "death_profile_per_entity": _star(N.death_profile, mode="per_entity"),
         "death_profile_extract": _star(N.death_profile_extract),
         "benchmark_report": _star(N.benchmark_report),
         "national_figures": _star(N.national_figures),
+        "national_figures_per_entity": _star(N.national_figures, mode="per_entity"),
         "share_within_zone": _star(N.share_within_zone),
         "care_funnel": _star(N.care_funnel),
         "care_funnel_drop": _star(N.care_funnel_drop),
