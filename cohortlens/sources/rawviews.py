@@ -19,7 +19,7 @@ below are fixed values of this test extract.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N_BIRTH_SLOTS = 20
@@ -132,24 +132,45 @@ def wide_extract(spark: SparkSession, sf_dir: str, materialise: bool = True) ->
     return a.extras[key]
 
 
+ORDER_STATUS = ["F", "O", "P"]                                   # TPC-H domain
+EVENT_TYPES = ["view", "error", "signup", "click", "purchase"]   # driver domain
+
+
+def _code(col: str, domain: list[str]) -> Column:
+    return F.array_position(F.array(*[F.lit(x) for x in domain]), F.col(col)).cast("int")
+
+
+def _decode(code: Column, domain: list[str]) -> Column:
+    return F.try_element_at(F.array(*[F.lit(x) for x in domain]), code)
+
+
 def _build_wide(t) -> DataFrame:
+    """Slots are picked with hash-aggregatable aggregates: the slot's key is a
+    plain ``max`` and its other fields ride along as ``max_by`` of small
+    integers ordered by that key (NULL orderings, i.e. other slots, are
+    skipped), so a respondent with many rows is reduced map-side."""
     orders, events = t["orders"], t["events"]
-    oslots = orders.groupBy("o_custkey").agg(*[
-        F.max(F.when(F.col("o_orderkey") % N_BIRTH_SLOTS == i - 1,
-                     F.struct("o_orderkey", "o_orderdate", "o_orderstatus"))).alias(f"s{i}")
-        for i in range(1, N_BIRTH_SLOTS + 1)])
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    oaggs = []
+    for i in range(1, N_BIRTH_SLOTS + 1):
+        key = F.when(F.col("o_orderkey") % N_BIRTH_SLOTS == i - 1, F.col("o_orderkey"))
+        oaggs += [F.max(key).alias(f"o{i}_k"), F.max_by(day, key).alias(f"_o{i}_day"),
+                  F.max_by(_code("o_orderstatus", ORDER_STATUS), key).alias(f"_o{i}_st")]
+    oslots = orders.groupBy("o_custkey").agg(*oaggs)
     oflat = oslots.select(F.col("o_custkey").alias("c_custkey"), *[
-        F.col(f"s{i}.{src}").alias(f"o{i}_{dst}")
-        for i in range(1, N_BIRTH_SLOTS + 1)
-        for src, dst in (("o_orderkey", "k"), ("o_orderdate", "d"), ("o_orderstatus", "st"))])
-    eslots = events.groupBy("user_id").agg(*[
-        F.max(F.when(F.col("event_id") % N_SISTER_SLOTS == j - 1,
-                     F.struct("event_id", "event_type"))).alias(f"s{j}")
-        for j in range(1, N_SISTER_SLOTS + 1)])
+        c for i in range(1, N_BIRTH_SLOTS + 1) for c in (
+            F.col(f"o{i}_k"),
+            F.date_add(F.lit("1970-01-01").cast("date"), F.col(f"_o{i}_day")).alias(f"o{i}_d"),
+            _decode(F.col(f"_o{i}_st"), ORDER_STATUS).alias(f"o{i}_st"))])
+    eaggs = []
+    for j in range(1, N_SISTER_SLOTS + 1):
+        key = F.when(F.col("event_id") % N_SISTER_SLOTS == j - 1, F.col("event_id"))
+        eaggs += [F.max(key).alias(f"e{j}_id"),
+                  F.max_by(_code("event_type", EVENT_TYPES), key).alias(f"_e{j}_type")]
+    eslots = events.groupBy("user_id").agg(*eaggs)
     eflat = eslots.select(F.col("user_id").alias("c_custkey"), *[
-        F.col(f"s{j}.{src}").alias(f"e{j}_{dst}")
-        for j in range(1, N_SISTER_SLOTS + 1)
-        for src, dst in (("event_id", "id"), ("event_type", "type"))])
+        c for j in range(1, N_SISTER_SLOTS + 1) for c in (
+            F.col(f"e{j}_id"), _decode(F.col(f"_e{j}_type"), EVENT_TYPES).alias(f"e{j}_type"))])
     # nation (25 rows) and region (5 rows) have a fixed size at every scale factor
     geo = t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
     base = (t["customer"].join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
