@@ -316,11 +316,20 @@ def _classification_report(spark, sf_dir):
     return classification_report(s)
 
 
+def _prepared(spark, sf_dir):
+    """Split + weights of the model rows, built once per session and folder."""
+    from cohortlens.plans import model as M
+    a = analogue_star(spark, sf_dir)
+    if "model_prep" not in a.extras:
+        a.extras["model_prep"] = M.prepare(a.star)
+    return a.extras["model_prep"]
+
+
 def _fit(kind):
     def run(spark, sf_dir):
         from cohortlens.operators.metrics import auc_exact
         from cohortlens.plans import model as M
-        train, test, feats = M.prepare(analogue_star(spark, sf_dir).star)
+        train, test, feats = _prepared(spark, sf_dir)
         model = (M.fit_logistic if kind == "lr" else M.fit_forest)(train, feats)
         return auc_exact(M.score(model, test))
     return run
@@ -328,10 +337,15 @@ def _fit(kind):
 
 def _feature_importance(spark, sf_dir):
     from cohortlens.plans import model as M
-    train, _test, feats = M.prepare(analogue_star(spark, sf_dir).star)
+    train, _test, feats = _prepared(spark, sf_dir)
     return M.feature_importance(spark, M.fit_forest(train, feats), feats)
 
 
+def _model_report(spark, sf_dir):
+    from cohortlens.plans.model import model_report
+    return model_report(analogue_star(spark, sf_dir).star, prepared=_prepared(spark, sf_dir))
+
+
 def _register_more(q):
     q.update({
         "project_woman": _project_woman,
@@ -369,5 +383,6 @@ def _register_more(q):
         "facility_lr": _fit("lr"),
         "facility_rf": _fit("rf"),
         "feature_importance": _feature_importance,
+        "model_report": _model_report,
     })
     return q

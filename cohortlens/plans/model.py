@@ -209,3 +209,33 @@ def prepare(star: Star) -> tuple[DataFrame, DataFrame, list[str]]:
     train = balanced_weights(split.where(F.col("is_test") == 0))
     test = split.where(F.col("is_test") == 1)
     return train, test, feature_names(zones)
+
+
+def model_report(star: Star, trees: int = 200, prepared=None) -> DataFrame:
+    """The model step's summary as ``(metric, value)`` rows: test AUC of both
+    models, the Youden threshold of the logistic model with its sensitivity
+    and specificity, recall of the minority class at 0.5, and split sizes."""
+    from ..operators.metrics import auc_exact, classification_report, roc_points, youden_threshold
+    train, test, feats = prepared or prepare(star)
+    lr_scores = score(fit_logistic(train, feats), test)
+    rf_scores = score(fit_forest(train, feats, trees=trees), test)
+    minority = test.groupBy("label").count().orderBy("count", "label").first()["label"]
+    report = classification_report(lr_scores).where(F.col("class") == str(minority))
+    parts = [
+        auc_exact(lr_scores).select(F.lit("lr_auc").alias("metric"), F.col("auc").alias("value")),
+        auc_exact(rf_scores).select(F.lit("rf_auc").alias("metric"), F.col("auc").alias("value")),
+    ]
+    best = youden_threshold(roc_points(lr_scores))
+    for col in ("threshold", "sensitivity", "specificity"):
+        parts.append(best.select(F.lit(f"lr_{col}").alias("metric"),
+                                 F.col(col).cast("double").alias("value")))
+    parts.append(report.select(F.lit("lr_minority_recall").alias("metric"),
+                               F.col("recall").alias("value")))
+    parts.append(train.agg(F.count(F.lit(1)).cast("double").alias("value"))
+                 .select(F.lit("train_rows").alias("metric"), "value"))
+    parts.append(test.agg(F.count(F.lit(1)).cast("double").alias("value"))
+                 .select(F.lit("test_rows").alias("metric"), "value"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -63,3 +63,10 @@ def test_logistic_and_forest_find_the_signal(spark, signal_star):
     assert sum(r.top for r in imp) == 5
     top = {r.feature for r in imp if r.top}
     assert {"wealth_num", "education_num"} & top
+
+
+def test_model_report(signal_star):
+    rows = {r.metric: r.value for r in M.model_report(signal_star, trees=20).collect()}
+    assert set(rows) == {"lr_auc", "rf_auc", "lr_threshold", "lr_sensitivity", "lr_specificity",
+                         "lr_minority_recall", "train_rows", "test_rows"}
+    assert rows["lr_auc"] > 0.7 and rows["train_rows"] + rows["test_rows"] == 1200

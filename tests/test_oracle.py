@@ -14,7 +14,7 @@ def test_every_query_is_registered():
     qs = E.queries()
     assert set(ORACLE_KEYS) <= set(qs)
     rows_only = set(qs) - set(ORACLE_KEYS)
-    assert rows_only == {"facility_lr", "facility_rf", "feature_importance"}
+    assert rows_only == {"facility_lr", "facility_rf", "feature_importance", "model_report"}
 
 
 @pytest.mark.parametrize("key", ORACLE_KEYS)
