@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,18 +158,55 @@ def _assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features")
 
 
+def fit_scaler(train: DataFrame, features: list[str]) -> DataFrame:
+    """One row of per-feature mean and population standard deviation
+    (unweighted, as the reference's scaler; a zero deviation scales by 1)."""
+    aggs = []
+    for c in features:
+        aggs += [F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}")]
+    row = train.agg(*aggs)
+    return row.select(*[F.col(f"_mu_{c}") for c in features],
+                      *[F.when(F.col(f"_sd_{c}") > 0, F.col(f"_sd_{c}")).otherwise(F.lit(1.0))
+                        .alias(f"_sd_{c}") for c in features])
+
+
+def apply_scaler(df: DataFrame, params: DataFrame, features: list[str]) -> DataFrame:
+    """Standardised copies ``<c>_z`` of the features (one-row parameter table)."""
+    out = df.crossJoin(F.broadcast(params))          # a single row
+    z = [((F.col(c) - F.col(f"_mu_{c}")) / F.col(f"_sd_{c}")).alias(f"{c}_z") for c in features]
+    return out.select(*df.columns, *z)
+
+
+class ScaledModel:
+    """A fitted pipeline behind its feature scaling (``transform`` scales first)."""
+
+    def __init__(self, params: DataFrame, model, features: list[str]):
+        self.params, self.model, self.features = params, model, features
+
+    @property
+    def stages(self):
+        return self.model.stages
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(apply_scaler(df, self.params, self.features))
+
+
 def fit_logistic(train: DataFrame, features: list[str], weight_col: str = "fit_weight",
-                 max_iter: int = 1000, c: float = 1.0):
-    """Weighted L2 logistic regression on standardised features.  The
-    reference's penalty ``||b||^2 / (2C)`` on a weighted *sum* of losses equals
-    Spark's ``regParam * ||b||^2 / 2`` on the weighted *mean* with
-    ``regParam = 1 / (C * sum(w))``."""
+                 max_iter: int = 1000, c: float = 1.0) -> ScaledModel:
+    """Weighted L2 logistic regression on standardised features.
+
+    Features are centred and scaled by the population standard deviation of
+    the training rows (unweighted).  The reference's penalty ``||b||^2 / (2C)``
+    on a weighted *sum* of losses equals Spark's ``regParam * ||b||^2 / 2`` on
+    the weighted *mean* with ``regParam = 1 / (C * sum(w))``."""
+    params = fit_scaler(train, features).cache()      # one row, reused for test
     sw = train.agg(F.sum(weight_col)).first()[0] or 1.0
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol=weight_col,
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol=weight_col,
                             maxIter=max_iter, regParam=1.0 / (c * sw), elasticNetParam=0.0,
                             standardization=False)
-    return Pipeline(stages=[_assembler(features), scaler, lr]).fit(train)
+    scaled = [f"{f}_z" for f in features]
+    model = Pipeline(stages=[_assembler(scaled), lr]).fit(apply_scaler(train, params, features))
+    return ScaledModel(params, model, features)
 
 
 def fit_forest(train: DataFrame, features: list[str], weight_col: str = "fit_weight",
