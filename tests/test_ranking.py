@@ -71,3 +71,17 @@ def test_bounded_broadcast_falls_back_above_the_bound(spark):
         assert "BroadcastHashJoin" not in plan2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_top_k_and_latest_row(spark):
+    from cohortlens.operators.ranking import latest_row, top_k
+    df = spark.createDataFrame([(y, float(y % 7)) for y in range(2000, 2030)], "year int, v double")
+    assert [r.year for r in top_k(df, "year", 3).collect()] == [2029, 2028, 2027]
+    assert tuple(latest_row(df, "year", ["year", "v"]).first()) == (2029, float(2029 % 7))
+
+
+def test_null_profile_counts_every_column(spark):
+    from cohortlens.operators.quality import null_profile
+    df = spark.createDataFrame([(1, None, "a"), (None, None, "b")], "x int, y string, z string")
+    got = {r.column_name: r.null_count for r in null_profile(df, "t").collect()}
+    assert got == {"x": 1, "y": 2, "z": 0}
