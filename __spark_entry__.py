@@ -236,10 +236,10 @@ def _value_frequency(spark, sf_dir):
 
 
 def _numeric_summary(spark, sf_dir):
-    from cohortlens.operators.quality import numeric_summary
+    from cohortlens.operators.quality import numeric_summaries
     s = analogue_star(spark, sf_dir).star
-    return (numeric_summary(s.woman, "age_at_survey", "dim_woman")
-            .unionByName(numeric_summary(s.anc, "anc_visits", "fact_anc_delivery")))
+    return numeric_summaries([("dim_woman", s.woman, "age_at_survey"),
+                              ("fact_anc_delivery", s.anc, "anc_visits")])
 
 
 def _duplicate_keys(spark, sf_dir):

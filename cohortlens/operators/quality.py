@@ -123,37 +123,51 @@ def value_frequency(df: DataFrame, col: str, table: str | None = None) -> DataFr
                       "value", "n")
 
 
+SUMMARY_STATS = [("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"),
+                 ("25%", "q25"), ("50%", "q50"), ("75%", "q75"), ("max", "max")]
+
+
 def numeric_summary(df: DataFrame, col: str, table: str = "") -> DataFrame:
-    """count / mean / std (sample) / min / 25% / 50% / 75% / max of one column.
-
-    Quartiles are exact with linear interpolation between order statistics,
-    computed from the value-frequency table with a distributed running count
-    (no collection of raw values).  For integral columns the variance comes
-    from exact integer sums, so it is reproducible bit for bit.
-    """
-    x = F.col(col)
-    dtype = dict(df.dtypes)[col]
-    if dtype in ("int", "bigint", "smallint", "tinyint"):
+    """count / mean / std (sample) / min / 25% / 50% / 75% / max of one column."""
+    return numeric_summaries([(table, df, col)])
+
+
+def numeric_summaries(items: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """``describe()`` of several (table, DataFrame, column) items in one pass:
+    the columns are stacked as (table_name, column_name, x) rows, so the exact
+    quartiles of all of them come from one segmented running count (one
+    checkpoint) and the moments from one grouped aggregate.
+
+    Quartiles are exact with linear interpolation between order statistics;
+    no raw values are collected.  When every column is integral the variance
+    comes from exact integer sums, so it is reproducible bit for bit."""
+    integral = all(dict(df.dtypes)[c] in ("int", "bigint", "smallint", "tinyint")
+                   for _t, df, c in items)
+    typ = "bigint" if integral else "double"
+    long = None
+    for table, df, c in items:
+        part = df.select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"),
+                         F.col(c).cast(typ).alias("x"))
+        long = part if long is None else long.unionByName(part)
+    keys = ["table_name", "column_name"]
+    x = F.col("x")
+    if integral:
         xd = x.cast("decimal(38,0)")
-        n, s, ss = F.count(x), F.sum(xd), F.sum(xd * xd)
-        var = ((n * ss - s * s).cast("double")
-               / (n.cast("double") * (n - 1).cast("double")))
-        std = F.sqrt(var)
+        n, s_, ss = F.count(x), F.sum(xd), F.sum(xd * xd)
+        std = F.sqrt((n * ss - s_ * s_).cast("double")
+                     / (n.cast("double") * (n - 1).cast("double")))
     else:
         std = F.stddev_samp(x)
-    base = df.agg(F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"),
-                  std.alias("std"), F.min(x).cast("double").alias("min"),
-                  F.max(x).cast("double").alias("max"))
-    q = exact_quantiles(df, col, [0.25, 0.5, 0.75])
-    qrow = q.groupBy().pivot("p", [0.25, 0.5, 0.75]).agg(F.first("value"))
-    qrow = qrow.toDF("q25", "q50", "q75")
-    one = base.crossJoin(qrow)
-    stats = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
-    labels = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
-    rows = F.array(*[F.struct(F.lit(lab).alias("statistic"), F.col(s).cast("double").alias("value"))
-                     for s, lab in zip(stats, labels)])
-    return one.select(F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
-                      F.inline(rows))
+    base = long.groupBy(*keys).agg(
+        F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"), std.alias("std"),
+        F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
+    q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], group_cols=keys)
+    qwide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(name)
+                                   for p, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    one = base.join(qwide, keys, "left")            # one row per profiled column
+    rows = F.array(*[F.struct(F.lit(lab).alias("statistic"), F.col(c).cast("double").alias("value"))
+                     for lab, c in SUMMARY_STATS])
+    return one.select(*keys, F.inline(rows))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

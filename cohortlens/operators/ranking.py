@@ -87,29 +87,31 @@ def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
                                      for c in sum_cols], *extra)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: list[float],
+                    group_cols: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Exact quantiles with linear interpolation (``numpy``/``pandas`` default)
-    as rows ``(p, value)``: value frequencies -> distributed running counts ->
-    each distinct value checks whether it covers the order statistics
-    ``floor((n - 1) p)`` and ``ceil((n - 1) p)``."""
-    freq = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")) \
+    as rows ``(*group_cols, p, value)``: value frequencies -> segmented running
+    counts -> each distinct value checks whether it covers the order
+    statistics ``floor((n - 1) p)`` and ``ceil((n - 1) p)`` of its group."""
+    groups = list(group_cols)
+    freq = df.where(F.col(col).isNotNull()).groupBy(*groups, F.col(col).alias("v")) \
         .agg(F.count(F.lit(1)).alias("cnt"))
-    run = running_totals(freq, ["v"], ["cnt"], with_totals=True)
+    run = running_totals(freq, ["v"], ["cnt"], group_cols=groups, with_totals=True)
     start, stop = F.col("cum_cnt") - F.col("cnt"), F.col("cum_cnt")
     h = (F.col("tot_cnt") - 1) * F.col("p")
-    per_p = run.select("v", start.alias("start"), stop.alias("stop"),
+    per_p = run.select(*groups, "v", start.alias("start"), stop.alias("stop"),
                        F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"),
                        "tot_cnt") \
-        .select("v", "start", "stop", "p", h.alias("h"), F.floor(h).alias("lo"),
+        .select(*groups, "v", "start", "stop", "p", h.alias("h"), F.floor(h).alias("lo"),
                 F.ceil(h).alias("hi"))
     covers = lambda k: (F.col(k) >= F.col("start")) & (F.col(k) < F.col("stop"))
     hit = per_p.where(covers("lo") | covers("hi"))
-    pv = hit.groupBy("p").agg(
+    pv = hit.groupBy(*groups, "p").agg(
         F.max(F.when(covers("lo"), F.col("v"))).cast("double").alias("x_lo"),
         F.max(F.when(covers("hi"), F.col("v"))).cast("double").alias("x_hi"),
         F.first("h").alias("h"), F.first("lo").alias("lo"))
-    return pv.select("p", (F.col("x_lo") + (F.col("h") - F.col("lo"))
-                           * (F.col("x_hi") - F.col("x_lo"))).alias("value"))
+    return pv.select(*groups, "p", (F.col("x_lo") + (F.col("h") - F.col("lo"))
+                                    * (F.col("x_hi") - F.col("x_lo"))).alias("value"))
 
 
 def rank_within(df: DataFrame, group_col: str, order_cols: list[str],
