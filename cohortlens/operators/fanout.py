@@ -121,9 +121,16 @@ def woman_grain(star: Star, facts: tuple[str, ...] = ("anc", "mort"), *,
     return w.select(*base, *filled, *mults)
 
 
+MULT_TYPE = "decimal(38,0)"
+
+
 def multiplicity(*facts: str) -> Column:
-    """Row multiplicity of a woman in the joined product of ``facts``."""
-    out = F.lit(1).cast("bigint")
+    """Row multiplicity of a woman in the joined product of ``facts``.
+
+    Exact decimal: a woman who is hot in two facts can have a product of
+    row counts far beyond ``bigint`` (a third of each fact at 100 TB), and the
+    multiplicity-weighted integer sums must neither overflow nor round."""
+    out = F.lit(1).cast(MULT_TYPE)
     for f_ in facts:
-        out = out * F.col(f"m_{f_}")
+        out = out * F.col(f"m_{f_}").cast(MULT_TYPE)
     return out

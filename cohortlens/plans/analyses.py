@@ -392,9 +392,9 @@ def death_profile_all(star: Star, mode: str = "as_published") -> DataFrame:
         else:                           # each woman once
             r, k, s_, n_ = F.lit(1).cast("bigint"), F.lit(1).cast("bigint"), age_sum, age_n
         cats.append(F.when(rows > 0, F.struct(
-            F.lit(cat).alias("death_category"), r.cast("bigint").alias("_r"),
-            k.cast("bigint").alias("_k"), s_.cast("double").alias("_age_sum"),
-            n_.cast("bigint").alias("_age_n"))))
+            F.lit(cat).alias("death_category"), r.cast("decimal(38,0)").alias("_r"),
+            k.cast("decimal(38,0)").alias("_k"), s_.cast("double").alias("_age_sum"),
+            n_.cast("decimal(38,0)").alias("_age_n"))))
     long = g.select("geopolitical_zone", "survey_weight", "education_level", "wealth_index",
                     "has_insurance", "distance_barrier", "anc_fac1", "anc_fac_known", "anc_zero",
                     "anc_visits_known", F.inline(F.filter(F.array(*cats), lambda x: x.isNotNull())))

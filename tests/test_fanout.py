@@ -54,3 +54,13 @@ def test_rank_leaves_gaps_after_ties(spark):
     df = spark.createDataFrame([(39.6,), (39.6,), (38.9,), (40.0,)], "s double")
     got = df.select("s", rank_desc("s").alias("r")).orderBy(F.desc("s"), "r").collect()
     assert [r.r for r in got] == [1, 2, 2, 4]
+
+
+def test_multiplicity_products_do_not_overflow(spark):
+    """A woman hot in two facts: the product of row counts exceeds bigint."""
+    from pyspark.sql import functions as F
+    from cohortlens.operators.fanout import multiplicity
+    df = spark.createDataFrame([(3_000_000_000_000, 3_000_000_000_000, 90)],
+                               "m_anc long, m_mort long, age int")
+    got = df.select((F.col("age") * multiplicity("anc", "mort")).alias("x")).first().x
+    assert int(got) == 90 * 3_000_000_000_000 ** 2
