@@ -133,25 +133,26 @@ def balanced_weights(df: DataFrame, label: str = "label", weight: str = "weight"
 def standardise(df: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame:
     """``(x - mean) / std_pop`` per column (the scaler the reference fits, which
     uses the population standard deviation; Spark's StandardScaler uses the
-    sample one).  Integer columns use exact integer sums."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("decimal(38,0)")
-        aggs += [F.count(c).alias(f"_n_{c}"), F.sum(x).alias(f"_s_{c}"),
-                 F.sum(x * x).alias(f"_ss_{c}")]
-    st = df.agg(*aggs)
-    sel = []
-    for c in cols:
-        n, s, ss = F.col(f"_n_{c}"), F.col(f"_s_{c}"), F.col(f"_ss_{c}")
-        mean = s.cast("double") / n
-        var = (n * ss - s * s).cast("double") / (n.cast("double") * n.cast("double"))
-        sel += [mean.alias(f"_mean_{c}"), F.sqrt(var).alias(f"_std_{c}")]
-    params = st.select(*sel)   # one row
-    out = df.crossJoin(params)
+    sample one).  Integral columns use exact integer sums, so the result is
+    reproducible bit for bit; other columns use ``avg`` / ``stddev_pop``."""
+    types = dict(df.dtypes)
+    aggs, sel = [], []
     for c in cols:
-        out = out.withColumn(c + suffix, (F.col(c) - F.col(f"_mean_{c}"))
-                             / F.nullif(F.col(f"_std_{c}"), F.lit(0.0)))
-    return out.drop(*[f"_{k}_{c}" for c in cols for k in ("mean", "std")])
+        if types[c] in ("int", "bigint", "smallint", "tinyint"):
+            x = F.col(c).cast("decimal(38,0)")
+            aggs += [F.count(c).alias(f"_n_{c}"), F.sum(x).alias(f"_s_{c}"),
+                     F.sum(x * x).alias(f"_ss_{c}")]
+            n, s_, ss = F.col(f"_n_{c}"), F.col(f"_s_{c}"), F.col(f"_ss_{c}")
+            sel += [(s_.cast("double") / n).alias(f"_mean_{c}"),
+                    F.sqrt((n * ss - s_ * s_).cast("double")
+                           / (n.cast("double") * n.cast("double"))).alias(f"_std_{c}")]
+        else:
+            aggs += [F.avg(c).alias(f"_a_{c}"), F.stddev_pop(c).alias(f"_p_{c}")]
+            sel += [F.col(f"_a_{c}").alias(f"_mean_{c}"), F.col(f"_p_{c}").alias(f"_std_{c}")]
+    params = df.agg(*aggs).select(*sel)          # one row
+    z = [((F.col(c) - F.col(f"_mean_{c}")) / F.nullif(F.col(f"_std_{c}"), F.lit(0.0)))
+         .alias(c + suffix) for c in cols]
+    return df.crossJoin(params).select(*df.columns, *z)
 
 
 def _assembler(features: list[str]) -> VectorAssembler:

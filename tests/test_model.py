@@ -70,3 +70,13 @@ def test_model_report(signal_star):
     assert set(rows) == {"lr_auc", "rf_auc", "lr_threshold", "lr_sensitivity", "lr_specificity",
                          "lr_minority_recall", "train_rows", "test_rows"}
     assert rows["lr_auc"] > 0.7 and rows["train_rows"] + rows["test_rows"] == 1200
+
+
+def test_standardise_population_std_for_ints_and_doubles(spark):
+    import numpy as np
+    vals = [1.5, 2.25, 4.0, 7.75]
+    df = spark.createDataFrame([(i, int(v), v) for i, v in enumerate(vals)], "id int, a int, d double")
+    got = M.standardise(df, ["a", "d"]).orderBy("id").collect()
+    for col, xs in (("a", np.array([int(v) for v in vals], float)), ("d", np.array(vals))):
+        exp = (xs - xs.mean()) / xs.std()
+        assert np.allclose([r[f"{col}_z"] for r in got], exp)
