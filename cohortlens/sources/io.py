@@ -40,8 +40,9 @@ def apply_labels(df: DataFrame, labels: DataFrame, columns: list[str],
     many columns are labelled).  A larger codebook is joined per column,
     broadcast only after the same check."""
     from ..operators.joins import bounded_broadcast, is_small
-    book = labels.where(F.col("variable").isin(*columns)).select(
-        "variable", F.col("code").cast("string").alias("code"), "label")
+    book = labels.where(F.col("variable").isin(*columns)) \
+        .groupBy("variable", F.col("code").cast("string").alias("code")) \
+        .agg(F.min("label").alias("label"))        # one label per code, deterministic
     if is_small(book, max_codebook_rows):
         maps: dict[str, list] = {}
         for r in book.collect():                       # bounded by the check above

@@ -86,3 +86,12 @@ def test_apply_labels_join_path_equals_map_path(spark):
     slow = apply_labels(w, labels, ["v106", "v190"], max_codebook_rows=1).orderBy("caseid").collect()
     assert [tuple(r) for r in fast] == [tuple(r) for r in slow]
     assert {r.v190 for r in fast} >= {"richest"}
+
+
+def test_apply_labels_tolerates_duplicate_codes(spark):
+    w = wide_frame(spark).select("caseid", "v106")
+    labels = spark.createDataFrame(
+        [("v106", "2", "secondary"), ("v106", "2", "Secondary"), ("v106", "1", "primary")],
+        "variable string, code string, label string")
+    got = {r.v106 for r in apply_labels(w, labels, ["v106"]).collect()}
+    assert "Secondary" in got and "2" not in got      # min label, deterministically
