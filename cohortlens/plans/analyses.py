@@ -549,18 +549,21 @@ FUNNEL_STAGES = [
 
 
 def care_funnel(star: Star) -> DataFrame:
-    """Stage counts over the cohort with a known delivery place (one aggregate)."""
-    cohort = star.anc.where(F.col("facility_delivery").isNotNull()) \
-        .join(star.woman.select("woman_id"), "woman_id", "left_semi")
+    """Stage counts over the cohort with a known delivery place, in one scan:
+    the cohort's ANC rows are summed per woman first (so a woman with many
+    rows is one row before the semi-join to the woman dimension), then one
+    global aggregate gives all six stages."""
     vis = F.col("anc_visits")
-    one = cohort.agg(
-        F.count_distinct("woman_id").alias("s1"),
-        F.sum(flag(vis > 0)).alias("s2"),
-        F.sum(flag(vis >= 4)).alias("s3"),
-        F.sum(flag(F.col("facility_delivery") == 1)).alias("s4"),
-        F.sum(flag(F.col("delivery_assisted_by").isin(*SKILLED_ATTENDANTS))).alias("s5"),
-        F.sum(flag(F.col("postnatal_check") == 1)).alias("s6"),
-    )
+    per_woman = star.anc.where(F.col("facility_delivery").isNotNull()) \
+        .groupBy("woman_id").agg(
+            F.sum(flag(vis > 0)).alias("s2"),
+            F.sum(flag(vis >= 4)).alias("s3"),
+            F.sum(flag(F.col("facility_delivery") == 1)).alias("s4"),
+            F.sum(flag(F.col("delivery_assisted_by").isin(*SKILLED_ATTENDANTS))).alias("s5"),
+            F.sum(flag(F.col("postnatal_check") == 1)).alias("s6"))
+    cohort = per_woman.join(star.woman.select("woman_id"), "woman_id", "left_semi")
+    one = cohort.agg(F.count(F.lit(1)).alias("s1"),
+                     *[F.sum(f"s{i}").alias(f"s{i}") for i in range(2, 7)])
     stages = F.array(*[
         F.struct(F.lit(name).alias("stage"), F.coalesce(F.col(f"s{i}"), F.lit(0))
                  .cast("bigint").alias("women_count"), F.lit(i).alias("stage_order"))
