@@ -37,3 +37,10 @@ def lead_drop(df: DataFrame, value: str, order: str, name: str = "drop_to_next",
     """Stage-to-stage drop ``value[i] - value[i+1]`` (half-even rounding)."""
     nxt = F.lead(value).over(Window.orderBy(order))
     return df.withColumn(name, F.bround(F.col(value) - nxt, digits))
+
+
+def order_small(df: DataFrame, *cols) -> DataFrame:
+    """Final ``ORDER BY`` of an aggregated result (rows bounded by its group
+    count: states, zones, years, stages).  One single-partition exchange and a
+    local sort — a global ``orderBy`` would add a range-sampling job."""
+    return df.repartition(1).sortWithinPartitions(*cols)

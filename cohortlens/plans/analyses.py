@@ -22,7 +22,7 @@ from ..functions.scoring import (benchmark_verdict, care_gap_category, composite
                                  trend_label)
 from ..operators.fanout import multiplicity, woman_grain
 from ..operators.joins import bounded_broadcast
-from ..operators.windows import lag_change, lead_drop, rank_desc, share_within
+from ..operators.windows import lag_change, lead_drop, order_small, rank_desc, share_within
 from ..schemas import POOR_QUINTILES, SKILLED_ATTENDANTS, Star
 
 WEIGHT = "survey_weight"
@@ -86,7 +86,7 @@ def trend_band(who_mmr: DataFrame, location: str = LOCATION,
     """Series with its uncertainty band and a constant target line (chart table)."""
     return indicator_series(who_mmr, location, indicator_code).select(
         "year", "mmr_value", "mmr_value_low", "mmr_value_high",
-        F.lit(float(target)).alias("target")).orderBy("year")
+        F.lit(float(target)).alias("target")).transform(order_small, "year")
 
 
 # ---------------------------------------------------------------------------
@@ -131,7 +131,7 @@ def care_pathway_by_state(star: Star) -> DataFrame:
     return agg.withColumn(
         "care_gap_category",
         care_gap_category(F.col("pct_facility_delivery"), F.col("pct_zero_anc")),
-    ).orderBy(F.col("pct_facility_delivery").asc_nulls_first())
+    ).transform(order_small, F.col("pct_facility_delivery").asc_nulls_first())
 
 
 # ---------------------------------------------------------------------------
@@ -178,7 +178,7 @@ def zone_extract(star: Star, mode: str = "as_published") -> DataFrame:
         .alias("pct_distance_barrier"),
         F.sum("mort_mat").alias("maternal_deaths"),
         per_thousand(F.sum("mort_mat"), F.count(F.lit(1))).alias("death_rate"),
-    ).orderBy(F.col("death_rate").desc_nulls_last())
+    ).transform(order_small, F.col("death_rate").desc_nulls_last())
 
 
 # ---------------------------------------------------------------------------
@@ -229,7 +229,7 @@ def _care_extract(star: Star, key: str, mode: str, with_insured: bool) -> DataFr
     if with_insured:
         aggs.append(weight_pct(_wsum(a, F.col("has_insurance") == 1), _wsum(a))
                     .alias("pct_insured"))
-    return g.groupBy(key).agg(*aggs).orderBy(F.col("pct_facility_delivery").desc_nulls_last())
+    return g.groupBy(key).agg(*aggs).transform(order_small, F.col("pct_facility_delivery").desc_nulls_last())
 
 
 def wealth_extract(star: Star, mode: str = "as_published") -> DataFrame:
@@ -353,7 +353,7 @@ def state_risk_extract(star: Star, mode: str = "as_published") -> DataFrame:
         "state_name", "geopolitical_zone", "total_women", "maternal_deaths", "death_rate",
         "pct_facility_delivery", "pct_zero_anc", "pct_skilled_attendant", "pct_double_barrier",
         "pct_poorest_poor", "pct_postnatal_check", _score().alias("composite_risk_score"),
-    ).orderBy(F.col("composite_risk_score").desc_nulls_last())
+    ).transform(order_small, F.col("composite_risk_score").desc_nulls_last())
 
 
 # ---------------------------------------------------------------------------
@@ -420,7 +420,7 @@ def death_profile(star: Star, category: str = "Maternal Death",
     if category not in DEATH_CATEGORIES:
         raise ValueError(f"unknown death category {category!r}")
     return death_profile_all(star, mode).where(F.col("death_category") == category) \
-        .orderBy("geopolitical_zone", F.col("women_count").desc())
+        .transform(order_small, "geopolitical_zone", F.col("women_count").desc())
 
 
 def death_profile_extract(star: Star, mode: str = "as_published") -> DataFrame:
@@ -439,7 +439,7 @@ def death_profile_extract(star: Star, mode: str = "as_published") -> DataFrame:
         weight_pct(_wsum(k * F.col("anc_fac1")), _wsum(k * F.col("anc_fac_known")))
         .alias("pct_facility_delivery"),
         F.sum("mort_mat").alias("total_deaths"),
-    ).orderBy(F.col("total_deaths").desc())
+    ).transform(order_small, F.col("total_deaths").desc())
 
 
 # ---------------------------------------------------------------------------
@@ -531,7 +531,7 @@ def share_within_zone(star: Star) -> DataFrame:
     counts = rows.groupBy("geopolitical_zone", "delivery_assisted_by") \
         .agg(F.sum("n").alias("deliveries"))
     return share_within(counts, "deliveries", ["geopolitical_zone"], "pct_within_zone") \
-        .orderBy("geopolitical_zone", F.col("deliveries").desc())
+        .transform(order_small, "geopolitical_zone", F.col("deliveries").desc())
 
 
 # ---------------------------------------------------------------------------

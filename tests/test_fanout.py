@@ -64,3 +64,16 @@ def test_multiplicity_products_do_not_overflow(spark):
                                "m_anc long, m_mort long, age int")
     got = df.select((F.col("age") * multiplicity("anc", "mort")).alias("x")).first().x
     assert int(got) == 90 * 3_000_000_000_000 ** 2
+
+
+def test_final_orderings(spark):
+    from cohortlens.sources.analogue import analogue_star
+    star = analogue_star(spark, "/root/testdata/sf0.01").star
+    care = [r.pct_facility_delivery for r in N.care_pathway_by_state(star).collect()]
+    assert care == sorted(care, key=lambda v: (v is not None, v))          # nulls first, asc
+    share = [(r.geopolitical_zone, -r.deliveries) for r in N.share_within_zone(star).collect()]
+    assert share == sorted(share)
+    deaths = [r.total_deaths for r in N.death_profile_extract(star).collect()]
+    assert deaths == sorted(deaths, reverse=True)
+    years = [r.year for r in N.trend_band(star.who_mmr).collect()]
+    assert years == sorted(years)
