@@ -3,6 +3,8 @@
 import glob
 import os
 
+import pytest
+
 from cohortlens.sources.io import apply_labels, read_indicator, read_sql, read_wide, write_extract
 
 from .fixtures import fanout_star, wide_frame
@@ -95,3 +97,21 @@ def test_apply_labels_tolerates_duplicate_codes(spark):
         "variable string, code string, label string")
     got = {r.v106 for r in apply_labels(w, labels, ["v106"]).collect()}
     assert "Secondary" in got and "2" not in got      # min label, deterministically
+
+
+def test_write_extract_refuses_large_inputs(spark, tmp_out):
+    with pytest.raises(ValueError):
+        write_extract(spark.range(50), os.path.join(tmp_out, "big"), max_rows=10)
+
+
+def test_read_indicator_coerces_junk_to_null(spark, tmp_out):
+    bad = MMR_CSV.replace("992.8", "n/a")
+    mmr = read_indicator(spark, _write(tmp_out, "bad.csv", bad), "mmr")
+    vals = {r.year: r.mmr_value for r in mmr.where("indicator_code = 'MDG_0000000026'").collect()}
+    assert vals == {2023: None, 2022: 1001.5}
+
+
+def test_checkpoint_dir_comes_from_the_session(spark):
+    from cohortlens.session import checkpoint_dir
+    got = checkpoint_dir(spark)
+    assert got and spark.conf.get("spark.checkpoint.dir").rstrip("/").split("/")[-1] in got
