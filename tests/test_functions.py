@@ -137,3 +137,13 @@ def test_coercion_never_keeps_nan(spark):
     assert one_col(spark, ["nan", "4", "4.0", "4.5"], T.to_int) == [None, 4, 4, None]
     # the trimester rule keeps the original's float('nan') fall-through
     assert one_col(spark, ["nan"], T.months_to_trimester) == [3]
+
+
+def test_title_case_property_random_ascii(spark):
+    import random
+    rnd = random.Random(1234)
+    alphabet = "abcXYZ019 -'_/.,()&"
+    samples = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 14)))
+               for _ in range(400)]
+    got = one_col(spark, samples, T.normalise_label)
+    assert got == [s.strip().title() for s in samples]
