@@ -135,3 +135,18 @@ def test_bucketed_tables_give_identical_analyses(spark, tmp_out):
                N.yearly_coverage, N.share_within_zone, N.care_funnel, N.national_kpis):
         a, b = fn(src), fn(star)
         assert rows_of(a.columns, a.collect()) == rows_of(b.columns, b.collect()), fn.__name__
+
+
+def test_gate_catches_unknown_state_label(spark):
+    from pyspark.sql import functions as F
+    w = wide_frame(spark)
+    odd = w.where("caseid = '  3 1'").withColumn("caseid", F.lit("  9 1")) \
+        .withColumn("sstate", F.lit("atlantis"))
+    geo = C.build_geography(w)                        # geography without the new label
+    women = C.build_woman(w.unionByName(odd), geo)
+    star = build_star(w, fanout_star(spark).who_sba, fanout_star(spark).who_mmr)
+    bad = star.__class__(**{**star.__dict__, "woman": women})
+    got = {r.foreign_key: r.unmapped_rows for r in C.unmapped_counts(bad).collect()}
+    assert got["dim_woman.state_id"] == 1
+    with pytest.raises(C.MappingError):
+        C.assert_mapped(bad)
