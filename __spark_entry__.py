@@ -88,12 +88,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "year_pivot": _year_pivot,
         "latest_value": _latest_value,
     }
-    return _register_more(q)
+    _register_more(q)
+    q.update(_training_data()[0])
+    return q
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_sql import oracle_sql as _oracle
-    return _oracle()
+    return {**_oracle(), **_training_data()[1]}
+
+
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators and the corpus pipeline,
+    or nothing where that subpackage and ``corpus_pipeline`` are not installed."""
+    try:
+        from cohortlens.llm.queries import QUERIES, SQL
+    except ImportError:
+        return {}, {}
+    found, sql = dict(QUERIES), dict(SQL)
+    try:
+        import corpus_pipeline
+    except ImportError:
+        return found, sql
+    found["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found, sql
 
 
 # ---------------------------------------------------------------------------
