@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shipping import ship_package
-from .staging import read_documents
+from .staging import new_folder, read_documents
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file, from the package the box provides."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +30,32 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op2_lines import delete_lines
+    return delete_lines(_documents(spark, sf_dir), report=True).select(
+        "doc_id", F.size("gone").alias("n_deleted"), F.array_join("gone", ",").alias("deleted_lines"),
+        "partners", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_pii import KINDS, find_spans, spans_text
+    found = find_spans(_documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    return found.select(
+        "doc_id", *[(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}")
+                    for k in KINDS],
+        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_classifier import fit, held_out, score_documents
+    docs = _documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score",
+                                               "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op5_exact import exact_groups
     return exact_groups(_documents(spark, sf_dir), hash_all=True).select(
@@ -31,6 +63,42 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.hex("full")).alias("text_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op6_rules import judge, quality_rules
+    docs = _documents(spark, sf_dir)
+    rules = quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "rule")
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_token_store import store_documents, write_store
+    path = new_folder(spark, "token-store")
+    write_store(_documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"))
+    return store_documents(spark, path)
+
+
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes with dropout and decodes again; decoded_sha256 must be the text's own."""
+    from .op8_merge_dropout import decode_documents, encode_documents
+    path = vocabulary("piece_bpe_32k.model")
+    ids = encode_documents(_documents(spark, sf_dir), path, seed=8)
+    return decode_documents(ids, path).select(
+        "doc_id", "variant", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_packing import pack_documents
+    return pack_documents(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"),
+                          with_ids=False)
+
+
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_paragraphs import removals
+    return removals(_documents(spark, sf_dir))
+
+
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -44,5 +112,13 @@ SQL = {
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_pii": op3_pii,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_token_store": op7_token_store,
+    "op8_merge_dropout": op8_merge_dropout,
+    "op9_packing": op9_packing,
+    "op10_repeated_passages": op10_repeated_passages,
 }
