@@ -1,30 +1,25 @@
 """Order-dependent operators that stay distributed.
 
 A window with ``orderBy`` but no ``partitionBy`` moves every row into one task,
-and a window partitioned by a group moves a whole (possibly huge) group into
-one task.  For running totals and ranks over *raw* rows we instead:
-
-1. range-partition on (group, order key) with ``repartitionByRange`` (sampled
-   bounds; equal keys land in the same partition; partition i precedes i+1;
-   a big group spans many partitions);
-2. tag rows with ``spark_partition_id`` and checkpoint (reliable, into
-   ``spark.checkpoint.dir``), so both uses below see the same partitioning and
-   lineage is cut (executor loss re-reads the checkpoint, not the sample);
-3. compute running totals inside each (partition, group) — a window bounded
-   by the partition size;
-4. add the totals of the group's earlier partitions, from a window over the
-   small (partition x group) totals table partitioned by group.  Without
-   groups that table has one row per partition and is broadcast; with groups
-   it is broadcast after a row-count check.
+and a window partitioned by a group moves a whole (possibly huge) group into one
+task.  For running totals and ranks over *raw* rows we instead:
+
+1. take approximate quantiles of the order key in one aggregate (one row of
+   ``ranges - 1`` boundaries) and give every row the range its key falls in; equal
+   keys share a range, and a big group spans many ranges;
+2. compute running totals inside each (group, range), the one row-level shuffle;
+3. add the totals of the group's earlier ranges, from a window over the
+   (group, range) totals.
+
+Nothing runs while the plan is built and nothing is checkpointed: a range is a
+function of the key alone, so a recomputed task finds the same one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-from .joins import bounded_broadcast
 
 
 def latest_row(df: DataFrame, order_col: str, cols: list[str]) -> DataFrame:
@@ -39,52 +34,49 @@ def top_k(df: DataFrame, order_col: str, k: int, descending: bool = True) -> Dat
     return df.orderBy(o).limit(k)
 
 
-def _order(cols: list[str], descending: bool) -> list[Column]:
-    return [F.col(c).desc() if descending else F.col(c).asc() for c in cols]
+RANGES = 64
 
 
-def running_totals(df: DataFrame, order_cols: list[str], sum_cols: list[str],
-                   descending: bool = False, partitions: int | None = None,
-                   group_cols: tuple[str, ...] | list[str] = (),
-                   with_totals: bool = False) -> DataFrame:
+def running_totals(df: DataFrame, order_col: str, sum_cols: list[str], descending: bool = False,
+                   group_cols: tuple[str, ...] | list[str] = (), with_totals: bool = False,
+                   ranges: int = RANGES) -> DataFrame:
     """Adds ``cum_<c>``: the sum of ``c`` over the rows of the same group
     (``group_cols``; the whole frame when empty) ordered at or before this row's
-    key, peers included.  ``with_totals`` also adds ``tot_<c>``, the group total.
-
-    Range partitioning on (group, order) keeps groups contiguous, so a group
-    that holds most rows simply spans many partitions; its offsets come from a
-    window over the small (partition x group) totals table, partitioned by
-    group (at most one row per range partition and group)."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    # at least as many ranges as the input has partitions (a proxy for its
-    # volume): AQE coalesces small partitions but cannot split range partitions
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                          df.rdd.getNumPartitions())
+    numeric key, peers included.  ``with_totals`` also adds ``tot_<c>``, the group
+    total.  A null group is a group; null keys come first (last when descending).
+
+    The totals table has at most ``ranges`` rows per group; its join with the rows is
+    left to the planner."""
     groups = list(group_cols)
-    order = _order(order_cols, descending)
-    tagged = df.repartitionByRange(n, *[F.col(g) for g in groups], *order) \
-        .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
-    local_w = Window.partitionBy("_pid", *groups).orderBy(*order) \
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = df.agg(F.percentile_approx(F.col(order_col).cast("double"), shares, 10_000).alias("_bounds"))
+    key = F.col(order_col).cast("double")
+    place = F.size(F.filter(F.coalesce("_bounds", F.array().cast("array<double>")),
+                            lambda b: b < key))
+    placed = df.crossJoin(F.broadcast(bounds)).withColumn(  # one row
+        "_range", F.when(F.col(order_col).isNull(), F.lit(-1)).otherwise(place)).drop("_bounds")
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    inside = Window.partitionBy(*groups, "_range").orderBy(order) \
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    local = tagged.select("*", *[F.sum(c).over(local_w).alias(f"_cum_{c}") for c in sum_cols])
-    totals = tagged.groupBy("_pid", *groups).agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
-    seg = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    before = seg.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    whole = seg.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    local = placed.select("*", *[F.sum(c).over(inside).alias(f"_cum_{c}") for c in sum_cols])
+    totals = placed.groupBy(*groups, "_range").agg(*[F.sum(c).alias(f"_tot_{c}") for c in sum_cols])
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    earlier = whole.orderBy(F.col("_range").desc() if descending else F.col("_range").asc()) \
+        .rowsBetween(Window.unboundedPreceding, -1)
     cols = []
     for c in sum_cols:
-        cols.append(F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}"))
+        cols.append(F.coalesce(F.sum(f"_tot_{c}").over(earlier), F.lit(0)).alias(f"_off_{c}"))
         if with_totals:
             cols.append(F.sum(f"_tot_{c}").over(whole).alias(f"tot_{c}"))
-    offsets = totals.select("_pid", *groups, *cols)
-    # without groups: one row per range partition (bounded by n) -> broadcast;
-    # with groups: one row per (partition, group) -> broadcast after a check
-    small = F.broadcast(offsets) if not groups else bounded_broadcast(offsets)
-    out = local.join(small, ["_pid", *groups])
+    offsets = totals.select(*[F.col(g).alias(f"_group_{g}") for g in groups],
+                            F.col("_range").alias("_of"), *cols)
+    same = F.col("_range") == F.col("_of")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_group_{g}"))
     extra = [f"tot_{c}" for c in sum_cols] if with_totals else []
-    return out.select(*df.columns, *[(F.col(f"_cum_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}")
-                                     for c in sum_cols], *extra)
+    return local.join(offsets, same).select(
+        *df.columns, *[(F.col(f"_cum_{c}") + F.col(f"_off_{c}")).alias(f"cum_{c}") for c in sum_cols],
+        *extra)
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list[float],
@@ -96,7 +88,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
     groups = list(group_cols)
     freq = df.where(F.col(col).isNotNull()).groupBy(*groups, F.col(col).alias("v")) \
         .agg(F.count(F.lit(1)).alias("cnt"))
-    run = running_totals(freq, ["v"], ["cnt"], group_cols=groups, with_totals=True)
+    run = running_totals(freq, "v", ["cnt"], group_cols=groups, with_totals=True)
     start, stop = F.col("cum_cnt") - F.col("cnt"), F.col("cum_cnt")
     h = (F.col("tot_cnt") - 1) * F.col("p")
     per_p = run.select(*groups, "v", start.alias("start"), stop.alias("stop"),
@@ -114,15 +106,19 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float],
                                     * (F.col("x_hi") - F.col("x_lo"))).alias("value"))
 
 
-def rank_within(df: DataFrame, group_col: str, order_cols: list[str],
+def rank_within(df: DataFrame, group_col: str, order_col: str, tie_col: str,
                 name: str = "rank_in_group", size_name: str | None = None) -> DataFrame:
-    """``ROW_NUMBER() OVER (PARTITION BY group ORDER BY order_cols)`` without
-    pulling a (possibly huge) group into one task: a segmented running count
-    over the range-partitioned order.  ``size_name`` adds the group size."""
-    ones = df.withColumn("_one", F.lit(1))
-    run = running_totals(ones, order_cols, ["_one"], group_cols=[group_col],
-                         with_totals=size_name is not None)
-    out = run.withColumn(name, F.col("cum__one").cast("bigint")).drop("_one", "cum__one")
-    if size_name is not None:
-        out = out.withColumnRenamed("tot__one", size_name)
-    return out
+    """``ROW_NUMBER() OVER (PARTITION BY group ORDER BY order_col, tie_col)`` without
+    pulling a (possibly huge) group into one task: the rows before a key are a
+    running total over key frequencies, and only rows of one key are ranked together.
+    A null group is a group.  ``size_name`` adds the group size."""
+    freq = df.groupBy(group_col, order_col).agg(F.count(F.lit(1)).alias("_one"))
+    run = running_totals(freq, order_col, ["_one"], group_cols=[group_col], with_totals=True)
+    before = run.select(F.col(group_col).alias("_g"), F.col(order_col).alias("_k"),
+                        (F.col("cum__one") - F.col("_one")).alias("_before"),
+                        F.col("tot__one").alias("_size"))
+    peers = F.row_number().over(Window.partitionBy(group_col, order_col).orderBy(tie_col))
+    out = df.withColumn("_peer", peers).join(
+        before, F.col(group_col).eqNullSafe(F.col("_g")) & F.col(order_col).eqNullSafe(F.col("_k")))
+    return out.select(*df.columns, (F.col("_before") + F.col("_peer")).cast("bigint").alias(name),
+                      *([F.col("_size").alias(size_name)] if size_name else []))

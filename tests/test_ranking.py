@@ -11,10 +11,10 @@ def test_running_totals_match_cumsum_with_ties(spark):
     rng = np.random.default_rng(7)
     pdf = pd.DataFrame({"k": rng.integers(0, 50, 2000), "x": rng.integers(0, 5, 2000)})
     df = spark.createDataFrame(pdf).repartition(7)
-    got = running_totals(df, ["k"], ["x"], partitions=5).toPandas()
+    got = running_totals(df, "k", ["x"], ranges=5).toPandas()
     totals = pdf.groupby("k").x.sum().sort_index().cumsum()
     assert (got.cum_x.values == totals.loc[got.k].values).all()
-    got_d = running_totals(df, ["k"], ["x"], descending=True, partitions=5).toPandas()
+    got_d = running_totals(df, "k", ["x"], descending=True, ranges=5).toPandas()
     tot_d = pdf.groupby("k").x.sum().sort_index(ascending=False).cumsum()
     assert (got_d.cum_x.values == tot_d.loc[got_d.k].values).all()
 
@@ -31,7 +31,7 @@ def test_exact_quantiles_match_numpy(spark):
 def test_rank_within_matches_row_number(spark):
     rng = np.random.default_rng(11)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 500), "h": rng.permutation(500)})
-    got = rank_within(spark.createDataFrame(pdf), "g", ["h"], "r").toPandas()
+    got = rank_within(spark.createDataFrame(pdf), "g", "h", "h", "r").toPandas()
     exp = pdf.assign(r=pdf.groupby("g").h.rank(method="first").astype(int))
     m = got.merge(exp, on=["g", "h"])
     assert len(m) == 500 and (m.r_x == m.r_y).all()
@@ -56,21 +56,28 @@ def test_auc_and_youden_with_ties(spark):
     assert youden_threshold(roc_points(df)).first().threshold == best
 
 
-def test_bounded_broadcast_falls_back_above_the_bound(spark):
-    from cohortlens.operators.joins import bounded_broadcast, is_small
-    small = spark.range(10)
-    big = spark.range(1000)
-    assert is_small(small, 100) and not is_small(big, 100)
-    plan = big.join(bounded_broadcast(spark.range(50), 100), "id")._jdf.queryExecution() \
-        .executedPlan().toString()
-    assert "Broadcast" in plan
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_null_groups_and_null_keys_are_kept(spark):
+    rows = [(None, 1, 10), (None, 1, 20), (None, 3, 5), ("a", None, 7), ("a", 2, 1), ("a", 2, 2)]
+    df = spark.createDataFrame(rows, "g string, k int, x int").repartition(3)
+    got = running_totals(df, "k", ["x"], group_cols=["g"], with_totals=True, ranges=3).collect()
+    assert sorted(((r.g, r.k, r.x, r.cum_x, r.tot_x) for r in got), key=str) == sorted([
+        (None, 1, 10, 30, 35), (None, 1, 20, 30, 35), (None, 3, 5, 35, 35), ("a", None, 7, 7, 10),
+        ("a", 2, 1, 10, 10), ("a", 2, 2, 10, 10)], key=str)
+    ranked = rank_within(df, "g", "k", "x", "r", size_name="n").collect()
+    assert sorted(((r.g, r.x, r.r, r.n) for r in ranked), key=str) == sorted([
+        (None, 10, 1, 3), (None, 20, 2, 3), (None, 5, 3, 3), ("a", 7, 1, 3), ("a", 1, 2, 3),
+        ("a", 2, 3, 3)], key=str)
+
+
+def test_no_job_runs_while_a_running_total_is_planned(spark):
+    df = spark.range(1000).selectExpr("id % 50 as k", "id as x")
+    group = "planning-running-totals"
+    spark.sparkContext.setJobGroup(group, "")
     try:
-        plan2 = big.join(bounded_broadcast(spark.range(500), 100), "id")._jdf.queryExecution() \
-            .executedPlan().toString()
-        assert "BroadcastHashJoin" not in plan2
+        running_totals(df, "k", ["x"])
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) == []
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_top_k_and_latest_row(spark):
