@@ -80,7 +80,7 @@ def as_text(c: Column | str) -> Column:
 def title_case(c: Column | str) -> Column:
     """Python ``str.title()``: upper-case the first letter of every letter run
     (``initcap`` only capitalises after whitespace)."""
-    runs = F.regexp_extract_all(F.lower(_c(c)), F.lit("([a-z]+|[^a-z]+)"), 1)
+    runs = F.regexp_extract_all(F.lower(_c(c)), F.lit(r"(\p{L}+|\P{L}+)"), 1)
     return F.array_join(F.transform(
         runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))), "")
 

@@ -16,7 +16,6 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..schemas import (DIM_GEOGRAPHY, DIM_WOMAN, FACT_ANC, FACT_BIRTH, FACT_MORTALITY, Star,
                        conform)
-from .joins import bounded_broadcast
 from .reshape import births_long, dedupe_keep_min, sisters_long
 
 WEIGHT_SCALE = 1_000_000     # survey weights are stored x 1e6
@@ -82,11 +81,10 @@ def woman_attributes(wide: DataFrame) -> DataFrame:
 
 
 def map_state(women: DataFrame, geography: DataFrame) -> DataFrame:
-    """Attach ``state_id`` by (state_name, urban_rural); the geography side is
-    broadcast after a row-count check (it is bounded by the state labels)."""
+    """Attach ``state_id`` by (state_name, urban_rural); the planner
+    broadcasts the geography side when its size allows."""
     keys = geography.select("state_id", "state_name", "urban_rural")
-    return women.join(bounded_broadcast(keys, sized_by=geography),
-                      ["state_name", "urban_rural"], "left")
+    return women.join(keys, ["state_name", "urban_rural"], "left")
 
 
 def build_woman(wide: DataFrame, geography: DataFrame) -> DataFrame:

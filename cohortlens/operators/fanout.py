@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import flag
 from ..schemas import SKILLED_ATTENDANTS, Star
-from .joins import bounded_broadcast
 
 MODES = ("as_published", "per_entity")
 
@@ -93,15 +92,12 @@ def woman_grain(star: Star, facts: tuple[str, ...] = ("anc", "mort"), *,
 
     Adds ``m_anc``, ``m_mort``, ``m_birth`` (max(1, rows) in ``as_published``
     mode, 1 in ``per_entity`` mode) for every fact in ``facts``.
-    ``with_geography`` inner-joins the geography dimension (broadcast after a
-    row-count check).
+    ``with_geography`` inner-joins the geography dimension; the planner broadcasts
+    it when its size allows.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     w = star.woman
-    if with_geography:
-        geo = star.geography.select("state_id", "state_name", "geopolitical_zone", "urban_rural")
-        w = w.join(bounded_broadcast(geo, sized_by=star.geography), "state_id")
     filled, mults = [], []
     for fact in facts:
         if fact == "birth":
@@ -118,7 +114,11 @@ def woman_grain(star: Star, facts: tuple[str, ...] = ("anc", "mort"), *,
     profile_cols = {c for fact in facts for c in
                     (["birth_n", "birth_skilled"] if fact == "birth" else _PROFILES[fact][1])}
     base = [F.col(c) for c in w.columns if c not in profile_cols]
-    return w.select(*base, *filled, *mults)
+    out = w.select(*base, *filled, *mults)
+    if with_geography:       # last, so the joins on woman_id keep a bucketed layout
+        geo = star.geography.select("state_id", "state_name", "geopolitical_zone", "urban_rural")
+        out = out.join(geo, "state_id")
+    return out
 
 
 MULT_TYPE = "decimal(38,0)"

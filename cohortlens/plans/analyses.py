@@ -21,7 +21,6 @@ from ..functions.scoring import (benchmark_verdict, care_gap_category, composite
                                  min_visits_verdict, sdg_verdict, trend_direction,
                                  trend_label)
 from ..operators.fanout import multiplicity, woman_grain
-from ..operators.joins import bounded_broadcast
 from ..operators.windows import lag_change, lead_drop, order_small, rank_desc, share_within
 from ..schemas import POOR_QUINTILES, SKILLED_ATTENDANTS, Star
 
@@ -188,6 +187,8 @@ def zone_extract(star: Star, mode: str = "as_published") -> DataFrame:
 def _care_by(star: Star, key: str, mode: str, with_age: bool) -> DataFrame:
     g = woman_grain(star, ("anc",), mode=mode)
     a = multiplicity("anc")
+    # per woman: attended at least once; as published: every attended record
+    skilled = F.col("anc_skilled") if mode == "as_published" else F.least(F.col("anc_skilled"), F.lit(1))
     aggs = [F.count(F.lit(1)).alias("total_women")]
     if with_age:
         age = F.col("age_at_survey")
@@ -198,7 +199,7 @@ def _care_by(star: Star, key: str, mode: str, with_age: bool) -> DataFrame:
         .alias("pct_zero_anc_wtd"),
         weight_pct(_wsum(F.col("anc_fac1")), _wsum(F.col("anc_fac_known")))
         .alias("pct_facility_delivery_wtd"),
-        weight_pct(_wsum(F.col("anc_skilled")), _wsum(a)).alias("pct_skilled_wtd"),
+        weight_pct(_wsum(skilled), _wsum(a)).alias("pct_skilled_wtd"),
         weight_pct(_wsum(a, F.col("distance_barrier") == 1), _wsum(a))
         .alias("pct_distance_barrier_wtd"),
         weight_pct(_wsum(a, F.col("has_insurance") == 1), _wsum(a)).alias("pct_insured_wtd"),
@@ -247,8 +248,7 @@ def education_extract(star: Star, mode: str = "as_published") -> DataFrame:
 def yearly_coverage_by_zone(star: Star, years: tuple[int, int] = RECENT_YEARS) -> DataFrame:
     """Births are summed to (woman, year) before the join: the join input is
     bounded by women x years and a woman with many births is reduced map-side."""
-    geo = bounded_broadcast(star.geography.select("state_id", "geopolitical_zone"),
-                            sized_by=star.geography)
+    geo = star.geography.select("state_id", "geopolitical_zone")
     per_woman_year = (star.birth.where(F.col("birth_year").between(*years)
                                        & F.col("delivery_location").isNotNull())
                       .groupBy("woman_id", "birth_year")
@@ -521,8 +521,7 @@ def benchmark_report(star: Star, years: tuple[int, int] = RECENT_YEARS,
 # ---------------------------------------------------------------------------
 
 def share_within_zone(star: Star) -> DataFrame:
-    geo = bounded_broadcast(star.geography.select("state_id", "geopolitical_zone"),
-                            sized_by=star.geography)
+    geo = star.geography.select("state_id", "geopolitical_zone")
     per_woman = (star.anc.where(F.col("delivery_assisted_by").isNotNull())
                  .groupBy("woman_id", "delivery_assisted_by")
                  .agg(F.count(F.lit(1)).alias("n")))

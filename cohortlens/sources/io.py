@@ -6,7 +6,7 @@
 * ``read_indicator``  WHO-style indicator CSV -> typed series with our names
 * ``read_star`` / ``write_star``   conformed tables as Parquet (idempotent)
 * ``read_sql``        SQL text over the conformed tables registered as views
-* ``write_extract``   small result tables as a single CSV for dashboards
+* ``write_extract``   result tables as CSV for dashboards
 """
 
 from __future__ import annotations
@@ -30,36 +30,22 @@ def read_wide(spark: SparkSession, path: str, needed: list[str] | None = None,
     return df
 
 
-def apply_labels(df: DataFrame, labels: DataFrame, columns: list[str],
-                 max_codebook_rows: int = 100_000) -> DataFrame:
+def apply_labels(df: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
     """Decode digit codes with a value-label codebook ``(variable, code, label)``.
-    Codes without a label keep their raw value.
-
-    A codebook is metadata: when it passes the row-count check it becomes one
-    literal map per variable, applied in a single projection (no join, however
-    many columns are labelled).  A larger codebook is joined per column,
-    broadcast only after the same check."""
-    from ..operators.joins import bounded_broadcast, is_small
+    Codes without a label keep their raw value; of several labels of a code the least
+    counts.  Every column of ``columns`` comes back as text, whatever the codebook
+    holds: one join per column, broadcast by the planner where its size allows."""
     book = labels.where(F.col("variable").isin(*columns)) \
         .groupBy("variable", F.col("code").cast("string").alias("code")) \
-        .agg(F.min("label").alias("label"))        # one label per code, deterministic
-    if is_small(book, max_codebook_rows):
-        maps: dict[str, list] = {}
-        for r in book.collect():                       # bounded by the check above
-            maps.setdefault(r.variable, []).extend([F.lit(r.code), F.lit(r.label)])
-        return df.select(*[
-            F.coalesce(F.try_element_at(F.create_map(*maps[c]), F.col(c).cast("string")),
-                       F.col(c).cast("string")).alias(c) if c in maps else F.col(c)
-            for c in df.columns])
+        .agg(F.min("label").alias("label"))
     out = df
-    lab = bounded_broadcast(book, max_codebook_rows)
     for c in columns:
-        m = lab.where(F.col("variable") == c).select(F.col("code").alias(f"_{c}_code"),
-                                                      F.col("label").alias(f"_{c}_label"))
-        out = out.join(m, F.col(c).cast("string") == F.col(f"_{c}_code"), "left") \
+        own = book.where(F.col("variable") == c).select(F.col("code").alias(f"_{c}_code"),
+                                                        F.col("label").alias(f"_{c}_label"))
+        out = out.join(own, F.col(c).cast("string") == F.col(f"_{c}_code"), "left") \
             .withColumn(c, F.coalesce(F.col(f"_{c}_label"), F.col(c).cast("string"))) \
             .drop(f"_{c}_code", f"_{c}_label")
-    return out
+    return out.select(*df.columns)
 
 
 def read_indicator(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -123,13 +109,10 @@ def read_sql(spark: SparkSession, star: Star, text: str) -> DataFrame:
     return spark.sql(text)
 
 
-def write_extract(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
-    """Publish a small aggregate as one CSV file.  Refuses inputs larger than
-    ``max_rows`` (a single output file means a single writing task)."""
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"extract has more than {max_rows} rows; write it partitioned instead")
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_extract(df: DataFrame, path: str) -> None:
+    """Publish a result as a folder of CSV files with a header: one file for an
+    aggregate that fits a partition, more for a larger one."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_star_tables(star: Star, database: str, root: str, buckets: int,
