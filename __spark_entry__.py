@@ -67,6 +67,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "zone_extract": _star(N.zone_extract),
         "rates_by_quintile": _star(N.rates_by_quintile),
         "rates_by_education": _star(N.rates_by_education),
+        "rates_by_quintile_per_entity": _star(N.rates_by_quintile, mode="per_entity"),
+        "rates_by_education_per_entity": _star(N.rates_by_education, mode="per_entity"),
         "wealth_extract": _star(N.wealth_extract),
         "education_extract": _star(N.education_extract),
         "yearly_coverage": _star(N.yearly_coverage),
@@ -272,9 +274,8 @@ def _duplicate_keys(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 def _scan_star(spark, sf_dir):
-    from pyspark.sql import functions as F
     s = analogue_star(spark, sf_dir).star
-    return s.woman.join(F.broadcast(s.geography), "state_id").select(
+    return s.woman.join(s.geography, "state_id").select(
         "woman_id", "dhs_case_id", "state_name", "geopolitical_zone", "urban_rural",
         "age_at_survey", "survey_weight")
 
@@ -293,20 +294,20 @@ def _features(spark, sf_dir):
 
 def _stratified_split(spark, sf_dir):
     from cohortlens.plans.model import stratified_split
-    return stratified_split(_features(spark, sf_dir)).select("woman_id", "label", "is_test")
+    return stratified_split(_features(spark, sf_dir)).select("anc_id", "woman_id", "label", "is_test")
 
 
 def _standardise(spark, sf_dir):
     from pyspark.sql import functions as F
     from cohortlens.plans.model import standardise
     cols = ["age_at_survey", "anc_visits_clean"]
-    f = _features(spark, sf_dir).select("woman_id", *[F.col(c).cast("int").alias(c) for c in cols])
-    return standardise(f, cols).select("woman_id", *[f"{c}_z" for c in cols])
+    f = _features(spark, sf_dir).select("anc_id", *[F.col(c).cast("int").alias(c) for c in cols])
+    return standardise(f, cols).select("anc_id", *[f"{c}_z" for c in cols])
 
 
 def _balanced_weights(spark, sf_dir):
     from cohortlens.plans.model import balanced_weights
-    return balanced_weights(_features(spark, sf_dir)).select("woman_id", "label", "class_weight",
+    return balanced_weights(_features(spark, sf_dir)).select("anc_id", "label", "class_weight",
                                                              "fit_weight")
 
 
@@ -366,8 +367,126 @@ def _model_report(spark, sf_dir):
     return model_report(analogue_star(spark, sf_dir).star, prepared=_prepared(spark, sf_dir))
 
 
+# ---------------------------------------------------------------------------
+# files in and out: write to the shared folder, read back
+# ---------------------------------------------------------------------------
+
+def _folder(spark, name):
+    import uuid
+    from cohortlens.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _wide_csv_labels(spark, sf_dir):
+    """Wide extract written as CSV, read column-pruned, codes replaced by labels."""
+    from cohortlens.sources.io import apply_labels, read_wide
+    path = _folder(spark, "wide-csv")
+    _wide(spark, sf_dir).write.option("header", True).csv(path)
+    book = spark.createDataFrame(
+        [("v106", "0", "no schooling"), ("v106", "1", "primary school"), ("v190", "5", "top fifth"),
+         ("v481", "1", "covered"), ("v481", "1", "insured")],
+        "variable string, code string, label string")
+    wide = read_wide(spark, path, ["caseid", "v012", "v106", "v190", "v481", "not_there"], fmt="csv")
+    return apply_labels(wide, book, ["v106", "v190", "v481"])
+
+
+def _indicator_csv(spark, sf_dir):
+    """Indicator series written with the publisher's headers and read by header name."""
+    from pyspark.sql import functions as F
+    from cohortlens.sources.io import read_indicator
+    path = _folder(spark, "indicator")
+    analogue_star(spark, sf_dir).who_mmr.select(
+        F.col("indicator_code").alias("IndicatorCode"), F.col("location").alias("Location"),
+        F.col("year").alias("Period"), F.col("mmr_value").alias("FactValueNumeric"),
+        F.col("mmr_value_low").alias("FactValueNumericLow"),
+        F.col("mmr_value_high").alias("FactValueNumericHigh")).write.option("header", True).csv(path)
+    return read_indicator(spark, path, "mmr")
+
+
+def _csv_backup(spark, sf_dir):
+    from cohortlens.plans.extracts import backup_tables_csv
+    path = _folder(spark, "backup")
+    backup_tables_csv(analogue_star(spark, sf_dir).star, path)
+    return spark.read.option("header", True).csv(f"{path}/fact_birth")
+
+
+def _star_load(spark, sf_dir):
+    """The seven tables written in foreign-key order, read back and counted."""
+    from cohortlens.operators.quality import row_counts
+    from cohortlens.sources.io import read_star, write_star
+    path = _folder(spark, "star")
+    write_star(analogue_star(spark, sf_dir).star, path)
+    return row_counts(read_star(spark, path))
+
+
+def _published_extract(spark, sf_dir):
+    """All nine extracts published; the zone extract as a dashboard reads it."""
+    from cohortlens.plans.extracts import publish_extracts
+    path = _folder(spark, "extracts")
+    publish_extracts(analogue_star(spark, sf_dir).star, path)
+    return spark.read.option("header", True).schema(
+        "geopolitical_zone string, total_women long, pct_facility_delivery double, "
+        "pct_zero_anc double, pct_skilled_attendant double, pct_insured double, "
+        "pct_distance_barrier double, maternal_deaths long, death_rate double").csv(
+        f"{path}/zone_summary")
+
+
+def _null_counts(spark, sf_dir):
+    from cohortlens.operators.quality import null_profile
+    return null_profile(analogue_star(spark, sf_dir).woman, "dim_woman")
+
+
+def _column_presence(spark, sf_dir):
+    from cohortlens.operators.quality import column_presence
+    return column_presence(spark, analogue_star(spark, sf_dir).t["customer"],
+                           ["c_custkey", "c_acctbal", "c_birthday", "c_mktsegment"])
+
+
+def _surviving_deaths(spark, sf_dir):
+    return _sisters(spark, sf_dir, True).drop("cause_raw")
+
+
+def _top_births(spark, sf_dir):
+    """The ten latest births with their place in the order that the operator gives."""
+    from pyspark.sql import functions as F
+    from cohortlens.operators.ranking import top_k
+    top = top_k(analogue_star(spark, sf_dir).birth, "birth_id", 10).select("birth_id", "woman_id")
+    return top.agg(F.collect_list(F.struct("birth_id", "woman_id")).alias("rows")).select(
+        F.posexplode("rows").alias("position", "row")).select("position", "row.*")
+
+
+def _places(spark, df, cols):
+    """Rows of an ordered report with their positions (a report is a few dozen rows)."""
+    from pyspark.sql.types import IntegerType, StructField, StructType
+    df = df.select(*cols)
+    rows = [(i, *r) for i, r in enumerate(df.collect())]
+    return spark.createDataFrame(rows, StructType([StructField("position", IntegerType()),
+                                                   *df.schema.fields]))
+
+
+def _report_order(spark, sf_dir):
+    return _places(spark, N.care_pathway_by_state(analogue_star(spark, sf_dir).star),
+                   ["pct_facility_delivery"])
+
+
+def _report_order_two_keys(spark, sf_dir):
+    return _places(spark, N.death_profile(analogue_star(spark, sf_dir).star),
+                   ["geopolitical_zone", "women_count"])
+
+
 def _register_more(q):
     q.update({
+        "wide_csv_labels": _wide_csv_labels,
+        "indicator_csv": _indicator_csv,
+        "csv_backup": _csv_backup,
+        "star_load": _star_load,
+        "published_extract": _published_extract,
+        "null_counts": _null_counts,
+        "column_presence": _column_presence,
+        "surviving_deaths": _surviving_deaths,
+        "top_births": _top_births,
+        "report_order": _report_order,
+        "report_order_two_keys": _report_order_two_keys,
         "project_woman": _project_woman,
         "text_normalise": _text_normalise,
         "recode_map": _recode_map,

@@ -10,8 +10,8 @@ view               derived from
 dim_geography      nation JOIN region (state = nation, zone = region)
 dim_woman          customer (one woman per customer)
 fact_birth         orders (one birth per order, years shifted to 2021+)
-fact_anc_delivery  latest order per customer since 2000 (<= 1 per woman)
-fact_mortality     events with event_type = 'error' (many per woman)
+fact_anc_delivery  orders (one care record per order, many per woman)
+fact_mortality     events (one death per event, many per woman)
 who_nigeria_mmr    lineitem by ship year and line status
 who_nigeria_sba    lineitem by ship year
 scored             labels JOIN documents (label + tied integer score)
@@ -85,11 +85,7 @@ BIRTH_COLS = {
         "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 1 ELSE 0 END"),
 }
 
-# ANC: the latest order (by date, then key) per customer since 2000-01-01.
-ANC_SINCE = "2000-01-01"
-# TPC-H domains of the order status and priority columns (fixed values).
-ORDER_STATUS = ["F", "O", "P"]
-ORDER_PRIORITY = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+# ANC: one care record per order (several per woman).
 ANC_COLS = {
     "anc_id": "o_orderkey",
     "woman_id": "o_custkey",
@@ -108,7 +104,6 @@ ANC_COLS = {
         "CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END"),
 }
 
-MORTALITY_EVENT_TYPE = "error"
 MORTALITY_COLS = {
     "mortality_id": "event_id",
     "woman_id": "user_id",
@@ -216,34 +211,12 @@ class AnalogueStar:
 
     @cached_property
     def anc(self) -> DataFrame:
-        # Latest order per customer by (order date, order key).  The ordering is
-        # one long (day number x 2^40 + order key; TPC-H order dates are dates
-        # and keys stay below 2^40) and the picked values are small integers, so
-        # ``max_by`` runs in a hash aggregate with map-side partial aggregation:
-        # a customer with a huge order count is one row per map task before the
-        # shuffle.
-        o = self.t["orders"].where(F.col("o_orderdate") >= F.lit(ANC_SINCE).cast("timestamp_ntz"))
-        day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
-        ord_ = day.cast("long") * F.lit(1 << 40) + F.col("o_orderkey")
-        status = F.array_position(F.array(*[F.lit(x) for x in ORDER_STATUS]), F.col("o_orderstatus"))
-        prio = F.array_position(F.array(*[F.lit(x) for x in ORDER_PRIORITY]),
-                                F.col("o_orderpriority"))
-        latest = o.groupBy("o_custkey").agg(
-            F.max_by("o_orderkey", ord_).alias("o_orderkey"),
-            F.max_by(status, ord_).alias("_status"),
-            F.max_by(prio, ord_).alias("_prio"))
-        latest = latest.select(
-            "o_custkey", "o_orderkey",
-            F.element_at(F.array(*[F.lit(x) for x in ORDER_STATUS]), F.col("_status").cast("int"))
-            .alias("o_orderstatus"),
-            F.element_at(F.array(*[F.lit(x) for x in ORDER_PRIORITY]), F.col("_prio").cast("int"))
-            .alias("o_orderpriority"))
-        return _select(latest, ANC_COLS, FACT_ANC)
+        # One care record per order: a woman has as many as she has orders.
+        return _select(self.t["orders"], ANC_COLS, FACT_ANC)
 
     @cached_property
     def mortality(self) -> DataFrame:
-        ev = self.t["events"].where(F.col("event_type") == MORTALITY_EVENT_TYPE)
-        return _select(ev, MORTALITY_COLS, FACT_MORTALITY)
+        return _select(self.t["events"], MORTALITY_COLS, FACT_MORTALITY)
 
     @cached_property
     def _lineitem_years(self) -> DataFrame:

@@ -1,25 +1,26 @@
 """Raw wide-extract analogue: one row per respondent with numbered slot columns
 and label-or-digit coded values, derived from the driver tables.
 
-* respondent           <- customer (+ nation as state, region as zone)
-* birth slots 1..20    <- the highest order key of each ``o_orderkey % 20`` class
-  of the customer's orders (``bord_NN``, ``b2_NN``, ``b5_NN``); the six most
-  recent slots also carry delivery data (``m15_i``, ``m3a_i`` .. ``m3e_i``) and
-  slot 1 the antenatal answers (``m14_1``, ``m13_1``, ``m70_1``)
-* sister slots 1..9    <- the highest event id of each ``event_id % 9`` class
-  of the user's events (``mm1_NN``, ``mm2_NN``, ``mm4_NN``, ``mm8_NN``, ``mm9_NN``)
-
-Like the survey instrument, the extract has a fixed number of slots, so a
-respondent with more orders than slots keeps one order per slot class.
-
-Slots are picked with a keyed ``max`` (partial aggregation; no window), and the
-raw columns are SQL expressions shared with the DuckDB oracle.  The label lists
-below are fixed values of this test extract.
+* respondent           <- customer and round (+ nation as state, region as zone)
+* birth slots 1..20    <- the customer's orders, latest key first (``bord_NN``,
+  ``b2_NN``, ``b5_NN``); the six most recent slots also carry delivery data
+  (``m15_i``, ``m3a_i`` .. ``m3e_i``) and slot 1 the antenatal answers
+  (``m14_1``, ``m13_1``, ``m70_1``)
+* sister slots 1..9    <- the user's events, latest id first
+  (``mm1_NN``, ``mm2_NN``, ``mm4_NN``, ``mm8_NN``, ``mm9_NN``)
+
+Like the survey instrument, a row has a fixed number of slots.  A customer with
+more orders or events than slots fills several rows (rounds 1, 2, ...), each a
+respondent of its own case id, so every order is a birth and every event a
+sibling; nothing is dropped.
+
+The raw columns are SQL expressions shared with the DuckDB oracle.  The label
+lists below are fixed values of this test extract.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 N_BIRTH_SLOTS = 20
@@ -49,7 +50,7 @@ CAUSE_LABELS = ["died while pregnant", "died during delivery", "since delivery,
                 "violence", "accident", None]
 
 RESPONDENT_COLS = {
-    "caseid": "'   ' || CAST(c_custkey AS STRING) || '  1'",
+    "caseid": "'   ' || CAST(c_custkey AS STRING) || '  ' || CAST(round AS STRING)",
     "v001": "CAST(c_nationkey * 10 + c_custkey % 3 AS INT)",
     "sstate": "CASE WHEN c_custkey % 5 = 0 THEN ' ' || lower(n_name) ELSE upper(n_name) || ' ' END",
     "v024": "CASE WHEN c_custkey % 2 = 0 THEN lower(r_name) ELSE r_name END",
@@ -132,49 +133,31 @@ def wide_extract(spark: SparkSession, sf_dir: str, materialise: bool = True) ->
     return a.extras[key]
 
 
-ORDER_STATUS = ["F", "O", "P"]                                   # TPC-H domain
-EVENT_TYPES = ["view", "error", "signup", "click", "purchase"]   # driver domain
-
-
-def _code(col: str, domain: list[str]) -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in domain]), F.col(col)).cast("int")
-
-
-def _decode(code: Column, domain: list[str]) -> Column:
-    return F.try_element_at(F.array(*[F.lit(x) for x in domain]), code)
+def _rounds(rows: DataFrame, owner: str, key: str, slots: int, fields: dict[str, str],
+            prefix: str) -> DataFrame:
+    """One row per (owner, round) with the ``fields`` of its ``slots`` rows side by
+    side: ``<prefix><slot>_<name>``.  The place of a row is its rank by descending
+    key within its owner."""
+    place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc(key))) - 1
+    placed = rows.select(owner, *fields.values(), place.alias("_place"))
+    slot = F.col("_place") % slots + 1
+    return placed.groupBy(F.col(owner).alias("c_custkey"), (F.floor(
+        F.col("_place") / slots) + 1).cast("int").alias("round")).agg(*[
+            F.max(F.when(slot == i, F.col(source))).alias(f"{prefix}{i}_{name}")
+            for i in range(1, slots + 1) for name, source in fields.items()])
 
 
 def _build_wide(t) -> DataFrame:
-    """Slots are picked with hash-aggregatable aggregates: the slot's key is a
-    plain ``max`` and its other fields ride along as ``max_by`` of small
-    integers ordered by that key (NULL orderings, i.e. other slots, are
-    skipped), so a respondent with many rows is reduced map-side."""
-    orders, events = t["orders"], t["events"]
-    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date"))
-    oaggs = []
-    for i in range(1, N_BIRTH_SLOTS + 1):
-        key = F.when(F.col("o_orderkey") % N_BIRTH_SLOTS == i - 1, F.col("o_orderkey"))
-        oaggs += [F.max(key).alias(f"o{i}_k"), F.max_by(day, key).alias(f"_o{i}_day"),
-                  F.max_by(_code("o_orderstatus", ORDER_STATUS), key).alias(f"_o{i}_st")]
-    oslots = orders.groupBy("o_custkey").agg(*oaggs)
-    oflat = oslots.select(F.col("o_custkey").alias("c_custkey"), *[
-        c for i in range(1, N_BIRTH_SLOTS + 1) for c in (
-            F.col(f"o{i}_k"),
-            F.date_add(F.lit("1970-01-01").cast("date"), F.col(f"_o{i}_day")).alias(f"o{i}_d"),
-            _decode(F.col(f"_o{i}_st"), ORDER_STATUS).alias(f"o{i}_st"))])
-    eaggs = []
-    for j in range(1, N_SISTER_SLOTS + 1):
-        key = F.when(F.col("event_id") % N_SISTER_SLOTS == j - 1, F.col("event_id"))
-        eaggs += [F.max(key).alias(f"e{j}_id"),
-                  F.max_by(_code("event_type", EVENT_TYPES), key).alias(f"_e{j}_type")]
-    eslots = events.groupBy("user_id").agg(*eaggs)
-    eflat = eslots.select(F.col("user_id").alias("c_custkey"), *[
-        c for j in range(1, N_SISTER_SLOTS + 1) for c in (
-            F.col(f"e{j}_id"), _decode(F.col(f"_e{j}_type"), EVENT_TYPES).alias(f"e{j}_type"))])
+    births = _rounds(t["orders"], "o_custkey", "o_orderkey", N_BIRTH_SLOTS,
+                     {"k": "o_orderkey", "d": "o_orderdate", "st": "o_orderstatus"}, "o")
+    sisters = _rounds(t["events"], "user_id", "event_id", N_SISTER_SLOTS,
+                      {"id": "event_id", "type": "event_type"}, "e")
+    filled = births.join(sisters, ["c_custkey", "round"], "full")
     # nation (25 rows) and region (5 rows) have a fixed size at every scale factor
     geo = t["nation"].join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
     base = (t["customer"].join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(oflat, "c_custkey", "left").join(eflat, "c_custkey", "left"))
+            .join(filled, "c_custkey", "left")
+            .withColumn("round", F.coalesce("round", F.lit(1))))
     return base.select(*[F.expr(e).alias(k) for k, e in wide_cols().items()])
 
 
@@ -183,30 +166,31 @@ def _build_wide(t) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def oracle_views() -> dict[str, str]:
-    okeys = ", ".join(
-        f"max(CASE WHEN o_orderkey % {N_BIRTH_SLOTS} = {i - 1} THEN o_orderkey END) AS k{i}"
-        for i in range(1, N_BIRTH_SLOTS + 1))
-    ekeys = ", ".join(
-        f"max(CASE WHEN event_id % {N_SISTER_SLOTS} = {j - 1} THEN event_id END) AS k{j}"
-        for j in range(1, N_SISTER_SLOTS + 1))
-    sel = ["c.*", "n.*", "r.*"]
-    joins = []
-    for i in range(1, N_BIRTH_SLOTS + 1):
-        sel += [f"o{i}.o_orderkey AS o{i}_k", f"o{i}.o_orderdate AS o{i}_d",
-                f"o{i}.o_orderstatus AS o{i}_st"]
-        joins.append(f"LEFT JOIN orders o{i} ON o{i}.o_orderkey = ok.k{i}")
-    for j in range(1, N_SISTER_SLOTS + 1):
-        sel += [f"e{j}.event_id AS e{j}_id", f"e{j}.event_type AS e{j}_type"]
-        joins.append(f"LEFT JOIN events e{j} ON e{j}.event_id = ek.k{j}")
-    slots = (f"SELECT {', '.join(sel)} FROM customer c "
-             "JOIN nation n ON c.c_nationkey = n.n_nationkey "
-             "JOIN region r ON n.n_regionkey = r.r_regionkey "
-             "LEFT JOIN order_slot_keys ok ON ok.o_custkey = c.c_custkey "
-             "LEFT JOIN event_slot_keys ek ON ek.user_id = c.c_custkey " + " ".join(joins))
+    def placed(table: str, owner: str, key: str, slots: int) -> str:
+        return (f"SELECT *, CAST((n - 1) // {slots} + 1 AS INT) AS round, (n - 1) % {slots} + 1 AS slot "
+                f"FROM (SELECT *, row_number() OVER (PARTITION BY {owner} ORDER BY {key} DESC) AS n "
+                f"FROM {table})")
+
+    births = ", ".join(f"max(o_orderkey) FILTER (slot = {i}) AS o{i}_k, "
+                       f"max(o_orderdate) FILTER (slot = {i}) AS o{i}_d, "
+                       f"max(o_orderstatus) FILTER (slot = {i}) AS o{i}_st"
+                       for i in range(1, N_BIRTH_SLOTS + 1))
+    sisters = ", ".join(f"max(event_id) FILTER (slot = {j}) AS e{j}_id, "
+                        f"max(event_type) FILTER (slot = {j}) AS e{j}_type"
+                        for j in range(1, N_SISTER_SLOTS + 1))
+    slots = ("SELECT c.*, n.*, r.*, f.* EXCLUDE (c_custkey, round), coalesce(f.round, 1) AS round "
+             "FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey "
+             "JOIN region r ON n.n_regionkey = r.r_regionkey LEFT JOIN "
+             "(SELECT * FROM birth_rounds FULL JOIN sister_rounds USING (c_custkey, round)) f "
+             "ON f.c_custkey = c.c_custkey")
     wide = "SELECT " + ", ".join(f"{e} AS {k}" for k, e in wide_cols().items()) + " FROM slots"
     return {
-        "order_slot_keys": f"SELECT o_custkey, {okeys} FROM orders GROUP BY o_custkey",
-        "event_slot_keys": f"SELECT user_id, {ekeys} FROM events GROUP BY user_id",
+        "order_places": placed("orders", "o_custkey", "o_orderkey", N_BIRTH_SLOTS),
+        "event_places": placed("events", "user_id", "event_id", N_SISTER_SLOTS),
+        "birth_rounds": f"SELECT o_custkey AS c_custkey, round, {births} FROM order_places "
+                        "GROUP BY o_custkey, round",
+        "sister_rounds": f"SELECT user_id AS c_custkey, round, {sisters} FROM event_places "
+                         "GROUP BY user_id, round",
         "slots": slots,
         "wide": wide,
     }

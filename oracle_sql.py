@@ -22,10 +22,7 @@ def _cols(cols: dict[str, str]) -> str:
 
 
 def _views() -> str:
-    anc_src = (
-        "(SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '" + A.ANC_SINCE + "' "
-        "QUALIFY row_number() OVER (PARTITION BY o_custkey "
-        "ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) AS o")
+    anc_src = "orders AS o"
     mmr_keys = ", ".join(f"{e} AS {k}" for k, e in A.MMR_KEYS.items())
     mmr_aggs = ", ".join(f"{e} AS {k}" for k, e in A.MMR_AGGS.items())
     sba_keys = ", ".join(f"{e} AS {k}" for k, e in A.SBA_KEYS.items())
@@ -36,8 +33,7 @@ def _views() -> str:
         "dim_woman": f"SELECT {_cols(A.WOMAN_COLS)} FROM customer",
         "fact_birth": f"SELECT {_cols(A.BIRTH_COLS)} FROM orders",
         "fact_anc_delivery": f"SELECT {_cols(A.ANC_COLS)} FROM {anc_src}",
-        "fact_maternal_mortality": f"SELECT {_cols(A.MORTALITY_COLS)} FROM events "
-                                   f"WHERE event_type = '{A.MORTALITY_EVENT_TYPE}'",
+        "fact_maternal_mortality": f"SELECT {_cols(A.MORTALITY_COLS)} FROM events",
         "who_nigeria_mmr": f"SELECT {mmr_keys}, {mmr_aggs}, '{A.INDICATOR_LOCATION}' AS location "
                            "FROM lineitem GROUP BY ALL",
         "who_sba_raw": f"SELECT {sba_keys}, {sba_aggs} FROM lineitem GROUP BY ALL",
@@ -133,30 +129,40 @@ SELECT *, CASE WHEN pct_facility_delivery < 20 AND pct_zero_anc > 30 THEN 'Criti
 FROM sc"""
 
 
-def _zone_summary(published: bool) -> str:
-    if published:
-        src = (f"{GEO_JOIN} LEFT JOIN fact_anc_delivery fa ON dw.woman_id = fa.woman_id "
-               "LEFT JOIN fact_maternal_mortality fm ON dw.woman_id = fm.woman_id")
-    else:
-        # per entity: one row per woman and her (<= 1) anc row; deaths counted apart
-        src = f"{GEO_JOIN} LEFT JOIN fact_anc_delivery fa ON dw.woman_id = fa.woman_id"
-    deaths = ("COUNT(DISTINCT CASE WHEN fm.pregnancy_related = 1 THEN fm.mortality_id END)"
-              if published else "0")
-    return f"""
-WITH z AS (
-  SELECT dg.geopolitical_zone, COUNT(DISTINCT dw.woman_id) AS total_women,
-         ROUND(AVG(dw.age_at_survey), 1) AS mean_age,
+_ZONE_WOMEN = f"""COUNT(DISTINCT dw.woman_id) AS total_women, ROUND(AVG(dw.age_at_survey), 1) AS mean_age,
          {wpct(ws("dw.education_level = 'None'"), ws())} AS pct_no_education_wtd,
          {wpct(ws("dw.wealth_index IN ('Poorest', 'Poor')"), ws())} AS pct_poorest_poor_wtd,
          {wpct(ws('dw.has_insurance = 1'), ws())} AS pct_insured_wtd,
-         {wpct(ws('dw.distance_barrier = 1'), ws())} AS pct_distance_barrier_wtd,
+         {wpct(ws('dw.distance_barrier = 1'), ws())} AS pct_distance_barrier_wtd"""
+
+
+def _zone_summary(published: bool) -> str:
+    """As published: the three-way fan-out, deaths and records counted distinct.  Per
+    entity: a woman and her summed care records once; deaths are added by the caller."""
+    if published:
+        body = f"""
+  SELECT dg.geopolitical_zone, {_ZONE_WOMEN},
          {cpct(flagsum('fa.facility_delivery = 1'), 'COUNT(DISTINCT fa.anc_id)')} AS pct_facility_delivery,
          {cpct(flagsum('fa.anc_visits = 0'), 'COUNT(DISTINCT fa.anc_id)')} AS pct_zero_anc,
          {cpct(flagsum('fa.delivery_assisted_by IN ' + SKILLED), 'COUNT(DISTINCT fa.anc_id)')}
            AS pct_skilled_attendant,
-         {deaths} AS maternal_deaths
-  FROM {src}
-  GROUP BY dg.geopolitical_zone)
+         COUNT(DISTINCT CASE WHEN fm.pregnancy_related = 1 THEN fm.mortality_id END) AS maternal_deaths
+  FROM {GEO_JOIN} LEFT JOIN fact_anc_delivery fa ON dw.woman_id = fa.woman_id
+       LEFT JOIN fact_maternal_mortality fm ON dw.woman_id = fm.woman_id
+  GROUP BY dg.geopolitical_zone"""
+    else:
+        body = f"""
+  SELECT dg.geopolitical_zone, {_ZONE_WOMEN}, {cpct('SUM(fac)', 'SUM(n)')} AS pct_facility_delivery,
+         {cpct('SUM(zero)', 'SUM(n)')} AS pct_zero_anc,
+         {cpct('SUM(attended)', 'SUM(n)')} AS pct_skilled_attendant, 0 AS maternal_deaths
+  FROM {GEO_JOIN} LEFT JOIN (
+      SELECT woman_id, COUNT(*) AS n, COUNT(*) FILTER (facility_delivery = 1) AS fac,
+             COUNT(*) FILTER (anc_visits = 0) AS zero,
+             COUNT(*) FILTER (delivery_assisted_by IN {SKILLED}) AS attended
+      FROM fact_anc_delivery GROUP BY woman_id) care ON dw.woman_id = care.woman_id
+  GROUP BY dg.geopolitical_zone"""
+    return f"""
+WITH z AS ({body})
 SELECT *, {cpct('maternal_deaths', 'total_women', 2, 1000)} AS maternal_death_rate
 FROM z"""
 
@@ -211,7 +217,34 @@ WITH c AS (
 SELECT *, {rank_desc('pct_facility_delivery_wtd')} AS facility_delivery_rank FROM c"""
 
 
+def _care_once(key: str, with_age: bool) -> str:
+    """Every woman once; an attendance rate is the share of women attended at all."""
+    age = "ROUND(AVG(age_at_survey), 1) AS mean_age," if with_age else ""
+    return f"""
+WITH w AS (
+  SELECT d.woman_id, ANY_VALUE(d.{key}) AS {key}, ANY_VALUE(age_at_survey) AS age_at_survey,
+         ANY_VALUE(survey_weight) AS weight, ANY_VALUE(has_insurance) AS insured,
+         ANY_VALUE(distance_barrier) AS far, SUM(anc_visits) AS visits, COUNT(anc_visits) AS known,
+         COUNT(*) FILTER (anc_visits = 0) AS zero, COUNT(*) FILTER (facility_delivery = 1) AS fac,
+         COUNT(facility_delivery) AS fac_known,
+         bool_or(coalesce(delivery_assisted_by IN {SKILLED}, false)) AS attended
+  FROM dim_woman d LEFT JOIN fact_anc_delivery a ON a.woman_id = d.woman_id GROUP BY d.woman_id),
+c AS (
+  SELECT {key}, COUNT(*) AS total_women, {age}
+         ROUND(CAST(SUM(visits) AS DOUBLE) / NULLIF(SUM(known), 0), 1) AS mean_anc_visits,
+         ROUND(SUM(weight * zero) / NULLIF(SUM(weight * known), 0) * 100, 1) AS pct_zero_anc_wtd,
+         ROUND(SUM(weight * fac) / NULLIF(SUM(weight * fac_known), 0) * 100, 1)
+           AS pct_facility_delivery_wtd,
+         ROUND(SUM(weight * CAST(attended AS INT)) / SUM(weight) * 100, 1) AS pct_skilled_wtd,
+         ROUND(coalesce(SUM(weight) FILTER (far = 1), 0) / SUM(weight) * 100, 1) AS pct_distance_barrier_wtd,
+         ROUND(coalesce(SUM(weight) FILTER (insured = 1), 0) / SUM(weight) * 100, 1) AS pct_insured_wtd
+  FROM w GROUP BY {key})
+SELECT *, {rank_desc('pct_facility_delivery_wtd')} AS facility_delivery_rank FROM c"""
+
+
 Q["rates_by_quintile"] = _care_by("wealth_index", False)
+Q["rates_by_quintile_per_entity"] = _care_once("wealth_index", False)
+Q["rates_by_education_per_entity"] = _care_once("education_level", True)
 Q["rates_by_education"] = _care_by("education_level", True)
 
 
@@ -422,7 +455,7 @@ WITH wa AS (
   SELECT {wpct(ws('fa.facility_delivery = 1'), ws('fa.facility_delivery IS NOT NULL'))} AS dhs_facility_delivery,
          {wpct(ws('fa.anc_visits = 0'), ws('fa.anc_visits IS NOT NULL'))} AS dhs_zero_anc,
          ROUND(AVG(fa.anc_visits), 1) AS dhs_mean_anc,
-         {wpct(ws('dw.has_insurance = 1'), ws())} AS dhs_insurance,
+         (SELECT {wpct(ws('dw.has_insurance = 1'), ws())} FROM dim_woman dw) AS dhs_insurance,
          {wpct(ws('fa.postnatal_check = 1'), ws('fa.postnatal_check IS NOT NULL'))} AS dhs_postnatal_care
   FROM dim_woman dw LEFT JOIN fact_anc_delivery fa ON dw.woman_id = fa.woman_id),
 wb AS (
@@ -437,12 +470,17 @@ SELECT wa.dhs_facility_delivery, wb.dhs_skilled_attendant, wa.dhs_zero_anc, wa.d
        wa.dhs_insurance, wm.dhs_maternal_deaths, wa.dhs_postnatal_care
 FROM wa, wb, wm"""
 
+_CARE_PER_WOMAN = """
+  SELECT woman_id, COUNT(*) FILTER (facility_delivery = 1) AS fac, COUNT(facility_delivery) AS fac_known,
+         COUNT(*) FILTER (anc_visits = 0) AS zero, COUNT(anc_visits) AS visits_known
+  FROM fact_anc_delivery GROUP BY woman_id"""
+
 Q["death_profile_per_entity"] = f"""
 WITH cat AS (SELECT DISTINCT woman_id FROM fact_maternal_mortality WHERE pregnancy_related = 1),
 women AS (
-  SELECT dw.*, dg.geopolitical_zone, fa.anc_visits, fa.facility_delivery
+  SELECT dw.*, dg.geopolitical_zone, care.* EXCLUDE (woman_id)
   FROM {GEO_JOIN} JOIN cat ON cat.woman_id = dw.woman_id
-       LEFT JOIN fact_anc_delivery fa ON dw.woman_id = fa.woman_id),
+       LEFT JOIN ({_CARE_PER_WOMAN}) care ON dw.woman_id = care.woman_id),
 ages AS (
   SELECT dg.geopolitical_zone, ROUND(AVG(fm.sibling_age_at_death), 1) AS mean_age_at_death
   FROM {GEO_JOIN} JOIN fact_maternal_mortality fm ON dw.woman_id = fm.woman_id
@@ -454,9 +492,8 @@ z AS (
            AS pct_poorest_poor,
          {wpct(ws('has_insurance = 1', 'survey_weight'), ws(None, 'survey_weight'))} AS pct_insured,
          {wpct(ws('distance_barrier = 1', 'survey_weight'), ws(None, 'survey_weight'))} AS pct_distance_barrier,
-         {wpct(ws('facility_delivery = 1', 'survey_weight'), ws('facility_delivery IS NOT NULL', 'survey_weight'))}
-           AS pct_facility_delivery,
-         {wpct(ws('anc_visits = 0', 'survey_weight'), ws('anc_visits IS NOT NULL', 'survey_weight'))} AS pct_zero_anc
+         {wpct('SUM(survey_weight * fac)', 'SUM(survey_weight * fac_known)')} AS pct_facility_delivery,
+         {wpct('SUM(survey_weight * zero)', 'SUM(survey_weight * visits_known)')} AS pct_zero_anc
   FROM women GROUP BY geopolitical_zone)
 SELECT z.*, ages.mean_age_at_death FROM z LEFT JOIN ages USING (geopolitical_zone)"""
 
@@ -541,14 +578,32 @@ def oracle_sql() -> dict[str, str]:
 # ETL layer (raw wide extract)
 # ---------------------------------------------------------------------------
 
-from cohortlens.functions import text as T  # noqa: E402
 from cohortlens.sources.rawviews import (N_BIRTH_SLOTS, N_DELIVERY_SLOTS,  # noqa: E402
                                          N_SISTER_SLOTS)
 
 
 def TITLE(x: str) -> str:
     return (f"array_to_string(list_transform(regexp_extract_all(lower(trim({x})), "
-            f"'([a-z]+|[^a-z]+)'), lambda s: upper(s[1]) || s[2:]), '')")
+            f"'(\\p{{L}}+|\\P{{L}}+)'), lambda s: upper(s[1]) || s[2:]), '')")
+
+
+# Survey answers and the words that name a place, an attendant or a cause.
+EDUCATION = [("None", ["0", "no education"]), ("Primary", ["1", "primary"]),
+             ("Secondary", ["2", "secondary"]), ("Higher", ["3", "higher"])]
+WEALTH = [("Poorest", ["1", "poorest"]), ("Poor", ["2", "poorer"]), ("Middle", ["3", "middle"]),
+          ("Rich", ["4", "richer"]), ("Richest", ["5", "richest"])]
+ANSWER = [(0, ["0", "no"]), (1, ["1", "yes"])]
+ALIVE = [(1, ["1", "yes"]), (0, ["0", "no", "dead"])]
+BARRIER = [(1, ["1", "big problem"]), (0, ["2", "3", "not a big problem", "not a problem"])]
+AT_HOME = ["home", "respondent", "her home", "other home", "parents"]
+GOVERNMENT = ["government", "public", "health centre", "health post", "hospital", "maternity",
+              "dispensary"]
+PRIVATE = ["private", "clinic", "ngo", "mission"]
+FACILITIES = ["government", "public", "private", "clinic", "hospital", "health centre",
+              "health post", "ngo", "mission"]
+MATERNAL_CAUSES = ["pregnant", "delivery", "6 weeks", "2 months", "died while", "died during"]
+ATTENDANTS = [("m3a", "Doctor"), ("m3b", "Nurse or Midwife"), ("m3c", "Auxiliary Midwife"),
+              ("m3d", "Traditional Birth Attendant"), ("m3e", "Other")]
 
 
 def KEY(x: str) -> str:
@@ -563,9 +618,9 @@ def _lit(v) -> str:
     return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
 
-def RECODE(x: str, mapping: dict) -> str:
-    return ("CASE " + " ".join(f"WHEN {KEY(x)} = {_lit(k)} THEN {_lit(v)}"
-                               for k, v in mapping.items()) + " END")
+def RECODE(x: str, answers: list) -> str:
+    return ("CASE " + " ".join(f"WHEN {KEY(x)} IN ({', '.join(map(_lit, codes))}) THEN {_lit(v)}"
+                               for v, codes in answers) + " END")
 
 
 def ANY(x: str, words: list[str]) -> str:
@@ -587,14 +642,14 @@ def DBL(x: str) -> str:
 
 
 def LOCATION(x: str) -> str:
-    return (f"CASE WHEN {ANY(x, T.HOME_WORDS)} THEN 'Home' "
-            f"WHEN {ANY(x, T.PUBLIC_WORDS)} THEN 'Government Facility' "
-            f"WHEN {ANY(x, T.PRIVATE_WORDS)} THEN 'Private Facility' "
+    return (f"CASE WHEN {ANY(x, AT_HOME)} THEN 'Home' "
+            f"WHEN {ANY(x, GOVERNMENT)} THEN 'Government Facility' "
+            f"WHEN {ANY(x, PRIVATE)} THEN 'Private Facility' "
             f"WHEN {TXT(x)} IN ('nan', 'none', '') THEN NULL ELSE 'Other' END")
 
 
 def FACILITY(x: str) -> str:
-    return (f"CASE WHEN {ANY(x, T.FACILITY_WORDS)} THEN 1 "
+    return (f"CASE WHEN {ANY(x, FACILITIES)} THEN 1 "
             f"WHEN {TXT(x)} IN ('nan', 'none', '') THEN NULL ELSE 0 END")
 
 
@@ -604,7 +659,7 @@ def YES(x: str) -> str:
 
 SKILLED_FLAG = "CASE WHEN " + " OR ".join(YES(c) for c in ("m3a", "m3b", "m3c")) \
     + " THEN 1 ELSE 0 END"
-PRIORITY = ("CASE " + " ".join(f"WHEN {YES(k)} THEN {_lit(v)}" for k, v in T.ATTENDANT_PRIORITY)
+PRIORITY = ("CASE " + " ".join(f"WHEN {YES(k)} THEN {_lit(v)}" for k, v in ATTENDANTS)
             + " ELSE 'None' END")
 
 
@@ -622,7 +677,7 @@ def TRIMESTER(x: str) -> str:
 
 
 def CAUSE(x: str) -> str:
-    return (f"CASE WHEN {ANY(x, T.PREGNANCY_WORDS)} THEN 1 "
+    return (f"CASE WHEN {ANY(x, MATERNAL_CAUSES)} THEN 1 "
             f"WHEN contains({TXT(x)}, 'not related') THEN 0 END")
 
 
@@ -666,9 +721,9 @@ SELECT trim(caseid) AS dhs_case_id, {TITLE('sstate')} AS state_name,
        {TITLE('v024')} AS geopolitical_zone, {TITLE('v102')} AS urban_rural FROM wide"""
 
 Q["recode_map"] = f"""
-SELECT trim(caseid) AS dhs_case_id, {RECODE('v106', T.EDUCATION_MAP)} AS education_level,
-       {RECODE('v190', T.WEALTH_MAP)} AS wealth_index, {RECODE('v481', T.YES_NO_MAP)} AS has_insurance,
-       {RECODE('v467d', T.DISTANCE_MAP)} AS distance_barrier,
+SELECT trim(caseid) AS dhs_case_id, {RECODE('v106', EDUCATION)} AS education_level,
+       {RECODE('v190', WEALTH)} AS wealth_index, {RECODE('v481', ANSWER)} AS has_insurance,
+       {RECODE('v467d', BARRIER)} AS distance_barrier,
        {DBL('v005')} / CAST(1000000 AS DOUBLE) AS survey_weight FROM wide"""
 
 Q["coerce_numeric"] = f"""
@@ -683,7 +738,7 @@ Q["any_flag"] = f"SELECT dhs_case_id, birth_number, {SKILLED_FLAG} AS skilled_at
 Q["priority_label"] = f"SELECT dhs_case_id, birth_number, {PRIORITY} AS delivery_assisted_by FROM ({_BIRTHS}) b"
 Q["wide_to_long"] = f"""
 SELECT dhs_case_id, birth_number, {INTOF('bo')} AS birth_order, {INTOF('byr')} AS birth_year,
-       {RECODE('ca', T.CHILD_ALIVE_MAP)} AS child_alive FROM ({_BIRTHS}) b"""
+       {RECODE('ca', ALIVE)} AS child_alive FROM ({_BIRTHS}) b"""
 
 Q["clean_counts"] = f"""
 SELECT trim(caseid) AS dhs_case_id, m14_1 AS anc_visits_raw, {VISITS('m14_1')} AS anc_visits FROM wide"""
@@ -714,11 +769,55 @@ UNION ALL SELECT 'fact_birth', (SELECT COUNT(*) FROM ({_BIRTHS}) b)
 UNION ALL SELECT 'fact_anc_delivery', (SELECT COUNT(*) FROM wide WHERE m15_1 IS NOT NULL)
 UNION ALL SELECT 'fact_maternal_mortality', (SELECT COUNT(*) FROM sis2 WHERE {_MORT_FILTER})"""
 
-Q["fk_lookup_unmapped"] = """
-SELECT 'dim_woman.state_id' AS foreign_key, CAST(0 AS BIGINT) AS unmapped_rows
-UNION ALL SELECT 'fact_birth.woman_id', 0
-UNION ALL SELECT 'fact_anc_delivery.woman_id', 0
-UNION ALL SELECT 'fact_maternal_mortality.woman_id', 0"""
+Q["fk_lookup_unmapped"] = f"""
+WITH {_GEO_RAW}, {_SIS},
+known AS (SELECT DISTINCT trim(caseid) AS dhs_case_id FROM wide)
+SELECT 'dim_woman.state_id' AS foreign_key, (SELECT COUNT(*) FROM wide WHERE NOT EXISTS (
+    SELECT 1 FROM geo WHERE state_name = {TITLE('sstate')} AND urban_rural = {TITLE('v102')}))
+    AS unmapped_rows
+UNION ALL SELECT 'fact_birth.woman_id', (SELECT COUNT(*) FROM ({_BIRTHS}) b ANTI JOIN known USING (dhs_case_id))
+UNION ALL SELECT 'fact_anc_delivery.woman_id', (SELECT COUNT(*) FROM (
+    SELECT trim(caseid) AS dhs_case_id FROM wide WHERE m15_1 IS NOT NULL) a ANTI JOIN known USING (dhs_case_id))
+UNION ALL SELECT 'fact_maternal_mortality.woman_id', (SELECT COUNT(*) FROM (
+    SELECT * FROM sis2 WHERE {_MORT_FILTER}) m ANTI JOIN known USING (dhs_case_id))"""
+
+Q["surviving_deaths"] = f"""
+WITH {_SIS} SELECT dhs_case_id, sibling_number, sex AS sibling_sex, alive AS sibling_alive,
+       years_since_death, sibling_age_at_death, death_year, pregnancy_related
+FROM sis2 WHERE {_MORT_FILTER}"""
+
+Q["wide_csv_labels"] = """
+SELECT trim(caseid) AS caseid, CAST(v012 AS VARCHAR) AS v012,
+       CASE trim(v106) WHEN '0' THEN 'no schooling' WHEN '1' THEN 'primary school' ELSE trim(v106) END AS v106,
+       CASE trim(v190) WHEN '5' THEN 'top fifth' ELSE trim(v190) END AS v190,
+       CASE trim(v481) WHEN '1' THEN 'covered' ELSE trim(v481) END AS v481 FROM wide"""
+
+Q["indicator_csv"] = """
+SELECT year, mmr_value, mmr_value_low, mmr_value_high, location, indicator_code FROM who_nigeria_mmr"""
+
+Q["csv_backup"] = "SELECT COLUMNS(*)::VARCHAR FROM fact_birth"
+
+Q["null_counts"] = "SELECT 'dim_woman' AS table_name, column_name, null_count FROM (" \
+    "SELECT " + ", ".join(f"COUNT(*) - COUNT({c}) AS {c}" for c in A.WOMAN_COLS) \
+    + " FROM dim_woman) UNPIVOT (null_count FOR column_name IN (" + ", ".join(A.WOMAN_COLS) + "))"
+
+Q["column_presence"] = """
+SELECT c AS column_name, CASE WHEN EXISTS (
+    SELECT 1 FROM information_schema.columns WHERE table_name = 'customer' AND column_name = c)
+  THEN 'FOUND' ELSE 'MISSING' END AS status
+FROM (VALUES ('c_custkey'), ('c_acctbal'), ('c_birthday'), ('c_mktsegment')) AS needed(c)"""
+
+Q["top_births"] = """
+SELECT CAST(row_number() OVER (ORDER BY birth_id DESC) - 1 AS INTEGER) AS position, birth_id, woman_id
+FROM fact_birth QUALIFY position < 10"""
+
+Q["report_order"] = f"""
+SELECT CAST(row_number() OVER (ORDER BY pct_facility_delivery NULLS FIRST) - 1 AS INTEGER) AS position,
+       pct_facility_delivery FROM ({Q['care_pathway_by_state']}) t"""
+
+Q["report_order_two_keys"] = f"""
+SELECT CAST(row_number() OVER (ORDER BY geopolitical_zone, women_count DESC) - 1 AS INTEGER) AS position,
+       geopolitical_zone, women_count FROM ({Q['death_profile']}) t"""
 
 # ---------------------------------------------------------------------------
 # quality checks
@@ -774,6 +873,9 @@ Q["row_counts"] = " UNION ALL ".join(
     ["who_nigeria_sba", "who_nigeria_mmr", "dim_geography", "dim_woman", "fact_birth",
      "fact_anc_delivery", "fact_maternal_mortality"])
 
+Q["star_load"] = Q["row_counts"]
+Q["published_extract"] = Q["zone_extract"]
+
 Q["value_frequency"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, "
     f"COUNT(*) AS n FROM {t} GROUP BY {c}" for t, c in
@@ -821,29 +923,37 @@ SELECT dw.woman_id, dw.dhs_case_id, dg.state_name, dg.geopolitical_zone, dg.urba
        dw.age_at_survey, dw.survey_weight
 FROM dim_woman dw JOIN dim_geography dg ON dw.state_id = dg.state_id"""
 
-from cohortlens.plans.model import EDUCATION_ORDER, MODEL_PULL_SQL, WEALTH_ORDER  # noqa: E402
+_MODEL_ROWS = """
+SELECT f.anc_id, w.woman_id, w.age_at_survey, w.education_level, w.wealth_index, w.has_insurance,
+       w.distance_barrier, w.survey_weight, g.geopolitical_zone, g.urban_rural, f.anc_visits,
+       f.first_anc_trimester, f.facility_delivery
+FROM dim_woman w, dim_geography g, fact_anc_delivery f
+WHERE w.state_id = g.state_id AND f.woman_id = w.woman_id AND f.facility_delivery IN (0, 1)"""
 
-Q["sql_pull_model_rows"] = MODEL_PULL_SQL
+Q["sql_pull_model_rows"] = _MODEL_ROWS
 
+# The ordinal codes of the model.
+EDUCATION_RANK = ["None", "Primary", "Secondary", "Higher"]
+WEALTH_RANK = ["Poorest", "Poor", "Middle", "Rich", "Richest"]
 _ZONES = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]   # the driver's region names
 
 
-def _ord(col: str, order: dict) -> str:
-    return "CASE " + " ".join(f"WHEN {col} = '{k}' THEN {v}" for k, v in order.items()) + " END"
+def _ord(col: str, order: list) -> str:
+    return f"list_position({order}, {col}) - 1"
 
 
 _FEATURES = f"""
 feat AS (
-  SELECT woman_id, CAST(age_at_survey AS DOUBLE) AS age_at_survey,
-         CAST({_ord('education_level', EDUCATION_ORDER)} AS DOUBLE) AS education_num,
-         CAST({_ord('wealth_index', WEALTH_ORDER)} AS DOUBLE) AS wealth_num,
+  SELECT anc_id, woman_id, CAST(age_at_survey AS DOUBLE) AS age_at_survey,
+         CAST({_ord('education_level', EDUCATION_RANK)} AS DOUBLE) AS education_num,
+         CAST({_ord('wealth_index', WEALTH_RANK)} AS DOUBLE) AS wealth_num,
          CAST(has_insurance AS DOUBLE) AS has_insurance, CAST(distance_barrier AS DOUBLE) AS distance_barrier,
          CAST(coalesce(anc_visits, 0) AS DOUBLE) AS anc_visits_clean,
          CAST(coalesce(first_anc_trimester, 0) AS DOUBLE) AS trimester_clean,
          CASE WHEN urban_rural = 'Urban' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS urban,
          {', '.join(f'CASE WHEN geopolitical_zone = {_lit(z)} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS "zone_{z}"' for z in _ZONES)},
          CAST(facility_delivery AS INTEGER) AS label, survey_weight AS weight
-  FROM ({MODEL_PULL_SQL}) p),
+  FROM ({_MODEL_ROWS}) p),
 feats AS (SELECT * FROM feat WHERE age_at_survey IS NOT NULL AND education_num IS NOT NULL
           AND wealth_num IS NOT NULL AND has_insurance IS NOT NULL AND distance_barrier IS NOT NULL
           AND label IS NOT NULL)"""
@@ -852,19 +962,19 @@ Q["feature_matrix"] = f"WITH {_FEATURES} SELECT * FROM feats"
 
 Q["stratified_split"] = f"""
 WITH {_FEATURES},
-h AS (SELECT woman_id, label,
-             ((woman_id % 4294967296 + 4294967296) % 4294967296 * 40503 + {42 * 7919}) % 4294967296 AS hh
-      FROM feats),
-r AS (SELECT woman_id, label, row_number() OVER (PARTITION BY label ORDER BY hh, woman_id) AS rn,
-             COUNT(*) OVER (PARTITION BY label) AS nc FROM h)
-SELECT woman_id, label, CAST(rn <= floor(nc * 0.2 + 0.5) AS INTEGER) AS is_test FROM r"""
+mixed AS (SELECT *, ((anc_id & 2147483647) * 2654435761 + {42 * 7919}) & 4294967295 AS mix FROM feats),
+size AS (SELECT label, CAST(floor(COUNT(*) / 5.0 + 0.5) AS BIGINT) AS tests FROM feats GROUP BY label),
+chosen AS (SELECT label, unnest(list(anc_id ORDER BY mix, anc_id)[1:any_value(tests)]) AS anc_id
+           FROM mixed JOIN size USING (label) GROUP BY label)
+SELECT anc_id, woman_id, label, CAST(anc_id IN (SELECT anc_id FROM chosen) AS INTEGER) AS is_test
+FROM feats"""
 
 Q["standardise"] = f"""
 WITH {_FEATURES},
-f AS (SELECT woman_id, CAST(age_at_survey AS INTEGER) AS a, CAST(anc_visits_clean AS INTEGER) AS v FROM feats),
+f AS (SELECT anc_id, CAST(age_at_survey AS INTEGER) AS a, CAST(anc_visits_clean AS INTEGER) AS v FROM feats),
 st AS (SELECT COUNT(a) AS na, SUM(CAST(a AS HUGEINT)) AS sa, SUM(CAST(a AS HUGEINT) * a) AS ssa,
               COUNT(v) AS nv, SUM(CAST(v AS HUGEINT)) AS sv, SUM(CAST(v AS HUGEINT) * v) AS ssv FROM f)
-SELECT woman_id,
+SELECT anc_id,
        (a - CAST(sa AS DOUBLE) / na) / NULLIF(sqrt(CAST(na * ssa - sa * sa AS DOUBLE) / (CAST(na AS DOUBLE) * CAST(na AS DOUBLE))), 0)
          AS age_at_survey_z,
        (v - CAST(sv AS DOUBLE) / nv) / NULLIF(sqrt(CAST(nv * ssv - sv * sv AS DOUBLE) / (CAST(nv AS DOUBLE) * CAST(nv AS DOUBLE))), 0)
@@ -876,7 +986,7 @@ WITH {_FEATURES},
 c AS (SELECT label, COUNT(*) AS nc FROM feats GROUP BY label),
 k AS (SELECT SUM(nc) AS n, COUNT(*) AS kk FROM c),
 cw AS (SELECT label, CAST(n AS DOUBLE) / (kk * nc) AS class_weight FROM c, k)
-SELECT woman_id, label, class_weight, weight * class_weight AS fit_weight FROM feats JOIN cw USING (label)"""
+SELECT anc_id, label, class_weight, weight * class_weight AS fit_weight FROM feats JOIN cw USING (label)"""
 
 _ROC = """
 g AS (SELECT CAST(score AS DOUBLE) AS threshold, CAST(SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,

@@ -41,10 +41,23 @@ def test_split_keeps_class_shares(signal_star):
     split = M.stratified_split(feats).toPandas()
     for _label, g in split.groupby("label"):
         assert g.is_test.sum() == int(np.floor(len(g) * 0.2 + 0.5))
-    assert feats.columns[:9] == ["woman_id"] + M.BASE_FEATURES
+    assert feats.columns[:10] == ["anc_id", "woman_id"] + M.BASE_FEATURES
     assert [c for c in feats.columns if c.startswith("zone_")] == [f"zone_{z}" for z in zones]
 
 
+def test_split_is_spread_over_the_ids(spark):
+    df = spark.range(20_000).selectExpr("id as anc_id", "int(id % 3 = 0) as label")
+    split = M.stratified_split(df)
+    rows = split.toPandas()
+    assert len(rows) == 20_000
+    for _label, g in rows.groupby("label"):
+        assert g.is_test.sum() == int(np.floor(len(g) * 0.2 + 0.5))
+        shares = g.groupby(g.anc_id // 2_000).is_test.mean()      # every tenth of the id range
+        assert shares.between(0.1, 0.3).all()
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
 def test_logistic_and_forest_find_the_signal(spark, signal_star):
     train, test, feats = M.prepare(signal_star)
     w = train.select("label", "class_weight").distinct().collect()

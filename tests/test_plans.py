@@ -13,7 +13,7 @@ def _plan(df) -> str:
 def test_scans_are_pruned_and_filters_pushed(spark):
     df = E.queries()["composite_risk"](spark, SF_SMALL)
     text = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)" in text
+    assert "PushedFilters: [IsNotNull(c_nationkey)" in text
     assert "ReadSchema: struct<c_custkey:bigint,c_nationkey:int" in text
 
 
@@ -60,7 +60,8 @@ def test_global_windows_only_over_aggregates(spark):
     above an aggregate: at most one row per group reaches its single task."""
     seen = 0
     for key, fn in E.queries().items():
-        if key in {"facility_lr", "facility_rf", "feature_importance", "model_report"}:
+        if key in {"facility_lr", "facility_rf", "feature_importance", "model_report"} \
+                or key in E._training_data()[0]:
             continue
         tree = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().treeString()
         seen += tree.count("Window [")
