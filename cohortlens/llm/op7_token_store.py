@@ -83,7 +83,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, wid
         code = encoder(tokenizer, keeps_space)
         part, seq = TaskContext.get().partitionId(), 0
         keys, held, size = [], [], 0
-        for rows in by_bytes(batches, "text"):
+        for rows in by_bytes(batches, "text", 4 << 20):
             ids, at = with_end(*code.encode(rows.column("text")), end_id)
             if len(ids) and int(ids.max()) >= 1 << 8 * width:
                 raise ValueError(f"ids need more than {width} bytes")
