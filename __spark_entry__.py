@@ -238,6 +238,11 @@ def _fk_lookup_unmapped(spark, sf_dir):
     return unmapped_counts(_etl_star(spark, sf_dir))
 
 
+def _repeated_keys(spark, sf_dir):
+    from cohortlens.operators.conform import repeated_keys
+    return repeated_keys(_etl_star(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # quality checks on the star analogue
 # ---------------------------------------------------------------------------
@@ -362,6 +367,30 @@ def _feature_importance(spark, sf_dir):
     return M.feature_importance(spark, M.fit_forest(train, feats), feats)
 
 
+def _facility_by_settlement(spark, sf_dir):
+    """Logistic regression on one two-valued feature without a penalty to speak of: its
+    scores are the weighted class shares of the two levels."""
+    from pyspark.sql import functions as F
+    from cohortlens.plans import model as M
+    train, test, _ = _prepared(spark, sf_dir)
+    scores = M.score(M.fit_logistic(train, ["urban"], c=1e6), test, keep=["urban"])
+    return scores.groupBy("urban").agg(
+        F.round(F.avg("score"), 3).alias("score"), F.max("prediction").alias("prediction"),
+        F.count(F.lit(1)).alias("rows"))
+
+
+SPLIT_FEATURES = ["education_num", "wealth_num", "has_insurance", "distance_barrier",
+                  "anc_visits_clean", "trimester_clean", "urban"]
+
+
+def _split_importance(spark, sf_dir):
+    """Importances, display labels and the highlighted feature of the best single split."""
+    from cohortlens.plans import model as M
+    train, _test, _ = _prepared(spark, sf_dir)
+    return M.feature_importance(spark, M.best_single_split(train, SPLIT_FEATURES), SPLIT_FEATURES,
+                                top=1)
+
+
 def _model_report(spark, sf_dir):
     from cohortlens.plans.model import model_report
     return model_report(analogue_star(spark, sf_dir).star, prepared=_prepared(spark, sf_dir))
@@ -502,6 +531,7 @@ def _register_more(q):
         "dim_dedupe": _dim_dedupe,
         "etl_row_counts": _etl_row_counts,
         "fk_lookup_unmapped": _fk_lookup_unmapped,
+        "repeated_keys": _repeated_keys,
         "orphan_checks": _q("orphan_checks"),
         "null_profile": _q("null_report"),
         "clinical_checks": _q("clinical_checks"),
@@ -519,6 +549,8 @@ def _register_more(q):
         "auc_exact": _auc_exact,
         "youden_threshold": _youden,
         "classification_report": _classification_report,
+        "facility_by_settlement": _facility_by_settlement,
+        "split_importance": _split_importance,
         "facility_lr": _fit("lr"),
         "facility_rf": _fit("rf"),
         "feature_importance": _feature_importance,

@@ -1,8 +1,10 @@
 """Conform a raw wide extract into the star schema.
 
 Surrogate keys are hashes of natural keys (``xxhash64``), so no global window
-or sequence generator is needed and re-runs are idempotent; a collision check
-fails loudly before any write.  Foreign keys are resolved by joins on the
+or sequence generator is needed and re-runs are idempotent.  Before any write the
+ETL checks that every dimension key is unique, which a collision of two natural keys
+or a repeated case id would break (with 64-bit keys a collision is to be expected
+from some billions of respondents on; the load then stops).  Foreign keys are resolved by joins on the
 natural keys (state name + urban/rural, case id) and the mapping gate raises
 when any fact row is left unmapped — before loading, not after.
 """
@@ -210,6 +212,26 @@ def key_collisions(df: DataFrame, key: str, natural: list[str]) -> DataFrame:
             .where(F.col("n") > 1))
 
 
+def repeated_keys(star: Star) -> DataFrame:
+    """(table_name, rows): dimension rows whose key another row has too, by a repeated
+    natural key or by two natural keys of one hash; both would join a fact twice."""
+    out = None
+    for name, df, key in (("dim_geography", star.geography, "state_id"),
+                          ("dim_woman", star.woman, "woman_id")):
+        one = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").agg(
+            F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows")).select(
+            F.lit(name).alias("table_name"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def assert_unique_keys(star: Star) -> None:
+    """Gate before loading: raise if a dimension key is not unique."""
+    bad = repeated_keys(star).where("rows > 0").collect()      # two rows at most
+    if bad:
+        raise MappingError("repeated keys: " + ", ".join(f"{r.table_name}={r.rows}" for r in bad))
+
+
 def assert_mapped(star: Star) -> None:
     """Gate before loading: raise if any foreign key is unmapped."""
     bad = unmapped_counts(star).where(F.col("unmapped_rows") > 0).collect()  # <= 4 rows

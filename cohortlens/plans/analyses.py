@@ -302,24 +302,6 @@ def barriers_by_zone(star: Star, mode: str = "as_published") -> DataFrame:
 # Q9 / extract — composite risk score by state (join of two aggregates)
 # ---------------------------------------------------------------------------
 
-def _state_tables(star: Star, mode: str, by_zone: bool) -> tuple[DataFrame, DataFrame]:
-    g = woman_grain(star, ("anc", "mort"), with_geography=True, mode=mode)
-    a = multiplicity("anc")
-    keys = ["state_name", "geopolitical_zone"] if by_zone else ["state_name"]
-    mortality = g.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_women"),
-        F.sum("mort_mat").alias("maternal_deaths"),
-        per_thousand(F.sum("mort_mat"), F.count(F.lit(1))).alias("death_rate"))
-    care = g.groupBy("state_name").agg(
-        count_pct(F.sum("anc_fac1"), F.sum("anc_n")).alias("pct_facility_delivery"),
-        count_pct(F.sum("anc_zero"), F.sum("anc_n")).alias("pct_zero_anc"),
-        count_pct(F.sum("anc_skilled"), F.sum("anc_n")).alias("pct_skilled_attendant"),
-        weight_pct(_wsum(a, _double_barrier()), _wsum(a)).alias("pct_double_barrier"),
-        weight_pct(_wsum(a, _poor()), _wsum(a)).alias("pct_poorest_poor"),
-        count_pct(F.sum("anc_post1"), F.sum("anc_post_known")).alias("pct_postnatal_check"))
-    return mortality, care
-
-
 def _score() -> Column:
     return composite_score(F.col("death_rate"), F.col("pct_zero_anc"),
                            F.col("pct_facility_delivery"), F.col("pct_double_barrier"))
@@ -348,12 +330,31 @@ def composite_risk(star: Star, mode: str = "as_published") -> DataFrame:
 
 
 def state_risk_extract(star: Star, mode: str = "as_published") -> DataFrame:
-    mortality, care = _state_tables(star, mode, by_zone=True)
-    return mortality.join(care, "state_name").select(
-        "state_name", "geopolitical_zone", "total_women", "maternal_deaths", "death_rate",
-        "pct_facility_delivery", "pct_zero_anc", "pct_skilled_attendant", "pct_double_barrier",
-        "pct_poorest_poor", "pct_postnatal_check", _score().alias("composite_risk_score"),
-    ).transform(order_small, F.col("composite_risk_score").desc_nulls_last())
+    """Deaths by (state, zone) and care figures by state from one pass over the women:
+    sums by (state, zone), then the state's sums by a window over those few rows."""
+    g = woman_grain(star, ("anc", "mort"), with_geography=True, mode=mode)
+    a = multiplicity("anc")
+    places = g.groupBy("state_name", "geopolitical_zone").agg(
+        F.count(F.lit(1)).alias("total_women"), F.sum("mort_mat").alias("maternal_deaths"),
+        *[F.sum(c).alias(c) for c in ("anc_n", "anc_fac1", "anc_zero", "anc_skilled", "anc_post1",
+                                      "anc_post_known")],
+        _wsum(a).alias("_w"), _wsum(a, _double_barrier()).alias("_w_double"),
+        _wsum(a, _poor()).alias("_w_poor"))
+
+    def of_state(c: str) -> Column:
+        return F.sum(c).over(Window.partitionBy("state_name"))
+
+    scored = places.select(
+        "state_name", "geopolitical_zone", "total_women", "maternal_deaths",
+        per_thousand(F.col("maternal_deaths"), F.col("total_women")).alias("death_rate"),
+        count_pct(of_state("anc_fac1"), of_state("anc_n")).alias("pct_facility_delivery"),
+        count_pct(of_state("anc_zero"), of_state("anc_n")).alias("pct_zero_anc"),
+        count_pct(of_state("anc_skilled"), of_state("anc_n")).alias("pct_skilled_attendant"),
+        weight_pct(of_state("_w_double"), of_state("_w")).alias("pct_double_barrier"),
+        weight_pct(of_state("_w_poor"), of_state("_w")).alias("pct_poorest_poor"),
+        count_pct(of_state("anc_post1"), of_state("anc_post_known")).alias("pct_postnatal_check"))
+    return scored.withColumn("composite_risk_score", _score()).transform(
+        order_small, F.col("composite_risk_score").desc_nulls_last())
 
 
 # ---------------------------------------------------------------------------
@@ -573,11 +574,10 @@ def care_funnel(star: Star) -> DataFrame:
 def care_funnel_drop(star: Star) -> DataFrame:
     """Funnel with percentage of the first stage and the drop to the next stage
     (half-even rounding, as the chart code rounds)."""
-    f = care_funnel(star)
-    first = f.where(F.col("stage_order") == 1).select(F.col("women_count").alias("first_count"))
-    pct = F.bround(F.col("women_count") / F.nullif(F.col("first_count"), F.lit(0))
-                   * F.lit(100.0), 1)
-    out = f.crossJoin(first).withColumn("pct_of_first", pct)     # 6 x 1 rows
+    first = F.max(F.when(F.col("stage_order") == 1, F.col("women_count"))).over(
+        Window.partitionBy(F.lit(0)))                            # six rows
+    pct = F.bround(F.col("women_count") / F.nullif(first, F.lit(0)) * F.lit(100.0), 1)
+    out = care_funnel(star).withColumn("pct_of_first", pct)
     out = lead_drop(out, "pct_of_first", "stage_order", "drop_to_next")
     return out.select("stage", "stage_order", "women_count", "pct_of_first", "drop_to_next") \
         .orderBy("stage_order")
@@ -599,11 +599,9 @@ def national_kpis(star: Star, years: tuple[int, int] = RECENT_YEARS,
     """
     mmr = indicator_series(star.who_mmr, location, mmr_code).agg(
         F.max_by("mmr_value", "year").alias("k1"))
-    anc = star.anc.agg(
-        count_pct(F.sum(flag(F.col("facility_delivery") == 1)),
-                  F.sum(flag(F.col("facility_delivery").isNotNull()))).alias("k2"))
     g = woman_grain(star, ("anc",), mode="per_entity")
     women = g.agg(
+        count_pct(F.sum("anc_fac1"), F.sum("anc_fac_known")).alias("k2"),
         weight_pct(_wsum(F.col("anc_zero")), _wsum(F.col("anc_visits_known"))).alias("k3"),
         weight_pct(_wsum(F.lit(1), F.col("has_insurance") == 1), _wsum(F.lit(1))).alias("k5"),
         weight_pct(_wsum(F.col("anc_post1")), _wsum(F.col("anc_post_known"))).alias("k6"),
@@ -612,7 +610,7 @@ def national_kpis(star: Star, years: tuple[int, int] = RECENT_YEARS,
                               & F.col("delivery_location").isNotNull()) \
         .agg(count_pct(F.sum("skilled_attendant"), F.count(F.lit(1))).alias("k4"))
     deaths = star.mortality.agg(F.sum(flag(F.col("pregnancy_related") == 1)).alias("k7"))
-    one = mmr.crossJoin(anc).crossJoin(women).crossJoin(births).crossJoin(deaths)
+    one = mmr.crossJoin(women).crossJoin(births).crossJoin(deaths)
     names = ["MMR per 100,000 (WHO 2023)", "Facility Delivery Rate (%)",
              "Zero ANC Attendance (%)", "Skilled Attendant 2021-2024 (%)",
              "Health Insurance Coverage (%)", "Postnatal Care Within 2 Days (%)",

@@ -32,6 +32,7 @@ def run_etl(spark: SparkSession, wide: DataFrame, who_sba: DataFrame, who_mmr: D
     """Build, gate, write, re-read and verify; returns the row-count report."""
     from ..sources.io import read_star, write_star
     star = build_star(wide, who_sba, who_mmr)
+    C.assert_unique_keys(star)
     C.assert_mapped(star)
     write_star(star, out_root)
     loaded = read_star(spark, out_root)

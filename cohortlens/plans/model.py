@@ -230,17 +230,18 @@ def fit_logistic(train: DataFrame, features: list[str], weight_col: str = "fit_w
 
 
 def fit_forest(train: DataFrame, features: list[str], weight_col: str = "fit_weight",
-               trees: int = 200, depth: int = 8, min_leaf: int = 20, seed: int = SEED):
+               trees: int = 200, depth: int = 8, min_leaf: int = 20, seed: int = SEED,
+               subset: str = "sqrt", bootstrap: bool = True):
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol=weight_col,
                                 numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-                                featureSubsetStrategy="sqrt", seed=seed)
+                                featureSubsetStrategy=subset, bootstrap=bootstrap, seed=seed)
     return Pipeline(stages=[_assembler(features), rf]).fit(train)
 
 
-def score(model, test: DataFrame) -> DataFrame:
-    """Test rows with P(label = 1) and the 0.5-threshold prediction."""
+def score(model, test: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Test rows with P(label = 1) and the 0.5-threshold prediction (and ``keep``)."""
     out = model.transform(test)
-    return out.select("woman_id", "label", "weight",
+    return out.select("woman_id", "label", "weight", *(keep or []),
                       vector_to_array("probability")[1].alias("score"),
                       F.col("prediction").cast("int").alias("prediction"))
 
@@ -258,6 +259,11 @@ def feature_importance(spark, forest_model, features: list[str], top: int = 5) -
     return df.withColumn("top", F.col("feature").isin(*top_names)).orderBy(F.desc("importance"))
 
 
+def best_single_split(train: DataFrame, features: list[str]):
+    """A forest of one tree of depth one over all features: the best weighted split."""
+    return fit_forest(train, features, trees=1, depth=1, subset="all", bootstrap=False)
+
+
 def prepare(star: Star) -> tuple[DataFrame, DataFrame, list[str]]:
     """(weighted train rows, test rows, feature names); class weights are
     computed on the training rows only."""

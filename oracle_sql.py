@@ -765,6 +765,13 @@ UNION ALL SELECT 'fact_anc_delivery.woman_id', (SELECT COUNT(*) FROM (
 UNION ALL SELECT 'fact_maternal_mortality.woman_id', (SELECT COUNT(*) FROM (
     SELECT * FROM sis2 WHERE {_MORT_FILTER}) m ANTI JOIN known USING (dhs_case_id))"""
 
+Q["repeated_keys"] = f"""
+WITH {_GEO_RAW}
+SELECT 'dim_geography' AS table_name, CAST(COUNT(*) - COUNT(DISTINCT (state_name, urban_rural)) AS BIGINT)
+       AS rows FROM geo
+UNION ALL SELECT 'dim_woman', CAST(COALESCE(SUM(n) FILTER (n > 1), 0) AS BIGINT)
+FROM (SELECT COUNT(*) AS n FROM wide GROUP BY trim(caseid))"""
+
 Q["surviving_deaths"] = f"""
 WITH {_SIS} SELECT dhs_case_id, sibling_number, sex AS sibling_sex, alive AS sibling_alive,
        years_since_death, sibling_age_at_death, death_year, pregnancy_related
@@ -972,6 +979,42 @@ k AS (SELECT SUM(nc) AS n, COUNT(*) AS kk FROM c),
 cw AS (SELECT label, CAST(n AS DOUBLE) / (kk * nc) AS class_weight FROM c, k)
 SELECT anc_id, label, class_weight, weight * class_weight AS fit_weight FROM feats JOIN cw USING (label)"""
 
+_TRAIN = f"""
+{_FEATURES},
+parts AS (SELECT feats.*, sides.is_test FROM feats JOIN (
+    {Q['stratified_split']}) sides USING (anc_id)),
+sizes AS (SELECT label, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS every, COUNT(*) OVER () AS classes
+          FROM parts WHERE is_test = 0 GROUP BY label),
+train AS (SELECT parts.*, weight * every / CAST(classes * n AS DOUBLE) AS fit_weight
+          FROM parts JOIN sizes USING (label) WHERE is_test = 0)"""
+
+Q["facility_by_settlement"] = f"""
+WITH {_TRAIN},
+shares AS (SELECT urban, SUM(fit_weight * label) / SUM(fit_weight) AS share FROM train GROUP BY urban)
+SELECT urban, ROUND(share, 3) AS score, CAST(share > 0.5 AS INT) AS prediction, COUNT(*) AS rows
+FROM parts JOIN shares USING (urban) WHERE is_test = 1 GROUP BY urban, share"""
+
+# Display labels of the features.
+_SPLIT_LABELS = {"education_num": "Education Level", "wealth_num": "Wealth Index",
+                 "has_insurance": "Health Insurance", "distance_barrier": "Distance Barrier",
+                 "anc_visits_clean": "ANC Visits", "trimester_clean": "First ANC Trimester",
+                 "urban": "Urban Residence"}
+_GINI = "(1 - power({p} / {w}, 2) - power(1 - {p} / {w}, 2))"
+Q["split_importance"] = f"""
+WITH {_TRAIN},
+cells AS (SELECT feature, value, SUM(fit_weight) AS w, SUM(fit_weight * label) AS p, COUNT(*) AS n
+          FROM (UNPIVOT (SELECT label, fit_weight, {', '.join(_SPLIT_LABELS)} FROM train)
+                ON {', '.join(_SPLIT_LABELS)} INTO NAME feature VALUE value) GROUP BY feature, value),
+sums AS (SELECT feature, value, SUM(w) OVER up AS wl, SUM(p) OVER up AS pl, SUM(n) OVER up AS nl,
+                SUM(w) OVER whole AS w, SUM(p) OVER whole AS p, SUM(n) OVER whole AS n FROM cells
+         WINDOW up AS (PARTITION BY feature ORDER BY value), whole AS (PARTITION BY feature)),
+gains AS (SELECT feature, {_GINI.format(p='p', w='w')} - wl / w * {_GINI.format(p='pl', w='wl')}
+                 - (w - wl) / w * {_GINI.format(p='(p - pl)', w='(w - wl)')} AS gain
+          FROM sums WHERE nl >= 20 AND n - nl >= 20)
+SELECT feature, label, CAST(feature = (SELECT arg_max(feature, gain) FROM gains) AS DOUBLE) AS importance,
+       feature = (SELECT arg_max(feature, gain) FROM gains) AS top
+FROM (VALUES {', '.join(f"('{f}', '{name}')" for f, name in _SPLIT_LABELS.items())}) AS t(feature, label)"""
+
 _ROC = """
 g AS (SELECT CAST(score AS DOUBLE) AS threshold, CAST(SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
              CAST(SUM(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg FROM scored GROUP BY 1),

@@ -150,3 +150,13 @@ def test_gate_catches_unknown_state_label(spark):
     assert got["dim_woman.state_id"] == 1
     with pytest.raises(C.MappingError):
         C.assert_mapped(bad)
+
+
+def test_etl_stops_on_a_repeated_case_id(spark, tmp_out):
+    from cohortlens.operators.conform import MappingError
+    from cohortlens.plans.etl import run_etl
+    wide = wide_frame(spark)
+    again = wide.unionByName(wide.limit(1))
+    empty = spark.createDataFrame([], "year int")
+    with pytest.raises(MappingError, match="dim_woman=2"):
+        run_etl(spark, again, empty, empty, tmp_out)
