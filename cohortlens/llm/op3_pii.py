@@ -30,6 +30,9 @@ carries no information, so nothing discloses it; other columns are kept by
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,11 +54,13 @@ _BLOCK = 256
 _ADDED = {"general": 4, "remove": 5}
 
 
-def _matches(text: Column, pattern: str, around: int | None = None) -> Column:
+def _matches(text: Column, pattern: str, around: int | None = None,
+             valid: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, value[, before, after]).
 
     Places come from the lengths of the pieces between the matches; ``before`` and
-    ``after`` are the ends of the neighbouring pieces.
+    ``after`` are the ends of the neighbouring pieces.  Matches that are not ``valid``
+    are passed over as they come, so a page of plain numbers costs one step each.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
@@ -72,8 +77,10 @@ def _matches(text: Column, pattern: str, around: int | None = None) -> Column:
         cells = [start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value")]
         if around is not None:
             cells += [x["before"].alias("before"), x["after"].alias("after")]
-        return F.struct((start + x["size"]).alias("at"),
-                        F.concat(state["out"], F.array(F.struct(*cells))).alias("out"))
+        out = F.concat(state["out"], F.array(F.struct(*cells)))
+        if valid is not None:
+            out = F.when(valid(x["value"]), out).otherwise(state["out"])
+        return F.struct((start + x["size"]).alias("at"), out.alias("out"))
 
     kind = "array<struct<start:int,end:int,value:string" + (
         ",before:string,after:string" if around is not None else "") + ">>"
@@ -108,9 +115,8 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _mentions(hits: Column, kind: str, number: int) -> Column:
-    """Valid matches as (start, kind_no, end, kind, value, before, after)."""
-    valid = F.filter(hits, lambda m: _valid(kind, m["value"]))
-    return F.transform(valid, lambda m: F.struct(
+    """Matches as (start, kind_no, end, kind, value, before, after)."""
+    return F.transform(hits, lambda m: F.struct(
         m["start"].alias("start"), F.lit(number).alias("kind_no"), m["end"].alias("end"),
         F.lit(kind).alias("kind"), m["value"].alias("value"), m["before"].alias("before"),
         m["after"].alias("after")))
@@ -122,7 +128,7 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     gates = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+"))}
     for number, kind in enumerate(KINDS):
-        hits = _matches(F.col("text"), PATTERNS[kind], CONTEXT + 1)
+        hits = _matches(F.col("text"), PATTERNS[kind], CONTEXT + 1, partial(_valid, kind))
         hits = _mentions(hits, kind, number)
         d = d.withColumn(f"_{kind}", F.when(gates[kind], hits) if kind in gates else hits)
     empty = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string,value:string,"
@@ -167,8 +173,9 @@ def disclosing_spans(docs: DataFrame, base: DataFrame, id_col: str = "doc_id",
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     words = texts.select(F.explode(F.array_distinct(F.transform(
         F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    # counted first, then joined: a join below the count would meet every occurrence
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(
-        pairs.select("term").distinct(), "term", "left_semi")
+        pairs.select("term").distinct(), "term")
     total = docs.agg(F.count(F.lit(1)).alias("n"))
     ic = F.log2(F.col("n") / F.col("n_e"))
     pmi = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
@@ -250,7 +257,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   .groupBy(F.col("doc_id").alias("_pii_id"), F.col("version").alias("_pii_version"))
                   .agg(F.min("spans").alias("_pii_spans")), "pii-spans")
     d = docs.withColumn("_pii_text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    d = d.join(found, F.col(id_col).eqNullSafe(F.col("_pii_id"))
+    # the spans grow with the corpus: a merge join at every size
+    d = d.join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col("_pii_id"))
                & (F.xxhash64("_pii_text") == F.col("_pii_version")), "left")
     has = F.col("_pii_spans").isNotNull()
     d = d.withColumn("_pii_merged", F.when(has, _merged(F.col("_pii_spans"))))
