@@ -9,9 +9,9 @@ compared with every first holder of one of its lines.
 Per pair the shared lines are aligned as patience diff does: lines that occur once
 in either document are anchors, the longest increasing run of anchors is kept, and
 kept anchors grow over neighbouring equal lines.  A block (consecutive lines in both
-documents) is deleted from the later document when it holds a rare line (at most
-``rare`` documents hold it) or at least ``min_block`` lines; a lone common line, such
-as a licence line, stays.  The first holder never loses a line to a later one.
+documents) is deleted from the later document when it holds a rare line (of
+``RARE_WORDS`` words or more, in at most ``rare`` documents) or at least ``min_block``
+lines; a lone common line, such as a licence line, or a short one stays.  The first holder never loses a line to a later one.
 
 The groups are single documents: the lines of one document and its partners' places,
 never the documents that share a line.
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .staging import as_bytes, by_bytes, stage
 
 RARE = 10
+RARE_WORDS = 5
 MIN_BLOCK = 3
 
 
@@ -59,34 +60,38 @@ def line_hashes(text: bytes) -> list[int]:
 
 
 def incidences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, version, pos, line, occurrence, alone, before, after), one row per line."""
+    """(doc_id, version, pos, line, occurrence, alone, tells, before, after), one row per line.
+
+    ``alone``: once in its document; ``tells``: long enough to be evidence when rare.
+    """
     def run(batches):
         for part in by_bytes(batches, "text", 4 << 20):
-            columns = [[] for _ in range(8)]
+            columns = [[] for _ in range(9)]
             for doc, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")),
                                  strict=True):
                 hashes = line_hashes(text)
+                long = [len(x.split()) >= RARE_WORDS for x in text.split(b"\n")]
                 total, seen = Counter(hashes), Counter()
                 version = _signed(xxhash.xxh64_intdigest(text, 42))  # what xxhash64() gives
                 for pos, h in enumerate(hashes):
                     if h:
                         seen[h] += 1
-                        row = (doc, version, pos, h, seen[h], total[h] == 1,
+                        row = (doc, version, pos, h, seen[h], total[h] == 1, long[pos],
                                hashes[pos - 1] if pos else 0,
                                hashes[pos + 1] if pos + 1 < len(hashes) else 0)
                         for c, v in zip(columns, row, strict=True):
                             c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(),
-                     pa.int64(), pa.int64()]
+                     pa.bool_(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                                   names=["doc_id", "version", "pos", "line", "occurrence", "alone",
-                                         "before", "after"])
+                                         "tells", "before", "after"])
 
     return docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, version long, pos int, line long, occurrence int, alone boolean, "
-             "before long, after long")
+             "tells boolean, before long, after long")
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -111,8 +116,8 @@ def align(shared: list[dict], rare: int = RARE, min_block: int = MIN_BLOCK) -> s
     """Positions to delete from the later document of one pair.
 
     ``shared`` has the lines that both hold: pos, other (position in the earlier
-    document), alone (once in both), holders, line, and the neighbouring line hashes
-    of both sides (before, after, other_before, other_after).
+    document), alone (once in both), tells, holders, and the neighbouring line hashes of
+    both sides (before, after, other_before, other_after).
     """
     rows = sorted(shared, key=lambda r: r["pos"])
     anchors = [r for r in rows if r["alone"]]
@@ -134,7 +139,8 @@ def align(shared: list[dict], rare: int = RARE, min_block: int = MIN_BLOCK) -> s
     for pos in [*sorted(taken), None]:
         if block and (pos is None or pos != block[-1] + 1 or taken[pos] != taken[block[-1]] + 1):
             held = [at.get((p, taken[p])) for p in block]
-            if len(block) >= min_block or any(r and r["holders"] <= rare for r in held):
+            if len(block) >= min_block or any(
+                    r and r["tells"] and r["holders"] <= rare for r in held):
                 gone.update(block)
             block = []
         if pos is not None:
@@ -153,15 +159,17 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     firsts = stage(found.groupBy("line", "occurrence").agg(
         F.min(F.struct("doc_id", "version", "pos", "alone", "before", "after")).alias("first"),
         F.count(F.lit(1)).alias("holders")).where("holders > 1"), "line-firsts")
-    shared = found.join(firsts, ["line", "occurrence"]).where("first.doc_id < doc_id").select(
+    # both sides grow with the corpus: a merge join at every size
+    shared = found.join(firsts.hint("merge"), ["line", "occurrence"]).where("first.doc_id < doc_id").select(
         "doc_id", "version", F.struct(
             "pos", F.col("first.doc_id").alias("partner"), F.col("first.version").alias("of"),
             F.col("first.pos").alias("other"),
-            (F.col("alone") & F.col("first.alone")).alias("alone"), "holders", "before", "after",
+            (F.col("alone") & F.col("first.alone")).alias("alone"), "tells", "holders", "before", "after",
             F.col("first.before").alias("other_before"),
             F.col("first.after").alias("other_after")).alias("row"))
     # a document whose shared lines are all common and fewer than a block keeps them all
-    able = (F.min("row.holders") <= rare) | (F.count(F.lit(1)) >= min_block)
+    able = F.bool_or(F.col("row.tells") & (F.col("row.holders") <= rare)) \
+        | (F.count(F.lit(1)) >= min_block)
     per_doc = shared.groupBy("doc_id", "version").agg(
         F.collect_set("row").alias("rows"), able.alias("able")).where("able").drop("able")
 
@@ -206,7 +214,7 @@ def delete_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cuts = deletions(docs, id_col, text_col, rare, min_block).toDF(
         "_ld_doc", "_ld_version", "_ld_gone", "_ld_partners", "_ld_kept")
     joined = docs.withColumn("_ld_text", F.col(text_col).cast("string")).join(
-        cuts, (F.col(id_col).cast("long") == F.col("_ld_doc"))
+        cuts.hint("merge"), (F.col(id_col).cast("long") == F.col("_ld_doc"))
         & (F.xxhash64("_ld_text") == F.col("_ld_version")), "left")
     lines = F.split("_ld_text", "\n")
     kept = F.flatten(F.transform("_ld_kept", lambda r: F.slice(lines, r["from"] + 1, r["count"])))

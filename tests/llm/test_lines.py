@@ -1,7 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
-from cohortlens.llm.op2_lines import MIN_BLOCK, RARE, delete_lines, increasing
+from cohortlens.llm.op2_lines import MIN_BLOCK, RARE, RARE_WORDS, delete_lines, increasing
 from tests.llm.conftest import edge_rows
 
 
@@ -76,7 +76,7 @@ def brute(rows, rare=RARE, min_block=MIN_BLOCK):
                     block.append(todo.pop(0))
                 if len(block) >= min_block or any(
                         p in shared and shared[p][0] == taken[p] and shared[p][1] <= rare
-                        for p in block):
+                        and len(shared[p][2].split()) >= RARE_WORDS for p in block):
                     gone |= set(block)
         if gone:
             out[k] = sorted(gone)
@@ -114,6 +114,11 @@ def test_random_overlaps(make_docs, words):
     check(make_docs, rows, rare=2, min_block=2)
 
 
+def test_short_rare_lines_stay(make_docs, words):
+    rows = [(d, f"Of.\n{words(d, 9)}\nThe end.") for d in range(4)]
+    assert check(make_docs, rows) == {}
+
+
 def test_common_line_stays_and_copies_go(make_docs, words):
     rows = [(d, f"{words(d, 9)}\nLicensed under X.\n{words(d + 500, 9)}") for d in range(40)]
     assert check(make_docs, rows) == {}
