@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -200,7 +199,7 @@ class Model:
         if self.flat is None:
             return np.full(len(column), 0.5)
         out = [np.zeros(0)]
-        for part in by_bytes([pa.record_batch([column], names=["text"])], "text"):
+        for part in by_bytes([pa.record_batch([column], names=["text"])], "text", 4 << 20):
             x, offsets = encode_passages(part.column("text"))
             out.append(forward(unpack(self.flat), (x - self.mean) * self.scale, offsets)["score"])
         return np.concatenate(out)
@@ -284,8 +283,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text",
               threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that the model scores below the threshold; all columns stay."""
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(pa.array(texts, pa.string(), from_pandas=True)))
+    def run(batches):
+        for part in by_bytes(batches, text_col, 4 << 20):
+            yield part.filter(pa.array(model.score(part.column(text_col)) >= threshold))
 
-    return docs.where(score(F.col(text_col).cast("string")) >= threshold)
+    return docs.mapInArrow(run, docs.schema)

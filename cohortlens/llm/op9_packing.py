@@ -121,7 +121,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked, the ids."""
     def run(batches):
         code = encoder(tokenizer, keeps_space)
-        for part in by_bytes(batches, "text", 4 << 20):
+        for part in by_bytes(batches, "text"):
             ids, at = with_end(*code.encode(part.column("text")), end_id)
             sizes = np.diff(at)
             cuts = -(-sizes // capacity)
@@ -138,6 +138,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
             if with_ids:
                 columns, names = [*columns, pa.array(blobs, pa.binary())], [*names, "ids"]
             yield pa.record_batch(columns, names=names)
+        code.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text"))

@@ -124,7 +124,7 @@ class ColumnEncoder:
             whole[row[unsure]] = True
         else:
             whole = np.zeros(n, bool)
-        texts = names.to_pylist()
+        texts = names.to_numpy(zero_copy_only=False).tolist()
         # piece table: every distinct later piece, then each row's first piece or whole text
         lead = " " if self.keeps_space else ""
         used = np.zeros(len(texts), bool)
@@ -148,6 +148,11 @@ class ColumnEncoder:
         counts = np.bincount(row, weights=size[piece], minlength=n).astype(np.int64)
         return ids, np.concatenate([[0], np.cumsum(counts)])
 
+    def forget(self) -> None:
+        """Give the cached pieces back; the worker may go on with other work."""
+        for known in (*self.words.values(), self.tails):
+            known.clear()
+
 
 def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The slices flat[start[w]:start[w] + size[w]] for each w of ``which``, end to end."""
