@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import sentencepiece
 from hypothesis import given, settings
@@ -29,6 +31,27 @@ def test_dropout_decodes_losslessly_and_varies(words):
     assert len(MergeDropout(PATH, rate=1.0).encode("abc def")) == 8  # no merge at all
 
 
+def test_long_runs_are_merged_alike(words):
+    rng = random.Random(4)
+    for rate in (0.0, 0.3):
+        code = MergeDropout(PATH, seed=5, rate=rate)
+        for n in (1, 2, 7, 60, 199):
+            symbols = [code.rank_of.get(rng.choice("▁theandиong\n!日"), len(code.id_of))
+                       for _ in range(n)]
+            assert code._merged(list(symbols), 77) == code._merged_long(list(symbols), 77)
+
+
+def test_runs_encoded_together_equal_single_runs(words):
+    rng = random.Random(6)
+    runs = [r for i in range(40) for r in PLAIN.runs(words(i, 30) + " Ünïcode, don't; 日本 x" + "y" * i)]
+    runs += ["".join(rng.choice("▁theandиong!日") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    variants = [rng.randrange(4) for _ in runs]
+    for code in (PLAIN, DROPPED, MergeDropout(PATH, rate=1.0)):
+        together = code.encode_runs(runs, variants)
+        assert [np.frombuffer(b, np.uint32).tolist() for b in together] == [
+            code._run_ids(r, v) for r, v in zip(runs, variants, strict=True)]
+
+
 @given(st.text(max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_any_text_comes_back(text):
