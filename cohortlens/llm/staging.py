@@ -51,6 +51,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str,
             held += int(size)
         if begin < len(sizes):
             yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
