@@ -130,10 +130,16 @@ def _thresholds(train: DataFrame, steps: int) -> dict[str, list[float]]:
     """Candidate thresholds: quantiles of each feature within either class."""
     shares = [i / steps for i in range(1, steps)]
     rows = train.groupBy("bad").agg(*[F.percentile_approx(f, shares, 10_000).alias(f)
-                                      for f in FEATURES]).collect()
+                                      for f in FEATURES]).collect()  # two rows
     return {f: sorted({round(t, 6) for r in rows for t in r[f]}) for f in FEATURES}
 
 
+def _bin(feature: str, thresholds: list[float]) -> Column:
+    """How many of the thresholds the feature reaches."""
+    cuts = F.array(*[F.lit(t) for t in thresholds]).cast("array<double>")
+    return F.size(F.filter(cuts, lambda t: F.col(feature) >= t))
+
+
 def _best(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condition, float, float] | None:
     """The condition with the largest FOIL gain on ``rows``; its bad and good counts."""
     names = list(FEATURES)
@@ -165,16 +171,17 @@ def _best(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condition, flo
 
 def learn(train: DataFrame, steps: int = 20, most_rules: int = 12, most_conditions: int = 3,
           precision: float = 0.95, least: int = 2) -> DecisionList:
-    """Sequential covering of the rows with ``bad`` = 1; ``train`` has FEATURES, bad, doc_id."""
-    cuts = _thresholds(train, steps)
-    bins = F.array(*[sum(((F.col(f) >= t).cast("int") for t in ts), F.lit(0))
-                     for f, ts in cuts.items()])
-    left = stage(train.select("*", bins.alias("bins"), F.pmod(F.xxhash64("doc_id", F.lit("prune")),
-                                                              F.lit(3)).alias("third")), "labelled")
+    """Sequential covering of the rows with ``bad`` = 1; ``train`` has FEATURES, bad, doc_id.
+
+    Each rule takes its candidate thresholds from the rows that are left."""
+    left = stage(train.withColumn("third", F.pmod(F.xxhash64("doc_id", F.lit("prune")), F.lit(3))),
+                 "labelled")
     found = DecisionList()
     for _ in range(most_rules):
+        cuts = _thresholds(left, steps)
+        bins = F.array(*[_bin(f, ts) for f, ts in cuts.items()])
         rule: list[Condition] = []
-        rows = left.where("third > 0")
+        rows = left.where("third > 0").withColumn("bins", bins)
         while len(rule) < most_conditions:
             best = _best(rows, cuts)
             if best is None:
@@ -200,7 +207,8 @@ def learn(train: DataFrame, steps: int = 20, most_rules: int = 12, most_conditio
         p, n = tally[f"{k}_1_1"], tally[f"{k}_0_1"]
         if p < least or p < precision * (p + n):
             break
-        found.rules.append(rule[:k + 1])
+        # of conditions on one side of a feature the last is the tightest
+        found.rules.append(list({(c.feature, c.at_least): c for c in rule[:k + 1]}.values()))
         left = left.where(f"NOT ({prefixes[k]})")
     return found
 
