@@ -11,6 +11,19 @@
    so no link between colliding paragraphs is lost and no pair list is emitted.
 4. Of each component the occurrence with the least (doc_id, position) stays.
 
+With ``passages`` the whole text, as one stream of words, is read in two more ways, so
+that line ends don't matter:
+
+5. It is cut at word boundaries chosen by content (``cut_places``): short lines in a row
+   are merged and long lines split, and equal stretches get equal cuts whatever
+   surrounds them.  These passages are units of their own in steps 1 to 4; they and the
+   lines are never compared with each other, since both cover the same words.
+6. Of every ``min_words + WINNOW - 1`` words in a row at least one window of
+   ``min_words`` words is taken, chosen by content (``winnow``).  Equal windows repeat:
+   a run of that length (50 words) held twice is found for certain, and removed from
+   the first to the last taken window in it.  A removed word has an equal word at an
+   earlier place, so a word of each copy always stays.
+
 Jaccard is exact on the sets of 5-word shingles.  Defined cases: null or empty
 text has no paragraph; a row with a null id is returned with nothing removed and
 matches nothing; rows that repeat an id and text count as one document, so they
@@ -36,6 +49,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 MIN_WORDS = 30
 BLOCK = 128
+WINNOW = 21  # words between which a window is taken
+REACH = 32  # words to either side of a cut
+PASSAGE = 1 << 30  # idx of passages and windows: this and the place of the first word
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -83,6 +99,24 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
             rng.integers(0, 1 << 63, count, np.uint64))
 
 
+def _band_values(hashes: np.ndarray, of: np.ndarray, n_words: np.ndarray, bands: int,
+                 rows: int) -> np.ndarray:
+    """MinHash band values of units; ``hashes`` has their words, ``of`` the unit of each."""
+    shingles = shingle_hashes(hashes)
+    inside = of[:len(shingles)] == of[SHINGLE - 1:] if len(of) >= SHINGLE else np.zeros(0, bool)
+    shingles = shingles[:len(inside)][inside]
+    heads = np.cumsum(n_words - SHINGLE + 1) - (n_words - SHINGLE + 1)
+    mult, add = _permutations(bands * rows)
+    values = np.zeros((len(n_words), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(bands * rows if len(n_words) else 0):
+            least = np.minimum.reduceat((shingles * mult[i] + add[i]) >> np.uint64(16), heads)
+            b = i // rows
+            values[:, b] = (values[:, b] ^ least) * np.uint64(0xBF58476D1CE4E5B9)
+            values[:, b] ^= values[:, b] >> np.uint64(31)
+    return values
+
+
 def _paragraph_rows(part: pa.RecordBatch, min_words: int, bands: int, rows: int) -> pa.RecordBatch:
     text = pc.fill_null(part.column("text"), "")
     split = pc.split_pattern(text, "\n")
@@ -108,19 +142,7 @@ def _paragraph_rows(part: pa.RecordBatch, min_words: int, bands: int, rows: int)
     coded = words.filter(pa.array(used)).dictionary_encode()
     hashes = _word_hashes(as_bytes(coded.dictionary))[coded.indices.to_numpy()] if len(
         coded) else np.zeros(0, np.uint64)
-    of = line[used]
-    shingles = shingle_hashes(hashes)
-    inside = of[:len(shingles)] == of[SHINGLE - 1:] if len(of) >= SHINGLE else np.zeros(0, bool)
-    shingles = shingles[:len(inside)][inside]
-    heads = np.cumsum(n_words[chosen] - SHINGLE + 1) - (n_words[chosen] - SHINGLE + 1)
-    mult, add = _permutations(bands * rows)
-    values = np.zeros((len(chosen), bands), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(bands * rows if len(chosen) else 0):
-            least = np.minimum.reduceat((shingles * mult[i] + add[i]) >> np.uint64(16), heads)
-            b = i // rows
-            values[:, b] = (values[:, b] ^ least) * np.uint64(0xBF58476D1CE4E5B9)
-            values[:, b] ^= values[:, b] >> np.uint64(31)
+    values = _band_values(hashes, line[used], n_words[chosen], bands, rows)
     kept = lines.take(pa.array(chosen))
     keys = [hashlib.md5(b" ".join(t.lower().split()), usedforsecurity=False).digest()
             for t in as_bytes(kept)]
@@ -134,11 +156,133 @@ def _paragraph_rows(part: pa.RecordBatch, min_words: int, bands: int, rows: int)
         names=["doc_id", "idx", "start", "end", "key", "n_words", "bands", "paragraph"])
 
 
+class _Words:
+    """The words of a slice of texts: hash, text, and place in code points and bytes."""
+
+    def __init__(self, part: pa.RecordBatch) -> None:
+        texts = as_bytes(part.column("text").filter(pc.is_valid(part.column("doc_id"))))
+        self.docs = part.column("doc_id").drop_null()
+        self.raw = b"\n".join([*texts, b""])
+        codes = np.frombuffer(self.raw, np.uint8)
+        space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
+        self.first, self.past = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        self.doc = np.searchsorted(begins, self.first, "right") - 1
+        chars = np.concatenate([[0], np.cumsum((codes & 0xC0) != 0x80)])
+        shift = chars[begins][self.doc] if len(texts) else self.first
+        self.start, self.end = chars[self.first] - shift, chars[self.past] - shift
+        words = pa.array(self.raw.lower().split(), pa.binary()).dictionary_encode()
+        self.hashes = _word_hashes(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(
+            words) else np.zeros(0, np.uint64)
+        n = np.bincount(self.doc, minlength=len(texts))
+        self.place = np.arange(len(self.doc)) - (np.cumsum(n) - n)[self.doc]  # in its text
+        self.left = n[self.doc] - self.place  # words from here to the end of the text
+
+    def spans(self, at: np.ndarray, last: np.ndarray) -> list[pa.Array]:
+        """doc_id, idx, start and end of word runs from ``at`` to ``last``."""
+        return [self.docs.take(pa.array(self.doc[at])),
+                pa.array((PASSAGE + self.place[at]).astype(np.int32)),
+                pa.array(self.start[at].astype(np.int64)), pa.array(self.end[last].astype(np.int64))]
+
+
+def _least_ahead(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of ``width`` values from each place on; shorter at the end."""
+    out, have = values.copy(), 1
+    while have < width:
+        step = min(have, width - have)
+        out[:-step] = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
+
+
+def cut_places(order: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Places of the least values within ``reach`` places to both sides."""
+    if len(order) < 2 * reach + 1:
+        return np.zeros(0, np.int64)
+    least = _least_ahead(order, 2 * reach + 1)[:len(order) - 2 * reach]
+    return np.flatnonzero(least == order[reach:len(order) - reach]) + reach
+
+
+def winnow(order: np.ndarray, width: int = WINNOW) -> np.ndarray:
+    """Places that are the last least value of some ``width`` places in a row (or of all)."""
+    if not len(order):
+        return np.zeros(0, np.int64)
+    width = min(width, len(order))
+    windows = np.lib.stride_tricks.sliding_window_view(order, width)
+    return np.unique(np.arange(len(windows)) + width - 1 - np.argmin(windows[:, ::-1], axis=1))
+
+
+def _passage_rows(part: pa.RecordBatch, min_words: int, bands: int, rows: int) -> pa.RecordBatch:
+    w = _Words(part)
+    order = shingle_hashes(w.hashes) if len(w.hashes) >= SHINGLE else np.zeros(0, np.uint64)
+    cut = np.zeros(len(w.doc), bool)
+    cut[w.place == 0] = True
+    for begin in np.flatnonzero(w.place == 0):
+        cut[cut_places(order[begin:begin + max(0, w.left[begin] - SHINGLE + 1)]) + begin] = True
+    unit = np.cumsum(cut) - 1
+    n_words = np.bincount(unit, minlength=0)
+    chosen = n_words >= max(min_words, SHINGLE)
+    used = chosen[unit]
+    at = np.flatnonzero(cut)[chosen]
+    last = at + n_words[chosen] - 1
+    values = _band_values(w.hashes[used], unit[used], n_words[chosen], bands, rows)
+    kept = [w.raw[a:b] for a, b in zip(w.first[at], w.past[last], strict=True)]
+    keys = [hashlib.md5(b"\n" + b" ".join(t.lower().split()), usedforsecurity=False).digest()
+            for t in kept]  # the line end keeps them apart from the keys of lines
+    flat = pa.array(values.reshape(-1).view(np.int64))
+    return pa.record_batch(
+        [*w.spans(at, last), pa.array(keys, pa.binary()), pa.array(n_words[chosen].astype(np.int32)),
+         pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat),
+         pa.array(kept, pa.binary()).cast(pa.string())],
+        names=["doc_id", "idx", "start", "end", "key", "n_words", "bands", "paragraph"])
+
+
+def _window_rows(part: pa.RecordBatch, size: int) -> pa.RecordBatch:
+    w = _Words(part)
+    order = shingle_hashes(w.hashes) if len(w.hashes) >= SHINGLE else np.zeros(0, np.uint64)
+    begins = np.flatnonzero(w.place == 0)
+    places = [winnow(order[b:b + max(0, w.left[b] - size + 1)]) + b for b in begins]
+    at = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
+    keys = []
+    with np.errstate(over="ignore"):
+        for seed in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+            key = np.zeros(len(at), np.uint64)
+            for i in range(size):
+                key = (key ^ w.hashes[at + i]) * seed
+                key ^= key >> np.uint64(29)
+            keys.append(pa.array(key.view(np.int64)))
+    return pa.record_batch([*w.spans(at, at + size - 1), *keys],
+                           names=["doc_id", "idx", "start", "end", "key", "key2"])
+
+
+def repeated_windows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Removed rows of ``repeated_paragraphs`` for equal windows of ``size`` words, and the
+    first occurrence of each, with ``removed`` false."""
+    def run(batches):
+        for part in by_bytes(batches, "text", 4 << 20):
+            yield _window_rows(part, size)
+
+    found = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"),
+                              F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, idx int, start long, end long, key long, key2 long"), "windows")
+    firsts = stage(found.groupBy("key", "key2").agg(
+        F.min(F.struct("doc_id", "idx")).alias("first"), F.max(F.struct("doc_id", "idx")).alias("last"))
+        .where("first <> last").select("key", "key2", "first"), "window-firsts")
+    return found.join(firsts, ["key", "key2"]).select(
+        "doc_id", "idx", "start", "end", F.col("first.doc_id").alias("first_doc"),
+        F.col("first.idx").alias("first_idx"),
+        ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("idx") != F.col("first.idx"))).alias("removed"))
+
+
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, bands: int,
-               rows: int) -> DataFrame:
+               rows: int, passages: bool = False) -> DataFrame:
     def run(batches):
         for part in by_bytes(batches, "text", 4 << 20):
             yield _paragraph_rows(part, min_words, bands, rows)
+            if passages:
+                yield _passage_rows(part, min_words, bands, rows)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text")).mapInArrow(
@@ -233,18 +377,24 @@ def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, threshold: flo
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         min_words: int = MIN_WORDS, threshold: float = THRESHOLD,
-                        recall: float = 0.999, block: int = BLOCK) -> DataFrame:
+                        recall: float = 0.999, block: int = BLOCK,
+                        passages: bool = False) -> DataFrame:
     """One row per repeated occurrence: doc_id, idx, start, end, first_doc, first_idx, removed.
 
     ``start`` and ``end`` are code points of the paragraph in its text; the first
-    occurrence of a component has ``removed`` false.
+    occurrence of a component has ``removed`` false.  With ``passages`` those cut from
+    the whole text and the repeated windows are among the rows; rows may then overlap.
     """
     bands, rows = tune_bands(threshold, recall)
-    found = stage(paragraphs(docs, id_col, text_col, min_words, bands, rows), "paragraphs")
+    found = stage(paragraphs(docs, id_col, text_col, min_words, bands, rows, passages),
+                  "paragraphs")
     nodes = stage(found.groupBy("key").agg(
         F.min(F.struct("doc_id", "idx")).alias("first"), F.min("bands").alias("bands")),
         "paragraph-nodes")
-    entries = nodes.select("key", F.posexplode("bands").alias("band", "value"))
+    # passages have bands of their own: they overlap lines, so the two never meet
+    entries = nodes.select("key", F.col("first.idx"), F.posexplode("bands").alias("band", "value")).select(
+        "key", (F.col("band") + F.when(F.col("idx") >= PASSAGE, bands).otherwise(0)).alias("band"),
+        "value")
     buckets = stage(entries.groupBy("band", "value").agg(
         F.count(F.lit(1)).alias("members"), F.min("key").alias("least")).where("members > 1"),
         "buckets")
@@ -268,9 +418,38 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                              | (F.col("idx") != F.col("first_idx")))
     repeated = stage(rows_.where("removed").select(
         F.col("first_doc").alias("doc_id"), F.col("first_idx").alias("idx")).distinct(), "repeated")
-    return rows_.where("removed").unionByName(
+    out = rows_.where("removed").unionByName(
         rows_.where("not removed").join(repeated, ["doc_id", "idx"], "left_semi")
         .select(rows_.columns))
+    return out.unionByName(repeated_windows(docs, id_col, text_col, min_words)) if passages else out
+
+
+def _joined_spans(found: DataFrame) -> DataFrame:
+    """``found`` (doc_id, removed, repeats_of) with overlapping spans made one."""
+    def run(batches):
+        for batch in batches:
+            spans = batch.column("removed")
+            flat, sizes = spans.flatten(), pc.list_value_length(spans).to_numpy()
+            start, end = (flat.field(i).to_numpy() for i in (0, 1))
+            lengths, begins, ends = [], [], []
+            for past, size in zip(np.cumsum(sizes), sizes, strict=True):
+                b, e = start[past - size:past], np.maximum.accumulate(end[past - size:past])
+                head = np.ones(size, bool)
+                head[1:] = b[1:] > e[:-1]
+                tail = np.append(head[1:], True)[:size]
+                begins.append(b[head])
+                ends.append(e[tail])
+                lengths.append(int(head.sum()))
+            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) if x
+                                                else pa.array([], pa.int64()) for x in (begins, ends)],
+                                               names=["start", "end"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pairs),
+                                   batch.column("repeats_of")],
+                                  names=["doc_id", "removed", "repeats_of"])
+
+    return found.select("doc_id", "removed", "repeats_of").mapInArrow(
+        run, "doc_id long, removed array<struct<start:bigint,end:bigint>>, repeats_of array<bigint>")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -278,12 +457,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, n_removed, removed [(start, end)], repeats_of [doc_id].
 
     ``repeats_of`` names the first document of each repeated passage it holds, itself
-    included where it is the first.
+    included where it is the first.  With ``passages`` overlapping spans are one span.
     """
     found = repeated_paragraphs(docs, id_col, text_col, **options)
     spans = found.groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.when(F.col("removed"), F.struct("start", "end")))).alias("removed"),
         F.sort_array(F.collect_set("first_doc")).alias("repeats_of"))
+    if options.get("passages"):
+        spans = _joined_spans(spans)
     spans = stage(spans, "paragraph-removals")
     return docs.select(F.col(id_col).cast("long").alias("doc_id")).join(spans, "doc_id", "left").select(
         "doc_id", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"),
@@ -291,9 +472,33 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("repeats_of", F.array().cast("array<bigint>")).alias("repeats_of"))
 
 
+def _cut_spans(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    cuts = removals(docs, id_col, text_col, **options).where("n_removed > 0").select(
+        F.col("doc_id").alias("_of"), F.col("removed").alias("_cut")).dropDuplicates(["_of"])
+    schema = docs.join(cuts.limit(0), F.lit(True), "left").schema
+
+    def run(batches):
+        for part in by_bytes(batches, text_col, 4 << 20):
+            out = []
+            for text, spans in zip(part.column(text_col).to_pylist(),
+                                   part.column("_cut").to_pylist(), strict=True):
+                at, kept = 0, []
+                for s in spans or ():
+                    kept.append(text[at:s["start"]])
+                    at = s["end"]
+                out.append(text if text is None else "".join([*kept, text[at:]]))
+            at = part.schema.get_field_index(text_col)
+            yield part.set_column(at, part.schema.field(at), pa.array(out, part.column(at).type))
+
+    joined = docs.join(cuts.hint("merge"), F.col(id_col).cast("long") == F.col("_of"), "left")
+    return joined.mapInArrow(run, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       **options) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text_col``, other columns as they are."""
+    if options.get("passages"):
+        return _cut_spans(docs, id_col, text_col, **options)
     spans = stage(repeated_paragraphs(docs, id_col, text_col, **options).where("removed")
                   .groupBy("doc_id").agg(F.collect_set("idx").alias("_cut"))
                   .withColumnRenamed("doc_id", "_of"), "paragraph-cuts")

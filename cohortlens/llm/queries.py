@@ -96,7 +96,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op10_paragraphs import removals
-    return removals(_documents(spark, sf_dir))
+    return removals(_documents(spark, sf_dir), passages=True)
 
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
