@@ -17,6 +17,11 @@ with n_e and n_t the documents that hold e and t, n_te those that hold t within
 that ``SUPPORT`` documents attest is generalised to its kind of word; from ``REMOVE``
 on it is removed.  Base spans always stay.
 
+With ``bounded`` no pair is left out for being rare.  PMI / IC is log2(p(e|t) N / n_e) / IC
+with p(e|t) = n_te / n_t; instead of the ratio itself its lower confidence bound
+(Wilson, one-sided at ``CONFIDENCE_Z``) is taken, so entities of one or two documents are
+scored as well, by as much as their few counts allow.
+
 Pairs are counted after a map-side sum, term frequencies are one word count over the
 corpus, and a document's spans are gathered per document only; texts are shuffled by
 ``sanitise`` alone, once.
@@ -50,6 +55,7 @@ TERM = r"[\p{L}\p{N}]{3,}+"
 CONTEXT = 64
 SUPPORT = 3
 GENERALISE, REMOVE = 0.7, 0.9
+CONFIDENCE_Z = 1.645  # 95 in 100
 _BLOCK = 256
 _ADDED = {"general": 4, "remove": 5}
 
@@ -154,17 +160,27 @@ def _nearby(mention: Column) -> Column:
     return F.concat(rows(cut_before, left), rows(cut_after, mention["end"]))
 
 
+def _lower_bound(hits: Column, n: Column, z: float = CONFIDENCE_Z) -> Column:
+    """Lower end of Wilson's interval for the share hits / n."""
+    p, zz = hits / n, z * z
+    return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+
+
 def disclosing_spans(docs: DataFrame, base: DataFrame, id_col: str = "doc_id",
                      text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE,
-                     remove: float = REMOVE) -> DataFrame:
-    """(doc_id, version, added): spans of terms that disclose an entity of their document."""
+                     remove: float = REMOVE, bounded: bool = False) -> DataFrame:
+    """(doc_id, version, added): spans of terms that disclose an entity of their document.
+
+    ``bounded`` scores every pair by the lower bound, and ``support`` counts for nothing.
+    """
     near = base.select("doc_id", "version", F.explode("base").alias("m")).select(
         "doc_id", "version", F.concat_ws(":", "m.kind", F.lower("m.value")).alias("entity"),
         F.explode(_nearby(F.col("m"))).alias("t")).select(
         "doc_id", "version", "entity", "t.term", "t.start", "t.end", "t.word")
     near = stage(near, "pii-terms")
     pairs = near.groupBy("entity", "term", "doc_id", "version").count().groupBy(
-        "entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support)
+        "entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(
+        F.col("n_te") >= (1 if bounded else support))
     pairs = stage(pairs, "pii-pairs")
     entities = base.select("doc_id", "version", F.explode(F.array_distinct(F.transform(
         "base", lambda m: F.concat_ws(":", m["kind"], F.lower(m["value"]))))).alias("entity")) \
@@ -179,6 +195,8 @@ def disclosing_spans(docs: DataFrame, base: DataFrame, id_col: str = "doc_id",
     total = docs.agg(F.count(F.lit(1)).alias("n"))
     ic = F.log2(F.col("n") / F.col("n_e"))
     pmi = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
+    if bounded:
+        pmi = F.log2(_lower_bound(F.col("n_te"), F.col("n_t")) * F.col("n") / F.col("n_e"))
     scored = (pairs.join(entities, "entity").join(counts, "term").crossJoin(F.broadcast(total))
               .withColumn("disclosure", F.when(ic > 0, pmi / ic))
               .where(F.col("disclosure") >= generalise)
