@@ -22,9 +22,13 @@ with p(e|t) = n_te / n_t; instead of the ratio itself its lower confidence bound
 (Wilson, one-sided at ``CONFIDENCE_Z``) is taken, so entities of one or two documents are
 scored as well, by as much as their few counts allow.
 
+With ``everywhere`` a disclosing term is marked at each of its places in all documents,
+not near the mentions alone (the window is for the estimate); a term that is removed
+for one entity is removed.
+
 Pairs are counted after a map-side sum, term frequencies are one word count over the
 corpus, and a document's spans are gathered per document only; texts are shuffled by
-``sanitise`` alone, once.
+``sanitise``, and with ``everywhere`` once more to meet the terms they hold.
 
 Defined cases: null text counts as empty and has no span; rows that repeat an id are
 told apart by their text, and rows alike in both are one document in the counts and
@@ -166,12 +170,40 @@ def _lower_bound(hits: Column, n: Column, z: float = CONFIDENCE_Z) -> Column:
     return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
 
 
+def _all_places(docs: DataFrame, scored: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, version, added): every place of the ``scored`` terms in ``docs``."""
+    terms = stage(scored.groupBy("term").agg(F.max("gone").alias("gone")), "pii-terms-scored")
+    d = docs.select(F.col(id_col).alias("doc_id"),
+                    F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")) \
+        .withColumn("version", F.xxhash64("text"))
+    held = d.select("doc_id", "version", F.explode(F.array_distinct(F.transform(
+        F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term")).join(
+        terms, "term").groupBy("doc_id", "version").agg(
+        F.collect_set("term").alias("held"), F.collect_set(F.when(F.col("gone"), F.col("term"))).alias("gone"))
+    held = stage(held, "pii-holders").toDF("_id", "_version", "held", "gone")
+    hits = _matches(F.col("text"), TERM, valid=lambda v: F.array_contains("held", F.lower(v)))
+
+    def span(m: Column) -> Column:
+        gone = F.array_contains("gone", F.lower(m["value"]))
+        return F.struct(m["start"].alias("start"),
+                        F.when(gone, _ADDED["remove"]).otherwise(_ADDED["general"]).alias("kind_no"),
+                        m["end"].alias("end"),
+                        F.when(gone, "remove").otherwise("general").alias("kind"),
+                        m["value"].alias("value"))
+
+    return d.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))) \
+        .select("doc_id", "version", F.transform(hits, span).alias("added")) \
+        .groupBy("doc_id", "version").agg(F.min("added").alias("added"))
+
+
 def disclosing_spans(docs: DataFrame, base: DataFrame, id_col: str = "doc_id",
                      text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE,
-                     remove: float = REMOVE, bounded: bool = False) -> DataFrame:
+                     remove: float = REMOVE, bounded: bool = False,
+                     everywhere: bool = False) -> DataFrame:
     """(doc_id, version, added): spans of terms that disclose an entity of their document.
 
-    ``bounded`` scores every pair by the lower bound, and ``support`` counts for nothing.
+    ``bounded`` scores every pair by the lower bound, and ``support`` counts for nothing;
+    ``everywhere`` marks all places of a term in all documents.
     """
     near = base.select("doc_id", "version", F.explode("base").alias("m")).select(
         "doc_id", "version", F.concat_ws(":", "m.kind", F.lower("m.value")).alias("entity"),
@@ -202,6 +234,8 @@ def disclosing_spans(docs: DataFrame, base: DataFrame, id_col: str = "doc_id",
               .where(F.col("disclosure") >= generalise)
               .select("entity", "term", (F.col("disclosure") >= remove).alias("gone")))
     scored = stage(scored, "pii-disclosing")
+    if everywhere:
+        return _all_places(docs, scored, id_col, text_col)
     kind = F.when(F.col("gone"), F.lit("remove")).otherwise(F.lit("general"))
     number = F.when(F.col("gone"), F.lit(_ADDED["remove"])).otherwise(F.lit(_ADDED["general"]))
     return near.join(scored, ["entity", "term"]).groupBy("doc_id", "version").agg(

@@ -1,7 +1,7 @@
 """Disclosing terms of rare entities."""
 import math
 
-from cohortlens.llm.op3_pii import CONFIDENCE_Z, find_spans
+from cohortlens.llm.op3_pii import CONFIDENCE_Z, find_spans, sanitise
 
 
 def bound(hits, n, z=CONFIDENCE_Z):
@@ -33,3 +33,19 @@ def test_entity_of_one_document_is_scored(make_docs, words):
     assert ("general", "Marlowe") in {x[:2] for x in got[500]}
     assert not {"writes", "from", "about"} & {x[1] for x in got[500]}
     assert not added(find_spans(make_docs(alone)))[500]  # three documents asked for: none
+
+
+def test_every_place_of_a_disclosing_term_is_marked(make_docs, words):
+    rows = corpus(words) + [(502, "Ann writes to ann.lee@example.org, Marlowe"), (None, "MARLOWE")]
+    docs = make_docs(rows, extra=["held", "gone", "term", "added"])
+    near = added(find_spans(docs, bounded=True, generalise=0.3))
+    assert [x[1] for x in near[500]].count("Marlowe") == 1 and not near[501]
+    got = added(find_spans(docs, bounded=True, everywhere=True, generalise=0.3))
+    for d, text in rows:
+        low, places, at = (text or "").lower(), [], -1
+        while (at := low.find("marlowe", at + 1)) >= 0:
+            places.append(at)
+        assert [x[2] for x in got[d] if x[1].lower() == "marlowe"] == places
+    clean = {r.doc_id: r.text for r in sanitise(docs, bounded=True, everywhere=True,
+                                               generalise=0.3).collect()}
+    assert not any("marlowe" in (t or "").lower() for t in clean.values())
