@@ -10,8 +10,10 @@ Per pair the shared lines are aligned as patience diff does: lines that occur on
 in either document are anchors, the longest increasing run of anchors is kept, and
 kept anchors grow over neighbouring equal lines.  A block (consecutive lines in both
 documents) is deleted from the later document when it holds a rare line (of
-``RARE_WORDS`` words or more, in at most ``rare`` documents) or at least ``min_block``
-lines; a lone common line, such as a licence line, or a short one stays.  The first holder never loses a line to a later one.
+``RARE_WORDS`` words or more, in at most ``rare`` documents), at least ``min_block``
+lines, or at least ``min_words`` words, however many documents hold it; a lone common
+line of fewer words, or a short one, stays.  The first holder never loses a line to a
+later one.
 
 The groups are single documents: the lines of one document and its partners' places,
 never the documents that share a line.
@@ -37,6 +39,7 @@ from .staging import as_bytes, by_bytes, stage
 RARE = 10
 RARE_WORDS = 5
 MIN_BLOCK = 3
+MIN_WORDS = 30
 
 
 def _signed(h: int) -> int:
@@ -60,9 +63,9 @@ def line_hashes(text: bytes) -> list[int]:
 
 
 def incidences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, version, pos, line, occurrence, alone, tells, before, after), one row per line.
+    """(doc_id, version, pos, line, occurrence, alone, words, before, after), one row per line.
 
-    ``alone``: once in its document; ``tells``: long enough to be evidence when rare.
+    ``alone``: once in its document; ``words``: the number of its words.
     """
     def run(batches):
         for part in by_bytes(batches, "text", 4 << 20):
@@ -70,28 +73,28 @@ def incidences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for doc, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")),
                                  strict=True):
                 hashes = line_hashes(text)
-                long = [len(x.split()) >= RARE_WORDS for x in text.split(b"\n")]
+                words = [len(x.split()) for x in text.split(b"\n")]
                 total, seen = Counter(hashes), Counter()
                 version = _signed(xxhash.xxh64_intdigest(text, 42))  # what xxhash64() gives
                 for pos, h in enumerate(hashes):
                     if h:
                         seen[h] += 1
-                        row = (doc, version, pos, h, seen[h], total[h] == 1, long[pos],
+                        row = (doc, version, pos, h, seen[h], total[h] == 1, words[pos],
                                hashes[pos - 1] if pos else 0,
                                hashes[pos + 1] if pos + 1 < len(hashes) else 0)
                         for c, v in zip(columns, row, strict=True):
                             c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(),
-                     pa.bool_(), pa.int64(), pa.int64()]
+                     pa.int32(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                                   names=["doc_id", "version", "pos", "line", "occurrence", "alone",
-                                         "tells", "before", "after"])
+                                         "words", "before", "after"])
 
     return docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, version long, pos int, line long, occurrence int, alone boolean, "
-             "tells boolean, before long, after long")
+             "words int, before long, after long")
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -112,19 +115,23 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(shared: list[dict], rare: int = RARE, min_block: int = MIN_BLOCK) -> set[int]:
+def align(shared: list[dict], rare: int = RARE, min_block: int = MIN_BLOCK,
+          min_words: int = MIN_WORDS, words: dict[int, int] | None = None) -> set[int]:
     """Positions to delete from the later document of one pair.
 
     ``shared`` has the lines that both hold: pos, other (position in the earlier
-    document), alone (once in both), tells, holders, and the neighbouring line hashes of
-    both sides (before, after, other_before, other_after).
+    document), alone (once in both), line, words, holders, and the neighbouring line hashes
+    of both sides (before, after, other_before, other_after).  ``words`` has the number of
+    words by line, also for lines first held by another document.
     """
+    words = words or {r["line"]: r["words"] for r in shared}
     rows = sorted(shared, key=lambda r: r["pos"])
     anchors = [r for r in rows if r["alone"]]
     taken = {anchors[i]["pos"]: anchors[i]["other"] for i in increasing([r["other"] for r in anchors])}
     at = {(r["pos"], r["other"]): r for r in rows}
     # grow: a neighbour of a kept line that is the same line on both sides
     edge = list(taken.items())
+    size = {r["pos"]: r["words"] for r in rows}  # words of the lines in blocks
     while edge:
         pos, other = edge.pop()
         row = at.get((pos, other))
@@ -133,14 +140,15 @@ def align(shared: list[dict], rare: int = RARE, min_block: int = MIN_BLOCK) -> s
         for step, mine, theirs in ((-1, "before", "other_before"), (1, "after", "other_after")):
             if row[mine] and row[mine] == row[theirs] and pos + step not in taken:
                 taken[pos + step] = other + step
+                size[pos + step] = words.get(row[mine], 0)
                 edge.append((pos + step, other + step))
     gone: set[int] = set()
     block: list[int] = []
     for pos in [*sorted(taken), None]:
         if block and (pos is None or pos != block[-1] + 1 or taken[pos] != taken[block[-1]] + 1):
             held = [at.get((p, taken[p])) for p in block]
-            if len(block) >= min_block or any(
-                    r and r["tells"] and r["holders"] <= rare for r in held):
+            if len(block) >= min_block or sum(size[p] for p in block) >= min_words or any(
+                    r and r["words"] >= RARE_WORDS and r["holders"] <= rare for r in held):
                 gone.update(block)
             block = []
         if pos is not None:
@@ -149,7 +157,7 @@ def align(shared: list[dict], rare: int = RARE, min_block: int = MIN_BLOCK) -> s
 
 
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE,
-              min_block: int = MIN_BLOCK) -> DataFrame:
+              min_block: int = MIN_BLOCK, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, version, gone, partners, kept) for the documents that lose lines.
 
     ``gone`` lists line positions, ``partners`` the earlier documents they are kept in;
@@ -164,12 +172,13 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         "doc_id", "version", F.struct(
             "pos", F.col("first.doc_id").alias("partner"), F.col("first.version").alias("of"),
             F.col("first.pos").alias("other"),
-            (F.col("alone") & F.col("first.alone")).alias("alone"), "tells", "holders", "before", "after",
+            (F.col("alone") & F.col("first.alone")).alias("alone"), "line", "words", "holders",
+            "before", "after",
             F.col("first.before").alias("other_before"),
             F.col("first.after").alias("other_after")).alias("row"))
-    # a document whose shared lines are all common and fewer than a block keeps them all
-    able = F.bool_or(F.col("row.tells") & (F.col("row.holders") <= rare)) \
-        | (F.count(F.lit(1)) >= min_block)
+    # a document whose shared lines are all common and less than a block keeps them all
+    able = F.bool_or((F.col("row.words") >= RARE_WORDS) & (F.col("row.holders") <= rare)) \
+        | (F.count(F.lit(1)) >= min_block) | (F.sum("row.words") >= min_words)
     per_doc = shared.groupBy("doc_id", "version").agg(
         F.collect_set("row").alias("rows"), able.alias("able")).where("able").drop("able")
 
@@ -180,12 +189,14 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             gone, partners, keep = [], [], []
             for i in range(batch.num_rows):
                 pairs: dict[tuple, list[dict]] = {}
+                words = {}
                 for r in batch.column("rows")[i].as_py():
+                    words[r["line"]] = r["words"]
                     pairs.setdefault((r["partner"], r["of"]), []).append(r)
                 cut: set[int] = set()
                 kept_in = set()
                 for (partner, _), rows in pairs.items():
-                    if dead := align(rows, rare, min_block):
+                    if dead := align(rows, rare, min_block, min_words, words):
                         cut |= dead
                         kept_in.add(partner)
                 if cut:
@@ -205,13 +216,14 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
 
 
 def delete_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 rare: int = RARE, min_block: int = MIN_BLOCK, report: bool = False) -> DataFrame:
+                 rare: int = RARE, min_block: int = MIN_BLOCK, min_words: int = MIN_WORDS,
+                 report: bool = False) -> DataFrame:
     """``docs`` with the aligned common blocks deleted from later documents.
 
     With ``report`` the columns ``gone`` (deleted line positions) and ``partners``
     follow; they are empty for documents that lose nothing.
     """
-    cuts = deletions(docs, id_col, text_col, rare, min_block).toDF(
+    cuts = deletions(docs, id_col, text_col, rare, min_block, min_words).toDF(
         "_ld_doc", "_ld_version", "_ld_gone", "_ld_partners", "_ld_kept")
     joined = docs.withColumn("_ld_text", F.col(text_col).cast("string")).join(
         cuts.hint("merge"), (F.col(id_col).cast("long") == F.col("_ld_doc"))
