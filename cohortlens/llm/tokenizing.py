@@ -10,6 +10,9 @@ of bounded size lives in the Python worker.
 The result is the library's own for the whole text: texts with a cut that is not
 certain (a space next to other white space or a control character) go to the
 library whole.
+
+It departs from the library's default in one point: ``encode_special_tokens`` is on, so
+a literal ``<|endoftext|>`` in a text gives ordinary pieces, not the added token's id.
 """
 
 from __future__ import annotations
