@@ -6,6 +6,8 @@ the query returns from the operator's real output.
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,9 +101,81 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(_documents(spark, sf_dir), passages=True)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third id (by crc32) presents a lower-cased text with its original proof."""
+    from .op11_merkle import FIELDS, as_hex, build_manifest, fold, leaf_digest, proof_digest, proofs
+    docs = read_documents(spark, sf_dir)
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    forged = leaf_digest([F.when(hit, lowered).otherwise(F.col("text")) if f == "text" else F.col(f)
+                          for f in FIELDS])
+    made = proofs(build_manifest(docs.withColumn("forged", forged), carry=("forged",)))
+    return made.withColumn("folded", fold(F.col("forged"), F.col("proof"))).select(
+        F.col("id").alias("doc_id"), as_hex(F.col("leaf")).alias("leaf"),
+        as_hex(F.col("subroot")).alias("subroot"), as_hex(F.col("root")).alias("root"),
+        as_hex(proof_digest(F.col("proof"))).alias("proof_sha256"),
+        as_hex(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in
+                                ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: crc32 of the decimal id, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(
+        string_split(doc_id::varchar, ''), lambda d: ord(d)::bigint)), lambda c, d:
+        list_reduce([xor(c, d), 0, 0, 0, 0, 0, 0, 0, 0], lambda e, z:
+        CASE WHEN e & 1 = 1 THEN xor(e >> 1, 3988292384) ELSE e >> 1 END)), 4294967295)"""
+#: Levels of a set of trees, and every node with its siblings; ``{of}`` has (tree, pos, n, digest).
+_TREES = """
+        {name}_up AS (
+            SELECT tree, 0 AS lvl, pos, n, digest FROM {of}
+            UNION ALL
+            SELECT tree, lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos))
+            FROM {name}_up WHERE n > 1 GROUP BY tree, lvl, pos // 8, n),
+        {name}_step AS (
+            SELECT tree, lvl, pos,
+                   coalesce(string_agg(digest, '') OVER lft, '') AS l,
+                   coalesce(string_agg(digest, '') OVER rgt, '') AS r
+            FROM {name}_up WHERE n > 1
+            WINDOW lft AS (PARTITION BY tree, lvl, pos // 8 ORDER BY pos
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                   rgt AS (PARTITION BY tree, lvl, pos // 8 ORDER BY pos
+                           ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+        {name}_root AS (SELECT tree, lvl, digest FROM {name}_up WHERE n = 1)"""
+
 SQL = {
+    "op11_merkle": f"""
+        WITH RECURSIVE told AS (
+            SELECT doc_id, lang, {_LEAF.format(text="text")} AS leaf,
+                   CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF.format(
+                       text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+                        ELSE {_LEAF.format(text="text")} END AS forged
+            FROM documents),
+        placed AS (
+            SELECT *, coalesce('=' || lang, '') AS tree, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+            FROM told),
+        {_TREES.format(name="low", of="placed")},
+        tops AS (SELECT '^' AS tree, tree AS low_tree, digest, count(*) OVER () AS n,
+                        row_number() OVER (ORDER BY tree) - 1 AS pos FROM low_root),
+        {_TREES.format(name="top", of="tops")},
+        steps AS (
+            SELECT tree, lvl, pos, tree AS up_tree, lvl + 1 AS up_lvl, pos // 8 AS up_pos, l, r FROM low_step
+            UNION ALL SELECT '^', 1000 + lvl, pos, '^', 1001 + lvl, pos // 8, l, r FROM top_step
+            UNION ALL SELECT b.tree, b.lvl, 0, '^', 1000, t.pos, NULL, NULL
+            FROM low_root b JOIN tops t ON t.low_tree = b.tree),
+        walk AS (
+            SELECT doc_id, tree, 0 AS lvl, pos, forged AS acc, '' AS proof FROM placed
+            UNION ALL
+            SELECT doc_id, up_tree, up_lvl, up_pos, coalesce(sha256(l || acc || r), acc),
+                   proof || coalesce(l || r, '')
+            FROM walk JOIN steps USING (tree, lvl, pos))
+        SELECT p.doc_id, p.leaf, s.digest AS subroot, r.digest AS root, sha256(w.proof) AS proof_sha256,
+               w.acc AS folded_root, w.acc = r.digest AS verified
+        FROM placed p JOIN low_root s USING (tree) JOIN top_root r ON true
+        JOIN walk w ON w.doc_id = p.doc_id AND w.tree = '^' AND w.lvl = 1000 + r.lvl""",
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({_ASCII_LOWER}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size
@@ -121,4 +195,5 @@ QUERIES = {
     "op8_merge_dropout": op8_merge_dropout,
     "op9_packing": op9_packing,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_merkle": op11_merkle,
 }
