@@ -117,6 +117,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_hex(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_classifier import held_out
+    from .op12_toxicity import fit, score_documents
+    docs = _documents(spark, sf_dir)
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score",
+                                               "predicted")
+
+
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
@@ -196,4 +205,5 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_repeated_passages": op10_repeated_passages,
     "op11_merkle": op11_merkle,
+    "op12_toxicity": op12_toxicity,
 }
