@@ -126,6 +126,14 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                "predicted")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_negatives import hard_negatives
+    ship_package(spark)
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), label=turned,
+                          anchor="id % 50 = 0")
+
+
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _FIELD = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
@@ -185,6 +193,26 @@ SQL = {
                w.acc AS folded_root, w.acc = r.digest AS verified
         FROM placed p JOIN low_root s USING (tree) JOIN top_root r ON true
         JOIN walk w ON w.doc_id = p.doc_id AND w.tree = '^' AND w.lvl = 1000 + r.lvl""",
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::double)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, a.label = o.label AS same, o.vec_id,
+                   list_inner_product(a.v, o.v)::bigint AS score
+            FROM v a JOIN v o ON a.vec_id % 50 = 0 AND a.vec_id <> o.vec_id),
+        positives AS (
+            SELECT * FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id,
+               (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id))::int
+               AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+             AND 100 * n.score BETWEEN 50 * p.score AND 95 * p.score
+        QUALIFY rank <= 3""",
     "op5_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({_ASCII_LOWER}) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size
@@ -206,4 +234,5 @@ QUERIES = {
     "op10_repeated_passages": op10_repeated_passages,
     "op11_merkle": op11_merkle,
     "op12_toxicity": op12_toxicity,
+    "op13_hard_negatives": op13_hard_negatives,
 }
