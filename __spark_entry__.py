@@ -484,23 +484,97 @@ def _top_births(spark, sf_dir):
         F.posexplode("rows").alias("position", "row")).select("position", "row.*")
 
 
-def _places(spark, df, cols):
-    """Rows of an ordered report with their positions (a report is a few dozen rows)."""
-    from pyspark.sql.types import IntegerType, StructField, StructType
-    df = df.select(*cols)
-    rows = [(i, *r) for i, r in enumerate(df.collect())]
-    return spark.createDataFrame(rows, StructType([StructField("position", IntegerType()),
-                                                   *df.schema.fields]))
+def _places(df, cols, order):
+    """Rows of an ordered report with their positions."""
+    from cohortlens.operators.numbering import numbered
+    out = numbered(df.select(*cols), order)
+    return out.withColumn("position", out["position"].cast("int"))
 
 
 def _report_order(spark, sf_dir):
-    return _places(spark, N.care_pathway_by_state(analogue_star(spark, sf_dir).star),
-                   ["pct_facility_delivery"])
+    from pyspark.sql import functions as F
+    return _places(N.care_pathway_by_state(analogue_star(spark, sf_dir).star),
+                   ["pct_facility_delivery"], [F.asc_nulls_first("pct_facility_delivery")])
 
 
 def _report_order_two_keys(spark, sf_dir):
-    return _places(spark, N.death_profile(analogue_star(spark, sf_dir).star),
-                   ["geopolitical_zone", "women_count"])
+    from pyspark.sql import functions as F
+    return _places(N.death_profile(analogue_star(spark, sf_dir).star),
+                   ["geopolitical_zone", "women_count"], ["geopolitical_zone", F.desc("women_count")])
+
+
+def _two_loads(spark, sf_dir):
+    """Key maps after a first load (first interview rounds) and a second (all rounds), and
+    the second load's star."""
+    from pyspark.sql import functions as F
+    from cohortlens.plans.etl import build_keyed_star
+    a, wide, root = analogue_star(spark, sf_dir), _wide(spark, sf_dir), _folder(spark, "keys")
+    first = wide.where(F.col("caseid").rlike(" 1$"))
+    build_keyed_star(first, a.who_sba, a.who_mmr, root, 1)
+    return root, build_keyed_star(wide, a.who_sba, a.who_mmr, root, 2)
+
+
+def _key_map(spark, sf_dir):
+    from cohortlens.operators.keymap import read_keys
+    root, _ = _two_loads(spark, sf_dir)
+    return read_keys(spark, f"{root}/woman")
+
+
+def _keyed_star(spark, sf_dir):
+    """Each respondent of the star with mapped keys, with the facts that carry the key."""
+    from pyspark.sql import functions as F
+    _, star = _two_loads(spark, sf_dir)
+    births = star.birth.groupBy("woman_id").agg(F.count(F.lit(1)).alias("births"),
+                                                F.max("birth_id").alias("last_birth_id"))
+    deaths = star.mortality.groupBy("woman_id").agg(F.count(F.lit(1)).alias("deaths"))
+    care = star.anc.select("woman_id", F.col("anc_id"))
+    return star.woman.select("woman_id", "dhs_case_id", "state_id").join(births, "woman_id", "left") \
+        .join(deaths, "woman_id", "left").join(care, "woman_id", "left")
+
+
+def _committed(spark, sf_dir):
+    """Folder of a star committed, a load that fails after its fourth table, a second version
+    with maternal deaths only, and a rollback to the first."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+    from cohortlens.schemas import with_tables
+    from cohortlens.sources.versions import commit_star, roll_back
+    star, root = analogue_star(spark, sf_dir).star, _folder(spark, "committed")
+    commit_star(star, root)
+    broken = with_tables(star, birth=star.birth.withColumn(
+        "birth_id", F.expr("CAST(raise_error('planted failure') AS BIGINT)")))
+    try:
+        commit_star(broken, root)
+    except PySparkException:
+        pass
+    commit_star(with_tables(star, mortality=star.mortality.where("pregnancy_related = 1")),
+                root, note="maternal only")
+    roll_back(spark, root, 1)
+    return root
+
+
+def _star_commits(spark, sf_dir):
+    """Every commit with its rows, beside the rows that readers of that version get."""
+    from pyspark.sql import functions as F
+    from cohortlens.operators.quality import row_counts
+    from cohortlens.sources.versions import commits, read_committed
+    root = _committed(spark, sf_dir)
+    read = None
+    for version in (1, 2, 3):
+        one = row_counts(read_committed(spark, root, version)).select(
+            F.lit(version).alias("version"), "table_name", F.col("row_count").alias("rows_read"))
+        read = one if read is None else read.unionByName(one)
+    return commits(spark, root).select("version", "table_name", "rows", "note").join(
+        read, ["version", "table_name"])
+
+
+def _committed_nulls(spark, sf_dir):
+    """Null counts of the star as they came with the write."""
+    from pyspark.sql import functions as F
+    from cohortlens.sources.versions import commit_star, commits
+    root = _folder(spark, "observed")
+    commit_star(analogue_star(spark, sf_dir).star, root)
+    return commits(spark, root).select("table_name", F.explode("nulls").alias("column_name", "null_count"))
 
 
 def _register_more(q):
@@ -516,6 +590,10 @@ def _register_more(q):
         "top_births": _top_births,
         "report_order": _report_order,
         "report_order_two_keys": _report_order_two_keys,
+        "key_map": _key_map,
+        "keyed_star": _keyed_star,
+        "star_commits": _star_commits,
+        "committed_nulls": _committed_nulls,
         "project_woman": _project_woman,
         "text_normalise": _text_normalise,
         "recode_map": _recode_map,

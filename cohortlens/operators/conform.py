@@ -4,7 +4,8 @@ Surrogate keys are hashes of natural keys (``xxhash64``), so no global window
 or sequence generator is needed and re-runs are idempotent.  Before any write the
 ETL checks that every dimension key is unique, which a collision of two natural keys
 or a repeated case id would break (with 64-bit keys a collision is to be expected
-from some billions of respondents on; the load then stops).  Foreign keys are resolved by joins on the
+from some billions of respondents on; the load then stops, and ``key_respondents`` takes
+keys from a persisted map instead, which cannot collide).  Foreign keys are resolved by joins on the
 natural keys (state name + urban/rural, case id) and the mapping gate raises
 when any fact row is left unmapped — before loading, not after.
 """
@@ -18,6 +19,7 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..schemas import (DIM_GEOGRAPHY, DIM_WOMAN, FACT_ANC, FACT_BIRTH, FACT_MORTALITY, Star,
                        conform)
+from .keymap import extend_keys, with_key
 from .reshape import births_long, dedupe_keep_min, sisters_long
 
 WEIGHT_SCALE = 1_000_000     # survey weights are stored x 1e6
@@ -66,10 +68,11 @@ def build_geography(wide: DataFrame) -> DataFrame:
     return conform(g, DIM_GEOGRAPHY)
 
 
-def woman_attributes(wide: DataFrame) -> DataFrame:
+def woman_attributes(wide: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Respondent columns renamed and recoded (state still as a name)."""
-    w = rename(wide, WOMAN_SOURCE)
+    w = rename(wide, WOMAN_SOURCE | {c: c for c in carry})
     return w.select(
+        *carry,
         case_id("dhs_case_id").alias("dhs_case_id"),
         T.normalise_label("state_name").alias("state_name"),
         T.normalise_label("urban_rural").alias("urban_rural"),
@@ -99,10 +102,11 @@ def build_woman(wide: DataFrame, geography: DataFrame) -> DataFrame:
 # facts
 # ---------------------------------------------------------------------------
 
-def birth_rows(wide: DataFrame) -> DataFrame:
+def birth_rows(wide: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Long births with cleaned values, keyed by case id."""
-    b = births_long(wide)
+    b = births_long(wide, carry=carry)
     return b.select(
+        *carry,
         case_id("caseid").alias("dhs_case_id"),
         F.col("birth_number"),
         T.to_int("birth_order_raw").alias("birth_order"),
@@ -115,11 +119,13 @@ def birth_rows(wide: DataFrame) -> DataFrame:
     )
 
 
-def anc_rows(wide: DataFrame) -> DataFrame:
+def anc_rows(wide: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Most recent birth's care (slot 1), only for women with a delivery place."""
-    a = rename(wide, {k: v for k, v in ANC_SOURCE.items() if k in wide.columns})
+    a = rename(wide, {k: v for k, v in ANC_SOURCE.items() if k in wide.columns}
+               | {c: c for c in carry})
     a = a.where(F.col("delivery_place_raw").isNotNull())
     return a.select(
+        *carry,
         case_id("dhs_case_id").alias("dhs_case_id"),
         T.clean_visits("anc_visits").alias("anc_visits"),
         T.months_to_trimester("months_pregnant_first_anc").alias("first_anc_trimester"),
@@ -129,11 +135,13 @@ def anc_rows(wide: DataFrame) -> DataFrame:
     )
 
 
-def sister_rows(wide: DataFrame, filtered: bool = True) -> DataFrame:
+def sister_rows(wide: DataFrame, filtered: bool = True,
+                carry: tuple[str, ...] = ()) -> DataFrame:
     """Long sibling rows with CMC-derived years; ``filtered`` keeps only
     female, dead siblings who died within the recency window (in that order)."""
-    s = sisters_long(wide, carry=("v008",))
+    s = sisters_long(wide, carry=("v008", *carry))
     s = s.select(
+        *carry,
         case_id("caseid").alias("dhs_case_id"), "sibling_number",
         T.clean_key("sibling_sex").alias("sibling_sex"),
         T.clean_key("sibling_alive").alias("sibling_alive"),
@@ -147,7 +155,7 @@ def sister_rows(wide: DataFrame, filtered: bool = True) -> DataFrame:
              .where(F.col("sibling_alive").isin(*DEAD_CODES))
              .where(D.within_recency(F.col("years_since_death"))))
     return s.select(
-        "dhs_case_id", "sibling_number", "sibling_sex", "sibling_alive", "cause_raw",
+        *carry, "dhs_case_id", "sibling_number", "sibling_sex", "sibling_alive", "cause_raw",
         "years_since_death",
         D.age_at_event(F.col("interview_cmc"), F.col("years_since_death"), F.col("birth_cmc"))
         .alias("sibling_age_at_death"),
@@ -173,12 +181,57 @@ def build_anc(wide: DataFrame) -> DataFrame:
 
 def build_mortality(wide: DataFrame) -> DataFrame:
     m = with_woman_key(sister_rows(wide))
+    m = _only_dead_sisters(m)
+    m = m.withColumn("mortality_id", hash_key("dhs_case_id", "sibling_number"))
+    return conform(m, FACT_MORTALITY)
+
+
+def _only_dead_sisters(m: DataFrame) -> DataFrame:
+    """The two columns that the filters leave constant, with their conformed values."""
     m = m.select("*", F.lit("Female").alias("sibling_sex_out"), F.lit(0).alias("sibling_alive_out"))
-    m = m.drop("sibling_sex", "sibling_alive") \
+    return m.drop("sibling_sex", "sibling_alive") \
         .withColumnRenamed("sibling_sex_out", "sibling_sex") \
         .withColumnRenamed("sibling_alive_out", "sibling_alive")
-    m = m.withColumn("mortality_id", hash_key("dhs_case_id", "sibling_number"))
-    return conform(m, FACT_MORTALITY)
+
+
+# ---------------------------------------------------------------------------
+# the same tables with keys from a persisted map
+# ---------------------------------------------------------------------------
+
+#: Room for the slot numbers of one respondent (two digits) in a fact's id.
+SLOTS = 128
+
+
+def key_respondents(wide: DataFrame, root: str, load: int) -> tuple[DataFrame, DataFrame]:
+    """Extend the maps of states and respondents under ``root`` by this load.
+
+    Returns the geography dimension with mapped ``state_id`` and the wide rows with
+    ``woman_id``.  The key is joined to the wide rows once and rides along into all facts."""
+    places = build_geography(wide).drop("state_id")
+    natural = ["state_name", "urban_rural"]
+    states = extend_keys(places, natural, f"{root}/geography", load)
+    geography = conform(with_key(places, states, {c: c for c in natural}, "state_id"), DIM_GEOGRAPHY)
+    cases = extend_keys(wide.select(case_id("caseid").alias("dhs_case_id")), ["dhs_case_id"],
+                        f"{root}/woman", load)
+    return geography, with_key(wide, cases, {"dhs_case_id": "trim(CAST(caseid AS STRING))"},
+                               "woman_id")
+
+
+def keyed_woman(wide: DataFrame, geography: DataFrame) -> DataFrame:
+    attributes = map_state(woman_attributes(wide, carry=("woman_id",)), geography)
+    return conform(attributes, DIM_WOMAN)
+
+
+def keyed_facts(wide: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Births, care and deaths; an id is the woman's key and the slot, unique by construction."""
+    def slot_id(number: str) -> Column:
+        return F.col("woman_id") * SLOTS + F.col(number)
+
+    births = birth_rows(wide, carry=("woman_id",)).withColumn("birth_id", slot_id("birth_number"))
+    care = anc_rows(wide, carry=("woman_id",)).withColumn("anc_id", F.col("woman_id"))
+    deaths = _only_dead_sisters(sister_rows(wide, carry=("woman_id",))).withColumn(
+        "mortality_id", slot_id("sibling_number"))
+    return conform(births, FACT_BIRTH), conform(care, FACT_ANC), conform(deaths, FACT_MORTALITY)
 
 
 # ---------------------------------------------------------------------------

@@ -27,6 +27,16 @@ def build_star(wide: DataFrame, who_sba: DataFrame, who_mmr: DataFrame) -> Star:
     )
 
 
+def build_keyed_star(wide: DataFrame, who_sba: DataFrame, who_mmr: DataFrame, key_root: str,
+                     load: int) -> Star:
+    """The star of one load with keys from the persisted maps under ``key_root``: a respondent
+    or state keeps its key in every later load, and no hash decides over it."""
+    geography, keyed = C.key_respondents(wide, key_root, load)
+    birth, anc, mortality = C.keyed_facts(keyed)
+    return Star(geography=geography, woman=C.keyed_woman(keyed, geography), birth=birth, anc=anc,
+                mortality=mortality, who_sba=who_sba, who_mmr=who_mmr)
+
+
 def run_etl(spark: SparkSession, wide: DataFrame, who_sba: DataFrame, who_mmr: DataFrame,
             out_root: str) -> DataFrame:
     """Build, gate, write, re-read and verify; returns the row-count report."""

@@ -87,6 +87,12 @@ class Star:
         }
 
 
+def with_tables(star: Star, **changes: DataFrame) -> Star:
+    """The star with some of its tables replaced."""
+    names = ("geography", "woman", "birth", "anc", "mortality", "who_sba", "who_mmr")
+    return Star(**{n: changes[n] if n in changes else getattr(star, n) for n in names})
+
+
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """Select and cast to a target schema (column order and types)."""
     from pyspark.sql import functions as F

@@ -20,9 +20,11 @@ lists below are fixed values of this test extract.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import rank_within
+
 N_BIRTH_SLOTS = 20
 N_DELIVERY_SLOTS = 6
 N_SISTER_SLOTS = 9
@@ -137,9 +139,10 @@ def _rounds(rows: DataFrame, owner: str, key: str, slots: int, fields: dict[str,
             prefix: str) -> DataFrame:
     """One row per (owner, round) with the ``fields`` of its ``slots`` rows side by
     side: ``<prefix><slot>_<name>``.  The place of a row is its rank by descending
-    key within its owner."""
-    place = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc(key))) - 1
-    placed = rows.select(owner, *fields.values(), place.alias("_place"))
+    key within its owner, counted over ranges of the key, so an owner of a third of all
+    rows meets in no single task."""
+    ranked = rank_within(rows.select(owner, *fields.values()), owner, key, key, "_rank", "_size")
+    placed = ranked.withColumn("_place", F.col("_size") - F.col("_rank"))
     slot = F.col("_place") % slots + 1
     return placed.groupBy(F.col(owner).alias("c_custkey"), (F.floor(
         F.col("_place") / slots) + 1).cast("int").alias("round")).agg(*[

@@ -13,6 +13,7 @@ NULL ordering in windows is explicit.
 
 from __future__ import annotations
 
+from cohortlens.schemas import TABLE_SCHEMAS
 from cohortlens.sources import analogue as A
 from cohortlens.sources import rawviews as RV
 
@@ -737,6 +738,44 @@ Q["report_order_two_keys"] = f"""
 SELECT CAST(row_number() OVER (ORDER BY geopolitical_zone, women_count DESC) - 1 AS INTEGER) AS position,
        geopolitical_zone, women_count FROM ({Q['death_profile']}) t"""
 
+# ---------------------------------------------------------------------------
+# persisted keys: numbered by load, then by natural key
+# ---------------------------------------------------------------------------
+
+_KEYS = """
+SELECT dhs_case_id, if(dhs_case_id LIKE '% 1', 1, 2) AS load,
+       row_number() OVER (ORDER BY load, dhs_case_id) AS key
+FROM (SELECT DISTINCT trim(caseid) AS dhs_case_id FROM wide)"""
+Q["key_map"] = _KEYS
+Q["keyed_star"] = f"""
+WITH k AS ({_KEYS}),
+births AS (SELECT dhs_case_id, COUNT(*) AS births, MAX(birth_number) AS last
+           FROM ({Q['wide_to_long']}) GROUP BY dhs_case_id),
+deaths AS (SELECT dhs_case_id, COUNT(*) AS deaths FROM ({Q['surviving_deaths']}) GROUP BY dhs_case_id),
+care AS (SELECT trim(caseid) AS dhs_case_id FROM wide WHERE m15_1 IS NOT NULL),
+places AS (SELECT state_name, urban_rural, row_number() OVER (ORDER BY state_name, urban_rural) AS state_id
+           FROM (SELECT DISTINCT state_name, urban_rural FROM ({Q['text_normalise']})))
+SELECT k.key AS woman_id, k.dhs_case_id, places.state_id, births.births,
+       k.key * 128 + births.last AS last_birth_id, deaths.deaths,
+       if(care.dhs_case_id IS NULL, NULL, k.key) AS anc_id
+FROM k LEFT JOIN births USING (dhs_case_id) LEFT JOIN deaths USING (dhs_case_id)
+LEFT JOIN care USING (dhs_case_id)
+JOIN ({Q['text_normalise']}) label USING (dhs_case_id)
+JOIN places ON places.state_name = label.state_name AND places.urban_rural = label.urban_rural"""
+
+# ---------------------------------------------------------------------------
+# versions of the star: all tables, maternal deaths only, the first again
+# ---------------------------------------------------------------------------
+
+Q["star_commits"] = "SELECT *, rows AS rows_read FROM (" + " UNION ALL ".join(
+    f"SELECT {version} AS version, '{table}' AS table_name, COUNT(*) AS rows, '{note}' AS note FROM {table}"
+    + (" WHERE pregnancy_related = 1" if (version, table) == (2, "fact_maternal_mortality") else "")
+    for version, note in ((1, ""), (2, "maternal only"), (3, "rollback"))
+    for table in TABLE_SCHEMAS) + ")"
+Q["committed_nulls"] = " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, '{f.name}' AS column_name, COUNT(*) - COUNT({f.name}) AS null_count "
+    f"FROM {table}" for table, schema in TABLE_SCHEMAS.items() for f in schema.fields)
+
 # ---------------------------------------------------------------------------
 # quality checks
 # ---------------------------------------------------------------------------
