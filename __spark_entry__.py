@@ -291,6 +291,43 @@ def _sql_pull(spark, sf_dir):
     return read_sql(spark, analogue_star(spark, sf_dir).star, MODEL_PULL_SQL)
 
 
+def _model_rows_spread(spark, sf_dir):
+    from cohortlens.plans.model import model_rows
+    return model_rows(analogue_star(spark, sf_dir).star, spread=True)
+
+
+def _merged_states(spark, sf_dir):
+    """Distinct women and deaths by state, zone and nation, from the bitmaps of two loads of
+    which the second delivers the first one's rows again."""
+    from pyspark.sql import functions as F
+    from cohortlens.operators.distinct_states import distinct_counts, distinct_state, merged
+    star = analogue_star(spark, sf_dir).star
+    places = ["state_name", "geopolitical_zone"]
+    women = star.woman.join(star.geography, "state_id").select("woman_id", *places)
+    deaths = star.mortality.join(women, "woman_id")
+    recent = F.col("death_year") >= 2020
+
+    def state(women, deaths):
+        return (distinct_state(women, places, "woman_id", {"total_respondents": None}),
+                distinct_state(deaths, places, "mortality_id", {
+                    "maternal_deaths": F.col("pregnancy_related") == 1,
+                    "total_female_deaths": F.col("pregnancy_related").isNotNull()}))
+
+    first, second = state(women.join(deaths.where(recent), "woman_id", "left_semi"),
+                          deaths.where(recent)), state(women, deaths)
+    held = [merged(list(two), places) for two in zip(first, second)]
+    out = None
+    for level, groups in (("state", places), ("zone", places[1:]), ("nation", [])):
+        people, died = (distinct_counts(h.withColumn("nation", F.lit(1)), [*groups, "nation"])
+                        for h in held)
+        one = people.join(died, [*groups, "nation"], "left").select(
+            F.lit(level).alias("level"), F.col(groups[0] if groups else "nation").cast("string")
+            .alias("name"), "total_respondents",
+            *[F.coalesce(c, F.lit(0)).alias(c) for c in ("maternal_deaths", "total_female_deaths")])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _features(spark, sf_dir):
     from cohortlens.plans import model as M
     s = analogue_star(spark, sf_dir).star
@@ -619,6 +656,8 @@ def _register_more(q):
         "duplicate_keys": _duplicate_keys,
         "scan_star": _scan_star,
         "sql_pull_model_rows": _sql_pull,
+        "model_rows_spread": _model_rows_spread,
+        "merged_distinct_states": _merged_states,
         "feature_matrix": _features,
         "stratified_split": _stratified_split,
         "standardise": _standardise,

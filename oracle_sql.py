@@ -880,6 +880,12 @@ FROM dim_woman w, dim_geography g, fact_anc_delivery f
 WHERE w.state_id = g.state_id AND f.woman_id = w.woman_id AND f.facility_delivery IN (0, 1)"""
 
 Q["sql_pull_model_rows"] = _MODEL_ROWS
+Q["model_rows_spread"] = _MODEL_ROWS
+Q["merged_distinct_states"] = " UNION ALL ".join(
+    f"SELECT '{level}' AS level, {name} AS name, {_WOMEN} AS total_respondents, {_DEATHS} AS maternal_deaths, "
+    "COUNT(DISTINCT mortality_id) FILTER (pregnancy_related IN (0, 1)) AS total_female_deaths "
+    f"FROM {_PEOPLE} {_WITH_DEATHS} GROUP BY ALL"
+    for level, name in (("state", "state_name"), ("zone", "geopolitical_zone"), ("nation", "'1'")))
 
 # The ordinal codes of the model.
 EDUCATION_RANK = ["None", "Primary", "Secondary", "Higher"]

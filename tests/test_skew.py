@@ -116,3 +116,75 @@ def test_fanout_algebra_equals_literal_joins(skewed, key):
     exp = rows_of(rel.columns, rel.fetchall())
     assert sorted(sdf.columns) == sorted(rel.columns)
     assert got == exp
+
+
+# -- joins that deal out heavy keys, distinct states that merge ----------------
+
+def _hot_rows(spark, n=12_000):
+    from pyspark.sql import functions as F
+    return spark.range(0, n, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None)
+        .otherwise(F.col("id") % 900).alias("woman_id"), F.col("id").alias("anc_id"))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_equals_the_plain_join_and_is_even(spark, how):
+    from pyspark.sql import functions as F
+    from cohortlens.operators.skew import heavy_keys, spread_join
+    left = _hot_rows(spark)
+    right = spark.range(0, 800).select(F.col("id").alias("woman_id"), (F.col("id") * 2).alias("w"))
+    right = right.unionByName(right.where("woman_id < 20").withColumn("w", F.lit(-1)))  # not unique
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled",
+                                           "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plain, spread = left.join(right, "woman_id", how), spread_join(left, right, "woman_id", how)
+        assert [r.woman_id for r in heavy_keys(left, "woman_id").collect()] == [7]
+        assert sorted(map(str, spread.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+        def held(df):
+            return sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+        even, uneven = held(spread), held(plain)
+        assert uneven[-1] > 2 * uneven[len(uneven) // 2]
+        assert even[-1] <= 2 * even[len(even) // 2] and len(even) == 8
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_spread_join_without_heavy_keys_and_of_nothing(spark):
+    from cohortlens.operators.skew import heavy_keys, spread_join
+    left = _hot_rows(spark).where("woman_id <> 7")
+    right = spark.createDataFrame([(1, "a"), (None, "b")], "woman_id long, w string")
+    assert heavy_keys(left, "woman_id").count() == 0
+    assert spread_join(left, right, "woman_id").count() == left.where("woman_id = 1").count()
+    assert spread_join(left.where("false"), right, "woman_id", "left").collect() == []
+    with pytest.raises(ValueError):
+        spread_join(left, right, "woman_id", "full")
+
+
+def test_distinct_states_merge(spark):
+    from pyspark.sql import functions as F
+    from cohortlens.operators.distinct_states import distinct_counts, distinct_state, merged
+    rng = np.random.default_rng(3)
+    rows = [(f"s{g}", f"z{g % 2}", int(i), int(f)) for g, i, f in zip(
+        rng.integers(0, 5, 3000), rng.integers(0, 70_000, 3000), rng.integers(0, 3, 3000), strict=True)]
+    df = spark.createDataFrame([*rows, ("s9", "z1", None, 1)], "state string, zone string, id long, f int")
+    measures = {"every": None, "ones": F.col("f") == 1}
+    places = ["state", "zone"]
+    halves = [distinct_state(df.where(c), places, "id", measures)
+              for c in ("f < 2", "f > 0")]  # rows with f = 1 are delivered twice
+    state = merged(halves, places)
+    for groups in (places, ["zone"], []):
+        got = {tuple(r[g] for g in groups): (r.every, r.ones)
+               for r in distinct_counts(state, groups).collect()}
+        want = {}
+        for s, z, i, f in rows:
+            k = tuple({"state": s, "zone": z}[g] for g in groups)
+            a, b = want.setdefault(k, (set(), set()))
+            a.add(i)
+            if f == 1:
+                b.add(i)
+        assert got == {k: (len(a), len(b)) for k, (a, b) in want.items()}
