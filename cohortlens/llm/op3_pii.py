@@ -22,13 +22,21 @@ with p(e|t) = n_te / n_t; instead of the ratio itself its lower confidence bound
 (Wilson, one-sided at ``CONFIDENCE_Z``) is taken, so entities of one or two documents are
 scored as well, by as much as their few counts allow.
 
+``certain`` = (generalise, remove) asks besides for that much of the bound on p(e|t) itself.
+PMI / IC tends to 1 for any share as N grows; with ``certain`` the same counts
+are judged alike in every large corpus (``CERTAIN``: one sole document is enough to
+generalise, three to remove).
+
 With ``everywhere`` a disclosing term is marked at each of its places in all documents,
 not near the mentions alone (the window is for the estimate); a term that is removed
-for one entity is removed.
+for one entity is removed.  ``FULL`` has all three.
 
 Pairs are counted after a map-side sum, term frequencies are one word count over the
-corpus, and a document's spans are gathered per document only; texts are shuffled by
-``sanitise``, and with ``everywhere`` once more to meet the terms they hold.
+corpus, and a document's spans are gathered per document only.  Whole texts are shuffled by
+``sanitise`` alone: the places of all words are cut down where they are read, by a table of
+the disclosing terms' hash slots (at most ``SLOTS`` numbers, whatever the corpus), and only
+what is left meets the terms.  All other joins are merge joins at every size.  Places and
+merged spans come from running sums in blocks, linear in a text's matches.
 
 Defined cases: null text counts as empty and has no span; rows that repeat an id are
 told apart by their text, and rows alike in both are one document in the counts and
@@ -60,46 +68,70 @@ CONTEXT = 64
 SUPPORT = 3
 GENERALISE, REMOVE = 0.7, 0.9
 CONFIDENCE_Z = 1.645  # 95 in 100
+#: Least bound on p(e|t) to generalise and to remove.
+CERTAIN = (0.25, 0.5)
+#: What the query and the pipeline ask for.
+FULL = {"bounded": True, "everywhere": True, "certain": CERTAIN}
+#: Hash slots of disclosing terms: the bound of the one table that is broadcast.
+SLOTS = 1 << 20
 _BLOCK = 256
+_RUN = 64
 _ADDED = {"general": 4, "remove": 5}
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running ``join`` from 0 before each of ``values``, and the whole one at the end.
+
+    In two levels, blocks of ``_RUN`` and the blocks' totals: an array that grows by one costs
+    a copy of itself, so one level would be quadratic in a text's matches."""
+    def grown(xs: Column) -> Column:
+        return F.aggregate(xs, F.array(F.lit(0)), lambda out, x: F.concat(
+            out, F.array(join(F.element_at(out, -1), x))))
+
+    def shifted(blocks: Column) -> Column:
+        return _let(grown(F.transform(blocks, lambda b: F.element_at(b, -1))), lambda before: F.concat(
+            F.flatten(F.transform(blocks, lambda b, i: F.transform(
+                F.slice(b, F.lit(1), F.size(b) - 1), lambda x: join(before[i], x)))),
+            F.slice(before, -1, 1)))
+
+    many = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _RUN).cast("int"))
+    return _let(F.transform(many, lambda b: grown(F.slice(values, b * _RUN + 1, F.lit(_RUN)))), shifted)
+
+
 def _matches(text: Column, pattern: str, around: int | None = None,
              valid: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches: array of (start, end, value[, before, after]).
 
     Places come from the lengths of the pieces between the matches; ``before`` and
     ``after`` are the ends of the neighbouring pieces.  Matches that are not ``valid``
-    are passed over as they come, so a page of plain numbers costs one step each.
+    are left out.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-
-    def item(m: Column, i: Column, pieces: Column) -> Column:
-        cells = [F.length(pieces[i]).alias("gap"), F.length(m).alias("size"), m.alias("value")]
-        if around is not None:
-            cells += [F.right(pieces[i], F.lit(around)).alias("before"),
-                      F.left(pieces[i + 1], F.lit(around)).alias("after")]
-        return F.struct(*cells)
-
-    def put(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        cells = [start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value")]
-        if around is not None:
-            cells += [x["before"].alias("before"), x["after"].alias("after")]
-        out = F.concat(state["out"], F.array(F.struct(*cells)))
-        if valid is not None:
-            out = F.when(valid(x["value"]), out).otherwise(state["out"])
-        return F.struct((start + x["size"]).alias("at"), out.alias("out"))
-
     kind = "array<struct<start:int,end:int,value:string" + (
         ",before:string,after:string" if around is not None else "") + ">>"
-    empty = F.array().cast(kind)
-    both = F.when(F.size(found) > 0, F.struct(found.alias("m"), pieces.alias("p")))
-    placed = F.transform(F.array(both), lambda b: F.aggregate(
-        F.transform(b["m"], lambda m, i: item(m, i, b["p"])),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")), put, lambda s: s["out"]))[0]
-    return F.coalesce(placed, empty)
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
+                    F.split(text, pattern, -1).alias("p"))
+
+    def placed(b: Column) -> Column:
+        def item(ends: Column, m: Column, i: Column) -> Column:
+            cells = [(ends[i] + F.length(b["p"][i])).alias("start"), ends[i + 1].alias("end"),
+                     m.alias("value")]
+            if around is not None:
+                cells += [F.right(b["p"][i], F.lit(around)).alias("before"),
+                          F.left(b["p"][i + 1], F.lit(around)).alias("after")]
+            return F.struct(*cells)
+
+        sizes = F.transform(b["m"], lambda m, i: F.length(b["p"][i]) + F.length(m))
+        return F.when(F.size(b["m"]) > 0, _let(
+            _let(sizes, lambda v: _running(v, lambda x, y: x + y)),
+            lambda ends: F.transform(b["m"], lambda m, i: item(ends, m, i))))
+
+    out = F.coalesce(_let(both, placed), F.array().cast(kind))
+    return out if valid is None else F.filter(out, lambda m: valid(m["value"]))
 
 
 def _digits(value: Column) -> Column:
@@ -170,40 +202,36 @@ def _lower_bound(hits: Column, n: Column, z: float = CONFIDENCE_Z) -> Column:
     return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
 
 
+def _slot(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS))
+
+
 def _all_places(docs: DataFrame, scored: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, version, added): every place of the ``scored`` terms in ``docs``."""
     terms = stage(scored.groupBy("term").agg(F.max("gone").alias("gone")), "pii-terms-scored")
+    slots = terms.select(_slot(F.col("term")).alias("slot")).distinct()  # SLOTS rows at most
     d = docs.select(F.col(id_col).alias("doc_id"),
-                    F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")) \
-        .withColumn("version", F.xxhash64("text"))
-    held = d.select("doc_id", "version", F.explode(F.array_distinct(F.transform(
-        F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term")).join(
-        terms, "term").groupBy("doc_id", "version").agg(
-        F.collect_set("term").alias("held"), F.collect_set(F.when(F.col("gone"), F.col("term"))).alias("gone"))
-    held = stage(held, "pii-holders").toDF("_id", "_version", "held", "gone")
-    hits = _matches(F.col("text"), TERM, valid=lambda v: F.array_contains("held", F.lower(v)))
-
-    def span(m: Column) -> Column:
-        gone = F.array_contains("gone", F.lower(m["value"]))
-        return F.struct(m["start"].alias("start"),
-                        F.when(gone, _ADDED["remove"]).otherwise(_ADDED["general"]).alias("kind_no"),
-                        m["end"].alias("end"),
-                        F.when(gone, "remove").otherwise("general").alias("kind"),
-                        m["value"].alias("value"))
-
-    return d.join(held, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version"))) \
-        .select("doc_id", "version", F.transform(hits, span).alias("added")) \
-        .groupBy("doc_id", "version").agg(F.min("added").alias("added"))
+                    F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    words = d.select("doc_id", F.xxhash64("text").alias("version"),
+                     F.explode(_matches(F.col("text"), TERM)).alias("w")).select(
+        "doc_id", "version", "w.start", "w.end", "w.value", F.lower("w.value").alias("term"))
+    held = words.withColumn("slot", _slot(F.col("term"))).join(
+        F.broadcast(slots), "slot", "left_semi").join(terms.hint("merge"), "term")
+    span = F.struct("start", F.when(F.col("gone"), _ADDED["remove"]).otherwise(_ADDED["general"])
+                    .alias("kind_no"), "end",
+                    F.when(F.col("gone"), "remove").otherwise("general").alias("kind"), "value")
+    return held.groupBy("doc_id", "version").agg(F.collect_set(span).alias("added"))
 
 
 def disclosing_spans(docs: DataFrame, base: DataFrame, id_col: str = "doc_id",
                      text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE,
-                     remove: float = REMOVE, bounded: bool = False,
-                     everywhere: bool = False) -> DataFrame:
+                     remove: float = REMOVE, bounded: bool = False, everywhere: bool = False,
+                     certain: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
     """(doc_id, version, added): spans of terms that disclose an entity of their document.
 
     ``bounded`` scores every pair by the lower bound, and ``support`` counts for nothing;
-    ``everywhere`` marks all places of a term in all documents.
+    ``certain`` asks for a least bound; ``everywhere`` marks all places of a term in all
+    documents.
     """
     near = base.select("doc_id", "version", F.explode("base").alias("m")).select(
         "doc_id", "version", F.concat_ws(":", "m.kind", F.lower("m.value")).alias("entity"),
@@ -223,22 +251,26 @@ def disclosing_spans(docs: DataFrame, base: DataFrame, id_col: str = "doc_id",
         F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
     # counted first, then joined: a join below the count would meet every occurrence
     counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(
-        pairs.select("term").distinct(), "term")
+        pairs.select("term").distinct().hint("merge"), "term")
     total = docs.agg(F.count(F.lit(1)).alias("n"))
     ic = F.log2(F.col("n") / F.col("n_e"))
     pmi = F.log2(F.col("n_te") * F.col("n") / (F.col("n_t") * F.col("n_e")))
+    # a mention can cut a word, so that its piece is near it more often than it is a word
+    sure = _lower_bound(F.least("n_te", "n_t"), F.col("n_t"))
     if bounded:
-        pmi = F.log2(_lower_bound(F.col("n_te"), F.col("n_t")) * F.col("n") / F.col("n_e"))
-    scored = (pairs.join(entities, "entity").join(counts, "term").crossJoin(F.broadcast(total))
-              .withColumn("disclosure", F.when(ic > 0, pmi / ic))
-              .where(F.col("disclosure") >= generalise)
-              .select("entity", "term", (F.col("disclosure") >= remove).alias("gone")))
+        pmi = F.log2(sure * F.col("n") / F.col("n_e"))
+    scored = (pairs.join(entities.hint("merge"), "entity").join(counts.hint("merge"), "term")
+              .crossJoin(F.broadcast(total))  # one row
+              .withColumn("disclosure", F.when(ic > 0, pmi / ic)).withColumn("sure", sure)
+              .where((F.col("disclosure") >= generalise) & (F.col("sure") >= certain[0]))
+              .select("entity", "term", ((F.col("disclosure") >= remove)
+                                         & (F.col("sure") >= certain[1])).alias("gone")))
     scored = stage(scored, "pii-disclosing")
     if everywhere:
         return _all_places(docs, scored, id_col, text_col)
     kind = F.when(F.col("gone"), F.lit("remove")).otherwise(F.lit("general"))
     number = F.when(F.col("gone"), F.lit(_ADDED["remove"])).otherwise(F.lit(_ADDED["general"]))
-    return near.join(scored, ["entity", "term"]).groupBy("doc_id", "version").agg(
+    return near.join(scored.hint("merge"), ["entity", "term"]).groupBy("doc_id", "version").agg(
         F.collect_set(F.struct("start", number.alias("kind_no"), "end", kind.alias("kind"),
                                F.col("word").alias("value"))).alias("added"))
 
@@ -256,7 +288,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "_id", "_version", "added")
     plain = F.transform("base", lambda m: F.struct(*[m[c].alias(c) for c in (
         "start", "kind_no", "end", "kind", "value")]))
-    d = base.join(added, F.col("doc_id").eqNullSafe(F.col("_id"))
+    d = base.join(added.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))
                   & (F.col("version") == F.col("_version")), "left").select(
         "doc_id", "version", plain.alias("base"), "added")
     free = F.filter(F.coalesce("added", F.slice("base", 1, 0)), lambda a: ~F.exists(
@@ -280,16 +312,18 @@ def _label(s: Column) -> Column:
 
 def _merged(spans: Column) -> Column:
     """Overlapping spans become one (start, end, label), with the first one's label."""
-    def put(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), _label(s).alias("label"))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"),
-                         last["label"].alias("label"))
-        overlaps = (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] > s["start"])
-        return F.when(overlaps, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(wider))).otherwise(
-            F.concat(out, F.array(own)))
-
-    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int,label:string>>"), put)
+    def cut(reach: Column) -> Column:  # the farthest end before each span
+        def whole(firsts: Column) -> Column:
+            return F.transform(firsts, lambda i, k: F.struct(
+                spans[i]["start"].alias("start"),
+                reach[F.coalesce(F.get(firsts, k + 1), F.size(spans))].alias("end"),
+                _label(spans[i]).alias("label")))
+
+        return _let(F.filter(F.sequence(F.lit(0), F.size(spans) - 1),
+                             lambda i: spans[i]["start"] >= reach[i]), whole)
+
+    return _let(_let(F.transform(spans, lambda s: s["end"]),
+                     lambda ends: _running(ends, F.greatest)), cut)
 
 
 def _cut(blocks: Column, begin: Column, end: Column) -> Column:

@@ -40,8 +40,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .op3_pii import KINDS, find_spans, spans_text
-    found = find_spans(_documents(spark, sf_dir), bounded=True, everywhere=True)
+    from .op3_pii import FULL, KINDS, find_spans, spans_text
+    found = find_spans(_documents(spark, sf_dir), **FULL)
     kinds = F.transform("base", lambda s: s["kind"])
     return found.select(
         "doc_id", *[(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}")
