@@ -8,11 +8,9 @@ directly; any other piece goes through the library's whole pipeline.  A piece ca
 of bounded size lives in the Python worker.
 
 The result is the library's own for the whole text: texts with a cut that is not
-certain (a space next to other white space or a control character) go to the
+certain (a space next to other white space or a control character), and texts that hold
+the string of an added token, which the library takes out before it splits, go to the
 library whole.
-
-It departs from the library's default in one point: ``encode_special_tokens`` is on, so
-a literal ``<|endoftext|>`` in a text gives ordinary pieces, not the added token's id.
 """
 
 from __future__ import annotations
@@ -51,7 +49,7 @@ class ColumnEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.keeps_space = keeps_space
         self.letters = _byte_letters()
@@ -120,13 +118,14 @@ class ColumnEncoder:
         row = np.repeat(np.arange(n), np.diff(begin))
         first = np.zeros(len(codes), bool)
         first[begin[:-1]] = True
+        whole = np.zeros(n, bool)
+        for content in self.added:  # in any case, as a normaliser may lower it first
+            whole |= pc.match_substring(column, content, ignore_case=True).to_numpy(
+                zero_copy_only=False)
         if self.keeps_space:
             unsure = pc.match_substring_regex(names, r"^($|[\s\pZ\pC])").to_numpy(
                 zero_copy_only=False)[codes] & ~first
-            whole = np.zeros(n, bool)
             whole[row[unsure]] = True
-        else:
-            whole = np.zeros(n, bool)
         texts = names.to_numpy(zero_copy_only=False).tolist()
         # piece table: every distinct later piece, then each row's first piece or whole text
         lead = " " if self.keeps_space else ""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.op1_simhash import simhash_groups
 from cohortlens.llm.op2_lines import delete_lines
-from cohortlens.llm.op3_pii import sanitise
+from cohortlens.llm.op3_pii import FULL, sanitise
 from cohortlens.llm.op4_classifier import fit, score_documents
 from tests.conftest import SF_ORACLE, SF_SMALL
 from tests.llm.conftest import edge_rows
@@ -33,7 +33,7 @@ def test_stages_follow_one_another(shipped):
     assert sorted(r.doc_id for r in single.collect()) == sorted(groups)
 
     clean = steps[3](shipped, single, SF_ORACLE).persist()
-    want = {r.doc_id: r.text for r in sanitise(single).collect()}
+    want = {r.doc_id: r.text for r in sanitise(single, **FULL).collect()}
     assert {r.doc_id: r.text for r in clean.collect()} == want
 
     packed = steps[4](shipped, clean, SF_ORACLE)
