@@ -4,6 +4,12 @@ Each stage is a function ``(spark, docs, sf_dir) -> DataFrame`` over everything
 predecessor kept.  ``run`` writes each result as Parquet in the shared folder and
 reads it back for the next stage.  All stages but the last return the columns of
 ``documents``; ``n_chars`` follows the text where a stage changes it.
+
+Defined cases, over all stages: a null or empty text is scored like any other, holds no line
+and no span, links with other texts without words, and packs as the end id alone; a
+very long text is read whole; rows that repeat an id are one document to the near-dedup
+stage and rows of their own elsewhere; an empty table gives an empty result of the same
+columns; further columns pass through every stage but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.op1_simhash import simhash_groups
 from cohortlens.llm.op2_lines import delete_lines
-from cohortlens.llm.op3_pii import sanitise
+from cohortlens.llm.op3_pii import FULL, sanitise
 from cohortlens.llm.op4_classifier import fit, keep_good
 from cohortlens.llm.op9_packing import pack_documents
 from cohortlens.llm.queries import vocabulary
@@ -56,9 +62,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it are replaced."""
+    """Personal data and the terms that disclose it are replaced, at all their places."""
     ship_package(spark)
-    return _counted(sanitise(docs))
+    return _counted(sanitise(docs, **FULL))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
