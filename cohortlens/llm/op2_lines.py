@@ -1,14 +1,19 @@
 """Line dedup by pairwise alignment: rare shared lines find the pairs, patience diff aligns.
 
 Every line with a word is an incidence (line hash, k-th occurrence in its document,
-position).  A document meets another through the lines they share: each incidence is
-joined with the first document (least doc_id) that holds the same line, so the rows
-are at most the incidences however many documents share a line, and a document is
-compared with every first holder of one of its lines.
+position).  So is every window, the shortest runs of adjacent lines that are a block worth
+deleting: ``min_block`` lines, or fewer of ``min_words`` words together.  A document
+meets another through what they share: each incidence is joined with the first document
+(least doc_id) that holds the same line or window, so the rows are at most the incidences
+however many documents share one, and a document is compared with every first holder of
+one of its lines or windows.  A single line leads to its own first holder, often another
+one for each line of a block; a window is rarer than its lines and leads to the first
+document that holds the block itself, so a block that any earlier document
+holds is met whole.
 
 Per pair the shared lines are aligned as patience diff does: lines that occur once
-in either document are anchors, the longest increasing run of anchors is kept, and
-kept anchors grow over neighbouring equal lines.  A block (consecutive lines in both
+in either document, and the lines of shared windows, are anchors, the longest increasing
+run of anchors is kept, and kept anchors grow over neighbouring equal lines.  A block (consecutive lines in both
 documents) is deleted from the later document when it holds a rare line (of
 ``RARE_WORDS`` words or more, in at most ``rare`` documents), at least ``min_block``
 lines, or at least ``min_words`` words, however many documents hold it; a lone common
@@ -62,14 +67,32 @@ def line_hashes(text: bytes) -> list[int]:
     return [_signed(h) for h in out]
 
 
-def incidences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, version, pos, line, occurrence, alone, words, before, after), one row per line.
-
-    ``alone``: once in its document; ``words``: the number of its words.
+def windows(hashes: list[int], words: list[int], min_block: int, min_words: int
+            ) -> list[tuple[int, int, list[int]]]:
+    """(first position, hash, words of each line) of every window of a document's lines."""
+    out = []
+    for pos in range(len(hashes)):
+        run = b""
+        for size in range(1, min_block + 1):
+            if pos + size > len(hashes) or not hashes[pos + size - 1]:
+                break
+            run += hashes[pos + size - 1].to_bytes(8, "little", signed=True)
+            if size > 1 and (size == min_block or sum(words[pos:pos + size]) >= min_words):
+                out.append((pos, _signed(xxhash.xxh64_intdigest(run, size)), words[pos:pos + size]))
+    return out
+
+
+def incidences(docs: DataFrame, id_col: str, text_col: str, min_block: int = MIN_BLOCK,
+               min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, version, pos, line, occurrence, alone, words, before, after, parts), one row per
+    line and one per window.
+
+    ``alone``: once in its document; ``words``: the number of its words; ``parts``: the words
+    of each line of a window, null for a line.
     """
     def run(batches):
         for part in by_bytes(batches, "text", 4 << 20):
-            columns = [[] for _ in range(9)]
+            columns = [[] for _ in range(10)]
             for doc, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")),
                                  strict=True):
                 hashes = line_hashes(text)
@@ -81,20 +104,25 @@ def incidences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         seen[h] += 1
                         row = (doc, version, pos, h, seen[h], total[h] == 1, words[pos],
                                hashes[pos - 1] if pos else 0,
-                               hashes[pos + 1] if pos + 1 < len(hashes) else 0)
+                               hashes[pos + 1] if pos + 1 < len(hashes) else 0, None)
                         for c, v in zip(columns, row, strict=True):
                             c.append(v)
+                for pos, h, parts in windows(hashes, words, min_block, min_words):
+                    seen[h] += 1
+                    row = (doc, version, pos, h, seen[h], True, sum(parts), 0, 0, parts)
+                    for c, v in zip(columns, row, strict=True):
+                        c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(),
-                     pa.int32(), pa.int64(), pa.int64()]
+                     pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                                   names=["doc_id", "version", "pos", "line", "occurrence", "alone",
-                                         "words", "before", "after"])
+                                         "words", "before", "after", "parts"])
 
     return docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, version long, pos int, line long, occurrence int, alone boolean, "
-             "words int, before long, after long")
+             "words int, before long, after long, parts array<int>")
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -121,11 +149,20 @@ def align(shared: list[dict], rare: int = RARE, min_block: int = MIN_BLOCK,
 
     ``shared`` has the lines that both hold: pos, other (position in the earlier
     document), alone (once in both), line, words, holders, and the neighbouring line hashes
-    of both sides (before, after, other_before, other_after).  ``words`` has the number of
-    words by line, also for lines first held by another document.
+    of both sides (before, after, other_before, other_after), and the windows with their
+    ``parts``.  ``words`` has the number of words by line, also for lines first held by
+    another document.
     """
     words = words or {r["line"]: r["words"] for r in shared}
-    rows = sorted(shared, key=lambda r: r["pos"])
+    lines = {(r["pos"], r["other"]): r for r in shared if not r.get("parts")}
+    for r in shared:
+        for i, n in enumerate(r.get("parts") or ()):
+            key = r["pos"] + i, r["other"] + i
+            known = lines.get(key) or dict.fromkeys(
+                ("before", "after", "other_before", "other_after"), 0) | {
+                "pos": key[0], "other": key[1], "line": None, "words": n, "holders": r["holders"]}
+            lines[key] = known | {"alone": True}
+    rows = sorted(lines.values(), key=lambda r: (r["pos"], -r["other"]))
     anchors = [r for r in rows if r["alone"]]
     taken = {anchors[i]["pos"]: anchors[i]["other"] for i in increasing([r["other"] for r in anchors])}
     at = {(r["pos"], r["other"]): r for r in rows}
@@ -147,8 +184,9 @@ def align(shared: list[dict], rare: int = RARE, min_block: int = MIN_BLOCK,
     for pos in [*sorted(taken), None]:
         if block and (pos is None or pos != block[-1] + 1 or taken[pos] != taken[block[-1]] + 1):
             held = [at.get((p, taken[p])) for p in block]
+            held = [r for r in held if r and r["line"] is not None]
             if len(block) >= min_block or sum(size[p] for p in block) >= min_words or any(
-                    r and r["words"] >= RARE_WORDS and r["holders"] <= rare for r in held):
+                    r["words"] >= RARE_WORDS and r["holders"] <= rare for r in held):
                 gone.update(block)
             block = []
         if pos is not None:
@@ -163,7 +201,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     ``gone`` lists line positions, ``partners`` the earlier documents they are kept in;
     ``version`` is a hash of the text and ``kept`` has the runs of lines that stay.
     """
-    found = stage(incidences(docs, id_col, text_col), "lines")
+    found = stage(incidences(docs, id_col, text_col, min_block, min_words), "lines")
     firsts = stage(found.groupBy("line", "occurrence").agg(
         F.min(F.struct("doc_id", "version", "pos", "alone", "before", "after")).alias("first"),
         F.count(F.lit(1)).alias("holders")).where("holders > 1"), "line-firsts")
@@ -175,10 +213,10 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
             (F.col("alone") & F.col("first.alone")).alias("alone"), "line", "words", "holders",
             "before", "after",
             F.col("first.before").alias("other_before"),
-            F.col("first.after").alias("other_after")).alias("row"))
-    # a document whose shared lines are all common and less than a block keeps them all
-    able = F.bool_or((F.col("row.words") >= RARE_WORDS) & (F.col("row.holders") <= rare)) \
-        | (F.count(F.lit(1)) >= min_block) | (F.sum("row.words") >= min_words)
+            F.col("first.after").alias("other_after"), "parts").alias("row"))
+    # a document that shares no window, and no line that is rare or long, keeps all its lines
+    able = F.bool_or(F.col("row.parts").isNotNull() | (F.col("row.words") >= min_words)
+                     | ((F.col("row.words") >= RARE_WORDS) & (F.col("row.holders") <= rare)))
     per_doc = shared.groupBy("doc_id", "version").agg(
         F.collect_set("row").alias("rows"), able.alias("able")).where("able").drop("able")
 
@@ -191,7 +229,8 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
                 pairs: dict[tuple, list[dict]] = {}
                 words = {}
                 for r in batch.column("rows")[i].as_py():
-                    words[r["line"]] = r["words"]
+                    if not r["parts"]:
+                        words[r["line"]] = r["words"]
                     pairs.setdefault((r["partner"], r["of"]), []).append(r)
                 cut: set[int] = set()
                 kept_in = set()

@@ -1,7 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
-from cohortlens.llm.op2_lines import MIN_BLOCK, RARE, RARE_WORDS, delete_lines, increasing
+from cohortlens.llm.op2_lines import (MIN_BLOCK, MIN_WORDS, RARE, RARE_WORDS, delete_lines,
+                                      increasing)
 from tests.llm.conftest import edge_rows
 
 
@@ -23,8 +24,19 @@ def test_increasing_is_longest():
         assert len(run) == longest_increasing(values)
 
 
+def runs_of(lines, min_block):
+    """(position, lines) of every run of 2 to ``min_block`` adjacent lines that is worth deleting."""
+    for pos in range(len(lines)):
+        for size in range(2, min_block + 1):
+            run = lines[pos:pos + size]
+            if len(run) == size and all(run) and (size == min_block or sum(
+                    len(x.split()) for x in run) >= MIN_WORDS):
+                yield pos, tuple(run)
+
+
 def brute(rows, rare=RARE, min_block=MIN_BLOCK):
-    """Deleted positions per (id, text): every later document against each first holder."""
+    """Deleted positions per (id, text): every later document against the first holders of its
+    lines and of its runs."""
     docs = sorted({(d, t) for d, t in rows if d is not None and t is not None}, key=lambda r: r[0])
     lines = {k: [x.encode().strip() for x in k[1].split("\n")] for k in docs}
     holders = defaultdict(list)
@@ -34,6 +46,9 @@ def brute(rows, rare=RARE, min_block=MIN_BLOCK):
             if x:
                 seen[x] += 1
                 holders[x, seen[x]].append((k, pos))
+        for pos, run in runs_of(lines[k], min_block):
+            seen[run] += 1
+            holders[run, seen[run]].append((k, pos))
     counted = Counter()  # rows, as the operator counts them
     for d, t in rows:
         if d is not None and t is not None:
@@ -52,12 +67,19 @@ def brute(rows, rare=RARE, min_block=MIN_BLOCK):
                 first, other = holders[x, seen[x]][0]
                 if first[0] < k[0]:
                     pairs[first][pos] = (other, counted[x, seen[x]], x)
+        placed = defaultdict(set)
+        for pos, run in runs_of(lines[k], min_block):
+            seen[run] += 1
+            first, other = holders[run, seen[run]][0]
+            if first[0] < k[0]:
+                pairs[first]
+                placed[first] |= {(pos + i, other + i) for i in range(len(run))}
         gone = set()
         for first, shared in pairs.items():
             total, theirs = Counter(lines[k]), Counter(lines[first])
-            anchors = [p for p in sorted(shared) if total[shared[p][2]] == theirs[shared[p][2]] == 1]
-            run = increasing([shared[p][0] for p in anchors])
-            taken = {anchors[i]: shared[anchors[i]][0] for i in run}
+            anchors = {(p, o) for p, (o, _, x) in shared.items() if total[x] == theirs[x] == 1}
+            anchors = sorted(anchors | placed[first], key=lambda a: (a[0], -a[1]))
+            taken = dict(anchors[i] for i in increasing([o for _, o in anchors]))
             edge = list(taken.items())
             while edge:
                 p, o = edge.pop()
@@ -74,7 +96,7 @@ def brute(rows, rare=RARE, min_block=MIN_BLOCK):
                 block = [todo.pop(0)]
                 while todo and todo[0] == block[-1] + 1 and taken[todo[0]] == taken[block[-1]] + 1:
                     block.append(todo.pop(0))
-                if len(block) >= min_block or any(
+                if len(block) >= min_block or sum(len(lines[k][p].split()) for p in block) >= MIN_WORDS or any(
                         p in shared and shared[p][0] == taken[p] and shared[p][1] <= rare
                         and len(shared[p][2].split()) >= RARE_WORDS for p in block):
                     gone |= set(block)
@@ -132,3 +154,29 @@ def test_edges(make_docs, words):
 
 def test_empty_table(make_docs):
     assert delete_lines(make_docs([])).collect() == []
+
+
+def test_a_block_whose_lines_have_other_first_holders(make_docs, words):
+    """Five adjacent lines of 8 words in two documents, each line alone in 17 earlier ones."""
+    block = [words(700 + i, 8) for i in range(5)]
+    rows = [(i * 17 + j, f"{words(2000 + i * 17 + j, 9)}\n{block[i]}\n{words(3000 + i * 17 + j, 9)}")
+            for i in range(5) for j in range(17)]
+    rows += [(d, "\n".join([words(d, 9), *block, words(d + 1, 9)])) for d in (1000, 1001)]
+    assert check(make_docs, rows) == {(1001, rows[-1][1]): [1, 2, 3, 4, 5]}
+
+
+def test_every_block_that_an_earlier_document_holds_goes(make_docs):
+    """Against all earlier documents, not first holders: no run of three lines is left in order."""
+    rng = random.Random(8)
+    pool = [f"line {i} of the pool" for i in range(25)]
+    rows = [(d, "\n".join(pool[at:at + rng.randint(2, 7)] + [f"own {d}"]))
+            for d, at in enumerate(rng.randrange(20) for _ in range(120))]
+    check(make_docs, rows)
+    left = {r.doc_id: list(r.gone) for r in delete_lines(make_docs(rows), report=True).collect()}
+    held = set()
+    for d, text in rows:
+        lines = text.split("\n")
+        runs = {tuple(lines[i:i + 3]): i for i in range(len(lines) - 2)}
+        for run, i in runs.items():
+            assert run not in held or {i, i + 1, i + 2} <= set(left[d])
+        held |= set(runs)
