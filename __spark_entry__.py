@@ -614,6 +614,73 @@ def _committed_nulls(spark, sf_dir):
     return commits(spark, root).select("table_name", F.explode("nulls").alias("column_name", "null_count"))
 
 
+def _cut_star(spark, sf_dir):
+    """The star without some states and respondents, and with some respondents twice."""
+    from cohortlens.schemas import with_tables
+    star = analogue_star(spark, sf_dir).star
+    women = star.woman.where("woman_id % 97 <> 5")
+    return with_tables(star, geography=star.geography.where("state_id % 11 <> 3"),
+                       woman=women.unionByName(women.where("woman_id % 50 = 7")))
+
+
+def _planted(fn_name, module):
+    def run(spark, sf_dir):
+        import importlib
+        fn = getattr(importlib.import_module(f"cohortlens.operators.{module}"), fn_name)
+        return fn(_cut_star(spark, sf_dir))
+    return run
+
+
+def _forest_check(spark, sf_dir):
+    """Test rows and features on which the forest and its node table agree."""
+    from pyspark.sql import functions as F
+    from cohortlens.plans import model as M
+    from cohortlens.plans.model_checks import forest_nodes, importances, rescored
+    train, test, feats = _prepared(spark, sf_dir)
+    model = M.fit_forest(train, feats)
+    nodes = forest_nodes(spark, model).persist()
+    own = M.score(model, test, keep=["anc_id"]).select("anc_id", F.col("score").alias("fitted"))
+    scores = own.join(rescored(test, nodes, feats, "anc_id", 8), "anc_id", "left").agg(
+        F.count(F.lit(1)).alias("test_rows"),
+        F.count(F.when(F.abs(F.col("fitted") - F.col("score")) < 1e-9, 1)).alias("same_scores"))
+    told = M.feature_importance(spark, model, feats).select("feature", F.col("importance").alias("fitted"))
+    shares = told.join(importances(nodes, feats), "feature", "left").agg(
+        F.count(F.when(F.abs(F.col("fitted") - F.coalesce("importance", F.lit(0.0))) < 1e-9, 1))
+        .alias("same_importances"))
+    return scores.crossJoin(shares)  # one row each
+
+
+def _logistic_check(spark, sf_dir):
+    """Features, and the intercept, along which the loss has no slope at the fitted weights."""
+    from pyspark.sql import functions as F
+    from cohortlens.plans import model as M
+    from cohortlens.plans.model_checks import logistic_slopes
+    train, _test, feats = _prepared(spark, sf_dir)
+    slopes = logistic_slopes(train, M.fit_logistic(train, feats))
+    return slopes.agg(F.count(F.when(F.abs("slope") < 1e-4, 1)).alias("flat"),
+                      F.count(F.lit(1)).alias("weights"))
+
+
+def _indicator_rejects(spark, sf_dir):
+    """The indicator file with a bad year and a cut line planted for every good line; what is
+    rejected, and the number of good lines."""
+    from pyspark.sql import functions as F
+    from cohortlens.sources.rejects import read_indicator_checked
+    path = _folder(spark, "indicator-bad")
+    mmr = analogue_star(spark, sf_dir).who_mmr
+    good = mmr.select(
+        F.col("indicator_code").alias("IndicatorCode"), F.col("location").alias("Location"),
+        F.col("year").cast("string").alias("Period"),
+        F.col("mmr_value").cast("string").alias("FactValueNumeric"))
+    bad = mmr.select(F.col("indicator_code").alias("IndicatorCode"), F.col("location").alias("Location"),
+                     F.concat(F.lit("y"), F.col("year")).alias("Period"), F.lit("1").alias("FactValueNumeric"))
+    good.unionByName(bad).write.option("header", True).csv(path)
+    mmr.select(F.concat_ws(",", "indicator_code", "year").alias("value")).write.mode("append").text(path)
+    checked = read_indicator_checked(spark, path, "mmr", most=0.7)
+    return checked.rejects.select("line", "reason").unionByName(checked.rows.select(
+        F.concat_ws(",", "indicator_code", "year").alias("line"), F.lit("good").alias("reason")))
+
+
 def _register_more(q):
     q.update({
         "wide_csv_labels": _wide_csv_labels,
@@ -631,6 +698,12 @@ def _register_more(q):
         "keyed_star": _keyed_star,
         "star_commits": _star_commits,
         "committed_nulls": _committed_nulls,
+        "orphan_checks_planted": _planted("orphan_checks", "quality"),
+        "fk_unmapped_planted": _planted("unmapped_counts", "conform"),
+        "repeated_keys_planted": _planted("repeated_keys", "conform"),
+        "forest_check": _forest_check,
+        "logistic_check": _logistic_check,
+        "indicator_rejects": _indicator_rejects,
         "project_woman": _project_woman,
         "text_normalise": _text_normalise,
         "recode_map": _recode_map,

