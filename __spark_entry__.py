@@ -681,6 +681,28 @@ def _indicator_rejects(spark, sf_dir):
         F.concat_ws(",", "indicator_code", "year").alias("line"), F.lit("good").alias("reason")))
 
 
+def _third(star, number):
+    """One of three loads: a third of the respondents, and the facts that can come by then."""
+    from pyspark.sql import functions as F
+    from cohortlens.schemas import with_tables
+
+    def own(df, key):
+        return df.where(F.greatest(F.pmod("woman_id", F.lit(3)), F.pmod(key, F.lit(3))) == number - 1)
+
+    return with_tables(star, woman=star.woman.where(F.pmod("woman_id", F.lit(3)) == number - 1),
+                       anc=own(star.anc, "anc_id"), mortality=own(star.mortality, "mortality_id"))
+
+
+def _maintained(report):
+    def run(spark, sf_dir):
+        from cohortlens.plans import maintained
+        star, root = analogue_star(spark, sf_dir).star, _folder(spark, "maintained")
+        for number in (1, 2, 3):
+            maintained.add_load(_third(star, number), root, number)
+        return getattr(maintained, report)(maintained.current_sums(spark, root))
+    return run
+
+
 def _register_more(q):
     q.update({
         "wide_csv_labels": _wide_csv_labels,
@@ -704,6 +726,8 @@ def _register_more(q):
         "forest_check": _forest_check,
         "logistic_check": _logistic_check,
         "indicator_rejects": _indicator_rejects,
+        "maintained_zone_summary": _maintained("zone_summary"),
+        "maintained_state_burden": _maintained("state_burden_rank"),
         "project_woman": _project_woman,
         "text_normalise": _text_normalise,
         "recode_map": _recode_map,
