@@ -606,10 +606,10 @@ def _star_commits(spark, sf_dir):
 
 
 def _committed_nulls(spark, sf_dir):
-    """Null counts of the star as they came with the write."""
+    """Null counts of the star as its commit tells them."""
     from pyspark.sql import functions as F
     from cohortlens.sources.versions import commit_star, commits
-    root = _folder(spark, "observed")
+    root = _folder(spark, "counted")
     commit_star(analogue_star(spark, sf_dir).star, root)
     return commits(spark, root).select("table_name", F.explode("nulls").alias("column_name", "null_count"))
 

@@ -145,7 +145,7 @@ def current_sums(spark: SparkSession, root: str) -> DataFrame:
 
 def state_burden_rank(sums: DataFrame) -> DataFrame:
     """``analyses.state_burden_rank`` from the sums."""
-    return sums.select(
+    return _together([sums]).select(  # one row a state, also where sums of parts are given
         rank_desc("maternal").alias("mortality_rank"), *PLACE, F.col("women").alias("total_respondents"),
         F.col("maternal").alias("maternal_deaths"), F.col("known").alias("total_female_deaths"),
         per_thousand(F.col("maternal"), F.col("women")).alias("deaths_per_1000_respondents"))

@@ -207,7 +207,7 @@ def test_rollback_and_second_writer(spark, tmp_out):
         roll_back(spark, tmp_out, 9)
 
 
-def test_counts_that_come_with_the_write(spark, tmp_out):
+def test_counts_in_the_commit(spark, tmp_out):
     star = analogue_star(spark, SF_SMALL).star
     commit_star(star, tmp_out)
     told = {r.table_name: r for r in commits(spark, tmp_out).collect()}
