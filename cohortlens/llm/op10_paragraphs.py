@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .prefilter import may_hold
 from .staging import as_bytes, by_bytes, stage
 
 SHINGLE = 5
@@ -150,10 +151,10 @@ def _paragraph_rows(part: pa.RecordBatch, min_words: int, bands: int, rows: int)
     return pa.record_batch(
         [part.column("doc_id").take(pa.array(doc[chosen])), pa.array(index[chosen].astype(np.int32)),
          pa.array((start - shift)[chosen]), pa.array((end - shift)[chosen]),
-         pa.array(keys, pa.binary()), pa.array(n_words[chosen].astype(np.int32)),
+         pa.array(keys, pa.binary()),
          pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat),
          kept],
-        names=["doc_id", "idx", "start", "end", "key", "n_words", "bands", "paragraph"])
+        names=["doc_id", "idx", "start", "end", "key", "bands", "paragraph"])
 
 
 class _Words:
@@ -233,10 +234,10 @@ def _passage_rows(part: pa.RecordBatch, min_words: int, bands: int, rows: int) -
             for t in kept]  # the line end keeps them apart from the keys of lines
     flat = pa.array(values.reshape(-1).view(np.int64))
     return pa.record_batch(
-        [*w.spans(at, last), pa.array(keys, pa.binary()), pa.array(n_words[chosen].astype(np.int32)),
+        [*w.spans(at, last), pa.array(keys, pa.binary()),
          pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat),
          pa.array(kept, pa.binary()).cast(pa.string())],
-        names=["doc_id", "idx", "start", "end", "key", "n_words", "bands", "paragraph"])
+        names=["doc_id", "idx", "start", "end", "key", "bands", "paragraph"])
 
 
 def _window_rows(part: pa.RecordBatch, size: int) -> pa.RecordBatch:
@@ -270,7 +271,8 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, size: int) ->
     firsts = stage(found.groupBy("key", "key2").agg(
         F.min(F.struct("doc_id", "idx")).alias("first"), F.max(F.struct("doc_id", "idx")).alias("last"))
         .where("first <> last").select("key", "key2", "first"), "window-firsts")
-    return found.join(firsts, ["key", "key2"]).select(
+    return may_hold(found, F.col("key"), firsts.select("key")).join(
+        firsts.hint("merge"), ["key", "key2"]).select(
         "doc_id", "idx", "start", "end", F.col("first.doc_id").alias("first_doc"),
         F.col("first.idx").alias("first_idx"),
         ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("idx") != F.col("first.idx"))).alias("removed"))
@@ -286,12 +288,12 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, band
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, idx int, start long, end long, key binary, n_words int, "
+        run, "doc_id long, idx int, start long, end long, key binary, "
              "bands array<long>, paragraph string")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of keys whose paragraphs reach the threshold."""
+    """Pairs (a, b) of nodes whose paragraphs reach the threshold."""
     def run(batches):
         for batch in batches:
             left, right = as_bytes(batch.column("ta")), as_bytes(batch.column("tb"))
@@ -304,16 +306,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             yield pa.record_batch([batch.column("a"), batch.column("b")],
                                   names=["a", "b"]).filter(pa.array(good))
 
-    side = texts.select("key", "paragraph")
-    return (pairs.join(side.toDF("a", "ta"), "a").join(side.toDF("b", "tb"), "b")
-            .select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary"))
+    side = texts.select("node", "paragraph")
+    return (pairs.join(side.toDF("a", "ta").hint("merge"), "a")
+            .join(side.toDF("b", "tb").hint("merge"), "b")
+            .select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
-def _links_in_block(members: list[dict], lower: int, threshold: float) -> list[tuple[bytes, bytes]]:
+def _links_in_block(members: list[dict], lower: int, threshold: float) -> list[tuple[int, int]]:
     """Spanning links of one block pair; pairs already connected are passed over."""
-    parent: dict[bytes, bytes] = {}
+    parent: dict[int, int] = {}
 
-    def root(x: bytes) -> bytes:
+    def root(x: int) -> int:
         while parent.setdefault(x, x) != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
@@ -333,7 +336,7 @@ def _links_in_block(members: list[dict], lower: int, threshold: float) -> list[t
             a, b = root(m["component"]), root(members[j]["component"])
             if a != b and jaccard(sets[i], sets[j]) >= threshold:
                 parent[a] = b
-                links.append((m["key"], members[j]["key"]))
+                links.append((m["node"], members[j]["node"]))
     return links
 
 
@@ -344,18 +347,18 @@ def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, threshold: flo
     A member goes to one block pair per block of its bucket; the comparisons of a
     bucket are spread over its block pairs.
     """
-    placed = members.where("members > 2").join(
-        found, members["key"] == found["node"], "left").select(
-        "band", "value", "members", "key", F.coalesce("component", "key").alias("component"))
+    found = found.withColumnRenamed("node", "of")
+    placed = members.join(found.hint("merge"), members["node"] == found["of"], "left").select(
+        "bucket", "members", "node", F.coalesce("component", "node").alias("component"))
     placed = stage(placed, "paragraph-buckets")
-    open_ = stage(placed.groupBy("band", "value").agg(
+    open_ = stage(placed.groupBy("bucket").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        .select("band", "value"), "paragraph-open")
+        .select("bucket"), "paragraph-open")
     blocks = F.ceil(F.col("members") / block).cast("int")
-    dealt = (placed.join(open_, ["band", "value"])
-             .withColumn("chunk", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    dealt = (placed.join(open_, "bucket")
+             .withColumn("chunk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("band", "value", "key", "component", "chunk",
+             .select("bucket", "node", "component", "chunk",
                      F.least("chunk", "other").alias("lower"),
                      F.greatest("chunk", "other").alias("upper")))
 
@@ -366,13 +369,46 @@ def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, threshold: flo
                                         batch.column("lower")[i].as_py(), threshold)
                 if links:
                     a, b = zip(*links, strict=True)
-                    yield pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())],
+                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                                           names=["a", "b"])
 
-    return (dealt.join(texts.select("key", "paragraph"), "key")
-            .groupBy("band", "value", "lower", "upper")
-            .agg(F.collect_list(F.struct("key", "component", "chunk", "paragraph")).alias("m"))
-            .select("lower", "m").mapInArrow(run, "a binary, b binary"))
+    return (dealt.join(texts.hint("merge"), "node")
+            .groupBy("bucket", "lower", "upper")
+            .agg(F.collect_list(F.struct("node", "component", "chunk", "paragraph")).alias("m"))
+            .select("lower", "m").mapInArrow(run, "a long, b long"))
+
+
+def _candidates(nodes: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Stars (a, b) of the colliding buckets, and the members of buckets of three or more.
+
+    A bucket of two is its least and its last node, so only the entries of larger
+    buckets meet the bucket table again.
+    """
+    # passages have bands of their own: they overlap lines, so the two never meet
+    entries = nodes.select("node", F.col("first.idx"), F.posexplode("bands").alias("band", "value")).select(
+        "node", F.xxhash64("value", F.col("band") + F.when(F.col("idx") >= PASSAGE, bands).otherwise(0))
+        .alias("bucket"))
+    buckets = stage(entries.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("members"), F.min("node").alias("least"), F.max("node").alias("last"))
+        .where("members > 1"), "buckets")
+    crowded = buckets.where("members > 2").drop("last")
+    members = stage(may_hold(entries, F.col("bucket"), crowded.select("bucket"))
+                    .join(crowded.hint("merge"), "bucket"), "members")
+    star = buckets.where("members = 2").select(F.col("least").alias("a"), F.col("last").alias("b")).unionByName(
+        members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")))
+    return stage(star.distinct(), "candidates"), members
+
+
+def _candidate_texts(found: DataFrame, nodes: DataFrame, star: DataFrame) -> DataFrame:
+    """(node, paragraph) of the nodes in ``star``, from each node's first occurrence."""
+    wanted = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
+    firsts = stage(nodes.select("node", "first.doc_id", "first.idx")
+                   .join(wanted.hint("merge"), "node", "left_semi"), "candidate-firsts")
+    place = F.xxhash64("doc_id", "idx")
+    held = (may_hold(found.select("doc_id", "idx", "paragraph"), place, firsts.select(place))
+            .groupBy("doc_id", "idx").agg(F.min("paragraph").alias("paragraph")))
+    return stage(held.join(firsts.hint("merge"), ["doc_id", "idx"]).select("node", "paragraph"),
+                 "candidate-texts", "zstd")
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -387,40 +423,29 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     bands, rows = tune_bands(threshold, recall)
     found = stage(paragraphs(docs, id_col, text_col, min_words, bands, rows, passages),
-                  "paragraphs")
+                  "paragraphs", "zstd")
     nodes = stage(found.groupBy("key").agg(
-        F.min(F.struct("doc_id", "idx")).alias("first"), F.min("bands").alias("bands")),
-        "paragraph-nodes")
-    # passages have bands of their own: they overlap lines, so the two never meet
-    entries = nodes.select("key", F.col("first.idx"), F.posexplode("bands").alias("band", "value")).select(
-        "key", (F.col("band") + F.when(F.col("idx") >= PASSAGE, bands).otherwise(0)).alias("band"),
-        "value")
-    buckets = stage(entries.groupBy("band", "value").agg(
-        F.count(F.lit(1)).alias("members"), F.min("key").alias("least")).where("members > 1"),
-        "buckets")
-    members = stage(entries.join(buckets, ["band", "value"]), "members")
-    wanted = stage(members.select("key").distinct(), "candidates")
-    texts = stage(found.select("key", "paragraph").join(wanted, "key", "left_semi")
-                  .groupBy("key").agg(F.min("paragraph").alias("paragraph")), "candidate-texts")
-    star = members.where("key <> least").select(
-        F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+        F.min(F.struct("doc_id", "idx")).alias("first"), F.max(F.struct("doc_id", "idx")).alias("last"),
+        F.min("bands").alias("bands")).select(
+        F.monotonically_increasing_id().alias("node"), "key", "first",
+        (F.col("first") != F.col("last")).alias("again"), "bands"), "paragraph-nodes")
+    star, members = _candidates(nodes, bands)
+    texts = _candidate_texts(found, nodes, star)
     links = stage(_verified(star, texts, threshold), "paragraph-links")
     more = stage(_rest(members, components(links), texts, threshold, block), "paragraph-links")
-    groups = components(links.unionByName(more))
-    named = stage(nodes.join(groups, nodes["key"] == groups["node"], "left").select(
-        "key", "first", F.coalesce("component", "key").alias("component")), "paragraph-groups")
+    groups = components(links.unionByName(more)).withColumnRenamed("node", "of")
+    named = stage(nodes.select("node", "key", "first", "again").join(
+        groups.hint("merge"), F.col("node") == F.col("of"), "left").where("again or of is not null").select(
+        "key", "first", F.coalesce("component", "node").alias("component")), "paragraph-groups")
     firsts = stage(named.groupBy("component").agg(F.min("first").alias("of")), "paragraph-firsts")
-    classes = stage(named.join(firsts, "component").select("key", "of"), "paragraph-classes")
-    rows_ = found.select("doc_id", "idx", "start", "end", "key").join(classes, "key").select(
+    classes = stage(named.join(firsts.hint("merge"), "component").select("key", "of"), "paragraph-classes")
+    # a class left here has two occurrences at least, so its first one is repeated
+    out = may_hold(found.select("doc_id", "idx", "start", "end", "key"), F.col("key"), classes.select("key")).join(
+        classes.hint("merge"), "key").select(
         "doc_id", "idx", "start", "end", F.col("of.doc_id").alias("first_doc"),
         F.col("of.idx").alias("first_idx"))
-    rows_ = rows_.withColumn("removed", (F.col("doc_id") != F.col("first_doc"))
-                             | (F.col("idx") != F.col("first_idx")))
-    repeated = stage(rows_.where("removed").select(
-        F.col("first_doc").alias("doc_id"), F.col("first_idx").alias("idx")).distinct(), "repeated")
-    out = rows_.where("removed").unionByName(
-        rows_.where("not removed").join(repeated, ["doc_id", "idx"], "left_semi")
-        .select(rows_.columns))
+    out = out.withColumn("removed", (F.col("doc_id") != F.col("first_doc"))
+                         | (F.col("idx") != F.col("first_idx")))
     return out.unionByName(repeated_windows(docs, id_col, text_col, min_words)) if passages else out
 
 
