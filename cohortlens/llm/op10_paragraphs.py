@@ -50,6 +50,7 @@ SHINGLE = 5
 THRESHOLD = 0.8
 MIN_WORDS = 30
 BLOCK = 128
+BAND_BYTES = 5  # of a band value: unequal ones agree for one pair in 2 ** 40, and pairs are verified
 WINNOW = 21  # words between which a window is taken
 REACH = 32  # words to either side of a cut
 PASSAGE = 1 << 30  # idx of passages and windows: this and the place of the first word
@@ -118,43 +119,15 @@ def _band_values(hashes: np.ndarray, of: np.ndarray, n_words: np.ndarray, bands:
     return values
 
 
-def _paragraph_rows(part: pa.RecordBatch, min_words: int, bands: int, rows: int) -> pa.RecordBatch:
-    text = pc.fill_null(part.column("text"), "")
-    split = pc.split_pattern(text, "\n")
-    begins = split.offsets.to_numpy().astype(np.int64)
-    begins -= begins[0]
-    lines = split.flatten()
-    doc = np.repeat(np.arange(len(text)), np.diff(begins))
-    index = np.arange(len(lines)) - begins[doc]
-    size = pc.utf8_length(lines).to_numpy().astype(np.int64)
-    end = np.cumsum(size + 1) - 1
-    start = end - size
-    shift = start[begins[:-1]][doc]
-    cut = pc.split_pattern_regex(pc.ascii_lower(lines), _SPACE)
-    words = cut.flatten()
-    line = np.repeat(np.arange(len(lines)), np.diff(cut.offsets.to_numpy()))
-    real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-    words, line = words.filter(pa.array(real)), line[real]
-    n_words = np.bincount(line, minlength=len(lines))
-    take = (n_words >= max(min_words, SHINGLE)) & pc.is_valid(part.column("doc_id")).to_numpy(
-        zero_copy_only=False)[doc]
-    chosen = np.flatnonzero(take)
-    used = take[line]
-    coded = words.filter(pa.array(used)).dictionary_encode()
-    hashes = _word_hashes(as_bytes(coded.dictionary))[coded.indices.to_numpy()] if len(
-        coded) else np.zeros(0, np.uint64)
-    values = _band_values(hashes, line[used], n_words[chosen], bands, rows)
-    kept = lines.take(pa.array(chosen))
-    keys = [hashlib.md5(b" ".join(t.lower().split()), usedforsecurity=False).digest()
-            for t in as_bytes(kept)]
-    flat = pa.array(values.reshape(-1).view(np.int64))
-    return pa.record_batch(
-        [part.column("doc_id").take(pa.array(doc[chosen])), pa.array(index[chosen].astype(np.int32)),
-         pa.array((start - shift)[chosen]), pa.array((end - shift)[chosen]),
-         pa.array(keys, pa.binary()),
-         pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat),
-         kept],
-        names=["doc_id", "idx", "start", "end", "key", "bands", "paragraph"])
+def _packed(values: np.ndarray) -> pa.Array:
+    """One binary per unit: ``BAND_BYTES`` of each band value, one band after the other."""
+    n, bands = values.shape
+    cut = values.astype("<u8").view(np.uint8).reshape(n, bands, 8)[:, :, :BAND_BYTES]
+    ends = np.arange(n + 1, dtype=np.int32) * (bands * BAND_BYTES)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(cut.tobytes())])
+
+
+_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 class _Words:
@@ -165,21 +138,24 @@ class _Words:
         self.docs = part.column("doc_id").drop_null()
         self.raw = b"\n".join([*texts, b""])
         codes = np.frombuffer(self.raw, np.uint8)
-        space = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        space = _IS_SPACE[codes]
         edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
         self.first, self.past = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        begins = np.cumsum(sizes) - sizes
+        self.begins = begins = np.cumsum(sizes) - sizes
         self.doc = np.searchsorted(begins, self.first, "right") - 1
         chars = np.concatenate([[0], np.cumsum((codes & 0xC0) != 0x80)])
         shift = chars[begins][self.doc] if len(texts) else self.first
         self.start, self.end = chars[self.first] - shift, chars[self.past] - shift
+        self.chars, self.shift = chars, shift
+        self.breaks = np.flatnonzero(codes == 10)  # a line end after each text, too
         words = pa.array(self.raw.lower().split(), pa.binary()).dictionary_encode()
         self.hashes = _word_hashes(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(
             words) else np.zeros(0, np.uint64)
         n = np.bincount(self.doc, minlength=len(texts))
         self.place = np.arange(len(self.doc)) - (np.cumsum(n) - n)[self.doc]  # in its text
         self.left = n[self.doc] - self.place  # words from here to the end of the text
+        self.order = shingle_hashes(self.hashes) if len(self.hashes) >= SHINGLE else np.zeros(0, np.uint64)
 
     def spans(self, at: np.ndarray, last: np.ndarray) -> list[pa.Array]:
         """doc_id, idx, start and end of word runs from ``at`` to ``last``."""
@@ -215,81 +191,104 @@ def winnow(order: np.ndarray, width: int = WINNOW) -> np.ndarray:
     return np.unique(np.arange(len(windows)) + width - 1 - np.argmin(windows[:, ::-1], axis=1))
 
 
-def _passage_rows(part: pa.RecordBatch, min_words: int, bands: int, rows: int) -> pa.RecordBatch:
-    w = _Words(part)
-    order = shingle_hashes(w.hashes) if len(w.hashes) >= SHINGLE else np.zeros(0, np.uint64)
+_NAMES = ["doc_id", "idx", "start", "end", "key", "bands", "paragraph"]
+
+
+def _unit_rows(w: _Words, unit: np.ndarray, n_words: np.ndarray, chosen: np.ndarray, where: list,
+               kept: list[bytes], mark: bytes, bands: int, rows: int) -> pa.RecordBatch:
+    """Rows of the ``chosen`` units; ``unit`` names the unit of each word."""
+    used = chosen[unit]
+    values = _band_values(w.hashes[used], unit[used], n_words[chosen], bands, rows)
+    keys = [hashlib.md5(mark + b" ".join(t.lower().split()), usedforsecurity=False).digest()
+            for t in kept]
+    return pa.record_batch([*where, pa.array(keys, pa.binary()), _packed(values),
+                            pa.array(kept, pa.binary()).cast(pa.string())], names=_NAMES)
+
+
+def _paragraph_rows(w: _Words, min_words: int, bands: int, rows: int) -> pa.RecordBatch:
+    line = np.searchsorted(w.breaks, w.first)
+    n_words = np.bincount(line, minlength=len(w.breaks))
+    chosen = n_words >= max(min_words, SHINGLE)
+    at = np.flatnonzero(chosen)
+    word = (np.cumsum(n_words) - n_words)[at]  # first word of each
+    doc = w.doc[word]
+    begin = np.concatenate([[0], w.breaks + 1])[at]
+    past = w.breaks[at]
+    index = at - np.searchsorted(w.breaks, w.begins[doc])
+    where = [w.docs.take(pa.array(doc)), pa.array(index.astype(np.int32)),
+             pa.array((w.chars[begin] - w.shift[word]).astype(np.int64)),
+             pa.array((w.chars[past] - w.shift[word]).astype(np.int64))]
+    kept = [w.raw[a:b] for a, b in zip(begin, past, strict=True)]
+    return _unit_rows(w, line, n_words, chosen, where, kept, b"", bands, rows)
+
+
+def _passage_rows(w: _Words, min_words: int, bands: int, rows: int) -> pa.RecordBatch:
     cut = np.zeros(len(w.doc), bool)
     cut[w.place == 0] = True
     for begin in np.flatnonzero(w.place == 0):
-        cut[cut_places(order[begin:begin + max(0, w.left[begin] - SHINGLE + 1)]) + begin] = True
+        cut[cut_places(w.order[begin:begin + max(0, w.left[begin] - SHINGLE + 1)]) + begin] = True
     unit = np.cumsum(cut) - 1
     n_words = np.bincount(unit, minlength=0)
     chosen = n_words >= max(min_words, SHINGLE)
-    used = chosen[unit]
     at = np.flatnonzero(cut)[chosen]
     last = at + n_words[chosen] - 1
-    values = _band_values(w.hashes[used], unit[used], n_words[chosen], bands, rows)
     kept = [w.raw[a:b] for a, b in zip(w.first[at], w.past[last], strict=True)]
-    keys = [hashlib.md5(b"\n" + b" ".join(t.lower().split()), usedforsecurity=False).digest()
-            for t in kept]  # the line end keeps them apart from the keys of lines
-    flat = pa.array(values.reshape(-1).view(np.int64))
-    return pa.record_batch(
-        [*w.spans(at, last), pa.array(keys, pa.binary()),
-         pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat),
-         pa.array(kept, pa.binary()).cast(pa.string())],
-        names=["doc_id", "idx", "start", "end", "key", "bands", "paragraph"])
-
-
-def _window_rows(part: pa.RecordBatch, size: int) -> pa.RecordBatch:
-    w = _Words(part)
-    order = shingle_hashes(w.hashes) if len(w.hashes) >= SHINGLE else np.zeros(0, np.uint64)
+    # the line end keeps their keys apart from the keys of lines
+    return _unit_rows(w, unit, n_words, chosen, w.spans(at, last), kept, b"\n", bands, rows)
+
+
+def _window_rows(w: _Words, size: int) -> pa.RecordBatch:
+    """Rows of the taken windows; they have no bands and no paragraph."""
     begins = np.flatnonzero(w.place == 0)
-    places = [winnow(order[b:b + max(0, w.left[b] - size + 1)]) + b for b in begins]
+    places = [winnow(w.order[b:b + max(0, w.left[b] - size + 1)]) + b for b in begins]
     at = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
-    keys = []
+    keys = np.zeros((len(at), 2), np.uint64)
     with np.errstate(over="ignore"):
-        for seed in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+        for k, seed in enumerate((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))):
             key = np.zeros(len(at), np.uint64)
             for i in range(size):
                 key = (key ^ w.hashes[at + i]) * seed
                 key ^= key >> np.uint64(29)
-            keys.append(pa.array(key.view(np.int64)))
-    return pa.record_batch([*w.spans(at, at + size - 1), *keys],
-                           names=["doc_id", "idx", "start", "end", "key", "key2"])
-
-
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Removed rows of ``repeated_paragraphs`` for equal windows of ``size`` words, and the
-    first occurrence of each, with ``removed`` false."""
-    def run(batches):
-        for part in by_bytes(batches, "text", 4 << 20):
-            yield _window_rows(part, size)
-
-    found = stage(docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                              F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, idx int, start long, end long, key long, key2 long"), "windows")
-    firsts = stage(found.groupBy("key", "key2").agg(
-        F.min(F.struct("doc_id", "idx")).alias("first"), F.max(F.struct("doc_id", "idx")).alias("last"))
-        .where("first <> last").select("key", "key2", "first"), "window-firsts")
-    return may_hold(found, F.col("key"), firsts.select("key")).join(
-        firsts.hint("merge"), ["key", "key2"]).select(
-        "doc_id", "idx", "start", "end", F.col("first.doc_id").alias("first_doc"),
-        F.col("first.idx").alias("first_idx"),
-        ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("idx") != F.col("first.idx"))).alias("removed"))
+            keys[:, k] = key
+    ends = np.arange(len(at) + 1, dtype=np.int32) * 16
+    key = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(keys.tobytes())])
+    return pa.record_batch([*w.spans(at, at + size - 1), key, pa.nulls(len(at), pa.binary()),
+                            pa.nulls(len(at), pa.string())], names=_NAMES)
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, bands: int,
                rows: int, passages: bool = False) -> DataFrame:
+    """One row per line of ``min_words``; with ``passages`` also per passage and taken window."""
     def run(batches):
         for part in by_bytes(batches, "text", 4 << 20):
-            yield _paragraph_rows(part, min_words, bands, rows)
+            w = _Words(part)
+            yield _paragraph_rows(w, min_words, bands, rows)
             if passages:
-                yield _passage_rows(part, min_words, bands, rows)
+                yield _passage_rows(w, min_words, bands, rows)
+                yield _window_rows(w, min_words)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, idx int, start long, end long, key binary, "
-             "bands array<long>, paragraph string")
+        run, "doc_id long, idx int, start long, end long, key binary, bands binary, paragraph string")
+
+
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """Removed rows of ``repeated_paragraphs`` for equal windows, and the first occurrence
+    of each, with ``removed`` false.
+
+    A count by 64-bit hash first: only windows that may repeat are grouped by their keys.
+    """
+    short = F.xxhash64("key")
+    twice = stage(windows.groupBy(short.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                  .select("k"), "window-counts")
+    again = stage(may_hold(windows, short, twice), "windows-again", "zstd")
+    firsts = stage(again.groupBy("key").agg(
+        F.min(F.struct("doc_id", "idx")).alias("first"), F.max(F.struct("doc_id", "idx")).alias("last"))
+        .where("first <> last").select("key", "first"), "window-firsts")
+    return again.join(firsts.hint("merge"), "key").select(
+        "doc_id", "idx", "start", "end", F.col("first.doc_id").alias("first_doc"),
+        F.col("first.idx").alias("first_idx"),
+        ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("idx") != F.col("first.idx"))).alias("removed"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -322,19 +321,23 @@ def _links_in_block(members: list[dict], lower: int, threshold: float) -> list[t
             x = parent[x]
         return x
 
-    sets = [shingle_set(m["paragraph"].encode()) for m in members]
+    sets = [frozenset(shingle_set(m["paragraph"].encode()).tolist()) for m in members]
     size = np.array([len(s) for s in sets])
     chunk = np.array([m["chunk"] for m in members])
+    component = np.array([m["component"] for m in members])
     upper = int(chunk.max())
     links = []
     for i, m in enumerate(members):
-        near = (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])) & (
-            np.arange(len(members)) > i)
+        near = (component != component[i]) & (np.arange(len(members)) > i) & (
+            np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]))
         if lower != upper:
             near &= chunk != chunk[i]
         for j in np.flatnonzero(near):
             a, b = root(m["component"]), root(members[j]["component"])
-            if a != b and jaccard(sets[i], sets[j]) >= threshold:
+            if a == b:
+                continue
+            common = len(sets[i] & sets[j])
+            if common and common / (size[i] + size[j] - common) >= threshold:
                 parent[a] = b
                 links.append((m["node"], members[j]["node"]))
     return links
@@ -385,8 +388,10 @@ def _candidates(nodes: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
     buckets meet the bucket table again.
     """
     # passages have bands of their own: they overlap lines, so the two never meet
-    entries = nodes.select("node", F.col("first.idx"), F.posexplode("bands").alias("band", "value")).select(
-        "node", F.xxhash64("value", F.col("band") + F.when(F.col("idx") >= PASSAGE, bands).otherwise(0))
+    entries = nodes.select("node", F.col("first.idx"), "bands",
+                           F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")).select(
+        "node", F.xxhash64(F.substring("bands", F.col("band") * BAND_BYTES + 1, F.lit(BAND_BYTES)),
+                           F.col("band") + F.when(F.col("idx") >= PASSAGE, bands).otherwise(0))
         .alias("bucket"))
     buckets = stage(entries.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"), F.min("node").alias("least"), F.max("node").alias("last"))
@@ -422,8 +427,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the whole text and the repeated windows are among the rows; rows may then overlap.
     """
     bands, rows = tune_bands(threshold, recall)
-    found = stage(paragraphs(docs, id_col, text_col, min_words, bands, rows, passages),
+    rows_ = stage(paragraphs(docs, id_col, text_col, min_words, bands, rows, passages),
                   "paragraphs", "zstd")
+    found = rows_.where("paragraph is not null")
     nodes = stage(found.groupBy("key").agg(
         F.min(F.struct("doc_id", "idx")).alias("first"), F.max(F.struct("doc_id", "idx")).alias("last"),
         F.min("bands").alias("bands")).select(
@@ -432,8 +438,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star, members = _candidates(nodes, bands)
     texts = _candidate_texts(found, nodes, star)
     links = stage(_verified(star, texts, threshold), "paragraph-links")
-    more = stage(_rest(members, components(links), texts, threshold, block), "paragraph-links")
-    groups = components(links.unionByName(more)).withColumnRenamed("node", "of")
+    starred = stage(components(links), "paragraph-stars")
+    more = stage(_rest(members, starred, texts, threshold, block), "paragraph-links")
+    groups = components(starred.toDF("a", "b").unionByName(more)).withColumnRenamed("node", "of")
     named = stage(nodes.select("node", "key", "first", "again").join(
         groups.hint("merge"), F.col("node") == F.col("of"), "left").where("again or of is not null").select(
         "key", "first", F.coalesce("component", "node").alias("component")), "paragraph-groups")
@@ -446,7 +453,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col("of.idx").alias("first_idx"))
     out = out.withColumn("removed", (F.col("doc_id") != F.col("first_doc"))
                          | (F.col("idx") != F.col("first_idx")))
-    return out.unionByName(repeated_windows(docs, id_col, text_col, min_words)) if passages else out
+    windows = rows_.where("paragraph is null").select("doc_id", "idx", "start", "end", "key")
+    return out.unionByName(repeated_windows(windows)) if passages else out
 
 
 def _joined_spans(found: DataFrame) -> DataFrame:

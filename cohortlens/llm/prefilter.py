@@ -27,8 +27,8 @@ def _places(key: Column) -> list[Column]:
 
 
 def _has_bit(bits: Column, place: Column) -> Column:
-    byte = F.substring(bits, (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))
-    return F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), place.bitwiseAND(F.lit(7)).cast("int")) == 1
+    word = F.get(bits, F.shiftright(place, 6).cast("int"))
+    return F.getbit(word, place.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def may_hold(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
@@ -41,10 +41,19 @@ def may_hold(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     blocks = 1
     while blocks < min(need, MOST_BLOCKS):
         blocks *= 2
-    # to the block's task first: partial bitmaps of every task would outgrow the keys
-    filled = (held.select(_block(F.col("_k"), blocks).alias("_block"), "_k").repartition("_block")
-              .select("_block", F.explode(F.array(*_places(F.col("_k")))).alias("_bit"))
-              .groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    spark = rows.sparkSession
+    words = BITS // 64
+    empty = spark.range(blocks * words).select(
+        F.floor(F.col("id") / words).cast("int").alias("_block"),
+        (F.col("id") % words).cast("int").alias("_word"), F.lit(0).cast("long").alias("_set"))
+    # bits of a word are joined before the shuffle, and a block is 512 words
+    filled = (held.select(_block(F.col("_k"), blocks).alias("_block"),
+                          F.explode(F.array(*_places(F.col("_k")))).alias("_bit"))
+              .select("_block", F.shiftright("_bit", 6).cast("int").alias("_word"),
+                      F.expr("shiftleft(1L, cast(_bit & 63 as int))").alias("_set"))
+              .unionByName(empty).groupBy("_block", "_word").agg(F.bit_or("_set").alias("_set"))
+              .groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_word", "_set"))).alias("_all"))
+              .select("_block", F.col("_all._set").alias("_bits")))
     one, two, three = (_has_bit(F.col("_bits"), p) for p in _places(F.col("_key")))
     return (rows.withColumn("_key", key).where(F.col("_key").isNotNull())
             .withColumn("_block", _block(F.col("_key"), blocks))
