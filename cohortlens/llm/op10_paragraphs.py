@@ -191,18 +191,21 @@ def winnow(order: np.ndarray, width: int = WINNOW) -> np.ndarray:
     return np.unique(np.arange(len(windows)) + width - 1 - np.argmin(windows[:, ::-1], axis=1))
 
 
-_NAMES = ["doc_id", "idx", "start", "end", "key", "bands", "paragraph"]
+_NAMES = ["doc_id", "idx", "start", "end", "key", "bands"]
+
+
+def _key(paragraph: bytes, passage: bool) -> bytes:
+    """128-bit key of the normalised words; the line end keeps passages apart from lines."""
+    return hashlib.md5(b"\n" * passage + b" ".join(paragraph.lower().split()), usedforsecurity=False).digest()
 
 
 def _unit_rows(w: _Words, unit: np.ndarray, n_words: np.ndarray, chosen: np.ndarray, where: list,
-               kept: list[bytes], mark: bytes, bands: int, rows: int) -> pa.RecordBatch:
+               kept: list[bytes], passage: bool, bands: int, rows: int) -> pa.RecordBatch:
     """Rows of the ``chosen`` units; ``unit`` names the unit of each word."""
     used = chosen[unit]
     values = _band_values(w.hashes[used], unit[used], n_words[chosen], bands, rows)
-    keys = [hashlib.md5(mark + b" ".join(t.lower().split()), usedforsecurity=False).digest()
-            for t in kept]
-    return pa.record_batch([*where, pa.array(keys, pa.binary()), _packed(values),
-                            pa.array(kept, pa.binary()).cast(pa.string())], names=_NAMES)
+    return pa.record_batch([*where, pa.array([_key(t, passage) for t in kept], pa.binary()),
+                            _packed(values)], names=_NAMES)
 
 
 def _paragraph_rows(w: _Words, min_words: int, bands: int, rows: int) -> pa.RecordBatch:
@@ -219,7 +222,7 @@ def _paragraph_rows(w: _Words, min_words: int, bands: int, rows: int) -> pa.Reco
              pa.array((w.chars[begin] - w.shift[word]).astype(np.int64)),
              pa.array((w.chars[past] - w.shift[word]).astype(np.int64))]
     kept = [w.raw[a:b] for a, b in zip(begin, past, strict=True)]
-    return _unit_rows(w, line, n_words, chosen, where, kept, b"", bands, rows)
+    return _unit_rows(w, line, n_words, chosen, where, kept, False, bands, rows)
 
 
 def _passage_rows(w: _Words, min_words: int, bands: int, rows: int) -> pa.RecordBatch:
@@ -233,12 +236,11 @@ def _passage_rows(w: _Words, min_words: int, bands: int, rows: int) -> pa.Record
     at = np.flatnonzero(cut)[chosen]
     last = at + n_words[chosen] - 1
     kept = [w.raw[a:b] for a, b in zip(w.first[at], w.past[last], strict=True)]
-    # the line end keeps their keys apart from the keys of lines
-    return _unit_rows(w, unit, n_words, chosen, w.spans(at, last), kept, b"\n", bands, rows)
+    return _unit_rows(w, unit, n_words, chosen, w.spans(at, last), kept, True, bands, rows)
 
 
 def _window_rows(w: _Words, size: int) -> pa.RecordBatch:
-    """Rows of the taken windows; they have no bands and no paragraph."""
+    """Rows of the taken windows; they have no bands."""
     begins = np.flatnonzero(w.place == 0)
     places = [winnow(w.order[b:b + max(0, w.left[b] - size + 1)]) + b for b in begins]
     at = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
@@ -252,8 +254,8 @@ def _window_rows(w: _Words, size: int) -> pa.RecordBatch:
             keys[:, k] = key
     ends = np.arange(len(at) + 1, dtype=np.int32) * 16
     key = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(keys.tobytes())])
-    return pa.record_batch([*w.spans(at, at + size - 1), key, pa.nulls(len(at), pa.binary()),
-                            pa.nulls(len(at), pa.string())], names=_NAMES)
+    return pa.record_batch([*w.spans(at, at + size - 1), key, pa.nulls(len(at), pa.binary())],
+                           names=_NAMES)
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, bands: int,
@@ -269,7 +271,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, band
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, idx int, start long, end long, key binary, bands binary, paragraph string")
+        run, "doc_id long, idx int, start long, end long, key binary, bands binary")
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
@@ -404,16 +406,42 @@ def _candidates(nodes: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
     return stage(star.distinct(), "candidates"), members
 
 
-def _candidate_texts(found: DataFrame, nodes: DataFrame, star: DataFrame) -> DataFrame:
-    """(node, paragraph) of the nodes in ``star``, from each node's first occurrence."""
+def _candidate_texts(docs: DataFrame, found: DataFrame, nodes: DataFrame, star: DataFrame) -> DataFrame:
+    """(node, paragraph) of the nodes in ``star``, cut from the text of their first occurrence.
+
+    Of rows that share an id, the one whose paragraph has the node's key gives it.
+    """
     wanted = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
-    firsts = stage(nodes.select("node", "first.doc_id", "first.idx")
+    firsts = stage(nodes.select("node", "key", "first.doc_id", "first.idx")
                    .join(wanted.hint("merge"), "node", "left_semi"), "candidate-firsts")
-    place = F.xxhash64("doc_id", "idx")
-    held = (may_hold(found.select("doc_id", "idx", "paragraph"), place, firsts.select(place))
-            .groupBy("doc_id", "idx").agg(F.min("paragraph").alias("paragraph")))
-    return stage(held.join(firsts.hint("merge"), ["doc_id", "idx"]).select("node", "paragraph"),
-                 "candidate-texts", "zstd")
+    place = F.xxhash64("doc_id", "idx", "key")
+    spans = (may_hold(found, place, firsts.select(place)).select("doc_id", "idx", "key", "start", "end").distinct()
+             .join(firsts.hint("merge"), ["doc_id", "idx", "key"]).groupBy("doc_id")
+             .agg(F.collect_list(F.struct("node", "key", "idx", "start", "end")).alias("spans")))
+    spans = stage(spans, "candidate-spans")
+
+    def run(batches):
+        last, given = None, set()  # rows that repeat an id lie together
+        for batch in batches:
+            for part in by_bytes([batch], "text", 4 << 20):
+                names, out = [], []
+                for doc, text, cuts in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(),
+                                           part.column("spans").to_pylist(), strict=True):
+                    if doc != last:
+                        last, given = doc, set()
+                    for c in cuts:
+                        if c["node"] in given:
+                            continue
+                        raw = text[c["start"]:c["end"]].encode()
+                        if _key(raw, c["idx"] >= PASSAGE) == c["key"]:
+                            given.add(c["node"])
+                            names.append(c["node"])
+                            out.append(raw)
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())],
+                                      names=["node", "paragraph"])
+
+    return stage(may_hold(docs, F.col("doc_id"), spans.select("doc_id")).join(spans.hint("merge"), "doc_id")
+                 .mapInArrow(run, "node long, paragraph string"), "candidate-texts", "zstd")
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -429,14 +457,15 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     bands, rows = tune_bands(threshold, recall)
     rows_ = stage(paragraphs(docs, id_col, text_col, min_words, bands, rows, passages),
                   "paragraphs", "zstd")
-    found = rows_.where("paragraph is not null")
+    found = rows_.where("bands is not null")
     nodes = stage(found.groupBy("key").agg(
         F.min(F.struct("doc_id", "idx")).alias("first"), F.max(F.struct("doc_id", "idx")).alias("last"),
         F.min("bands").alias("bands")).select(
         F.monotonically_increasing_id().alias("node"), "key", "first",
         (F.col("first") != F.col("last")).alias("again"), "bands"), "paragraph-nodes")
     star, members = _candidates(nodes, bands)
-    texts = _candidate_texts(found, nodes, star)
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = _candidate_texts(whole, found, nodes, star)
     links = stage(_verified(star, texts, threshold), "paragraph-links")
     starred = stage(components(links), "paragraph-stars")
     more = stage(_rest(members, starred, texts, threshold, block), "paragraph-links")
@@ -453,7 +482,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col("of.idx").alias("first_idx"))
     out = out.withColumn("removed", (F.col("doc_id") != F.col("first_doc"))
                          | (F.col("idx") != F.col("first_idx")))
-    windows = rows_.where("paragraph is null").select("doc_id", "idx", "start", "end", "key")
+    windows = rows_.where("bands is null").select("doc_id", "idx", "start", "end", "key")
     return out.unionByName(repeated_windows(windows)) if passages else out
 
 
