@@ -27,7 +27,7 @@ that line ends don't matter:
 Jaccard is exact on the sets of 5-word shingles.  Defined cases: null or empty
 text has no paragraph; a row with a null id is returned with nothing removed and
 matches nothing; rows that repeat an id and text count as one document, so they
-don't remove each other; other columns are ignored; ties go to the least
+don't remove each other; rows of one id with different texts each keep their paragraphs; other columns are ignored; ties go to the least
 (doc_id, position).
 """
 

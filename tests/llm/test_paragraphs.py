@@ -104,3 +104,12 @@ def test_bands_reach_the_recall():
 
 def test_empty_table(make_docs):
     assert removals(make_docs([])).collect() == []
+
+
+def test_rows_that_share_an_id_keep_their_own_texts(make_docs, words):
+    """Two texts under one id: near copies of both are found, each by its own paragraph."""
+    one, two = words(71, 100), words(72, 100)
+    near = [" ".join("x" if i == 50 else w for i, w in enumerate(t.split())) for t in (one, two)]
+    rows = [(1, one), (1, two), (1, two), (2, near[0]), (3, near[1]), (4, words(73, 100))]
+    got = {r.doc_id: r.n_removed for r in removals(make_docs(rows)).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0}
