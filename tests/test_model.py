@@ -78,6 +78,30 @@ def test_logistic_and_forest_find_the_signal(spark, signal_star):
     assert {"wealth_num", "education_num"} & top
 
 
+def test_rows_to_fit_are_dealt_over_the_session_and_not_by_class(spark, signal_star):
+    train, _test, feats = M.prepare(signal_star)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = train.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(held) >= parts and max(held) < 2 * sum(held) / len(held)
+    assert M.fit_forest(train, feats, trees=2).stages[-1].getCacheNodeIds()
+
+
+def test_leaves_are_led_to_by_one_chain_of_joins(spark):
+    from cohortlens.plans.model_checks import led_down, leaves
+    nodes = spark.createDataFrame(
+        [(0, 0, 0, 0.5, 1, 2, 0.1, [2.0, 2.0]), (0, 1, None, None, -1, -1, -1.0, [2.0, 0.0]),
+         (0, 2, 0, 1.5, 3, 4, 0.1, [0.0, 2.0]), (0, 3, None, None, -1, -1, -1.0, [0.0, 1.0]),
+         (0, 4, None, None, -1, -1, -1.0, [1.0, 1.0]), (1, 0, None, None, -1, -1, -1.0, [3.0, 1.0])],
+        "tree int, node int, feature int, threshold double, left int, right int, gain double, "
+        "stats array<double>")
+    rows = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 2.0), (3, 2.0), (4, None)], "id int, a double")
+    got = leaves(rows, nodes, ["a"], "id", 2)
+    want = led_down(rows, nodes, ["a"], "id", 2).where("leaf").select("id", "tree", "stats")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") <= 4 and "Union" not in plan
+
+
 def test_model_report(signal_star):
     rows = {r.metric: r.value for r in M.model_report(signal_star, trees=20).collect()}
     assert set(rows) == {"lr_auc", "rf_auc", "lr_threshold", "lr_sensitivity", "lr_specificity",
