@@ -157,6 +157,21 @@ def test_a_hot_owner_meets_in_no_single_task(spark):
             assert any("Aggregate" in below for below in plan[i + 1:i + 4]), line
 
 
+def test_a_query_of_the_wide_extract_reads_its_own_columns_only(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["bin_months"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<caseid:string,m13_1:string>" in plan
+
+
+def test_rows_without_an_owner_or_of_one_key_twice_fill_rounds(spark):
+    rows = spark.createDataFrame([(None, 1, "x"), (3, 5, "a"), (3, 5, "b"), (3, None, "c"), (4, 9, "d")],
+                                 "o_custkey long, o_orderkey long, st string")
+    out = rawviews._rounds(rows, "o_custkey", "o_orderkey", 2, {"k": "o_orderkey", "st": "st"}, "o")
+    got = {(r.c_custkey, r["round"]): (r.o1_k, r.o2_k, {r.o1_st, r.o2_st}) for r in out.collect()}
+    assert got == {(3, 1): (5, 5, {"a", "b"}), (3, 2): (None, None, {"c", None}),
+                   (4, 1): (9, None, {"d", None})}
+
+
 # -- seven tables, one commit ------------------------------------------------
 
 def failing(star, table):

@@ -69,6 +69,23 @@ def test_null_groups_and_null_keys_are_kept(spark):
         ("a", 2, 3, 3)], key=str)
 
 
+def test_places_of_large_and_small_groups_by_descending_key(spark):
+    from cohortlens.operators.ranking import place_within
+    rows = [(g, k, i) for i, (g, k) in enumerate(
+        [("big", k % 40) for k in range(200)] + [("big", None)] * 3 + [("small", k) for k in range(9)]
+        + [("small", None)] + [(None, k) for k in range(60)] + [("one", 7)])]
+    df = spark.createDataFrame(rows, "g string, k long, x int").repartition(5)
+    for heavy, ranges in ((50, 4), (50, 64), (1000, 4)):
+        got = {}
+        for r in place_within(df, "g", "k", heavy=heavy, ranges=ranges).collect():
+            got.setdefault(r.g, []).append((r.place, r.k))
+        assert sum(map(len, got.values())) == len(rows) and set(got) == {"big", "small", None, "one"}
+        for g, placed in got.items():
+            want = sorted((k for h, k, _ in rows if h == g), key=lambda k: (k is None, -(k or 0)))
+            assert [k for _, k in sorted(placed, key=lambda p: p[0])] == want
+            assert sorted(p for p, _ in placed) == list(range(len(want)))
+
+
 def test_no_job_runs_while_a_running_total_is_planned(spark):
     df = spark.range(1000).selectExpr("id % 50 as k", "id as x")
     group = "planning-running-totals"
