@@ -7,8 +7,9 @@
    at the threshold collides with at least the asked probability.
 3. Every member of a colliding bucket is verified against the bucket's least key
    (a star, so the rows grow with the members).  Buckets whose members then still
-   lie in several components are compared fully, in block pairs of bounded size,
-   so no link between colliding paragraphs is lost and no pair list is emitted.
+   lie in several components are compared fully, each in one piece while its text is
+   at most ``BLOCK_CHARS``, so a member is sent once; larger ones in block pairs of that
+   size.  No link between colliding paragraphs is lost and no pair list is emitted.
 4. Of each component the occurrence with the least (doc_id, position) stays.
 
 With ``passages`` the whole text, as one stream of words, is read in two more ways, so
@@ -34,6 +35,7 @@ don't remove each other; rows of one id with different texts each keep their par
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,8 @@ from .staging import as_bytes, by_bytes, stage
 SHINGLE = 5
 THRESHOLD = 0.8
 MIN_WORDS = 30
-BLOCK = 128
+BLOCK_CHARS = 1 << 21  # text of a block of a bucket
+BATCH = 1 << 19  # text read at once: the arrays of its words stay in the cache
 BAND_BYTES = 5  # of a band value: unequal ones agree for one pair in 2 ** 40, and pairs are verified
 WINNOW = 21  # words between which a window is taken
 REACH = 32  # words to either side of a cut
@@ -101,22 +104,30 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
             rng.integers(0, 1 << 63, count, np.uint64))
 
 
-def _band_values(hashes: np.ndarray, of: np.ndarray, n_words: np.ndarray, bands: int,
-                 rows: int) -> np.ndarray:
-    """MinHash band values of units; ``hashes`` has their words, ``of`` the unit of each."""
-    shingles = shingle_hashes(hashes)
-    inside = of[:len(shingles)] == of[SHINGLE - 1:] if len(of) >= SHINGLE else np.zeros(0, bool)
-    shingles = shingles[:len(inside)][inside]
-    heads = np.cumsum(n_words - SHINGLE + 1) - (n_words - SHINGLE + 1)
+def _band_values(shingles: np.ndarray, units: list[tuple[np.ndarray, np.ndarray]], bands: int,
+                 rows: int) -> list[np.ndarray]:
+    """MinHash band values of each list of units, given as first and last word of each.
+
+    ``shingles`` has the shingle that begins at each word; it is hashed once for all lists.
+    """
     mult, add = _permutations(bands * rows)
-    values = np.zeros((len(n_words), bands), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(bands * rows if len(n_words) else 0):
-            least = np.minimum.reduceat((shingles * mult[i] + add[i]) >> np.uint64(16), heads)
-            b = i // rows
-            values[:, b] = (values[:, b] ^ least) * np.uint64(0xBF58476D1CE4E5B9)
-            values[:, b] ^= values[:, b] >> np.uint64(31)
-    return values
+    out = [np.zeros((len(first), bands), np.uint64) for first, _ in units]
+    edges = []
+    for first, last in units:  # from the first shingle to behind the last one, and the gap between
+        edge = np.stack([first, last - SHINGLE + 2], axis=1).ravel()
+        edges.append(edge[:-1] if len(edge) and edge[-1] == len(shingles) else edge)
+    hashed = np.empty_like(shingles)
+    for i in range(bands * rows):
+        np.multiply(shingles, mult[i], out=hashed)
+        np.add(hashed, add[i], out=hashed)
+        np.right_shift(hashed, np.uint64(16), out=hashed)
+        b = i // rows
+        for values, edge in zip(out, edges, strict=True):
+            if len(values):
+                least = np.minimum.reduceat(hashed, edge)[::2]
+                values[:, b] = (values[:, b] ^ least) * np.uint64(0xBF58476D1CE4E5B9)
+                values[:, b] ^= values[:, b] >> np.uint64(31)
+    return out
 
 
 def _packed(values: np.ndarray) -> pa.Array:
@@ -144,19 +155,28 @@ class _Words:
         sizes = np.array([len(t) + 1 for t in texts], np.int64)
         self.begins = begins = np.cumsum(sizes) - sizes
         self.doc = np.searchsorted(begins, self.first, "right") - 1
-        chars = np.concatenate([[0], np.cumsum((codes & 0xC0) != 0x80)])
+        chars = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum((codes & 0xC0) != 0x80, out=chars[1:])
         shift = chars[begins][self.doc] if len(texts) else self.first
         self.start, self.end = chars[self.first] - shift, chars[self.past] - shift
         self.chars, self.shift = chars, shift
         self.breaks = np.flatnonzero(codes == 10)  # a line end after each text, too
-        words = pa.array(self.raw.lower().split(), pa.binary()).dictionary_encode()
-        self.hashes = _word_hashes(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(
-            words) else np.zeros(0, np.uint64)
+        split = self.raw.lower().split()
+        self.normal = b" ".join(split)
+        self.past_normal = np.cumsum(self.past - self.first + 1) - 1  # end of each word there
+        self.hashes = _word_hashes(split)
         n = np.bincount(self.doc, minlength=len(texts))
         self.place = np.arange(len(self.doc)) - (np.cumsum(n) - n)[self.doc]  # in its text
         self.left = n[self.doc] - self.place  # words from here to the end of the text
         self.order = shingle_hashes(self.hashes) if len(self.hashes) >= SHINGLE else np.zeros(0, np.uint64)
 
+    def keys(self, at: np.ndarray, last: np.ndarray, passage: bool) -> pa.Array:
+        """``_key`` of word runs from ``at`` to ``last``."""
+        begin = self.past_normal[at] - (self.past[at] - self.first[at])
+        head = b"\n" * passage
+        return pa.array([hashlib.md5(head + self.normal[a:b], usedforsecurity=False).digest()
+                         for a, b in zip(begin.tolist(), self.past_normal[last].tolist(), strict=True)], pa.binary())
+
     def spans(self, at: np.ndarray, last: np.ndarray) -> list[pa.Array]:
         """doc_id, idx, start and end of word runs from ``at`` to ``last``."""
         return [self.docs.take(pa.array(self.doc[at])),
@@ -174,21 +194,43 @@ def _least_ahead(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def cut_places(order: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Places of the least values within ``reach`` places to both sides."""
+def cut_places(order: np.ndarray, place: np.ndarray, left: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Places of the least values within ``reach`` places to both sides in the same text.
+
+    ``place`` is the number of values before each one in its text, ``left`` from it on.
+    """
     if len(order) < 2 * reach + 1:
         return np.zeros(0, np.int64)
     least = _least_ahead(order, 2 * reach + 1)[:len(order) - 2 * reach]
-    return np.flatnonzero(least == order[reach:len(order) - reach]) + reach
+    at = np.flatnonzero(least == order[reach:len(order) - reach]) + reach
+    return at[(place[at] >= reach) & (left[at] > reach)]
 
 
-def winnow(order: np.ndarray, width: int = WINNOW) -> np.ndarray:
-    """Places that are the last least value of some ``width`` places in a row (or of all)."""
+def winnow(order: np.ndarray, place: np.ndarray, left: np.ndarray, width: int = WINNOW) -> np.ndarray:
+    """Places that are the last least value of some ``width`` places in a row of a text
+    (or of all of a shorter one); values without any ``left`` are passed over.
+    """
     if not len(order):
         return np.zeros(0, np.int64)
-    width = min(width, len(order))
-    windows = np.lib.stride_tricks.sliding_window_view(order, width)
-    return np.unique(np.arange(len(windows)) + width - 1 - np.argmin(windows[:, ::-1], axis=1))
+    least = _least_ahead(order, min(width, len(order)))
+    least[left < width] = 0  # no window of one text begins here
+    # the greatest least value of the windows that hold a place is its own: it is least in one
+    best = ~_least_ahead(~least[::-1], min(width, len(order)))[::-1]
+    at = np.flatnonzero((best == order) & (place + left >= width) & (left > 0))
+    tied = np.flatnonzero((order[at[1:]] == order[at[:-1]]) & (np.diff(at) < width))
+    p, q = at[tied], at[tied + 1]  # q is taken instead of p in the windows that hold both
+    alone = np.zeros(len(p), np.uint64)
+    for k in range(width - 1 if len(p) else 0):
+        begin = p - width + 1 + k
+        alone = np.maximum(alone, np.where((begin >= 0) & (begin <= q - width), least[begin], 0))
+    at = np.delete(at, tied[alone != order[p]])
+    short = np.flatnonzero((place + left < width) & (left > 0))
+    if not len(short):
+        return at
+    heads = np.flatnonzero(place[short] == 0)
+    sizes = np.diff(np.append(heads, len(short)))
+    same = order[short] == np.repeat(np.minimum.reduceat(order[short], heads), sizes)
+    return np.sort(np.append(at, np.maximum.reduceat(np.where(same, short, -1), heads)))
 
 
 _NAMES = ["doc_id", "idx", "start", "end", "key", "bands"]
@@ -199,16 +241,8 @@ def _key(paragraph: bytes, passage: bool) -> bytes:
     return hashlib.md5(b"\n" * passage + b" ".join(paragraph.lower().split()), usedforsecurity=False).digest()
 
 
-def _unit_rows(w: _Words, unit: np.ndarray, n_words: np.ndarray, chosen: np.ndarray, where: list,
-               kept: list[bytes], passage: bool, bands: int, rows: int) -> pa.RecordBatch:
-    """Rows of the ``chosen`` units; ``unit`` names the unit of each word."""
-    used = chosen[unit]
-    values = _band_values(w.hashes[used], unit[used], n_words[chosen], bands, rows)
-    return pa.record_batch([*where, pa.array([_key(t, passage) for t in kept], pa.binary()),
-                            _packed(values)], names=_NAMES)
-
-
-def _paragraph_rows(w: _Words, min_words: int, bands: int, rows: int) -> pa.RecordBatch:
+def _lines(w: _Words, min_words: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """First and last word of each line of ``min_words``, and its doc_id, idx, start and end."""
     line = np.searchsorted(w.breaks, w.first)
     n_words = np.bincount(line, minlength=len(w.breaks))
     chosen = n_words >= max(min_words, SHINGLE)
@@ -221,37 +255,35 @@ def _paragraph_rows(w: _Words, min_words: int, bands: int, rows: int) -> pa.Reco
     where = [w.docs.take(pa.array(doc)), pa.array(index.astype(np.int32)),
              pa.array((w.chars[begin] - w.shift[word]).astype(np.int64)),
              pa.array((w.chars[past] - w.shift[word]).astype(np.int64))]
-    kept = [w.raw[a:b] for a, b in zip(begin, past, strict=True)]
-    return _unit_rows(w, line, n_words, chosen, where, kept, False, bands, rows)
+    return word, word + n_words[at] - 1, where
 
 
-def _passage_rows(w: _Words, min_words: int, bands: int, rows: int) -> pa.RecordBatch:
-    cut = np.zeros(len(w.doc), bool)
-    cut[w.place == 0] = True
-    for begin in np.flatnonzero(w.place == 0):
-        cut[cut_places(w.order[begin:begin + max(0, w.left[begin] - SHINGLE + 1)]) + begin] = True
-    unit = np.cumsum(cut) - 1
-    n_words = np.bincount(unit, minlength=0)
+def _passages(w: _Words, min_words: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """As ``_lines``, of the stretches between cuts."""
+    cut = w.place == 0
+    n = len(w.order)
+    cut[cut_places(w.order, w.place[:n], w.left[:n] - SHINGLE + 1)] = True
+    at = np.flatnonzero(cut)
+    n_words = np.diff(np.append(at, len(cut)))
     chosen = n_words >= max(min_words, SHINGLE)
-    at = np.flatnonzero(cut)[chosen]
-    last = at + n_words[chosen] - 1
-    kept = [w.raw[a:b] for a, b in zip(w.first[at], w.past[last], strict=True)]
-    return _unit_rows(w, unit, n_words, chosen, w.spans(at, last), kept, True, bands, rows)
+    at, last = at[chosen], (at + n_words - 1)[chosen]
+    return at, last, w.spans(at, last)
 
 
 def _window_rows(w: _Words, size: int) -> pa.RecordBatch:
     """Rows of the taken windows; they have no bands."""
-    begins = np.flatnonzero(w.place == 0)
-    places = [winnow(w.order[b:b + max(0, w.left[b] - size + 1)]) + b for b in begins]
-    at = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
+    n = len(w.order)
+    at = winnow(w.order, w.place[:n], np.maximum(w.left[:n] - size + 1, 0))
+    # shingles that cover the window stand for its words
+    parts, steps = (w.order, sorted({*range(0, size - SHINGLE + 1, SHINGLE), size - SHINGLE})) if (
+        size >= SHINGLE) else (w.hashes, range(size))
     keys = np.zeros((len(at), 2), np.uint64)
     with np.errstate(over="ignore"):
-        for k, seed in enumerate((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))):
-            key = np.zeros(len(at), np.uint64)
-            for i in range(size):
-                key = (key ^ w.hashes[at + i]) * seed
-                key ^= key >> np.uint64(29)
-            keys[:, k] = key
+        for i in steps:
+            part = parts[at + i]
+            for k, seed in enumerate((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))):
+                key = (keys[:, k] ^ part) * seed
+                keys[:, k] = key ^ (key >> np.uint64(29))
     ends = np.arange(len(at) + 1, dtype=np.int32) * 16
     key = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(keys.tobytes())])
     return pa.record_batch([*w.spans(at, at + size - 1), key, pa.nulls(len(at), pa.binary())],
@@ -262,11 +294,13 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, min_words: int, band
                rows: int, passages: bool = False) -> DataFrame:
     """One row per line of ``min_words``; with ``passages`` also per passage and taken window."""
     def run(batches):
-        for part in by_bytes(batches, "text", 4 << 20):
+        for part in by_bytes(batches, "text", BATCH):
             w = _Words(part)
-            yield _paragraph_rows(w, min_words, bands, rows)
+            units = [_lines(w, min_words)] + [_passages(w, min_words)] * passages
+            values = _band_values(w.order, [(at, last) for at, last, _ in units], bands, rows)
+            for passage, ((at, last, where), value) in enumerate(zip(units, values, strict=True)):
+                yield pa.record_batch([*where, w.keys(at, last, bool(passage)), _packed(value)], names=_NAMES)
             if passages:
-                yield _passage_rows(w, min_words, bands, rows)
                 yield _window_rows(w, min_words)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),
@@ -293,18 +327,35 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
         ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("idx") != F.col("first.idx"))).alias("removed"))
 
 
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of every distinct shingle of each text, in order; equal ones share a
+    number.  The texts have ``SHINGLE`` words or more, as all paragraphs.
+    """
+    split = [t.lower().split() for t in texts]
+    of = np.repeat(np.arange(len(split)), [len(s) for s in split])
+    hashes = _word_hashes(list(chain.from_iterable(split)))
+    inside = of[:1 - SHINGLE] == of[SHINGLE - 1:]
+    distinct, number = np.unique(shingle_hashes(hashes)[inside], return_inverse=True)
+    held = np.unique(of[:1 - SHINGLE][inside] * len(distinct) + number)
+    return held // len(distinct), held % len(distinct)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of nodes whose paragraphs reach the threshold."""
     def run(batches):
-        for batch in batches:
-            left, right = as_bytes(batch.column("ta")), as_bytes(batch.column("tb"))
-            sets: dict[bytes, np.ndarray] = {}  # a bucket's least paragraph comes again and again
-            good = np.zeros(len(left), bool)
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                if x not in sets:
-                    sets = {x: shingle_set(x)}
-                good[i] = jaccard(sets[x], shingle_set(y)) >= threshold
-            yield pa.record_batch([batch.column("a"), batch.column("b")],
+        for part in by_bytes(batches, "tb", BATCH):
+            # a bucket's least paragraph comes again and again
+            _, first, which = np.unique(part.column("a").to_numpy(), return_index=True, return_inverse=True)
+            n = len(first)
+            of, number = _numbered(as_bytes(part.column("ta").take(pa.array(first))) + as_bytes(part.column("tb")))
+            size = np.bincount(of)
+            split, most = np.searchsorted(of, n), number.max() + 1
+            left = of[:split] * most + number[:split]
+            right = which[of[split:] - n] * most + number[split:]
+            both = left[np.minimum(np.searchsorted(left, right), len(left) - 1)] == right
+            common = np.bincount(of[split:] - n, weights=both)
+            good = common / (size[which] + size[n:] - common) >= threshold
+            yield pa.record_batch([part.column("a"), part.column("b")],
                                   names=["a", "b"]).filter(pa.array(good))
 
     side = texts.select("node", "paragraph")
@@ -313,74 +364,101 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             .select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
-def _links_in_block(members: list[dict], lower: int, threshold: float) -> list[tuple[int, int]]:
-    """Spanning links of one block pair; pairs already connected are passed over."""
-    parent: dict[int, int] = {}
+def _links_in_blocks(group: np.ndarray, node: np.ndarray, component: np.ndarray, chunk: np.ndarray,
+                     texts: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Spanning links of block pairs, one ``group`` of rows each; pairs already connected
+    are passed over.  A pair of two blocks compares the one with the other.
 
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    sets = [frozenset(shingle_set(m["paragraph"].encode()).tolist()) for m in members]
-    size = np.array([len(s) for s in sets])
-    chunk = np.array([m["chunk"] for m in members])
-    component = np.array([m["component"] for m in members])
-    upper = int(chunk.max())
+    Overlaps are counted for all members at once from the lists of those that hold a
+    shingle; members with too many shingles of their own have no partner in the group.
+    """
+    of, number = _numbered(texts)
+    size = np.bincount(of, minlength=len(texts))
+    _, token, held = np.unique(group[of] * (number.max() + 1) + number, return_inverse=True, return_counts=True)
+    shared = np.bincount(of, weights=held[token] > 1, minlength=len(texts))
+    able = shared >= threshold * size - 1e-6
+    used = (held[token] > 1) & able[of]
+    of, token = of[used], token[used]
+    begin = np.searchsorted(of, np.arange(len(texts) + 1))
+    holders = of[np.argsort(token, kind="stable")]
+    ends = np.cumsum(np.bincount(token, minlength=len(held)))
+    starts = np.concatenate([[0], ends[:-1]])
     links = []
-    for i, m in enumerate(members):
-        near = (component != component[i]) & (np.arange(len(members)) > i) & (
-            np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]))
-        if lower != upper:
-            near &= chunk != chunk[i]
-        for j in np.flatnonzero(near):
-            a, b = root(m["component"]), root(members[j]["component"])
-            if a == b:
+    edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        label, blocks = component[a:b].copy(), chunk[a:b]
+        two = (blocks != blocks[0]).any()
+        for i in np.flatnonzero(able[a:b]):
+            other = label != label[i]
+            if two:
+                other &= blocks != blocks[i]
+            other &= able[a:b]
+            if not other.any():
                 continue
-            common = len(sets[i] & sets[j])
-            if common and common / (size[i] + size[j] - common) >= threshold:
-                parent[a] = b
-                links.append((m["node"], members[j]["node"]))
+            held_by = [holders[starts[t]:ends[t]] for t in token[begin[a + i]:begin[a + i + 1]]]
+            common = np.bincount(np.concatenate(held_by) - a, minlength=b - a)
+            near = other & (common / (size[a + i] + size[a:b] - common) >= threshold)
+            for j in np.flatnonzero(near):
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    links.append((int(node[a + i]), int(node[a + j])))
     return links
 
 
-def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, threshold: float,
-          block: int) -> DataFrame:
-    """Links between components inside a bucket, by block pairs of at most 2 * block members.
+def _dealt(placed: DataFrame, block: int | None = None) -> DataFrame:
+    """Members of buckets with several components, each with its chunk and block pair.
 
-    A member goes to one block pair per block of its bucket; the comparisons of a
-    bucket are spread over its block pairs.
+    A bucket is one block up to ``BLOCK_CHARS`` of text (or ``block`` members, where given), and
+    a member of it is sent once.  Of a larger one a member goes to one block pair per block.
     """
+    blocks = F.ceil(F.count(F.lit(1)) / block) if block else F.ceil(F.sum("chars") / BLOCK_CHARS)
+    open_ = stage(placed.groupBy("bucket").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), blocks.cast("int").alias("blocks"))
+        .where("lo <> hi").select("bucket", "blocks"), "paragraph-open")
+    return (placed.join(open_, "bucket")
+            .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("bucket", "node", "component", "chunk",
+                    F.least("chunk", "other").alias("lower"),
+                    F.greatest("chunk", "other").alias("upper")))
+
+
+def _rest(members: DataFrame, found: DataFrame, texts: DataFrame, threshold: float,
+          block: int | None) -> DataFrame:
+    """Links between components inside a bucket, by block pairs of bounded text."""
     found = found.withColumnRenamed("node", "of")
-    placed = members.join(found.hint("merge"), members["node"] == found["of"], "left").select(
-        "bucket", "members", "node", F.coalesce("component", "node").alias("component"))
+    sizes = texts.select(F.col("node").alias("_sized"), "chars")
+    placed = members.join(found.hint("merge"), members["node"] == found["of"], "left").join(
+        sizes.hint("merge"), F.col("node") == F.col("_sized")).select(
+        "bucket", "node", "chars", F.coalesce("component", "node").alias("component"))
     placed = stage(placed, "paragraph-buckets")
-    open_ = stage(placed.groupBy("bucket").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        .select("bucket"), "paragraph-open")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    dealt = (placed.join(open_, "bucket")
-             .withColumn("chunk", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("bucket", "node", "component", "chunk",
-                     F.least("chunk", "other").alias("lower"),
-                     F.greatest("chunk", "other").alias("upper")))
+    dealt = _dealt(placed, block)
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                links = _links_in_block(batch.column("m")[i].as_py(),
-                                        batch.column("lower")[i].as_py(), threshold)
+            m = batch.column("m")
+            flat = m.flatten()
+            node, component, chunk = (flat.field(i).to_numpy() for i in range(3))
+            text = flat.field(3)
+            group = np.repeat(np.arange(len(m)), pc.list_value_length(m).to_numpy())
+            size = np.cumsum(pc.binary_length(text).to_numpy())
+            ends = np.flatnonzero(np.diff(group, append=-1)) + 1  # of the block pairs
+            at = 0
+            while at < len(group):  # as many block pairs as hold BATCH, one at least
+                fit = np.searchsorted(size[ends - 1], (size[at - 1] if at else 0) + BATCH, "right")
+                past = ends[max(fit - 1, np.searchsorted(ends, at, "right"))]
+                links = _links_in_blocks(group[at:past], node[at:past], component[at:past], chunk[at:past],
+                                         as_bytes(text[at:past]), threshold)
+                at = past
                 if links:
                     a, b = zip(*links, strict=True)
                     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
                                           names=["a", "b"])
 
-    return (dealt.join(texts.hint("merge"), "node")
+    return (dealt.join(texts.select("node", "paragraph").hint("merge"), "node")
             .groupBy("bucket", "lower", "upper")
             .agg(F.collect_list(F.struct("node", "component", "chunk", "paragraph")).alias("m"))
-            .select("lower", "m").mapInArrow(run, "a long, b long"))
+            .select("m").mapInArrow(run, "a long, b long"))
 
 
 def _candidates(nodes: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
@@ -407,7 +485,7 @@ def _candidates(nodes: DataFrame, bands: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _candidate_texts(docs: DataFrame, found: DataFrame, nodes: DataFrame, star: DataFrame) -> DataFrame:
-    """(node, paragraph) of the nodes in ``star``, cut from the text of their first occurrence.
+    """(node, chars, paragraph) of the nodes in ``star``, cut from the text of their first occurrence.
 
     Of rows that share an id, the one whose paragraph has the node's key gives it.
     """
@@ -437,16 +515,17 @@ def _candidate_texts(docs: DataFrame, found: DataFrame, nodes: DataFrame, star:
                             given.add(c["node"])
                             names.append(c["node"])
                             out.append(raw)
-                yield pa.record_batch([pa.array(names, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())],
-                                      names=["node", "paragraph"])
+                yield pa.record_batch([pa.array(names, pa.int64()), pa.array([len(t) for t in out], pa.int64()),
+                                       pa.array(out, pa.binary()).cast(pa.string())],
+                                      names=["node", "chars", "paragraph"])
 
     return stage(may_hold(docs, F.col("doc_id"), spans.select("doc_id")).join(spans.hint("merge"), "doc_id")
-                 .mapInArrow(run, "node long, paragraph string"), "candidate-texts", "zstd")
+                 .mapInArrow(run, "node long, chars long, paragraph string"), "candidate-texts", "zstd")
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         min_words: int = MIN_WORDS, threshold: float = THRESHOLD,
-                        recall: float = 0.999, block: int = BLOCK,
+                        recall: float = 0.999, block: int | None = None,
                         passages: bool = False) -> DataFrame:
     """One row per repeated occurrence: doc_id, idx, start, end, first_doc, first_idx, removed.
 

@@ -95,6 +95,54 @@ def test_one_hot_bucket_in_several_components(make_docs, words):
     assert got(removals(make_docs(rows), block=16)) == brute(rows)
 
 
+def test_members_of_an_open_bucket_are_sent_once(shipped):
+    """A group four times as large takes four times the rows; in blocks every pair still meets."""
+    from cohortlens.llm.op10_paragraphs import _dealt
+    for n in (300, 1200):
+        rows = [(7, i, 400, i) for i in range(n)] + [(8, i, 400, 1) for i in range(9)]
+        placed = shipped.createDataFrame(rows, "bucket long, node long, chars long, component long")
+        assert _dealt(placed).count() == n  # bucket 8 is one component already
+    placed = placed.where("node < 60").withColumn("chars", placed["chars"] * 1000)  # more than one block
+    for dealt in (_dealt(placed), _dealt(placed, 8)):
+        met = {}
+        for r in dealt.collect():
+            met.setdefault((r.lower, r.upper), []).append((r.node, r.chunk))
+        assert len(met) > 1
+        assert {(a, b) for (low, up), m in met.items() for a, x in m for b, y in m
+                if a < b and (low == up or x != y)} == {(a, b) for b in range(60) for a in range(b)}
+
+
+def test_links_of_several_blocks_at_once():
+    """Linked members of each block are joined by links that reach the threshold, and no others."""
+    import numpy as np
+    from cohortlens.llm.op10_paragraphs import _links_in_blocks
+    rng, texts, group, chunk = random.Random(2), [], [], []
+    for g in range(6):
+        base = [f"b{rng.randrange(999)}" for _ in range(60)]
+        for _ in range([1, 2, 40, 3, 90, 30][g]):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 9])):
+                w[rng.randrange(60)] = f"q{rng.randrange(50)}"
+            texts.append(" ".join(w).encode())
+            group.append(g)
+            chunk.append(rng.randrange(2) if g == 5 else 0)  # the last compares two blocks
+    n = len(texts)
+    sets = [shingle_set(t) for t in texts]
+
+    def classes(pairs):
+        label = list(range(n))
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label = [label[b] if x == label[a] else x for x in label]
+        return {frozenset(i for i in range(n) if label[i] == x) for x in label}
+
+    want = [(i, j) for j in range(n) for i in range(j) if group[i] == group[j] and jaccard(sets[i], sets[j]) >= 0.8
+            and (group[i] != 5 or chunk[i] != chunk[j])]
+    links = _links_in_blocks(np.array(group), np.arange(n), np.arange(n), np.array(chunk), texts, 0.8)
+    assert {tuple(sorted(x)) for x in links} <= set(want)
+    assert classes(links) == classes(want) and any(len(c) > 5 for c in classes(want))
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.7, 0.8, 0.9):
         bands, rows = tune_bands(threshold, 0.999)

@@ -1,7 +1,9 @@
 """Passages that are no lines of their own: inside long lines, or over several short ones."""
 import random
 
-from cohortlens.llm.op10_paragraphs import remove_paragraphs, removals
+import numpy as np
+
+from cohortlens.llm.op10_paragraphs import cut_places, remove_paragraphs, removals, winnow
 
 
 def split_lines(text, at):
@@ -76,3 +78,22 @@ def test_near_copy_inside_long_lines(make_docs, words):
     rows = [(1, f"{words(2, 100, 5000)} {' '.join(run)} {words(3, 100, 5000)}"),
             (2, f"{words(4, 77, 5000)} {' '.join(near)} {words(5, 50, 5000)}")]
     assert spans(removals(make_docs(rows), passages=True))[2]
+
+
+def test_places_of_several_texts_at_once():
+    """Windows and cuts of a batch are those of each text alone, ties and short texts too."""
+    rng = np.random.default_rng(5)
+    for values in (3, 40, 1 << 60):
+        sizes = rng.integers(0, 150, 60)
+        texts = [rng.integers(1, values, n).astype(np.uint64) for n in sizes]
+        order, begins = np.concatenate(texts), np.cumsum(sizes) - sizes
+        place = np.concatenate([np.arange(n) for n in sizes])
+        left = np.concatenate([np.arange(n, 0, -1) for n in sizes])
+        windows, cuts = set(), set()
+        for t, b in zip(texts, begins, strict=True):
+            width = min(21, len(t))
+            for i in range(len(t) - width + 1 if len(t) else 0):
+                windows.add(b + max(range(i, i + width), key=lambda p, t=t: (-int(t[p]), p)))
+            cuts |= {b + p for p in range(32, len(t) - 32) if t[p] == t[p - 32:p + 33].min()}
+        assert winnow(order, place, left).tolist() == sorted(windows)
+        assert cut_places(order, place, left).tolist() == sorted(cuts)
